@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from quern.llm.decontaminate import op7_decontamination
+from quern.llm.secrets import op2_secret_scan
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
+    "op7_decontamination": op7_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
