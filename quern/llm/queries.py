@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from quern.llm.decontaminate import op7_decontamination
+from quern.llm.packing import op5_packing
 from quern.llm.secrets import op2_secret_scan
 from quern.llm.tokens import op9_token_ids
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
