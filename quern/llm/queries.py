@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.decontaminate import op7_decontamination
+from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
 from quern.llm.secrets import op2_secret_scan
 from quern.llm.tokens import op9_token_ids
@@ -10,6 +11,7 @@ from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_near_duplicates": op3_near_duplicates,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
     "op9_token_ids": op9_token_ids,
