@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from quern.llm import _base
 
 
+#: Edges that a task contracts at once.
+EDGES = 250_000
+
+
 class Forest:
     """Union-find whose roots are the least members."""
 
@@ -63,13 +67,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(member, root) of every vertex of ``edges`` (a, b: long) that isn't the least of its component.
 
-    Partitions contract their own edges; what crosses partitions is joined by alternating star steps
-    until every member has one root that is no member itself.
+    Edges come in partitions of about ``EDGES``, each of which contracts its own. What crosses partitions is
+    joined by alternating star steps until every member has one root that is no member itself.
     """
-    edges = _base.keep(edges.select("a", "b").mapInArrow(_contract, "a long, b long"), "edges")
+    edges = _base.keep(edges.select("a", "b"), "edges")
     while True:
+        parts = -(-edges.count() // EDGES)
+        edges = _base.keep(edges.coalesce(max(1, parts)).mapInArrow(_contract, "a long, b long"), "edges")
+        if parts <= 1:
+            break
         seen = edges.select(F.col("a").alias("x"), F.lit(1).alias("member"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
         loose = seen.groupBy("x").agg(F.sum("member").alias("member"), F.max("root").alias("root")).where((F.col("member") > 1) | ((F.col("member") > 0) & (F.col("root") > 0)))
         if loose.isEmpty():
-            return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))
-        edges = _base.keep(_star(_star(edges, True), False).mapInArrow(_contract, "a long, b long"), "edges")
+            break
+        edges = _base.keep(_star(_star(edges, True), False), "edges")
+    return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -231,25 +232,24 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
 
 def _candidates(reps: DataFrame) -> DataFrame:
     """(rep, cluster) of the documents that may be similar to another, by the trees."""
-    nodes = _base.keep(_roots(reps), "nodes")
-    small = []
+    nodes = _roots(reps)
+    near = []
     for depth in range(1, DEPTH + 1):
-        counted = nodes.join(nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "node")
-        small.append(counted.where(F.col("c") <= SMALL).select("node", "rep"))
+        shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        counted = _base.keep(nodes.join(shared, "node"), "nodes")
+        near.append(counted.where(F.col("c") <= SMALL).select("node", "rep"))
         large = counted.where(F.col("c") > SMALL)
-        if depth < DEPTH:
-            nodes = _base.keep(_branch(large, reps).distinct(), "nodes")
-    near = small[0].unionByName(small[1]).unionByName(small[2])
+        dense = not large.isEmpty()
+        if depth == DEPTH or not dense:
+            break
+        nodes = _branch(large, reps)
     payload = reps.select("rep", F.col("n_shingles").alias("n"), "sig")
-    gathered = near.join(payload, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sig")).alias("members"))
-    edges = _base.keep(_pairs_map(gathered.select("members"), _sketch_links).distinct(), "links")
+    gathered = reduce(DataFrame.unionByName, near).join(payload, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "n", "sig")).alias("members"))
+    edges = _base.keep(_pairs_map(gathered.select("members"), _sketch_links), "links")
     roots = components(edges)
-    dense = _base.keep(large.select("node", "rep", "c"), "dense")
-    if not dense.isEmpty():
-        rows = _base.keep(_labelled(dense, roots).join(payload, "rep"), "dense")
-        more = _pairs_map(_outsiders(rows, "node", ["n", "sig", "label"]), _sketch_links).distinct()
-        roots = components(edges.unionByName(more))
-    roots = _base.keep(roots, "roots")
+    if dense:
+        rows = _base.keep(_labelled(large, roots).join(payload, "rep"), "dense")
+        roots = components(edges.unionByName(_pairs_map(_outsiders(rows, "node", ["n", "sig", "label"]), _sketch_links)))
     return roots.select(F.col("member").alias("rep"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -31,10 +32,10 @@ END = 1
 BLOCK = 4096
 #: A file is closed once it has so many ids; a longer document makes a longer file.
 FILE_IDS = 1 << 20
-_CACHED = 180_000
+_CACHED = 300_000
 _TOGETHER = 4 << 20
 _STEP = 1024
-_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEADER = struct.Struct("<4sHHIQQQ")
 _MAGIC = b"QTID"
 
@@ -43,9 +44,11 @@ class Recent:
     """The entries of the last one to two ``size`` additions; what is still asked for moves on to the next generation."""
 
     def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+        self.size = size
+        self.new: dict = {}
+        self.old: dict = {}
 
-    def put_all(self, entries: dict[bytes, bytes]) -> None:
+    def put_all(self, entries: dict) -> None:
         if len(self.new) + len(entries) > self.size:
             self.new, self.old = {}, self.new
         self.new |= entries
@@ -69,23 +72,23 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _pieces(self, chunks: list[bytes]) -> list[bytes]:
+    def _pieces(self, chunks: list[str]) -> list[bytes]:
         """The ids of each chunk, each encoded as a text of its own."""
         out: list[bytes] = []
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
-            e = self.tokenizer.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
+            e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ends = (np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(part) + 1)) * 4).tolist()
             raw = np.array(e.ids, "<u4").tobytes()
             out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
-    def _letters(self, words: list[bytes]) -> list[bytes]:
+    def _letters(self, words: list[str]) -> list[bytes]:
         """The same for words of letters, in one text where each gives one pre-token."""
         out: list[bytes] = []
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             if len(ends) == len(part) + 1:
                 raw = ids.tobytes()
@@ -96,29 +99,27 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """The ids of ``chunks``, which are kept too."""
-        heads, tails, other = [], [], []
-        simple = []
-        for c in chunks:
-            low = c.translate(LOWER)
-            head = low.rstrip(_PUNCTUATION)
-            if head and head.decode().isalpha():
-                simple.append(c)
-                heads.append(head)
-                tails.append(low[len(head) :])
-            else:
-                other.append(c)
-        parts = {b"": b""}
-        for words, look in ((set(heads), self._letters), (set(tails) - {b""}, self._pieces)):
+        if not chunks:
+            return {}
+        lows = b"\n".join(chunks).translate(LOWER).decode().split("\n")
+        heads = [x.rstrip(_PUNCTUATION) for x in lows]
+        alone = [x.isalpha() for x in heads]
+        other = [c for c, ok in zip(chunks, alone, strict=True) if not ok]
+        simple, lows, heads = [list(compress(x, alone)) for x in (chunks, lows, heads)]
+        tails = [x[len(h) :] for x, h in zip(lows, heads, strict=True)]
+        parts = {"": b""}
+        for words, look in ((set(heads), self._letters), (set(tails) - {""}, self._pieces)):
             new, old = self.words.new, self.words.old
-            got = {w: new[w] for w in words if w in new}
-            more = {w: old[w] for w in words if w in old and w not in got}
+            got = {w: new.get(w) for w in words}
+            left = [w for w, x in got.items() if x is None]
+            more = {w: old[w] for w in left if w in old}
             parts |= got
-            left = [w for w in words if w not in got and w not in more]
+            left = [w for w in left if w not in more]
             more |= zip(left, look(left), strict=True)
             self.words.put_all(more)
             parts |= more
         out = {c: parts[a] + parts[b] for c, a, b in zip(simple, heads, tails, strict=True)}
-        out |= zip(other, self._pieces(other), strict=True)
+        out |= zip(other, self._pieces([c.decode() for c in other]), strict=True)
         self.chunks.put_all(out)
         return out
 
@@ -140,13 +141,14 @@ class Encoder:
         for chunks in split:
             distinct.update(chunks)
         new, old = self.chunks.new, self.chunks.old
-        here = {c: new[c] for c in distinct if c in new}
-        again = {c: old[c] for c in distinct if c in old and c not in here}
+        here = {c: new.get(c) for c in distinct}
+        left = [c for c, x in here.items() if x is None]
+        again = {c: old[c] for c in left if c in old}
         here |= again
         self.chunks.put_all(again)
-        here |= self._learn([c for c in distinct if c not in here])
+        here |= self._learn([c for c in left if c not in again])
         for chunks in split:
-            yield b"".join([here[c] for c in chunks])
+            yield b"".join(map(here.__getitem__, chunks))
 
 
 _encoders: dict[str, Encoder] = {}
