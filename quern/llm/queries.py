@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quern.llm.decontaminate import op7_decontamination
+from quern.llm.lm import op8_language_model
 from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
 from quern.llm.secrets import op2_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_language_model": op8_language_model,
     "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
 }
