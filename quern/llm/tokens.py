@@ -15,6 +15,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from itertools import compress
+from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -25,14 +26,14 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import _base
-from quern.llm._text import LOWER
+from quern.llm._text import LOWER, hash_words
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 BLOCK = 4096
 #: A file is closed once it has so many ids; a longer document makes a longer file.
 FILE_IDS = 1 << 20
-_CACHED = 300_000
+_CACHED = 400_000
 _TOGETHER = 4 << 20
 _STEP = 1024
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -40,18 +41,27 @@ _HEADER = struct.Struct("<4sHHIQQQ")
 _MAGIC = b"QTID"
 
 
-class Recent:
+class Recent(dict):
     """The entries of the last one to two ``size`` additions; what is still asked for moves on to the next generation."""
 
     def __init__(self, size: int):
+        super().__init__()
         self.size = size
-        self.new: dict = {}
         self.old: dict = {}
 
-    def put_all(self, entries: dict) -> None:
-        if len(self.new) + len(entries) > self.size:
-            self.new, self.old = {}, self.new
-        self.new |= entries
+    def missing(self, keys: set) -> list:
+        """The keys that neither generation has. Afterwards all others are entries, and so will be what is put for the missing."""
+        gone = keys.difference(self)
+        if len(self) + len(gone) > self.size:
+            old = self.copy()
+            self.clear()
+            self.update((k, x) for k in keys if (x := old.get(k)) is not None)
+            gone = keys.difference(self)
+            self.old, before = old, self.old
+            self.update((k, x) for k in gone if (x := before.get(k)) is not None)
+        else:
+            self.update((k, x) for k in gone if (x := self.old.get(k)) is not None)
+        return list(gone.difference(self))
 
 
 class Encoder:
@@ -64,7 +74,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words = Recent(_CACHED), Recent(_CACHED)
+        self.chunks, self.words, self.marks = Recent(_CACHED), Recent(_CACHED), Recent(_CACHED)
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
@@ -97,31 +107,21 @@ class Encoder:
                 out += self._pieces(part)
         return out
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of ``chunks``, which are kept too."""
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Put the ids of new ``chunks``."""
         if not chunks:
-            return {}
+            return
         lows = b"\n".join(chunks).translate(LOWER).decode().split("\n")
         heads = [x.rstrip(_PUNCTUATION) for x in lows]
         alone = [x.isalpha() for x in heads]
         other = [c for c, ok in zip(chunks, alone, strict=True) if not ok]
         simple, lows, heads = [list(compress(x, alone)) for x in (chunks, lows, heads)]
         tails = [x[len(h) :] for x, h in zip(lows, heads, strict=True)]
-        parts = {"": b""}
-        for words, look in ((set(heads), self._letters), (set(tails) - {""}, self._pieces)):
-            new, old = self.words.new, self.words.old
-            got = {w: new.get(w) for w in words}
-            left = [w for w, x in got.items() if x is None]
-            more = {w: old[w] for w in left if w in old}
-            parts |= got
-            left = [w for w in left if w not in more]
-            more |= zip(left, look(left), strict=True)
-            self.words.put_all(more)
-            parts |= more
-        out = {c: parts[a] + parts[b] for c, a, b in zip(simple, heads, tails, strict=True)}
-        out |= zip(other, self._pieces([c.decode() for c in other]), strict=True)
-        self.chunks.put_all(out)
-        return out
+        for words, known, look in ((heads, self.words, self._letters), (tails, self.marks, self._pieces)):
+            new = known.missing(set(words))
+            known.update(zip(new, look(new), strict=True))
+        self.chunks.update(zip(simple, map(add, map(self.words.__getitem__, heads), map(self.marks.__getitem__, tails)), strict=True))
+        self.chunks.update(zip(other, self._pieces([c.decode() for c in other]), strict=True))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, without special tokens added; about four megabytes of texts are looked up together."""
@@ -136,19 +136,22 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        distinct: set[bytes] = set()
-        for chunks in split:
-            distinct.update(chunks)
-        new, old = self.chunks.new, self.chunks.old
-        here = {c: new.get(c) for c in distinct}
-        left = [c for c, x in here.items() if x is None]
-        again = {c: old[c] for c in left if c in old}
-        here |= again
-        self.chunks.put_all(again)
-        here |= self._learn([c for c in left if c not in again])
-        for chunks in split:
-            yield b"".join(map(here.__getitem__, chunks))
+        """Chunks are told apart by a 64-bit hash within the group, so each different one is looked up once, by its bytes."""
+        buf = b" ".join(texts)
+        starts, ends, hashes = hash_words(buf)
+        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct = [buf[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        self._learn(self.chunks.missing(set(distinct)))
+        found = list(map(self.chunks.__getitem__, distinct))
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        places = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        past = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(places[which] - past[:-1], n) + np.arange(past[-1])]
+        text_ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+        cuts = [0, *past[np.searchsorted(starts, text_ends)].tolist()]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield ids[a:b].tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
