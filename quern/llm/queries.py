@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from quern.llm import chat, hamming
+from quern.llm.chat import op4_chat_format
 from quern.llm.decontaminate import op7_decontamination
+from quern.llm.hamming import op1_binary_top_k
 from quern.llm.lm import op8_language_model
 from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
@@ -11,8 +14,10 @@ from quern.llm.tokens import op9_token_ids
 from quern.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_binary_top_k": op1_binary_top_k,
     "op2_secret_scan": op2_secret_scan,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op7_decontamination": op7_decontamination,
     "op8_language_model": op8_language_model,
@@ -20,4 +25,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_binary_top_k": hamming.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL}
