@@ -6,6 +6,7 @@ from quern.llm import chat, hamming
 from quern.llm.chat import op4_chat_format
 from quern.llm.decontaminate import op7_decontamination
 from quern.llm.hamming import op1_binary_top_k
+from quern.llm.html import op6_html_extraction
 from quern.llm.lm import op8_language_model
 from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
+    "op6_html_extraction": op6_html_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_language_model": op8_language_model,
     "op9_token_ids": op9_token_ids,
