@@ -1,22 +1,65 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Toxic documents go, one document of each group of near-duplicates stays, benchmark passages go (with the whole document
+where they make up a twentieth of it), secrets are replaced by marks, and what is left is packed into sequences of
+token ids. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import _base, toxicity
+from quern.llm import _base, decontaminate, neardup, packing, secrets, tokens, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose toxicity is under one half; the fit uses every labelled document that is there."""
     model = toxicity.fit(docs, _base.read(spark, sf_dir, "labels"), held_out=None)
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("toxicity") < 0.5).select(*docs.columns)
+    names = docs.columns
+    return toxicity.score(docs, model).where(F.col("toxicity") < 0.5).select(*names)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group of near-duplicates; rows without id are kept once for each text."""
+    found = _base.keep(neardup.near_duplicates(docs), "duplicates")
+    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    named = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    rows, ids, nameless = found.agg(F.count_if(F.col("kept") & F.col("doc_id").isNotNull()), F.countDistinct(F.when(F.col("kept"), F.col("doc_id"))), F.count_if(F.col("doc_id").isNull())).first()
+    if rows != ids:  # an id that several rows have
+        named = named.dropDuplicates(["doc_id"])
+    if not nameless:
+        return named
+    alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
+    texts = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*docs.columns)
+    return named.unionByName(texts) if not alone.isEmpty() else named
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop contaminated documents; the others lose the benchmark passages that they have."""
+    return decontaminate.decontaminate(docs, _base.read(spark, sf_dir, "benchmark"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret by a mark of its kind."""
+    return secrets.scan(docs, into="_secrets", redacted=True).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences, with their token ids."""
+    return packing.pack(docs, public_tokenizers.path(tokens.VOCABULARY))
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near-duplicates", keep_one_of_each),
+    ("decontamination", drop_benchmark),
+    ("secrets", hide_secrets),
+    ("packing", pack),
+]
 
+#: SQL can express neither the toxicity score nor the tokenizer.
 ORACLE_SQL = None
 
 

@@ -247,26 +247,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_span: int = WIND
 
     Documents without a hit stay byte for byte; ``n_chars``, where there is one, follows the text.
     """
-    found = scan(docs, benchmark, into="_scan", **how).where(~is_contaminated("_scan"))
     names = docs.columns
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = []
-            old = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            for text, r in zip(old, batch.column(batch.schema.get_field_index("_scan")).to_pylist(), strict=True):
-                spans = [(s["first"], s["last"]) for s in r["spans"] if s["last"] - s["first"] >= min_span]
-                texts.append(cut(text.encode(), spans).decode() if spans else text)
             at = batch.schema.get_field_index("text")
-            return batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).select(names)
+            spans = [[(s["first"], s["last"]) for s in r["spans"] if s["last"] - s["first"] >= min_span] for r in batch.column(batch.schema.get_field_index("_scan")).to_pylist()]
+            out = batch.select(names)
+            if any(spans):
+                texts = [cut(t.encode(), s).decode() if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
+                out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+                if "n_chars" in names:
+                    at = names.index("n_chars")
+                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, out.column(at).to_pylist(), strict=True)]
+                    out = out.set_column(at, out.schema.field(at), pa.array(sizes, out.schema.field(at).type))
+            return out
 
         return step
 
-    hit = F.size("_scan.spans") > 0
-    changed = _base.map_rows(found.where(hit), make, docs.schema)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
-    return found.where(~hit).select(*names).unionByName(changed)
+    return _base.map_rows(scan(docs, benchmark, into="_scan", **how).where(~is_contaminated("_scan")), make, docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
