@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quern.plans import corpus
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in (corpus,):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
