@@ -25,10 +25,18 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once; without this each use would repeat the whole expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _multiply(a: Column, b: Column) -> Column:
     """The low 32 bits of a product; the halves keep every step within a long."""
-    high = F.shiftright(a, 16) * b
-    return F.pmod(F.shiftleft(F.pmod(high, _long(1 << 16)), 16) + a.bitwiseAND(_long(0xFFFF)) * b, _long(1 << 32))
+
+    def product(x: Column, y: Column) -> Column:
+        return F.pmod(F.shiftleft(F.pmod(F.shiftright(x, 16) * y, _long(1 << 16)), 16) + x.bitwiseAND(_long(0xFFFF)) * y, _long(1 << 32))
+
+    return _let(a, lambda x: _let(b, lambda y: product(x, y)))
 
 
 def _fold(x: Column, bits: int) -> Column:
@@ -38,10 +46,10 @@ def _fold(x: Column, bits: int) -> Column:
 def draw(seed: Column | int, n: Column) -> Column:
     """The nth draw (from 1) of ``seed``, at least 0 and under 1."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
-    a = F.pmod(F.pmod(seed.cast("long"), _long(1 << 32)) + F.pmod(n.cast("long"), _long(1 << 32)) * _long(_STEP), _long(1 << 32))
-    t = _multiply(_fold(a, 15), a.bitwiseOR(_long(1)))
-    t = t.bitwiseXOR(F.pmod(t + _multiply(_fold(t, 7), t.bitwiseOR(_long(61))), _long(1 << 32)))
-    return _fold(t, 14) / float(_WORD + 1)
+    state = F.pmod(F.pmod(seed.cast("long"), _long(1 << 32)) + F.pmod(n.cast("long"), _long(1 << 32)) * _long(_STEP), _long(1 << 32))
+    first = _let(state, lambda a: _multiply(_fold(a, 15), a.bitwiseOR(_long(1))))
+    second = _let(first, lambda t: t.bitwiseXOR(F.pmod(t + _multiply(_fold(t, 7), t.bitwiseOR(_long(61))), _long(1 << 32))))
+    return _let(second, lambda t: _fold(t, 14)) / float(_WORD + 1)
 
 
 def integer(seed: Column | int, n: Column, low: int, high: int) -> Column:
@@ -59,20 +67,21 @@ def typo_word(word: Column, seed: Column, n: Column) -> Column:
     Words of fewer than four letters stay, and so does the first letter and, but for swaps, the last.
     """
     size = F.length(word)
-    i = (F.floor(draw(seed, n) * (size - 2)) + 2).cast("int")  # from 1
-    before, at, after = F.substring(word, F.lit(1), i - 1), F.substring(word, i, F.lit(1)), F.substring(word, i + 1, size)
-    how = F.floor(draw(seed, n + 1) * 4).cast("int")
     keys = F.create_map(*[F.lit(x) for pair in NEIGHBOURS.items() for x in pair])
-    near = F.try_element_at(keys, F.lower(at))
-    key = F.substring(near, F.floor(draw(seed, n + 2) * F.length(near)).cast("int") + 1, F.lit(1))
-    return (
-        F.when(size < 4, word)
-        .when(how == 0, F.concat(before, F.substring(after, 1, 1), at, F.substring(after, F.lit(2), size)))
-        .when(how == 1, F.concat(before, after))
-        .when(how == 2, F.concat(before, at, at, after))
-        .when(near.isNull(), word)
-        .otherwise(F.concat(before, key, after))
-    )
+
+    def slip(x: Column) -> Column:
+        i, how = x["i"], x["how"]  # i counts from 1
+        before, at, after = F.substring(word, F.lit(1), i - 1), F.substring(word, i, F.lit(1)), F.substring(word, i + 1, size)
+        neighbour = _let(F.try_element_at(keys, F.lower(at)), lambda near: F.substring(near, F.floor(draw(seed, n + 2) * F.length(near)).cast("int") + 1, F.lit(1)))
+        return (
+            F.when(how == 0, F.concat(before, F.substring(after, 1, 1), at, F.substring(after, F.lit(2), size)))
+            .when(how == 1, F.concat(before, after))
+            .when(how == 2, F.concat(before, at, at, after))
+            .otherwise(F.coalesce(F.concat(before, neighbour, after), word))
+        )
+
+    place = (F.floor(draw(seed, n) * (size - 2)) + 2).cast("int")
+    return F.when(size < 4, word).otherwise(_let(F.struct(place.alias("i"), F.floor(draw(seed, n + 1) * 4).cast("int").alias("how")), slip))
 
 
 def add_typos(text: Column, seed: Column, rate: float) -> Column:

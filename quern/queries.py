@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus
+from quern.plans import corpus, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (corpus,):
+for _plan in (corpus, text):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
