@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus, text
+from quern.plans import corpus, search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (corpus, text):
+for _plan in (corpus, text, search):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
