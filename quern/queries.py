@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus, search, text
+from quern.plans import corpus, features, search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (corpus, text, search):
+for _plan in (corpus, text, search, features):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
