@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus, features, search, text
+from quern.plans import corpus, features, learning, search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (corpus, text, search, features):
+for _plan in (corpus, text, search, features, learning):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
