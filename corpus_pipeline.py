@@ -22,18 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near-duplicates; rows without id are kept once for each text."""
-    found = _base.keep(neardup.near_duplicates(docs), "duplicates")
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    named = docs.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    rows, ids, nameless = found.agg(F.count_if(F.col("kept") & F.col("doc_id").isNotNull()), F.countDistinct(F.when(F.col("kept"), F.col("doc_id"))), F.count_if(F.col("doc_id").isNull())).first()
-    if rows != ids:  # an id that several rows have
-        named = named.dropDuplicates(["doc_id"])
-    if not nameless:
-        return named
-    alone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
-    texts = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]).select(*docs.columns)
-    return named.unionByName(texts) if not alone.isEmpty() else named
+    """Keep the document with the least id of each group of near-duplicates; rows without id come after all others."""
+    names = docs.columns
+    place = F.lit(1 << 62) + F.monotonically_increasing_id()
+    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), place))
+    found = _base.keep(neardup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text")), "duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    few = gone.count() <= neardup.BROADCAST_ROWS
+    kept = rows.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
+    n, ids = found.where("kept").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    return (kept if n == ids else kept.dropDuplicates(["_id"])).select(*names)  # an id that several rows have
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

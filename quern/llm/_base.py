@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,16 +54,47 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema) -> DataFrame:
-    """``mapInArrow`` over at most ``STEP`` rows at a time; ``make`` runs once for each task and returns what maps a batch."""
+_cached: dict = {}
+
+
+def cached(key: tuple, make: Callable[[], object]) -> object:
+    """What this worker process keeps under ``key`` from one task to the next."""
+    if key not in _cached:
+        _cached.clear()
+        _cached[key] = make()
+    return _cached[key]
+
+
+def release() -> None:
+    """Let go of what an earlier operator's tasks kept; workers outlive operators, and their memory is shared out once."""
+    _cached.clear()
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, where its C library can; an executor's workers share one limit."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` over at most ``STEP`` rows at a time; ``make`` runs once for each task and returns what maps a batch.
+
+    ``keeps`` is for what uses ``cached`` itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         step = make()
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 out = step(batch.slice(at, STEP))
                 if out is not None and out.num_rows:
                     yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

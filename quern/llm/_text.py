@@ -92,7 +92,7 @@ def shingle_sets(texts: list[bytes | None], width: int = 5) -> list[np.ndarray]:
     n = len(words)
     rolled = np.zeros(max(0, n - width + 1), np.uint64)
     for j in range(width if len(rolled) else 0):
-        rolled += words[j : j + len(rolled)] * np.uint64((_BASE * (2 * j + 3)) & _MASK | 1)
+        rolled += words[j : j + len(rolled)] * np.uint64(pow(_BASE, 7 * j + 3, 1 << 64))
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

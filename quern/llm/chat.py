@@ -50,6 +50,7 @@ class Formatter:
         controls = sorted({t.open, t.close, *t.controls} - {""}, key=lambda c: (-len(c), c))
         self._starts = re.compile(f"(?=(?:{'|'.join(map(re.escape, controls))}))(.)", re.S)
         self._plain = re.compile(f"{t.mark}({t.mark})?")
+        self._role = re.compile(f"{t.mark}({t.mark}|n)?")
         self._turn = re.compile(f"{re.escape(t.open)}(.*?){re.escape(t.after_role)}(.*?){re.escape(t.close)}{re.escape(t.after_turn)}", re.S)
 
     def escape(self, text: str) -> str:
@@ -79,7 +80,7 @@ class Formatter:
             if m.start() != place:
                 raise ValueError("text between turns")
             place = m.end()
-            role = self.unescape(m.group(1).replace(f"{self.template.mark}n", "\n"))
+            role = self._role.sub(lambda x: {"n": "\n", None: ""}.get(x.group(1), x.group(1)), m.group(1))
             under = "".join(whole[max(a, m.start()) : min(b, m.end())] for a, b in masked if a < m.end() and b > m.start())
             yield role, self.unescape(m.group(2)), self.unescape(under)
         if place != len(whole):

@@ -198,33 +198,42 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_w
     """
     out = docs.drop(into)
     schema = _base.with_fields(out, **{into: SCAN})
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
-
-    def add(df: DataFrame, block) -> DataFrame:
-        def make():
-            machine = block.value if block is not None else None
-
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                had = batch.column(batch.schema.get_field_index(into)).to_pylist() if into in batch.schema.names else [None] * batch.num_rows
-                rows = []
-                for text, old in zip(_base.texts_of(batch, "text"), had, strict=True):
-                    words = words_of(text)
-                    spans, items = machine.scan(words) if machine else ([], set())
-                    if old:
-                        spans = _merge(spans, [(s["first"], s["last"]) for s in old["spans"]])
-                        items = items | set(old["items"])
-                    rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "spans": [{"first": a, "last": b} for a, b in spans]})
-                kept = batch.drop_columns([into]) if into in batch.schema.names else batch
-                return kept.append_column(into, pa.array(rows, kind))
-
-            return step
-
-        return _base.map_rows(df, make, schema)
-
-    blocks = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
-    for block in blocks or [None]:
-        out = add(out, block)
-    return out
+    blocks = _blocks(docs.sparkSession, benchmark, window, block_words)
+    for block in blocks[:-1]:
+        out = _base.map_rows(out, _adder(block, into), schema)
+    return _base.map_rows(out, _adder(blocks[-1], into), schema)
+
+
+_KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list:
+    """A broadcast for each block of the benchmark; None for an empty one."""
+    return [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)] or [None]
+
+
+def _adder(block, into: str):
+    """Makes what adds the scan by one block to a batch, together with what earlier blocks have found."""
+
+    def make():
+        machine = block.value if block is not None else None
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            had = batch.column(batch.schema.get_field_index(into)).to_pylist() if into in batch.schema.names else [None] * batch.num_rows
+            rows = []
+            for text, old in zip(_base.texts_of(batch, "text"), had, strict=True):
+                words = words_of(text)
+                spans, items = machine.scan(words) if machine else ([], set())
+                if old:
+                    spans = _merge(spans, [(s["first"], s["last"]) for s in old["spans"]])
+                    items = items | set(old["items"])
+                rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "spans": [{"first": a, "last": b} for a, b in spans]})
+            kept = batch.drop_columns([into]) if into in batch.schema.names else batch
+            return kept.append_column(into, pa.array(rows, _KIND))
+
+        return step
+
+    return make
 
 
 def is_contaminated(into: str = "contamination"):
@@ -242,30 +251,40 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_span: int = WINDOW, **how) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_span: int = WINDOW, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contaminated documents; the others lose hit spans of ``min_span`` words or more.
 
-    Documents without a hit stay byte for byte; ``n_chars``, where there is one, follows the text.
+    Documents without a hit stay byte for byte; ``n_chars``, where there is one, follows the text. The last block's
+    scan, the decision and the cut are one pass.
     """
     names = docs.columns
+    blocks = _blocks(docs.sparkSession, benchmark, window, block_words)
+    out = docs
+    for block in blocks[:-1]:
+        out = _base.map_rows(out, _adder(block, "_scan"), _base.with_fields(docs, _scan=SCAN))
 
     def make():
+        scan_batch = _adder(blocks[-1], "_scan")()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = batch.schema.get_field_index("text")
-            spans = [[(s["first"], s["last"]) for s in r["spans"] if s["last"] - s["first"] >= min_span] for r in batch.column(batch.schema.get_field_index("_scan")).to_pylist()]
-            out = batch.select(names)
+            batch = scan_batch(batch)
+            found = batch.column(batch.schema.get_field_index("_scan")).to_pylist()
+            clean = [not (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in found]
+            batch = batch.select(names).filter(pa.array(clean))
+            spans = [[(s["first"], s["last"]) for s in r["spans"] if s["last"] - s["first"] >= min_span] for r, ok in zip(found, clean, strict=True) if ok]
             if any(spans):
+                at = names.index("text")
                 texts = [cut(t.encode(), s).decode() if s else t for t, s in zip(batch.column(at).to_pylist(), spans, strict=True)]
-                out = out.set_column(at, out.schema.field(at), pa.array(texts, out.schema.field(at).type))
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
                 if "n_chars" in names:
                     at = names.index("n_chars")
-                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, out.column(at).to_pylist(), strict=True)]
-                    out = out.set_column(at, out.schema.field(at), pa.array(sizes, out.schema.field(at).type))
-            return out
+                    sizes = [len(t) if s else n for t, s, n in zip(texts, spans, batch.column(at).to_pylist(), strict=True)]
+                    batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+            return batch
 
         return step
 
-    return _base.map_rows(scan(docs, benchmark, into="_scan", **how).where(~is_contaminated("_scan")), make, docs.schema)
+    return _base.map_rows(out, make, docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ TREES = 10
 DEPTH = 3
 SMALL = 200
 THRESHOLD = 75
+#: Up to so many rows of ids are broadcast, so that texts need no shuffle; more are joined by shuffling.
+BROADCAST_ROWS = 300_000
 _FACTORS = mix(np.arange(11, 11 + COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ROW = "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary"
 
@@ -226,7 +228,9 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cluster", "c", "rep", "shingles"])
         return out.filter(fits)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    wanted = _base.keep(wanted, "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
     return _base.map_rows(texts.select("cluster", "c", "rep", "fp_a", "fp_b", "text"), lambda: step, "cluster long, c long, rep long, shingles binary")
 
 

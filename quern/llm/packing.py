@@ -175,6 +175,7 @@ def pack(docs: DataFrame, path: str, *, end: int | None = tokens.END, capacity:
         rows.extend(packer.close())
         if rows:
             yield out()
+        _base.trim()
 
     return chosen.mapInArrow(run, schema)
 

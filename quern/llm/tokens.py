@@ -12,10 +12,11 @@ Parquet table, because only Spark's own writers reach every shared store.
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 from itertools import compress
-from operator import add
 
 import numpy as np
 import public_tokenizers
@@ -33,48 +34,101 @@ END = 1
 BLOCK = 4096
 #: A file is closed once it has so many ids; a longer document makes a longer file.
 FILE_IDS = 1 << 20
-_CACHED = 400_000
-_TOGETHER = 4 << 20
+_CACHED = 800_000
+_TOGETHER = 2 << 20
 _STEP = 1024
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEADER = struct.Struct("<4sHHIQQQ")
 _MAGIC = b"QTID"
 
 
-class Recent(dict):
-    """The entries of the last one to two ``size`` additions; what is still asked for moves on to the next generation."""
+class Recent:
+    """The ids of up to ``size`` recently used byte strings, in arrays: about fifty bytes for each.
+
+    A string is known by its 64-bit hash, its length and its first eight bytes. When the arrays are full,
+    the half that was used longer ago goes.
+    """
 
     def __init__(self, size: int):
-        super().__init__()
-        self.size = size
-        self.old: dict = {}
-
-    def missing(self, keys: set) -> list:
-        """The keys that neither generation has. Afterwards all others are entries, and so will be what is put for the missing."""
-        gone = keys.difference(self)
-        if len(self) + len(gone) > self.size:
-            old = self.copy()
-            self.clear()
-            self.update((k, x) for k in keys if (x := old.get(k)) is not None)
-            gone = keys.difference(self)
-            self.old, before = old, self.old
-            self.update((k, x) for k in gone if (x := before.get(k)) is not None)
-        else:
-            self.update((k, x) for k in gone if (x := self.old.get(k)) is not None)
-        return list(gone.difference(self))
+        self.size, self.now = size, 0
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.first, self.length, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, keys: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The place of each string, -1 where it isn't known; what is found counts as used."""
+        self.now += 1
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        known = (self.keys[at] == keys) & (self.first[at] == first) & (self.length[at] == length)
+        self.used[at[known]] = self.now
+        return np.where(known, at, -1)
+
+    def add(self, keys: np.ndarray, first: np.ndarray, length: np.ndarray, ids: list[bytes]) -> None:
+        """Put new strings; one whose hash another has already takes its place."""
+        if len(self.keys) + len(keys) > self.size:
+            self._thin()
+        count = np.array([len(x) // 4 for x in ids], np.int32)
+        place = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        order = np.argsort(keys)
+        keys = keys[order]
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            self._keep(~np.isin(np.arange(len(self.keys)), at[self.keys[at] == keys]))
+        at = np.searchsorted(self.keys, keys)
+        for name, new in (("first", first[order]), ("length", length[order]), ("used", np.full(len(keys), self.now, np.int32)), ("place", place[order]), ("count", count[order]), ("keys", keys)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+
+    def _keep(self, kept: np.ndarray) -> None:
+        if not kept.all():
+            for name in ("keys", "first", "length", "used", "place", "count"):
+                setattr(self, name, getattr(self, name)[kept])
+
+    def _thin(self) -> None:
+        self._keep(self.used >= min(np.median(self.used) + 1, self.now) if len(self.used) else np.zeros(0, bool))
+        self.ids = self.ids[_runs(self.place, self.count)]
+        self.place = np.cumsum(self.count, dtype=np.int64) - self.count
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all runs of ``size`` from ``start``, one after another."""
+    past = np.cumsum(size, dtype=np.int64)
+    return np.repeat(start - (past - size), size) + np.arange(past[-1] if len(past) else 0)
+
+
+def _strings(buf: bytes) -> tuple[np.ndarray, ...]:
+    """(hash, first eight bytes, length, start, which): the different white-space-separated strings of ``buf``, and of each one there which it is."""
+    starts, ends, hashes = hash_words(buf)
+    keys, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    start, length = starts[at], (ends - starts)[at]
+    arr = np.frombuffer(buf + bytes(8), np.uint8)
+    first = np.zeros(len(keys), np.uint64)
+    for i in range(8):
+        first |= np.where(i < length, arr[start + i], 0).astype(np.uint64) << np.uint64(8 * i)
+    return keys, first, length.astype(np.int32), start, which, starts
+
+
+#: Characters whose lower case or composed form is longer; their tokens may hang on what stands next to them.
+_LONGER = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x30000)) if not "\ud800" <= c <= "\udfff" and (len(c.lower()) > 1 or len(unicodedata.normalize("NFC", c)) > 1)) + "]")
 
 
 class Encoder:
-    """Encodes UTF-8 texts to arrays of little-endian unsigned 32-bit ids; memory is bounded by ``_CACHED`` chunks.
+    """Encodes UTF-8 texts to arrays of little-endian unsigned 32-bit ids; memory is bounded by ``_CACHED`` chunks and words.
 
     A chunk of letters and ASCII punctuation after them is two pre-tokens, looked up on their own; any other
     chunk is encoded as it stands. New words go to the library in one text, and the mark that the vocabulary
-    puts on a word's last token parts their ids again.
+    puts on a word's last token parts their ids again. A text with a character of ``_LONGER`` is encoded as a whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.words, self.marks = Recent(_CACHED), Recent(_CACHED), Recent(_CACHED)
+        self.chunks, self.words = Recent(_CACHED), Recent(_CACHED)
+        self.marks: dict[str, bytes] = {}
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
@@ -107,24 +161,51 @@ class Encoder:
                 out += self._pieces(part)
         return out
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Put the ids of new ``chunks``."""
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of ``words`` of letters."""
+        if not words:
+            return []
+        keys, first, length, start, which, _ = _strings("\n".join(words).encode())
+        found = self.words.find(keys, first, length)
+        one = np.zeros(len(keys), np.int64)
+        one[which] = np.arange(len(words))
+        new = np.flatnonzero(found < 0)
+        fresh = self._letters([words[i] for i in one[new].tolist()])
+        hit = np.flatnonzero(found >= 0)
+        raw = self.words.ids[_runs(self.words.place[found[hit]], self.words.count[found[hit]])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.words.count[found[hit]], dtype=np.int64)]) * 4
+        ends = ends.tolist()
+        out: list[bytes] = [b""] * len(keys)
+        for k, i in enumerate(hit.tolist()):
+            out[i] = raw[ends[k] : ends[k + 1]]
+        for i, x in zip(new.tolist(), fresh, strict=True):
+            out[i] = x
+        self.words.add(keys[new], first[new], length[new], fresh)
+        return [out[i] for i in which.tolist()]
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of new ``chunks``."""
         if not chunks:
-            return
+            return []
         lows = b"\n".join(chunks).translate(LOWER).decode().split("\n")
         heads = [x.rstrip(_PUNCTUATION) for x in lows]
         alone = [x.isalpha() for x in heads]
-        other = [c for c, ok in zip(chunks, alone, strict=True) if not ok]
-        simple, lows, heads = [list(compress(x, alone)) for x in (chunks, lows, heads)]
+        simple, lows, heads = [list(compress(x, alone)) for x in (range(len(chunks)), lows, heads)]
         tails = [x[len(h) :] for x, h in zip(lows, heads, strict=True)]
-        for words, known, look in ((heads, self.words, self._letters), (tails, self.marks, self._pieces)):
-            new = known.missing(set(words))
-            known.update(zip(new, look(new), strict=True))
-        self.chunks.update(zip(simple, map(add, map(self.words.__getitem__, heads), map(self.marks.__getitem__, tails)), strict=True))
-        self.chunks.update(zip(other, self._pieces([c.decode() for c in other]), strict=True))
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        left = list(set(tails).difference(self.marks))
+        self.marks.update(zip(left, self._pieces(left), strict=True))
+        out = [b""] * len(chunks)
+        for i, x, t in zip(simple, self._of_words(heads), tails, strict=True):
+            out[i] = x + self.marks[t]
+        other = [i for i, ok in enumerate(alone) if not ok]
+        for i, x in zip(other, self._pieces([chunks[i].decode() for i in other]), strict=True):
+            out[i] = x
+        return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, without special tokens added; about four megabytes of texts are looked up together."""
+        """The ids of each text, without special tokens added; about two megabytes of texts are looked up together."""
         group: list[bytes] = []
         size = 0
         for text in texts:
@@ -136,32 +217,31 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Chunks are told apart by a 64-bit hash within the group, so each different one is looked up once, by its bytes."""
-        buf = b" ".join(texts)
-        starts, ends, hashes = hash_words(buf)
-        _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        distinct = [buf[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        self._learn(self.chunks.missing(set(distinct)))
-        found = list(map(self.chunks.__getitem__, distinct))
-        sizes = np.array([len(x) for x in found], np.int64) // 4
-        places = np.cumsum(sizes) - sizes
-        n = sizes[which]
-        past = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(places[which] - past[:-1], n) + np.arange(past[-1])]
-        text_ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+        whole = {i: t.decode() for i, t in enumerate(texts) if not t.isascii()}
+        whole = {i: t for i, t in whole.items() if _LONGER.search(t)}
+        buf = b" ".join([b"" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        keys, first, length, start, which, starts = _strings(buf)
+        found = self.chunks.find(keys, first, length)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            chunks = [buf[a:b] for a, b in zip(start[new].tolist(), (start[new] + length[new]).tolist(), strict=True)]
+            self.chunks.add(keys[new], first[new], length[new], self._learn(chunks))
+            found = self.chunks.find(keys, first, length)
+        count = self.chunks.count[found][which] if len(keys) else np.zeros(0, np.int32)
+        ids = self.chunks.ids[_runs(self.chunks.place[found][which], count)] if len(keys) else np.zeros(0, "<u4")
+        past = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        text_ends = np.cumsum([(0 if i in whole else len(t)) + 1 for i, t in enumerate(texts)]) if texts else np.zeros(0, np.int64)
         cuts = [0, *past[np.searchsorted(starts, text_ends)].tolist()]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield ids[a:b].tobytes()
-
-
-_encoders: dict[str, Encoder] = {}
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i in whole:
+                yield np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield ids[a:b].tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each worker process, kept while its tasks use the same vocabulary."""
+    return _base.cached(("encoder", path), lambda: Encoder(path))
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -225,7 +305,7 @@ def encode(docs: DataFrame, path: str, *, end: int | None = END) -> DataFrame:
         own = encoder(path)
         return lambda batch: pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([x + tail for x in own.encode(_base.texts_of(batch, "text"))], pa.binary())], ["doc_id", "ids"])
 
-    return _base.map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids binary")
+    return _base.map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, ids binary", keeps=True)
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, *, end: int | None = END, file_ids: int = FILE_IDS) -> None:
@@ -258,6 +338,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, *, end: int | None = E
                         yield close()
         if held:
             yield close()
+        _base.trim()
 
     placed = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     placed.mapInArrow(run, "shard long, number long, n_docs long, n_ids long, file binary").write.parquet(folder)
