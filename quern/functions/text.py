@@ -147,14 +147,20 @@ def routing_label(text: Column, labels: list[str]) -> Column:
     return F.when(F.size(named) == 1, F.get(named, F.lit(0)))
 
 
-def mask(text: Column, names: Column) -> Column:
-    """``text`` with each of ``names`` replaced by a blank."""
-    return F.aggregate(names, text, lambda t, n: F.replace(t, n, F.lit(" ")))
-
-
-def symptom_text(content: Column, names: Column) -> Column:
-    """What a note says between its header and the examination, without names."""
-    return F.btrim(F.regexp_replace(mask(F.regexp_extract(content, r"(?s)^[^.]*\.\s*(.*?)(?: On examination.*)?$", 1), names), " +", " "))
+def mask(text: Column, names: Column, by: str) -> Column:
+    """``text`` with each of ``names``, as a whole word, replaced."""
+    return F.aggregate(names, text, lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"\b"), literal(n), F.lit(r"\b")), F.lit(by)))
+
+
+def symptom_text(content: Column, patient: Column) -> Column:
+    """What a note says between its header and the examination, with titles and the patient's names masked."""
+    start = F.regexp_instr(content, F.lit(r"Patient: [^.]*\.\s*"))
+    header = F.length(F.regexp_extract(content, r"(Patient: [^.]*\.\s*)", 1))
+    end = F.instr(content, " On examination")
+    first = F.greatest(start, F.lit(1)) + header
+    body = F.substring(content, first, F.greatest(F.when(end > 1, end).otherwise(F.length(content) + 1) - first, F.lit(0)))
+    untitled = F.regexp_replace(body, r"\b(Mr|Mrs|Ms|Miss)\.? [A-Z][a-z]+", "The patient")
+    return F.btrim(mask(untitled, words(F.coalesce(patient, F.lit(""))), "the patient"))
 
 
 def sentence_case(text: Column) -> Column:

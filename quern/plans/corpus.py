@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.operators import corpus as building
 from quern.operators import records
 from quern.plans._tables import table
 
@@ -165,3 +166,43 @@ def round_robin_sources(spark, sf_dir):
     taken = records.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 100)
     place = F.row_number().over(Window.orderBy("round", "source"))  # over a hundred rows
     return taken.select("source", "doc_id", F.col("round").cast("long").alias("round"), place.cast("long").alias("place"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'faq' ELSE 'visit_note' END AS record_type, lang AS faq_topic, source AS specialization, d.doc_id % 3 <> 0 OR lang <> 'Doctor fees' AS rag_visible,
+    false AS is_noise, l.quality AS difficulty FROM (SELECT * REPLACE (CASE lang WHEN 'fr' THEN 'Doctor fees' ELSE lang END AS lang) FROM documents) d LEFT JOIN labels l USING (doc_id)""")
+def record_projection(spark, sf_dir):
+    """Documents with their labels as corpus records: defaults, and topics that stay hidden."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    facts = rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "faq").otherwise("visit_note").alias("record_type"), F.col("text").alias("content"), F.when(F.col("lang") == "fr", "Doctor fees").otherwise(F.col("lang")).alias("faq_topic"), F.col("source").alias("specialization"), F.col("quality").alias("difficulty"))
+    return building.to_records(facts).select("doc_id", "record_type", "faq_topic", "specialization", "rag_visible", "is_noise", "difficulty")
+
+
+_CORPUS_SUMMARY = """SELECT 'record_type' AS key, lang AS value, count(*) AS n FROM good GROUP BY lang UNION ALL SELECT 'generator_model', coalesce(generator, 'null'), count(*) FROM good GROUP BY generator
+UNION ALL SELECT 'specialization', source, count(*) FROM good GROUP BY source UNION ALL SELECT 'rag_visible', 'true', count(*) FROM good HAVING count(*) > 0 UNION ALL SELECT 'total', 'all', count(*) FROM good HAVING count(*) > 0
+UNION ALL SELECT 'excluded', reason, count(*) FROM bad GROUP BY reason"""
+
+
+@query(f"""WITH good AS (SELECT lang, source, CASE WHEN n_chars > 1000 THEN 'llm' END AS generator FROM documents JOIN labels USING (doc_id)),
+bad AS (SELECT 'not in manifest' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) {_CORPUS_SUMMARY}""")
+def build_summary(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("record_type"), F.col("source").alias("specialization"), F.when(F.col("n_chars") > 1000, "llm").alias("generator_model"))
+    good, bad = records.merge_facts(docs, table(spark, sf_dir, "labels"), "doc_id")
+    return building.summary(building.to_records(good), bad)
+
+
+@query("""WITH v AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS turn FROM orders),
+p AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY turn, o_custkey) AS place FROM v)
+SELECT a.o_orderpriority AS diagnosis_id, a.o_orderkey AS a, b.o_orderkey AS b FROM p a JOIN p b ON a.o_orderpriority = b.o_orderpriority AND b.place = a.place + 1 AND a.place % 2 = 1 AND a.o_custkey <> b.o_custkey""")
+def confusable_pairs(spark, sf_dir):
+    visits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("patient"), F.col("o_orderpriority").alias("diagnosis_id"))
+    return building.confusable_pairs(visits)
+
+
+@query("""SELECT s_suppkey AS doctor, d AS day, slot FROM supplier, (SELECT unnest([0, 1]) AS d), (SELECT unnest(['09:00 AM', '03:30 PM']) AS slot)
+WHERE s_suppkey % 2 = d AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = 7 AND l_quantity > 45 AND slot = '09:00 AM')""")
+def free_slots(spark, sf_dir):
+    doctors = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doctor"))
+    wanted = doctors.withColumn("day", (F.col("doctor") % 2).cast("int"))
+    slots = doctors.withColumn("slot", F.explode(F.array(F.lit("09:00 AM"), F.lit("03:30 PM"))))
+    taken = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 and l_quantity > 45").select(F.col("l_suppkey").alias("doctor"), (F.col("l_suppkey") % 2).cast("int").alias("day"), F.lit("09:00 AM").alias("slot"))
+    return building.free_slots(wanted, slots, taken).select("doctor", "day", "slot")

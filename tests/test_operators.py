@@ -217,3 +217,35 @@ def test_vitals_render_every_kind(spark):
 def test_folds_keep_groups_together(spark):
     got = spark.range(400).select((F.col("id") % 40).alias("g"), models.fold(F.col("id") % 40).alias("f")).groupBy("g").agg(F.countDistinct("f").alias("n"))
     assert got.where("n > 1").count() == 0
+
+
+def test_symptoms_without_names(spark):
+    note = "Visit note | d | Dr. A, ENT | Patient: Rina Das, 40, female. Mrs. Das has a cough. Rina sleeps badly. On examination all is well."
+    assert value(spark, T.symptom_text(F.lit(note), F.lit("Rina Das"))) == "The patient has a cough. the patient sleeps badly."
+    assert value(spark, T.symptom_text(F.lit("plain words"), F.lit(None).cast("string"))) == "plain words"
+
+
+def test_corpus_from_layers(spark):
+    from quern.operators import corpus
+
+    manifest = rows(spark, [(f"FAQ-{i}", "B01-M01" if i < 4 else "B01-M02", i, "faq", None, ["opens at 9"], "opening hours", "3-30", "Hours") for i in range(1, 7)], "doc_id string, slice string, position int, record_type string, group_id string, answer_facts array<string>, question_hint string, length_words string, faq_topic string")
+    text = "Q: What are the opening hours of the {}? A: The {} clinic desk opens at 9 and closes late in the evening."
+    said = [("FAQ-1", 0, text.format("north", "north")), ("FAQ-2", 0, "broken"), ("FAQ-2", 2, text.format("north", "north")), ("FAQ-4", 0, text.format("north", "north")), ("FAQ-5", 0, "Q: Different wording about opening hours? A: Doors are unlocked and it opens at 9 sharp."), ("FAQ-6", 0, "Q: no"), ("FAQ-9", 0, "x")]
+    output = rows(spark, [("B01-M01" if d < "FAQ-4" else "B01-M02", layer, 1, d, "", "faq", t) for d, layer, t in said], "slice string, layer int, line int, doc_id string, group_id string, record_type string, content string")
+    checked = corpus.validated(manifest, output, {"faq": validate.faq()})
+    errors = {r["doc_id"]: r["errors"] for r in checked.collect()}
+    assert errors == {"FAQ-1": ["near-duplicate"], "FAQ-2": ["near-duplicate"], "FAQ-3": ["missing"], "FAQ-4": ["near-duplicate"], "FAQ-5": [], "FAQ-6": ["shape"]}
+    extra = output.join(manifest.select("doc_id"), "doc_id", "left_anti").select("doc_id", "slice")
+    good, bad = corpus.build(checked, extra)
+    assert [r["doc_id"] for r in good.collect()] == ["FAQ-5"] and good.columns == corpus.COLUMNS
+    assert {r["doc_id"]: r["reason"] for r in bad.collect()}["FAQ-9"] == "not in manifest"
+    report = validate.report(checked, "slice").orderBy("slice").first()
+    assert (report["rows_expected"], report["rows_found"], report["rows_passed"], report["ok"]) == (3, 2, 0, False)
+
+
+def test_first_row_of_a_slice_has_no_twin_within_it(spark):
+    from quern.operators import corpus
+
+    same = "Q: Same question about clinics? A: Identical answer with several longer content words."
+    data = rows(spark, [("a", "s", 1, "faq", same), ("b", "s", 2, "faq", same), ("c", "s", 3, "prescription", same)], "doc_id string, slice string, position int, record_type string, content string")
+    assert list(map(tuple, corpus.twins(data).collect())) == [("b", "a")]
