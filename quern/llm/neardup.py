@@ -166,10 +166,13 @@ def _main_label(rows: DataFrame, key: str) -> DataFrame:
 
 def _outsiders(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """Blocks of the rows whose label isn't their key's main one, beside every block of the key: (members, others)."""
-    mixed = rows.join(_main_label(rows, key), key)
+    mains = _base.keep(_main_label(rows, key), "mains")
+    hint = F.broadcast if mains.count() <= BROADCAST_ROWS else lambda d: d  # a row for each key; rows needn't meet by key then
+    mixed = rows.join(hint(mains), key)
     odd = mixed.where(F.col("label") != F.col("main"))
-    small = _blocks(odd.join(odd.groupBy(key).agg(F.count("*").alias("odd_c")), key), key, payload, "odd_c").select(key, "members")
-    every = _blocks(mixed.join(odd.select(key).distinct(), key, "left_semi"), key, payload).select(key, F.col("members").alias("others"))
+    counts = odd.groupBy(key).agg(F.count("*").alias("odd_c"))
+    small = _blocks(odd.join(hint(counts), key), key, payload, "odd_c").select(key, "members")
+    every = _blocks(mixed.join(hint(counts.select(key)), key, "left_semi"), key, payload).select(key, F.col("members").alias("others"))
     return small.join(every, key).select("members", "others")
 
 
