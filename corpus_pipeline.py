@@ -15,8 +15,8 @@ from quern.llm import _base, decontaminate, neardup, packing, secrets, tokens, t
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose toxicity is under one half; the fit uses every labelled document that is there."""
-    model = toxicity.fit(docs, _base.read(spark, sf_dir, "labels"), held_out=None)
+    """Keep the documents whose toxicity is under one half; the held-out fold of labels stays unused here as well."""
+    model = toxicity.fit(docs, _base.read(spark, sf_dir, "labels"))
     names = docs.columns
     return toxicity.score(docs, model).where(F.col("toxicity") < 0.5).select(*names)
 

@@ -51,7 +51,16 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it cuts lineage and outlives a lost executor."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of frames that ``keep`` returned, once nothing reads them any more."""
+    for f in frames:
+        if path := getattr(f, "_kept_at", None):
+            remove(f.sparkSession, path)
 
 
 _cached: dict = {}

@@ -73,12 +73,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = _base.keep(edges.select("a", "b"), "edges")
     while True:
         parts = -(-edges.count() // EDGES)
-        edges = _base.keep(edges.coalesce(max(1, parts)).mapInArrow(_contract, "a long, b long"), "edges")
+        stars = _base.keep(edges.coalesce(max(1, parts)).mapInArrow(_contract, "a long, b long"), "edges")
+        _base.drop(edges)
         if parts <= 1:
             break
-        seen = edges.select(F.col("a").alias("x"), F.lit(1).alias("member"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+        seen = stars.select(F.col("a").alias("x"), F.lit(1).alias("member"), F.lit(0).alias("root")).union(stars.select("b", F.lit(0), F.lit(1)))
         loose = seen.groupBy("x").agg(F.sum("member").alias("member"), F.max("root").alias("root")).where((F.col("member") > 1) | ((F.col("member") > 0) & (F.col("root") > 0)))
         if loose.isEmpty():
             break
-        edges = _base.keep(_star(_star(edges, True), False), "edges")
-    return edges.select(F.col("a").alias("member"), F.col("b").alias("root"))
+        edges = _base.keep(_star(_star(stars, True), False), "edges")
+        _base.drop(stars)
+    out = stars.select(F.col("a").alias("member"), F.col("b").alias("root"))
+    out._kept_at = stars._kept_at
+    return out

@@ -234,16 +234,19 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
     wanted = _base.keep(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
-    return _base.map_rows(texts.select("cluster", "c", "rep", "fp_a", "fp_b", "text"), lambda: step, "cluster long, c long, rep long, shingles binary")
+    sets = _base.keep(_base.map_rows(texts.select("cluster", "c", "rep", "fp_a", "fp_b", "text"), lambda: step, "cluster long, c long, rep long, shingles binary"), "sets")
+    _base.drop(wanted)
+    return sets
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
     """(rep, cluster) of the documents that may be similar to another, by the trees."""
     nodes = _roots(reps)
-    near = []
+    near, kept = [], []
     for depth in range(1, DEPTH + 1):
         shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
         counted = _base.keep(nodes.join(shared, "node"), "nodes")
+        kept.append(counted)
         near.append(counted.where(F.col("c") <= SMALL).select("node", "rep"))
         large = counted.where(F.col("c") > SMALL)
         dense = not large.isEmpty()
@@ -256,8 +259,13 @@ def _candidates(reps: DataFrame) -> DataFrame:
     roots = components(edges)
     if dense:
         rows = _base.keep(_labelled(large, roots).join(payload, "rep"), "dense")
-        roots = components(edges.unionByName(_pairs_map(_outsiders(rows, "node", ["n", "sig", "label"]), _sketch_links)))
-    return roots.select(F.col("member").alias("rep"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
+        more = components(edges.unionByName(_pairs_map(_outsiders(rows, "node", ["n", "sig", "label"]), _sketch_links)))
+        _base.drop(rows, roots)
+        roots = more
+    clusters = roots.select(F.col("member").alias("rep"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
+    clusters = _base.keep(clusters, "clusters")
+    _base.drop(edges, roots, *kept)
+    return clusters
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -270,17 +278,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = _base.keep(_signed(docs), "signed")
     named = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     reps = _base.keep(named.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
-    clusters = _base.keep(_candidates(reps), "clusters")
-    sets = _base.keep(_cluster_sets(docs, reps, clusters), "sets")
+    clusters = _candidates(reps)
+    sets = _cluster_sets(docs, reps, clusters)
     blocks = _base.keep(_blocks(sets.withColumn("label", F.lit(None).cast("long")), "cluster", ["shingles", "label"]), "blocks")
     first = blocks.where(F.col("block") == 0).select("cluster", F.col("members").alias("others"))
     links = _base.keep(_pairs_map(blocks.join(first, "cluster", "left").select("members", F.when(F.col("block") > 0, F.col("others")).alias("others")), _set_links), "links")
     wide = sets.where(F.col("c") > SMALL)
     if not wide.isEmpty():
-        labelled = _base.keep(_labelled(wide, components(links)), "wide")
+        known = components(links)
+        labelled = _base.keep(_labelled(wide, known), "wide")
         more = _pairs_map(_outsiders(labelled, "cluster", ["shingles", "label"]), _set_links)
-        links = _base.keep(links.unionByName(more), "links")
-    roots = components(links)
+        roots = components(links.unionByName(more))
+        _base.drop(known, labelled)
+    else:
+        roots = components(links)
+    _base.drop(clusters, sets, blocks, links)
     classes = reps.join(roots.select(F.col("member").alias("rep"), "root"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("root", "rep").alias("class"))
     out = signed.join(classes, ["n_shingles", "fp_a", "fp_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
