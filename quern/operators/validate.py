@@ -20,13 +20,19 @@ class Rule:
 
 
 def check(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``rows`` with arrays ``errors`` and ``warnings``, in the order of the rules; a rule on nulls doesn't hold."""
+    """``rows`` with arrays ``errors`` and ``warnings``, in the order of the rules; a rule on nulls doesn't hold.
+
+    The number of words of ``content`` is counted once, for the rules on length.
+    """
+    names = rows.columns
+    if "content" in names:
+        rows = rows.withColumn("_n_words", T.word_count(F.col("content")))
 
     def of(level: str) -> Column:
         found = [F.when(r.holds, F.lit(r.message) if isinstance(r.message, str) else r.message) for r in rules if r.level == level]
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
-    return rows.withColumn("errors", of("error")).withColumn("warnings", of("warning"))
+    return rows.select(*names, of("error").alias("errors"), of("warning").alias("warnings"))
 
 
 def identity(content: DataFrame | None = None, *, group: Column, expected_group: Column, kind: Column, expected_kind: Column) -> list[Rule]:
@@ -39,9 +45,9 @@ def common(content: Column) -> list[Rule]:
     return [Rule("error", "line break", F.rlike(content, F.lit("[\r\n]"))), Rule("error", "double quote", F.contains(content, F.lit('"'))), Rule("error", "id", F.rlike(content, F.lit(T.ID_LEAK)))]
 
 
-def length(content: Column, span: Column) -> list[Rule]:
-    """Word counts beyond the error bounds, or outside the range."""
-    n, b = T.word_count(content), T.length_bounds(span)
+def length(span: Column) -> list[Rule]:
+    """Word counts of ``content`` beyond the error bounds, or outside the range."""
+    n, b = F.col("_n_words"), T.length_bounds(span)
     wrong = (n < b["error_lo"]) | (n > b["error_hi"])
     return [Rule("error", "length", wrong), Rule("warning", "length", ~wrong & ((n < b["lo"]) | (n > b["hi"])))]
 
@@ -87,7 +93,7 @@ def visit_note(places: list[str], medicines: list[str]) -> list[Rule]:
         Rule("warning", "advice", T.coverage(col("advice"), c) < 0.5),
         Rule("warning", "complaint copied", T.contains_ci(c, col("chief_complaint_hint"))),
         Rule("warning", "specialization in complaint", T.contains_ci(complaint, col("specialization"))),
-        *length(c, col("length_words")),
+        *length(col("length_words")),
     ]
 
 
@@ -107,7 +113,7 @@ def prescription(medicines: list[str]) -> list[Rule]:
         Rule("error", "follow-up", ~F.contains(c, follow)),
         Rule("error", "order", F.contains(c, follow) & (F.instr(c, "Advice:") > F.instr(c, "Follow-up:"))),
         Rule("warning", "advice", T.coverage(col("advice"), c) < 0.5),
-        *length(c, col("length_words")),
+        *length(col("length_words")),
     ]
 
 
@@ -121,7 +127,7 @@ def faq() -> list[Rule]:
         Rule("error", "shape", parts.isNull()),
         Rule("error", "fact", parts.isNotNull() & F.exists(col("answer_facts"), missed)),
         Rule("warning", "question", parts.isNotNull() & (T.coverage(col("question_hint"), parts["question"]) < 0.3)),
-        *[Rule(r.level, r.message, parts.isNotNull() & r.holds) for r in length(c, col("length_words"))],
+        *[Rule(r.level, r.message, parts.isNotNull() & r.holds) for r in length(col("length_words"))],
     ]
 
 
