@@ -53,8 +53,9 @@ def running(counts: DataFrame) -> DataFrame:
     """``counts`` with above and positives_above: what has this score or a higher one.
 
     Scores are ranged over the partitions; each sums up its own, and the partitions' totals are added in order.
+    The ranged rows are kept while they are used, because the bounds of ranges are sampled anew by every evaluation.
     """
-    ranged = counts.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id())
+    ranged = counts.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()).persist()
     own = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("_n", F.sum("n").over(own)).withColumn("_p", F.sum("positives").over(own))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition

@@ -78,9 +78,10 @@ def fan_out(rows: DataFrame, kinds: dict[str, Column], into: str = "kind") -> Da
 def numbered(rows: DataFrame, order: list[str], into: str = "position") -> DataFrame:
     """``rows`` with their place from 0 by unique ``order``, without bringing all rows together.
 
-    Rows are ranged by the first column; each range counts itself, and only the counts are summed up in order.
+    Rows are ranged by ``order``; each range counts itself, and only the counts are summed up in order. The ranged
+    rows are kept while they are used, because the bounds of ranges are sampled anew by every evaluation.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
