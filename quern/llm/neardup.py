@@ -244,9 +244,10 @@ def _candidates(reps: DataFrame) -> DataFrame:
     nodes = _roots(reps)
     near, kept = [], []
     for depth in range(1, DEPTH + 1):
-        shared = nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+        # counts are a table of their own, so that Spark can split a node with very many documents in the join
+        shared = _base.keep(nodes.groupBy("node").agg(F.count("*").alias("c")).where("c > 1"), "counts")
         counted = _base.keep(nodes.join(shared, "node"), "nodes")
-        kept.append(counted)
+        kept += [shared, counted]
         near.append(counted.where(F.col("c") <= SMALL).select("node", "rep"))
         large = counted.where(F.col("c") > SMALL)
         dense = not large.isEmpty()
