@@ -30,7 +30,7 @@ from quern.llm._text import mix, shingle_sets
 from quern.llm.components import Forest, components
 
 COORDINATES = 64
-TREES = 10
+TREES = 14
 DEPTH = 3
 SMALL = 200
 THRESHOLD = 75
