@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import _base
 
@@ -31,7 +32,7 @@ SPREAD = 32
 
 def binarize(vectors: DataFrame, column: str, into: str = "code") -> DataFrame:
     """``vectors`` with the signs of ``column`` (1 where positive) as bytes, padded with zeros to whole segments; null stays null."""
-    schema = _base.with_fields(vectors.drop(into), **{into: _binary()})
+    schema = _base.with_fields(vectors.drop(into), **{into: T.BinaryType()})
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = []
@@ -46,12 +47,6 @@ def binarize(vectors: DataFrame, column: str, into: str = "code") -> DataFrame:
     return _base.map_rows(vectors.drop(into), lambda: step, schema)
 
 
-def _binary():
-    from pyspark.sql import types as T
-
-    return T.BinaryType()
-
-
 _MASKS: dict[int, np.ndarray] = {}
 
 
