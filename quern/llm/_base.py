@@ -103,7 +103,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
                 out = step(batch.slice(at, STEP))
                 if out is not None and out.num_rows:
                     yield out
-        trim()
+            trim()
 
     return df.mapInArrow(run, schema)
 

@@ -172,6 +172,7 @@ def pack(docs: DataFrame, path: str, *, end: int | None = tokens.END, capacity:
                     rows.extend(packer.add(key, ids + tail))
                     if len(rows) >= 2000:
                         yield out()
+            _base.trim()
         rows.extend(packer.close())
         if rows:
             yield out()

@@ -34,9 +34,9 @@ END = 1
 BLOCK = 4096
 #: A file is closed once it has so many ids; a longer document makes a longer file.
 FILE_IDS = 1 << 20
-_CACHED = 800_000
-_TOGETHER = 2 << 20
-_STEP = 1024
+_CACHED = 400_000
+_TOGETHER = 1 << 20
+_STEP = 512
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEADER = struct.Struct("<4sHHIQQQ")
 _MAGIC = b"QTID"
@@ -205,7 +205,7 @@ class Encoder:
         return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text, without special tokens added; about two megabytes of texts are looked up together."""
+        """The ids of each text, without special tokens added; about a megabyte of texts are looked up together."""
         group: list[bytes] = []
         size = 0
         for text in texts:
