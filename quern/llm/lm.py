@@ -1,17 +1,18 @@
-"""A hierarchical Pitman-Yor language model, trained and applied without holding the vocabulary in one place.
+"""A hierarchical Pitman-Yor language model, trained and applied without holding words or contexts in one place.
 
-Three levels of restaurants: the root; one for each class of the word before (its last byte modulo 64); and one
-for each head word before, that is one that makes up at least ``1 / HEAD`` of the text, so there are at most
-``HEAD`` of them. A head word's restaurant has its class as parent, all classes share the root, and a word after any
-other word sits down in the class restaurant directly. The root draws from all known words and one unknown.
+Three levels of restaurants: the root; one for each class of the word before (its last byte modulo 64, and one for
+the start of a text); and one for each word before, whatever its count. A word's restaurant has its class as parent,
+and all classes share the root, which draws from all known words and one unknown. After a word that training text
+doesn't have, its class decides.
 
 Everything about a word (its customers and tables in all restaurants) lies in one bucket by the word's hash, so
-Gibbs sampling needs nothing from other buckets but each restaurant's totals. A sweep draws the tables of each
-(word, restaurant) given its customers and the parent's probability of the word; totals are those of the sweep
-before, as usual where Gibbs sampling is spread over machines. Predictive probabilities are averaged over the
-last sweeps.
+Gibbs sampling needs nothing from other buckets but each restaurant's totals. Those of the classes and the root are
+few and go to every bucket; those of the words before are summed in shards by the range of their hash, and each bucket
+gets back only those of the contexts it has. A sweep draws the tables of each (word, restaurant) given its customers
+and the parent's probability of the word; a bucket's own part of the totals is up to date, that of other buckets is
+from the sweep before, as usual where Gibbs sampling is spread over machines. Predictive probabilities are averaged over the last sweeps.
 
-Tokens are looked up by blocks: a block of documents asks each bucket once for each different (word, restaurant)
+Tokens are looked up by blocks: a block of documents asks each bucket once for each different (word, context)
 it has, and keeps its documents as numbers into that list.
 """
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import _base
-from quern.llm._text import LOWER, hash_words, mix
+from quern.llm._text import LOWER, SPACES, _spans, hash_words, mix
 
-HEAD = 2000
 CLASSES = 65
 START_CLASS = 64
-#: Restaurants: head words from 0, then the classes, then the root.
-FIRST_CLASS = HEAD + 1
+#: Restaurants: the classes from 0, then the root, then a bucket's contexts in the order of their numbers.
+FIRST_CLASS = 0
 ROOT = FIRST_CLASS + CLASSES
-RESTAURANTS = ROOT + 1
+FIRST_LEAF = ROOT + 1
 BLOCK_BYTES = 16 << 20
 BUCKET_TOKENS = 2_500_000
 BURN_IN, SAMPLES = 2, 3
@@ -46,17 +47,20 @@ EXACT = 24
 _END, _START = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
 
 
-@dataclass
-class Heads:
-    """The head words' hashes, sorted, and their classes."""
+def _contexts(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Numbers of contexts, in 56 bits: 49 of the word's hash, then its class in 7."""
+    return words >> np.uint64(15) << np.uint64(7) | classes.astype(np.uint64)
+
+
+def _pack(contexts: np.ndarray) -> bytes:
+    """Contexts in seven bytes each."""
+    return contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
 
-    hashes: np.ndarray
-    classes: np.ndarray
 
-    def restaurants(self, words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, words)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == words, at, FIRST_CLASS + classes).astype(np.uint16)
+def _unpack(raw: bytes) -> np.ndarray:
+    cells = np.zeros((len(raw) // 7, 8), np.uint8)
+    cells[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    return cells.view("<u8").ravel()
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,77 +72,65 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, classes, np.concatenate([[0], np.searchsorted(starts, past)]).astype(np.int64)
 
 
-def _tokens(texts: list[bytes], heads: Heads) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word and restaurant of each token, the end of each text among them, and the place of each text's first token."""
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context of each token, the end of each text among them, and the place of each text's first token."""
     words, classes, first = _words(texts)
     n_docs = len(texts)
     doc = np.repeat(np.arange(n_docs), np.diff(first))
     at = np.arange(len(words)) + doc
+    del doc
     ends = first[1:] + np.arange(n_docs)
     token = np.empty(len(words) + n_docs, np.uint64)
-    before = np.empty(len(token), np.uint16)
+    before = np.empty(len(token), np.uint64)
     token[at], token[ends] = words, _END
-    start = heads.restaurants(np.array([_START]), np.array([START_CLASS]))[0]
-    after = heads.restaurants(words, classes.astype(np.int64))
     places = np.concatenate([[0], ends + 1])
-    before[places[:-1]] = start
-    before[at + 1] = after  # the token after each word
+    before[places[:-1]] = _contexts(np.array([_START]), np.array([START_CLASS]))[0]
+    at += 1
+    before[at] = _contexts(words, classes)  # the token after each word
     return token, before, places
 
 
-def _head_words(docs: DataFrame) -> tuple[Heads, int]:
-    """The head words of the training documents, and the number of all tokens.
-
-    A word that makes up 1 / HEAD of all text does so in some batch; counts are summed over such batches.
-    """
+def _count(docs: DataFrame) -> int:
+    """The number of all tokens."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = _base.texts_of(batch, "text")
-        train = ~np.array(batch.column(1).to_pylist(), bool)
-        words, classes, first = _words(texts)
-        kept = np.repeat(train, np.diff(first))
-        u, at, n = np.unique(words[kept], return_index=True, return_counts=True)
-        often = n * HEAD >= kept.sum()
-        cls = classes[kept][at[often]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.append(u[often], 0).astype(np.uint64).view(np.int64)), pa.array(np.append(cls, 0).astype(np.int64)), pa.array(np.append(n[often], kept.sum()).astype(np.int64)), pa.array(np.append(np.zeros(often.sum()), len(words) + len(texts)).astype(np.int64))],
-            ["word", "class", "n", "tokens"],
-        )
-
-    counted = _base.map_rows(docs.select("text", "held_out"), lambda: step, "word long, class long, n long, tokens long").groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    counted = _base.keep(counted, "heads")
-    total = counted.where("word = 0").agg(F.sum("n"), F.sum("tokens")).first()
-    least = (total[0] or 0) / HEAD
-    rows = counted.where((F.col("word") != 0) & (F.col("n") >= max(1.0, least))).select("word", "class").orderBy(F.desc("n"), "word").limit(HEAD).collect()
-    hashes = np.array([r[0] for r in rows] + [int(_START.astype(np.int64))], np.int64).view(np.uint64)
-    classes = np.array([r[1] for r in rows] + [START_CLASS], np.int64)
-    order = np.argsort(hashes)
-    return Heads(hashes[order], classes[order]), total[1] or 0
-
-
-def _ask(docs: DataFrame, heads: Heads, buckets: int) -> DataFrame:
+        starts, _ = _spans(np.frombuffer(b" ".join(texts), np.uint8), SPACES)
+        return pa.RecordBatch.from_arrays([pa.array([len(starts) + len(texts)], pa.int64())], ["tokens"])
+
+    return _base.map_rows(docs.select("text"), lambda: step, "tokens long").agg(F.sum("tokens")).first()[0] or 0
+
+
+def _ask(docs: DataFrame, buckets: int) -> DataFrame:
     """(block, bucket, payload): requests to the buckets, and with bucket -1 the block's documents."""
 
     def block_rows(block: int, held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
-        token, before, places = _tokens([x[2] for x in held], heads)
+        token, before, places = _tokens([x[2] for x in held])
         train = np.repeat(~np.array([x[1] for x in held], bool), np.diff(places))
-        key = mix(token ^ mix(before.astype(np.uint64) + np.uint64(1)))
+        key = mix(token ^ mix(before + np.uint64(1)))
         _, at, which = np.unique(key, return_index=True, return_inverse=True)
         w, r = token[at], before[at]
+        del key, token, before
+        which = which.astype(np.uint32)
         n = np.bincount(which[train], minlength=len(at)).astype(np.uint32)
+        del at, train
         home = (w % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((r, w, home))
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         w, r, n, home = w[order], r[order], n[order], home[order]
+        n_asked = len(order)
+        del order
         cuts = np.searchsorted(home, np.arange(buckets + 1))
         stream = rank[which].astype("<u4").view(np.uint8).reshape(-1, 4)
-        wide = 3 if len(order) < 1 << 24 else 4
+        del which, rank, home
+        wide = 3 if n_asked < 1 << 24 else 4
         yield block, -1, pickle.dumps(([x[0] for x in held], [x[1] for x in held], places, np.ascontiguousarray(stream[:, :wide]).tobytes(), wide, cuts), 5)
+        del stream
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             a, z = cuts[b], cuts[b + 1]
             u, per = np.unique(w[a:z], return_counts=True)
-            yield block, b, pickle.dumps((u, _small(per), r[a:z], _small(n[a:z])), 5)
+            yield block, b, pickle.dumps((u, _small(per), _pack(r[a:z]), _small(n[a:z])), 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
@@ -147,9 +139,7 @@ def _ask(docs: DataFrame, heads: Heads, buckets: int) -> DataFrame:
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = list(block_rows(block, held))
-            for at in range(0, len(rows), 64):
-                part = rows[at : at + 64]
+            for part in batched(block_rows(block, held), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], ["block", "bucket", "payload"])
 
         for batch in batches:
@@ -161,6 +151,7 @@ def _ask(docs: DataFrame, heads: Heads, buckets: int) -> DataFrame:
                     if size >= BLOCK_BYTES:
                         yield from out()
                         held, size, block = [], 0, block + 1
+                        _base.trim()
         if held:
             yield from out()
 
@@ -178,34 +169,50 @@ def _counts(packed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return n
 
 
-def _gather(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, payload): of each bucket its requests, in the order of their blocks."""
+def _gather(asked: DataFrame, answers: DataFrame | None, buckets: int) -> DataFrame:
+    """(block, bucket, payload): each bucket's rows together, the totals of its contexts first, then its requests in the order of their blocks."""
+    rows = asked if answers is None else asked.unionByName(answers)
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _base.release()
-        at, held = None, []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(held, 5)], pa.binary())], ["bucket", "payload"])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Rows (place, key, payload) that lie in the order of their keys and places, as (key, all its (place, payload))."""
+    at, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            place, key, payload = (batch.column(k)[i].as_py() for k in range(3))
+            if key != at:
+                if held:
+                    yield at, held
+                at, held = key, []
+            held.append((place, payload))
+    if held:
+        yield at, held
 
-        for batch in batches:
-            for block, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if bucket != at:
-                    if held:
-                        yield out()
-                    at, held = bucket, []
-                held.append((block, payload))
-        if held:
-            yield out()
 
-    return rows.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "bucket int, payload binary")
+def _open(number: int, rows: list[tuple[int, bytes]], shared: "Totals | None") -> tuple["Bucket", "Totals | None"]:
+    """A bucket and the totals of all other buckets in its restaurants; ``shared`` are those of the classes and the root over all buckets."""
+    bucket = Bucket(number, [x for x in rows if x[0] >= 0])
+    if shared is None:
+        return bucket, None
+    own, *parts = [pickle.loads(raw) for place, raw in rows if place < 0]
+    customers, tables = (np.concatenate([total - own[i], *[_counts(p[i]) for p in parts]]) for i, total in ((0, shared.customers), (1, shared.tables)))
+    return bucket, Totals(customers, tables, shared.discount, shared.base)
 
 
 class Bucket:
     """The words of a bucket with their customers in training text; sampling is seeded by the bucket's number."""
 
-    def __init__(self, number: int, requests: list[tuple[int, bytes]], classes: np.ndarray):
+    def __init__(self, number: int, requests: list[tuple[int, bytes]], classes: np.ndarray | None = None):
+        """``classes`` are those of the contexts where requests name these by their places; else requests hold contexts' numbers."""
         self.requests = [(block, *pickle.loads(raw)) for block, raw in requests]
+        if classes is None:
+            named = [_unpack(x[3]) for x in self.requests]
+            self.contexts = np.unique(np.concatenate(named))
+            classes = (self.contexts & np.uint64(127)).astype(np.int64)
+            self.requests = [(*x[:3], (FIRST_LEAF + np.searchsorted(self.contexts, c)).astype(np.int32), x[4]) for x, c in zip(self.requests, named, strict=True)]
+            del named
+        self.classes = np.concatenate([np.arange(FIRST_LEAF), classes])  # by restaurant
         w = np.concatenate([np.repeat(u, _counts(per)) for _, u, per, _, _ in self.requests])
         r = np.concatenate([x[3] for x in self.requests]).astype(np.int64)
         n = np.concatenate([_counts(x[4]) for x in self.requests])
@@ -219,9 +226,8 @@ class Bucket:
         self.words, self.word = np.unique(w[at], return_inverse=True)
         self.n = np.add.reduceat(n, at) if len(at) else n
         self.where = r[at]
-        self.leaf = self.where < FIRST_CLASS
-        kind = np.where(self.leaf, classes[np.minimum(self.where, len(classes) - 1)], self.where - FIRST_CLASS)
-        pair = self.word * CLASSES + kind  # sorted by word, not by class
+        self.leaf = self.where >= FIRST_LEAF
+        pair = self.word * CLASSES + self.classes[self.where]  # sorted by word, not by class
         self.pairs, self.up = np.unique(pair, return_inverse=True)
         self.pair_word, self.pair_class = self.pairs // CLASSES, self.pairs % CLASSES
         self.total = np.bincount(self.word, self.n, len(self.words)).astype(np.int64)
@@ -257,20 +263,24 @@ class Bucket:
 
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
         """Customers and tables by restaurant."""
-        n, t = np.zeros(RESTAURANTS), np.zeros(RESTAURANTS)
         leaf = self.leaf
-        n[:FIRST_CLASS] = np.bincount(self.where[leaf], self.n[leaf], FIRST_CLASS)
-        t[:FIRST_CLASS] = np.bincount(self.where[leaf], self.t_leaf[leaf], FIRST_CLASS)
+        n = np.bincount(self.where[leaf], self.n[leaf], len(self.classes)).astype(float)
+        t = np.bincount(self.where[leaf], self.t_leaf[leaf], len(self.classes)).astype(float)
         n[FIRST_CLASS:ROOT] = np.bincount(self.pair_class, self.n_class, CLASSES)
         t[FIRST_CLASS:ROOT] = np.bincount(self.pair_class, self.t_class, CLASSES)
         n[ROOT], t[ROOT] = self.n_root.sum(), self.t_root.sum()
         return n, t
 
+    def together(self, others: "Totals") -> "Totals":
+        """The totals of all buckets from those of the others."""
+        n, t = self.totals()
+        return Totals(others.customers + n, others.tables + t, others.discount, others.base)
+
     def once_twice(self) -> np.ndarray:
         """Words sitting alone and in twos at the leaves, the classes and the root."""
         return np.array([[(n == 1).sum(), (n == 2).sum()] for n in (self.n[self.leaf], self.n_class, self.n_root)], float)
 
-    def answers(self, m: "Totals", classes: np.ndarray, samples: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def answers(self, others: "Totals", samples: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(block, log10 probability of each request, training count of each request's word)."""
         sums: list[np.ndarray] = []
         asked = []
@@ -280,17 +290,19 @@ class Bucket:
             hit = self.words[at] == u if len(self.words) else np.zeros(len(u), bool)
             per = _counts(per)
             r = r.astype(np.int64)
-            leaf = r < FIRST_CLASS
-            kind = np.where(leaf, classes[np.minimum(r, len(classes) - 1)], r - FIRST_CLASS)
+            leaf = r >= FIRST_LEAF
+            kind = self.classes[r]
             w, known = np.repeat(at, per), np.repeat(hit, per)
             pair = _find(self.pairs, w * CLASSES + kind, known)
-            own = _find(self.word * RESTAURANTS + self.where, w * RESTAURANTS + r, known & leaf)
+            own = _find(self.word * len(self.classes) + self.where, w * len(self.classes) + r, known & leaf)
+            w, r, kind, pair, own = (x.astype(np.int32) for x in (w, r, kind, pair, own))
             asked.append((block, w, known, r, leaf, kind, pair, own))
             sums.append(np.zeros(len(r)))
         for i in range(BURN_IN + samples):
-            self.sweep(m)
+            self.sweep(self.together(others))
             if i < BURN_IN:
                 continue
+            m = self.together(others)
             root, unknown = self.p_root(m), (STRENGTH + m.discount[2] * m.tables[ROOT]) * m.base / (STRENGTH + m.customers[ROOT])
             for total, (_, w, known, r, leaf, kind, pair, own) in zip(sums, asked, strict=True):
                 p = np.where(known, root[w] if len(root) else 0.0, unknown)
@@ -365,41 +377,79 @@ class Totals:
     base: float
 
 
-def _sum_totals(gathered: DataFrame, classes: np.ndarray, before: Totals | None) -> tuple[Totals, int, int]:
-    """The totals over all buckets, after sweeps with the totals before if there are any; training tokens and their kinds."""
+def _sum_totals(asked: DataFrame, answers: DataFrame | None, buckets: int, before: Totals | None) -> tuple[Totals, DataFrame, int, int]:
+    """The totals over all buckets, after sweeps with the totals before if there are any; training tokens and their kinds.
+
+    Totals are those of the classes and the root, and a frame (block, bucket, payload): what each bucket had of
+    these, in its first row, and the totals of other buckets in its contexts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b = Bucket(number, pickle.loads(raw.as_py()), classes)
-                for _ in range(BURN_IN if before else 0):
-                    b.sweep(before)
-                n, t = b.totals()
-                few = b.once_twice()
-                keys = [*range(RESTAURANTS), -1, -2, -3, -4]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([*n, *few[:, 0], float(b.total.sum())]), pa.array([*t, *few[:, 1], float(len(b.words))])], ["k", "n", "t"])
-
-    sums = {r["k"]: (r["n"], r["t"]) for r in gathered.mapInArrow(run, "k int, n double, t double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
+        for number, rows in _groups(batches):
+            b, others = _open(number, rows, before)
+            for _ in range(BURN_IN if before else 0):
+                b.sweep(b.together(others))
+            n, t = b.totals()
+            few = b.once_twice()
+            keys = [*range(FIRST_LEAF), -1, -2, -3, -4]
+            none = [None] * len(keys)
+            yield _rows([-1] * len(keys), keys, none, [*n[:FIRST_LEAF], *few[:, 0], float(b.total.sum())], [*t[:FIRST_LEAF], *few[:, 1], float(len(b.words))])
+            yield _rows([-2], [number], [pickle.dumps((n[:FIRST_LEAF], t[:FIRST_LEAF]), 5)], [None], [None])
+            shard = (b.contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(24)
+            cuts = np.searchsorted(shard, np.arange(buckets + 1, dtype=np.uint64))
+            n, t = n[FIRST_LEAF:].astype(np.int64), t[FIRST_LEAF:].astype(np.int64)
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            for at in range(0, len(full), 64):
+                part = [(s, pickle.dumps((_pack(b.contexts[cuts[s] : cuts[s + 1]]), _small(n[cuts[s] : cuts[s + 1]]), _small(t[cuts[s] : cuts[s + 1]])), 5)) for s in full[at : at + 64]]
+                none = [None] * len(part)
+                yield _rows([s for s, _ in part], [number] * len(part), [x for _, x in part], none, none)
+            del b, others, rows
+            _base.trim()
+
+    def _rows(shard: list, bucket: list, payload: list, n: list, t: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(n, pa.float64()), pa.array(t, pa.float64())], ["shard", "bucket", "payload", "n", "t"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.release()
+        for shard, rows in _groups(batches):
+            parts = [pickle.loads(raw) for _, raw in rows]
+            contexts = [_unpack(p[0]) for p in parts]
+            known, which = np.unique(np.concatenate(contexts), return_inverse=True)
+            n, t = (np.bincount(which, np.concatenate([_counts(p[i]) for p in parts]), len(known)).astype(np.int64) for i in (1, 2))
+            ends = np.cumsum([len(c) for c in contexts]).tolist()
+            for (bucket, _), (_, own_n, own_t), a, z in zip(rows, parts, [0, *ends[:-1]], ends, strict=True):
+                others = [_small(total[which[a:z]] - _counts(own)) for total, own in ((n, own_n), (t, own_t))]
+                payload = pickle.dumps(others, 5)
+                yield pa.RecordBatch.from_arrays([pa.array([shard - buckets], pa.int64()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
+
+    found = _base.keep(_gather(asked, answers, buckets).mapInArrow(run, "shard int, bucket int, payload binary, n double, t double"), "totals")
+    sums = {r["bucket"]: (r["n"], r["t"]) for r in found.where("shard = -1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
     get = lambda k: sums.get(k, (0.0, 0.0))
     discount = np.array([np.clip(get(k)[0] / max(1.0, get(k)[0] + 2 * get(k)[1]), 0.05, 0.95) for k in (-1, -2, -3)])
     tokens, kinds = int(get(-4)[0]), int(get(-4)[1])
-    return Totals(np.array([get(k)[0] for k in range(RESTAURANTS)]), np.array([get(k)[1] for k in range(RESTAURANTS)]), discount, 1 / (kinds + 1)), tokens, kinds
+    shared = Totals(np.array([get(k)[0] for k in range(FIRST_LEAF)]), np.array([get(k)[1] for k in range(FIRST_LEAF)]), discount, 1 / (kinds + 1))
+    parts = found.where("shard >= 0").select("bucket", "shard", "payload").repartition(buckets, "shard").sortWithinPartitions("shard", "bucket")
+    own = found.where("shard = -2").select(F.lit(-buckets - 1).cast("long").alias("block"), "bucket", "payload")
+    answered = own.unionByName(parts.mapInArrow(merge, "block long, bucket int, payload binary"))
+    answered._kept_at = found._kept_at  # what it reads
+    return shared, answered, tokens, kinds
 
 
-def _answer(gathered: DataFrame, classes: np.ndarray, m: Totals) -> DataFrame:
+def _answer(asked: DataFrame, answers: DataFrame, buckets: int, shared: Totals) -> DataFrame:
     """(block, bucket, payload): the answers to each block's requests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
-        for batch in batches:
-            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                b = Bucket(number, pickle.loads(raw.as_py()), classes)
-                for block, log_p, n in b.answers(m, classes, SAMPLES):
-                    payload = pickle.dumps((log_p.astype(np.float32), _small(n)), 5)
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
+        for number, rows in _groups(batches):
+            b, others = _open(number, rows, shared)
+            for block, log_p, n in b.answers(others, SAMPLES):
+                payload = pickle.dumps((log_p.astype(np.float32), _small(n)), 5)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
+            del b, others, rows
+            _base.trim()
 
-    return gathered.mapInArrow(run, "block long, bucket int, payload binary")
+    return _gather(asked, answers, buckets).mapInArrow(run, "block long, bucket int, payload binary")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -408,18 +458,17 @@ def score(docs: DataFrame) -> DataFrame:
     Rows with ``held_out`` aren't learned from. Null and empty texts have one token, their end. Without any
     training row every token is unknown. Repeated rows get the same scores.
     """
-    heads, tokens = _head_words(docs)
-    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    buckets = max(1, -(-_count(docs) // BUCKET_TOKENS))
     path = _base.new_folder(docs.sparkSession, "asked")
-    _ask(docs, heads, buckets).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
-    asked = docs.sparkSession.read.schema("block long, bucket int, payload binary, kind int").parquet(path)
-    classes = heads.classes
-    gathered = _base.keep(_gather(asked.where("kind = 1").drop("kind"), buckets), "buckets")
-    asked = asked.where("kind = 0").drop("kind")
-    totals = None
+    _ask(docs, buckets).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
+    rows = docs.sparkSession.read.schema("block long, bucket int, payload binary, kind int").parquet(path)
+    asked, own = (rows.where(f"kind = {k}").drop("kind") for k in (1, 0))
+    shared = answers = None
     for _ in range(2):
-        totals, train_tokens, kinds = _sum_totals(gathered, classes, totals)
-    both = asked.unionByName(_answer(gathered, classes, totals))
+        before = answers
+        shared, answers, train_tokens, kinds = _sum_totals(asked, before, buckets, shared)
+        _base.drop(*[before] if before is not None else [])
+    both = own.unionByName(_answer(asked, answers, buckets, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()

@@ -463,6 +463,47 @@ def test_tables_follow_their_distribution():
     assert (many >= 1).all() and (many <= [25, 1000, 10**6]).all() and many[2] > many[1]
 
 
+def test_rare_words_are_contexts_of_their_own(spark):
+    rng = random.Random(31)
+    pairs = [(f"k{i}a", f"v{i}b") for i in range(3000)]  # each word is under 1 / 2000 of the text, and all first words share a class
+    docs = [(i, " ".join(w for p in rng.sample(pairs, 100) for w in p), i % 10 == 0) for i in range(400)]
+    got = lm.score(frame(spark, docs, "doc_id long, text string, held_out boolean")).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    # of two words the second is nearly certain after the first, which is one of 3,000
+    assert got[0] / got[1] > -0.6 * math.log10(3000)
+
+
+def test_probabilities_after_each_context_sum_to_one():
+    import pickle
+
+    rng = np.random.default_rng(32)
+    words = np.sort(rng.integers(1, 2**62, 40).astype(np.uint64))
+    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 6).astype(np.uint64), np.array([0, 0, 1, 1, 3, 64])))
+    r = np.tile(contexts, len(words))
+    n = rng.integers(0, 60, len(r)) * (rng.random(len(r)) < 0.6)
+    raw = pickle.dumps((words, lm._small(np.full(len(words), 6)), lm._pack(r), lm._small(n)))
+    b = lm.Bucket(1, [(0, raw)])
+    m = lm.Totals(*b.totals(), np.full(3, 0.5), 1 / (len(b.words) + 1))
+    for _ in range(3):
+        b.sweep(m)
+        m = lm.Totals(*b.totals(), m.discount, m.base)
+    root = b.p_root(m)
+    cls = b.p_class(m, root)
+    assert (b.contexts == contexts).all() and b.leaf.all()
+    assert (m.customers[lm.FIRST_LEAF :] == n.reshape(-1, 6).sum(0)).all()
+    for k in range(6):
+        at = b.where == lm.FIRST_LEAF + k
+        kind = int(contexts[k] & np.uint64(127))
+        seen = b.pair_class == kind
+        room = (lm.STRENGTH + 0.5 * m.tables[kind]) / (lm.STRENGTH + m.customers[kind])
+        everywhere = room * root
+        everywhere[b.pair_word[seen]] = cls[seen]
+        own = (lm.STRENGTH + 0.5 * m.tables[lm.FIRST_LEAF + k]) / (lm.STRENGTH + m.customers[lm.FIRST_LEAF + k])
+        p = own * everywhere
+        p[b.word[at]] += (b.n[at] - 0.5 * b.t_leaf[at]) / (lm.STRENGTH + m.customers[lm.FIRST_LEAF + k])
+        unknown = own * room * (1 - root.sum())
+        assert abs(p.sum() + unknown - 1) < 1e-9
+
+
 # ----- 10
 
 
