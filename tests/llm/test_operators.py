@@ -504,6 +504,21 @@ def test_probabilities_after_each_context_sum_to_one():
         assert abs(p.sum() + unknown - 1) < 1e-9
 
 
+def test_model_scores_do_not_follow_the_layout(spark):
+    rng = random.Random(33)
+    words = [f"w{i}" for i in range(5000)]
+    pair = lambda i: [*(["common7", "follower"] if i else []), *[rng.choice(words) for _ in range(118 if i else 120)]]
+    marked, plain, held = ([(k * 10_000 + i, " ".join(pair(k != 1)), k == 2) for i in range(n)] for k, n in ((0, 60), (1, 900), (2, 64)))
+    # of every 256 rows 240 are learned from; the pair's words are 1 / 1920 of the text, in one order of every slice, in the other of one above all
+    orders = []
+    for share in ((15, 15, 15, 15), (30, 10, 10, 10)):
+        m, p, h = iter(marked), iter(plain), iter(held)
+        orders.append([next(x) for n in share for x in [m] * n + [p] * (240 - n) + [h] * 16])
+    schema = "doc_id long, text string, held_out boolean"
+    one, two = ({r["doc_id"]: r["score"] for r in lm.score(frame(spark, rows, schema).coalesce(1)).collect()} for rows in orders)
+    assert len(one) == 1024 and max(abs(one[i] - two[i]) for i in one) < 1e-3
+
+
 # ----- 10
 
 
