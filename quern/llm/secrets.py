@@ -2,8 +2,10 @@
 
 Beside the fixed patterns, every long run of key characters is a candidate. A window slides over it; counts
 of its characters are kept up step by step, and so is the window's Shannon entropy. A window is judged by its
-character class (hexadecimal or mixed), each class with a threshold of its own; windows of letters of one
-case never count, as words of prose would. Candidates on the allow-list are passed over.
+character class (hexadecimal or mixed, of letters of both cases or with digits), each class with a threshold of its
+own; windows of letters of one case never count, as words of prose would. A hit is extended to its whole candidate.
+Where base spans cover a part of a candidate, what they leave is scanned part by part. Candidates on the allow-list
+are passed over.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def entropy_windows(s: str, window: int = WINDOW) -> list[tuple[int, str, float]
             total += _GAIN[n - 1] - _GAIN[n]
             digits, lower, upper, hexits = digits - d.isdigit(), lower - d.islower(), upper - d.isupper(), hexits - (d in _HEXITS)
         if i >= window - 1:
-            kind = "hex" if hexits == window and digits and (lower or upper) else "mixed" if digits >= 2 and lower + upper >= 4 else "plain"
+            kind = "hex" if hexits == window and digits and (lower or upper) else "mixed" if lower + upper >= 4 and (digits or lower and upper) else "plain"
             out.append((i - window + 1, kind, math.log2(window) - total / window))
     return out
 
@@ -83,18 +85,31 @@ class Scanner:
         self.allowed = [re.compile(p) for p in allowed]
         self.thresholds = {"plain": math.inf} | (thresholds or THRESHOLDS)
 
+    @staticmethod
+    def _left(a: int, b: int, base: list[Span]) -> list[tuple[int, int]]:
+        """The parts of ``a`` to ``b`` that no base span covers."""
+        out = []
+        for x, _, y in base:
+            if x < b and a < y:
+                out.append((a, x))
+                a = y
+        return [*out, (a, b)]
+
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """(base spans, base and entropy spans), both by start, then kind. An entropy span overlaps no base span."""
         base = base_spans(text)
         more: list[Span] = []
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            if any(x < b and a < y for x, _, y in base) or any(p.fullmatch(m.group()) for p in self.allowed):
+            if any(p.fullmatch(m.group()) for p in self.allowed):
                 continue
-            hits = [(i, kind) for i, kind, bits in entropy_windows(m.group()) if bits >= self.thresholds[kind]]
-            if hits:
-                kind = 3 if all(k == "hex" for _, k in hits) else 4
-                more.append((a + hits[0][0], kind, a + hits[-1][0] + WINDOW))
+            for x, y in self._left(a, b, base):
+                part = text[x:y]
+                if y - x < WINDOW or any(p.fullmatch(part) for p in self.allowed):
+                    continue
+                hits = [kind for _, kind, bits in entropy_windows(part) if bits >= self.thresholds[kind]]
+                if hits:
+                    more.append((x, 3 if all(k == "hex" for k in hits) else 4, y))
         return base, sorted(base + more)
 
 
