@@ -6,10 +6,13 @@ docstring says so.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +32,32 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(weights, label)
 
 
-def text_classifier(rows: DataFrame, text: str, label: str, *, c: float = 10.0, min_df: float = 2.0, vocabulary: int = 4096):
+@F.pandas_udf(VectorUDT())
+def _sublinear(counts: pd.DataFrame) -> pd.DataFrame:
+    """1 + log of each count that isn't 0; Spark has no expression that keeps a vector sparse. Vectors come as their fields."""
+    return counts.assign(values=[1 + np.log(v) for v in counts["values"]])
+
+
+def text_classifier(rows: DataFrame, text: str, label: str, *, c: float = 10.0, min_df: float = 2.0):
     """A fitted pipeline: words and word pairs, sublinear counts, smooth inverse document frequency plus one, unit length, balanced logistic regression.
 
-    The vocabulary is bounded by the most frequent ``vocabulary`` terms, as weighted rows are dense arrays of that size.
+    Every term of at least ``min_df`` documents counts. Rows stay sparse; the driver holds the terms, and a weight for each term and label.
     """
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
         StopWordsRemover(inputCol="_words", outputCol="_kept"),
         NGram(inputCol="_kept", outputCol="_pairs", n=2),
         SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=min_df, vocabSize=vocabulary),
+        CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=min_df, vocabSize=(1 << 31) - 1),
     ]
     counter = Pipeline(stages=stages).fit(rows)
     counted = counter.transform(rows)
     n = rows.count()
-    spread = counted.select(F.posexplode(vector_to_array("_counts")).alias("i", "x")).where("x > 0").groupBy("i").agg(F.count("*").alias("df"))
-    idf = {r["i"]: r["idf"] for r in spread.select("i", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf")).collect()}  # at most the vocabulary
-    size = len(counter.stages[-1].vocabulary)
-    scale = F.array(*[F.lit(float(idf.get(i, 1.0))) for i in range(size)])
+    scale = ElementwiseProduct(inputCol="_x", outputCol="_v", scalingVec=Vectors.dense(IDF(inputCol="_counts").fit(counted).idf.toArray() + 1))
 
     def vectors(df: DataFrame) -> DataFrame:
-        got = counter.transform(df).withColumn("_x", vector_to_array("_counts"))
-        weighted = F.zip_with("_x", scale, lambda x, w: F.when(x > 0, (1 + F.log(x)) * w).otherwise(0.0))
-        return Normalizer(inputCol="_v", outputCol="features", p=2.0).transform(got.withColumn("_v", array_to_vector(weighted))).drop("_x", "_v")
+        got = counter.transform(df).withColumn("_x", _sublinear("_counts"))
+        return Normalizer(inputCol="_v", outputCol="features", p=2.0).transform(scale.transform(got)).drop("_x", "_v")
 
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
     train = balanced(index.transform(vectors(rows)), label)

@@ -249,3 +249,15 @@ def test_first_row_of_a_slice_has_no_twin_within_it(spark):
     same = "Q: Same question about clinics? A: Identical answer with several longer content words."
     data = rows(spark, [("a", "s", 1, "faq", same), ("b", "s", 2, "faq", same), ("c", "s", 3, "prescription", same)], "doc_id string, slice string, position int, record_type string, content string")
     assert list(map(tuple, corpus.twins(data).collect())) == [("b", "a")]
+
+
+def test_text_classifier_knows_rare_terms(spark):
+    rng = random.Random(35)
+    rows = []
+    for i in range(3300):  # 5,000 words that say nothing come about ten times, the 1,800 that tell classes apart about five times
+        words = [f"filler{rng.randrange(5000)}" for _ in range(17)] + [f"mark{2 * rng.randrange(900) + i % 2}" for _ in range(3)]
+        rows.append((i, " ".join(rng.sample(words, 20)), "ab"[i % 2]))
+    docs = spark.createDataFrame(rows, "id int, text string, label string")
+    predict = models.text_classifier(docs.where("id < 3000"), "text", "label")
+    got = predict(docs.where("id >= 3000")).agg(F.avg((F.col("label") == F.col("predicted")).cast("int"))).first()[0]
+    assert got > 0.9
