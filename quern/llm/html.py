@@ -8,13 +8,14 @@ of the host's pages, and in which every token occurs as often as its pages do, i
 their paths, and all together are the host's template. The places between template tokens are its slots.
 
 Slots are told apart by the template: what stands below a place whose name marks a menu, header, footer, notice and
-so on is none; the main slots are those of articles. Where a template has none of these, the main slot is the one with
-most text among those whose text differs between pages. From each page the text below main slots is
+so on is none; the main slots are those of articles. Where a template has none of these, the main slot is the
+smallest place that holds all text that differs between pages. From each page the text below main slots is
 extracted; a page that has none of its template's main slots is read as a host of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -176,7 +177,7 @@ def tokens_of(text: str) -> dict[str, list[int]]:
         elif kind == "text" and (data := " ".join(data.split())):
             x = found.setdefault(own.get(path, ""), [0, part, 0, 0])
             x[2] += len(data)
-            x[3] = (x[3] * 1000003 + int.from_bytes(data.encode()[:64], "little") + len(data)) & ((1 << 63) - 1)
+            x[3] = (x[3] * 1000003 + int.from_bytes(hashlib.blake2b(data.encode(), digest_size=8).digest(), "little")) & ((1 << 63) - 1)
     return found
 
 
@@ -200,14 +201,14 @@ def deduce(places: list[dict]) -> list[str]:
     below: Counter = Counter()
     for p in places:
         if p["part"] == 0 and p["path"] and p["least"] != p["most"]:
-            for a in [*_above(p["path"]), p["path"]]:
-                if a in nested:
+            for a in ["", *_above(p["path"]), p["path"]]:
+                if not a or a in nested:
                     below[a] += p["chars"]
     if not below:
         free = [p for p in places if p["part"] == 0 and p["path"]]
         return [min((p["path"] for p in free), key=len, default="")]
     most = max(below.values())
-    return [max((a for a, n in below.items() if 10 * n >= 9 * most), key=lambda a: (a.count("/"), a))]
+    return [max((a for a, n in below.items() if n == most), key=lambda a: (a.count("/"), a))]
 
 
 def _above(path: str) -> list[str]:

@@ -372,6 +372,16 @@ def test_pages_in_long_and_broken_markup():
     assert html.main_text('<article title="a>b" x=\'<p>\'>q</article>', ("/article",)) == "q"
 
 
+def test_hosts_without_article_or_main(spark):
+    around = lambda x: f"<html><body><div class='nav'>menu</div>{x}<div class='fine'>same on every page</div></body></html>"
+    rows = [(i, f"http://d.org/{i}", around(f"<div class='content'><h1>Title {i}</h1><div class='lead'>Lead {i}</div><div class='body'>{f'{i} long text ' * 90}</div></div>")) for i in range(6)]
+    rows += [(10 + i, f"http://e.org/{i}", around(f"<div class='content'>{'like all others ' * 9}{i}</div>")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i} Lead {i} " + (f"{i} long text " * 90).strip()
+        assert got[10 + i] == "like all others " * 9 + str(i)
+
+
 # ----- 7
 
 
