@@ -36,7 +36,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop contaminated documents; the others lose the benchmark passages that they have."""
-    return decontaminate.decontaminate(docs, _base.read(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(docs, _base.read(spark, sf_dir, "benchmark"), min_span=1)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -424,6 +424,14 @@ def test_decontaminated_texts(spark):
     assert got[3]["text"] == "Start " + "z " * 400 + "() end" and got[3]["n_chars"] == len(got[3]["text"])
 
 
+def test_pipeline_cuts_short_benchmark_items(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, [(1, "five words of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, [(1, "start " + "z " * 400 + "five words of an item end")])
+    assert corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path)).first()["text"] == "start " + "z " * 400 + " end"
+
+
 # ----- 8
 
 
