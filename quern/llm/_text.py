@@ -1,7 +1,7 @@
 """Vectorised word hashing shared by the text operators.
 
-Words are hashed over whole byte buffers with numpy, so no Python object is made for a word. The hash
-is a polynomial over 64-bit random byte codes, finished by a bit mixer; it is the same in every process.
+Words are hashed over whole byte buffers with numpy, so no Python object is made for a word. A word's blocks of
+eight bytes are mixed, each with its place, and summed; the hash is the same in every process.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ import numpy as np
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+#: Blocks of a word that are hashed side by side with those of other words; a longer word goes on alone.
+_SIDE_BY_SIDE = 64
+_CHUNK = 1 << 17
 
 #: Upper-case ASCII letters to lower case, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -30,11 +31,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_POWERS = np.ones(_CHUNK + 1, np.uint64)
-_UNDO = np.ones(_CHUNK + 1, np.uint64)
-np.multiply.accumulate(np.full(_CHUNK, _BASE, np.uint64), out=_POWERS[1:])
-np.multiply.accumulate(np.full(_CHUNK, _INVERSE, np.uint64), out=_UNDO[1:])
+#: By the number of bytes that a block has.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def windows(buf: bytes) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on, as a number; zeros follow its end."""
+    return np.ndarray((len(buf) + 1,), "<u8", buf + bytes(8), strides=(1,))
+
+
+def blocks(view: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks of eight bytes of strings one after another (the last ones padded with zeros), and each string's number of them."""
+    n = (length + 7) // 8
+    past = np.cumsum(n)
+    inside = (np.arange(past[-1] if len(past) else 0) - np.repeat(past - n, n)) * 8
+    return view[np.repeat(start, n) + inside] & _BYTES[np.minimum(np.repeat(length, n) - inside, 8)], n
 
 
 def _spans(arr: np.ndarray, seps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,34 +58,32 @@ def _spans(arr: np.ndarray, seps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_words(buf: bytes, seps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words in ``buf``; word bytes count as they are, so lower-case first."""
-    arr = np.frombuffer(buf, np.uint8)
-    starts, ends = _spans(arr, seps)
-    out = np.zeros(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        lo = int(starts[at])
-        upto = int(np.searchsorted(ends, lo + _CHUNK, "right"))
-        if upto <= at:  # a single word longer than a chunk
-            out[at] = _long_word(arr[lo : int(ends[at])])
-            at += 1
-            continue
-        hi = int(ends[upto - 1])
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_CODES[arr[lo:hi]] * _POWERS[: hi - lo], out=sums[1:])
-        s, e = starts[at:upto] - lo, ends[at:upto] - lo
-        out[at:upto] = (sums[e] - sums[s]) * _UNDO[s]
-        at = upto
-    return starts, ends, mix(out + (ends - starts).astype(np.uint64))
-
-
-def _long_word(arr: np.ndarray) -> np.uint64:
-    total, shift = 0, 1
-    step = pow(_BASE, _CHUNK, 1 << 64)
-    for i in range(0, len(arr), _CHUNK):
-        part = arr[i : i + _CHUNK]
-        total = (total + int((_CODES[part] * _POWERS[: len(part)]).sum()) * shift) & _MASK
-        shift = (shift * step) & _MASK
-    return np.uint64(total)
+    starts, ends = _spans(np.frombuffer(buf, np.uint8), seps)
+    length = ends - starts
+    view = windows(buf)
+    out = length.astype(np.uint64)
+    left, at = np.arange(len(starts)), 0
+    while len(left) and at < _SIDE_BY_SIDE:
+        rest = length[left] - 8 * at
+        out[left] += mix((view[starts[left] + 8 * at] & _BYTES[np.minimum(rest, 8)]) ^ _places(at, 1))
+        left, at = left[rest > 8], at + 1
+    for i in left.tolist():
+        out[i : i + 1] += _rest(buf[int(starts[i]) + 8 * at : int(ends[i])], at)
+    return starts, ends, mix(out)
+
+
+def _places(first: int, n: int) -> np.ndarray:
+    return mix(np.arange(first + 1, first + n + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def _rest(raw: bytes, first: int) -> np.ndarray:
+    """The sum over the blocks of ``raw``, the first of which is a word's block ``first``."""
+    cells = np.frombuffer(raw + bytes(-len(raw) % 8), "<u8")
+    total = np.zeros(1, np.uint64)
+    for i in range(0, len(cells), _CHUNK):
+        part = cells[i : i + _CHUNK]
+        total += mix(part ^ _places(first + i, len(part))).sum(dtype=np.uint64)
+    return total
 
 
 def batch_words(texts: list[bytes | None], seps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:

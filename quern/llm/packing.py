@@ -1,11 +1,11 @@
 """Sequence packing by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised and packed within their task, so nothing is shuffled. A document longer than a
-sequence gives full sequences first; what is left joins a group of pieces that holds about ``GROUP`` windows.
+sequence gives full sequences first; what is left joins, uncut, a group of pieces that fills about ``GROUP`` windows.
 Differencing starts from one partial partition for each piece, and merges the two with the largest spread
-again and again: the largest window of the one goes with the smallest of the other. The result is as many
-near-equal windows as the group's tokens need; the window count rises whenever one exceeds the capacity.
-Where whole pieces would need more than ``SLACK`` of further windows, they are halved first.
+again and again: the largest window of the one goes with the smallest of the other. The result is near-equal
+windows, as few as hold the group's tokens; wherever one exceeds the capacity, the window count rises and the
+group is divided anew. No piece is cut for it, since each fits a window and there may be as many windows as pieces.
 """
 
 from __future__ import annotations
@@ -26,9 +26,6 @@ from quern.llm import _base, tokens
 
 LENGTH = 2048
 GROUP = 128
-#: Tokens of each window that a full group leaves open, so that differencing need not be perfect.
-OPEN = 8
-SLACK = 0.0
 
 
 def karmarkar_karp(sizes: list[int], windows: int) -> list[list[int]]:
@@ -75,19 +72,14 @@ def _sum(x: tuple) -> int:
 Piece = tuple[int, int, int]  # place of the document in the group, start, length
 
 
-def pack_group(pieces: list[Piece], capacity: int = LENGTH, slack: float = SLACK) -> list[list[Piece]]:
-    """Windows of ``pieces`` of at most ``capacity`` tokens; pieces are halved only where whole ones pack badly."""
-    total = sum(p[2] for p in pieces)
-    least = -(-total // capacity)
-    limit = capacity
+def pack_group(pieces: list[Piece], capacity: int = LENGTH) -> list[list[Piece]]:
+    """Windows of ``pieces`` of at most ``capacity`` tokens, from the least number that holds them upwards; no piece may be larger."""
+    windows = -(-sum(p[2] for p in pieces) // capacity)
     while True:
-        most = least + int(least * slack) if limit > 32 else len(pieces)
-        for windows in range(least, max(least, most) + 1):
-            got = karmarkar_karp([p[2] for p in pieces], windows)
-            if all(sum(pieces[i][2] for i in w) <= capacity for w in got):
-                return [[pieces[i] for i in w] for w in got if w]
-        limit //= 2
-        pieces = [(d, s + at, min(limit, n - at)) for d, s, n in pieces for at in range(0, n, limit)]
+        got = karmarkar_karp([p[2] for p in pieces], windows)
+        if all(sum(pieces[i][2] for i in w) <= capacity for w in got):
+            return [[pieces[i] for i in w] for w in got if w]
+        windows += 1
 
 
 SCHEMA = T.StructType(
@@ -106,7 +98,7 @@ class Packer:
     """Packs a stream of (key, ids) and yields (key, start, length, doc_tokens, sequence, offset, ids)."""
 
     def __init__(self, first: int, capacity: int = LENGTH, group: int = GROUP):
-        self.sequence, self.capacity, self.room = first, capacity, group * (capacity - OPEN)
+        self.sequence, self.capacity, self.room = first, capacity, group * capacity
         self.docs: list[tuple] = []
         self.pieces: list[Piece] = []
         self.size = 0
@@ -126,14 +118,12 @@ class Packer:
         while n - start >= self.capacity:
             yield from self._emit([[(d, start, self.capacity)]])
             start += self.capacity
-        while start < n:
-            take = min(n - start, self.room - self.size)
-            self.pieces.append((d, start, take))
-            self.size += take
-            start += take
-            if self.size == self.room:
+        if start < n:
+            if self.size + n - start > self.room:
                 yield from self._emit(pack_group(self.pieces, self.capacity))
                 self.docs, self.pieces, self.size, d = [(key, ids)], [], 0, 0
+            self.pieces.append((d, start, n - start))
+            self.size += n - start
 
     def close(self) -> Iterator[tuple]:
         yield from self._emit(pack_group(self.pieces, self.capacity))
@@ -143,8 +133,9 @@ class Packer:
 def pack(docs: DataFrame, path: str, *, end: int | None = tokens.END, capacity: int = LENGTH, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pieces of the documents in their sequences: ``keys``, start, length, doc_tokens, sequence_id, offset and ids.
 
-    Null texts count as empty and consist of the end id. Repeated rows are packed one by one. A sequence's
-    id holds the number of its partition in the upper bits, so ids are unique, but not gapless.
+    Null texts count as empty and consist of the end id. Repeated rows are packed one by one. A text of any length is
+    encoded whole and gives full sequences at once. Columns of ``docs`` other than ``keys`` and text aren't kept,
+    whatever their names. A sequence's id holds the number of its partition in the upper bits, so ids are unique, but not gapless.
     """
     tail = b"" if end is None else struct.pack("<I", end)
     chosen = docs.select(*keys, "text")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import _base
-from quern.llm._text import LOWER, hash_words
+from quern.llm._text import LOWER, blocks, hash_words, windows
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
@@ -37,62 +37,95 @@ FILE_IDS = 1 << 20
 _CACHED = 400_000
 _TOGETHER = 1 << 20
 _STEP = 512
+#: Longer chunks are encoded wherever they stand and never kept.
+_LONGEST = 64
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEADER = struct.Struct("<4sHHIQQQ")
 _MAGIC = b"QTID"
 
 
 class Recent:
-    """The ids of up to ``size`` recently used byte strings, in arrays: about fifty bytes for each.
+    """The ids of up to ``size`` recently used byte strings of at most ``_LONGEST`` bytes, in arrays: about seventy bytes for each.
 
-    A string is known by its 64-bit hash, its length and its first eight bytes. When the arrays are full,
-    the half that was used longer ago goes.
+    A string is found by its hash and compared by its bytes. When the arrays are full, the half that was used
+    longer ago goes.
     """
 
+    FIELDS = ("keys", "length", "used", "at", "place", "count")
+
     def __init__(self, size: int):
         self.size, self.now = size, 0
         self.keys = np.zeros(0, np.uint64)  # sorted
-        self.first, self.length, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, "<u4")
+        self.length, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.at, self.text = np.zeros(0, np.int64), np.zeros(0, np.uint64)  # where a string's blocks are, and all of these
+        self.place, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, "<u4")
 
-    def find(self, keys: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def find(self, found: "Strings") -> np.ndarray:
         """The place of each string, -1 where it isn't known; what is found counts as used."""
         self.now += 1
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        known = (self.keys[at] == keys) & (self.first[at] == first) & (self.length[at] == length)
-        self.used[at[known]] = self.now
-        return np.where(known, at, -1)
-
-    def add(self, keys: np.ndarray, first: np.ndarray, length: np.ndarray, ids: list[bytes]) -> None:
-        """Put new strings; one whose hash another has already takes its place."""
-        if len(self.keys) + len(keys) > self.size:
+        at = np.full(len(found.keys), -1)
+        if not len(self.keys) or not len(at):
+            return at
+        near = np.searchsorted(self.keys, found.keys)
+        near[near == len(self.keys)] = 0
+        maybe = np.flatnonzero((self.keys[near] == found.keys) & (self.length[near] == found.length))
+        near = near[maybe]
+        cells, n = blocks(found.view, found.start[maybe], found.length[maybe])
+        known = ~_any(cells != self.text[_runs(self.at[near], n)], n)
+        at[maybe[known]] = near[known]
+        self.used[near[known]] = self.now
+        return at
+
+    def add(self, found: "Strings", new: np.ndarray, ids: list[bytes]) -> None:
+        """Put the strings at the places ``new``, which aren't known; one whose hash another has takes its place."""
+        short = np.flatnonzero(found.length[new] <= _LONGEST)
+        ids, new = [ids[i] for i in short.tolist()], new[short]
+        if len(self.keys) + len(new) > self.size:
             self._thin()
         count = np.array([len(x) // 4 for x in ids], np.int32)
         place = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
-        order = np.argsort(keys)
-        keys = keys[order]
+        cells, n = blocks(found.view, found.start[new], found.length[new])
+        at = len(self.text) + np.cumsum(n) - n
+        self.text = np.concatenate([self.text, cells])
+        order = np.argsort(found.keys[new])
+        keys = found.keys[new][order]
         if len(self.keys):
-            at = np.searchsorted(self.keys, keys)
-            at[at == len(self.keys)] = 0
-            self._keep(~np.isin(np.arange(len(self.keys)), at[self.keys[at] == keys]))
-        at = np.searchsorted(self.keys, keys)
-        for name, new in (("first", first[order]), ("length", length[order]), ("used", np.full(len(keys), self.now, np.int32)), ("place", place[order]), ("count", count[order]), ("keys", keys)):
-            setattr(self, name, np.insert(getattr(self, name), at, new))
+            taken = np.searchsorted(self.keys, keys)
+            taken[taken == len(self.keys)] = 0
+            self._keep(~np.isin(np.arange(len(self.keys)), taken[self.keys[taken] == keys]))
+        to = np.searchsorted(self.keys, keys)
+        for name, x in zip(self.FIELDS, (keys, found.length[new][order], np.full(len(keys), self.now, np.int32), at[order], place[order], count[order]), strict=True):
+            setattr(self, name, np.insert(getattr(self, name), to, x))
 
     def _keep(self, kept: np.ndarray) -> None:
         if not kept.all():
-            for name in ("keys", "first", "length", "used", "place", "count"):
+            for name in self.FIELDS:
                 setattr(self, name, getattr(self, name)[kept])
 
     def _thin(self) -> None:
         self._keep(self.used >= min(np.median(self.used) + 1, self.now) if len(self.used) else np.zeros(0, bool))
-        self.ids = self.ids[_runs(self.place, self.count)]
-        self.place = np.cumsum(self.count, dtype=np.int64) - self.count
+        self.ids, n = self.ids[_runs(self.place, self.count)], (self.length + 7) // 8
+        self.text = self.text[_runs(self.at, n)]
+        self.place, self.at = (np.cumsum(x, dtype=np.int64) - x for x in (self.count, n))
+
+    def ids_of(self, found: "Strings", learn) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings one after another, and each one's number of ids; ``learn`` gives those of new ones (by their places)."""
+        at = self.find(found)
+        hit, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        fresh = learn(new)
+        count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[hit], count[new] = self.count[at[hit]], [len(x) // 4 for x in fresh]
+        both = np.concatenate([hit, new])
+        start[both] = np.cumsum(count[both]) - count[both]
+        ids = np.concatenate([self.ids[_runs(self.place[at[hit]], self.count[at[hit]])], np.frombuffer(b"".join(fresh), "<u4")])
+        self.add(found, new, fresh)
+        return ids[_runs(start, count)], count
+
+
+def _any(flags: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether any flag is set in each run of ``n`` (at least one) of them."""
+    return np.logical_or.reduceat(flags, np.cumsum(n) - n) if len(n) else np.zeros(0, bool)
 
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -101,16 +134,23 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (past - size), size) + np.arange(past[-1] if len(past) else 0)
 
 
-def _strings(buf: bytes) -> tuple[np.ndarray, ...]:
-    """(hash, first eight bytes, length, start, which): the different white-space-separated strings of ``buf``, and of each one there which it is."""
-    starts, ends, hashes = hash_words(buf)
-    keys, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-    start, length = starts[at], (ends - starts)[at]
-    arr = np.frombuffer(buf + bytes(8), np.uint8)
-    first = np.zeros(len(keys), np.uint64)
-    for i in range(8):
-        first |= np.where(i < length, arr[start + i], 0).astype(np.uint64) << np.uint64(8 * i)
-    return keys, first, length.astype(np.int32), start, which, starts
+class Strings:
+    """The different white-space-separated strings of ``buf`` (hash, start and length), and of each one there (from ``starts``) which it is.
+
+    ``exact`` is false if two different strings have one hash.
+    """
+
+    def __init__(self, buf: bytes):
+        self.starts, ends, hashes = hash_words(buf)
+        self.keys, at, self.which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = ends - self.starts
+        self.view, self.start, self.length = windows(buf), self.starts[at], size[at].astype(np.int32)
+        self.exact = bool((size == self.length[self.which]).all())
+        for a in range(0, len(size) if self.exact else 0, 1 << 16):
+            part = slice(a, a + (1 << 16))
+            own, _ = blocks(self.view, self.starts[part], size[part])
+            first, _ = blocks(self.view, self.start[self.which[part]], size[part])
+            self.exact = self.exact and bool((own == first).all())
 
 
 #: Characters whose lower case or composed form is longer; their tokens may hang on what stands next to them.
@@ -165,23 +205,15 @@ class Encoder:
         """The ids of ``words`` of letters."""
         if not words:
             return []
-        keys, first, length, start, which, _ = _strings("\n".join(words).encode())
-        found = self.words.find(keys, first, length)
-        one = np.zeros(len(keys), np.int64)
-        one[which] = np.arange(len(words))
-        new = np.flatnonzero(found < 0)
-        fresh = self._letters([words[i] for i in one[new].tolist()])
-        hit = np.flatnonzero(found >= 0)
-        raw = self.words.ids[_runs(self.words.place[found[hit]], self.words.count[found[hit]])].tobytes()
-        ends = np.concatenate([[0], np.cumsum(self.words.count[found[hit]], dtype=np.int64)]) * 4
-        ends = ends.tolist()
-        out: list[bytes] = [b""] * len(keys)
-        for k, i in enumerate(hit.tolist()):
-            out[i] = raw[ends[k] : ends[k + 1]]
-        for i, x in zip(new.tolist(), fresh, strict=True):
-            out[i] = x
-        self.words.add(keys[new], first[new], length[new], fresh)
-        return [out[i] for i in which.tolist()]
+        found = Strings("\n".join(words).encode())
+        if not found.exact:
+            return self._pieces(words)
+        one = np.zeros(len(found.keys), np.int64)
+        one[found.which] = np.arange(len(words))
+        ids, count = self.words.ids_of(found, lambda new: self._letters([words[i] for i in one[new].tolist()]))
+        raw, ends = ids.tobytes(), (np.concatenate([[0], np.cumsum(count)]) * 4).tolist()
+        out = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return [out[i] for i in found.which.tolist()]
 
     def _learn(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of new ``chunks``."""
@@ -220,18 +252,19 @@ class Encoder:
         whole = {i: t.decode() for i, t in enumerate(texts) if not t.isascii()}
         whole = {i: t for i, t in whole.items() if _LONGER.search(t)}
         buf = b" ".join([b"" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
-        keys, first, length, start, which, starts = _strings(buf)
-        found = self.chunks.find(keys, first, length)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            chunks = [buf[a:b] for a, b in zip(start[new].tolist(), (start[new] + length[new]).tolist(), strict=True)]
-            self.chunks.add(keys[new], first[new], length[new], self._learn(chunks))
-            found = self.chunks.find(keys, first, length)
-        count = self.chunks.count[found][which] if len(keys) else np.zeros(0, np.int32)
-        ids = self.chunks.ids[_runs(self.chunks.place[found][which], count)] if len(keys) else np.zeros(0, "<u4")
+        found = Strings(buf)
+        if not found.exact:  # two strings with one hash
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        cut = lambda new: [buf[a:b] for a, b in zip(found.start[new].tolist(), (found.start[new] + found.length[new]).tolist(), strict=True)]
+        ids, count = self.chunks.ids_of(found, lambda new: self._learn(cut(new)))
+        place = np.cumsum(count) - count
+        count = count[found.which]
+        ids = ids[_runs(place[found.which], count)]
         past = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         text_ends = np.cumsum([(0 if i in whole else len(t)) + 1 for i, t in enumerate(texts)]) if texts else np.zeros(0, np.int64)
-        cuts = [0, *past[np.searchsorted(starts, text_ends)].tolist()]
+        cuts = [0, *past[np.searchsorted(found.starts, text_ends)].tolist()]
         for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if i in whole:
                 yield np.array(self.tokenizer.encode(whole[i], add_special_tokens=False).ids, "<u4").tobytes()
