@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
+    """The folder that driver and executors share; one is made only in local mode, as in tests, where the session names none."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set(_SETTING, folder)
     return folder
@@ -47,10 +50,23 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark deletes the shuffle files of each job run herein when the job ends, since only its output is read on."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it cuts lineage and outlives a lost executor."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
@@ -119,6 +135,12 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has such a column, whatever the case, ``name`` with a number that it hasn't."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in [name, *(f"{name}_{i}" for i in range(len(taken) + 1))] if c.lower() not in taken)
+
+
 def id_text(column) -> "F.Column":
     """A document's id as text; null as empty."""
     return F.coalesce(column.cast("string"), F.lit(""))

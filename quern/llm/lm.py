@@ -1,14 +1,13 @@
 """A hierarchical Pitman-Yor language model, trained and applied without holding words or contexts in one place.
 
-Three levels of restaurants: the root; one for each class of the word before (its last byte modulo 64, and one for
-the start of a text); and one for each word before, whatever its count. A word's restaurant has its class as parent,
-and all classes share the root, which draws from all known words and one unknown. After a word that training text
-doesn't have, its class decides.
+Each word before, whatever its count, has a restaurant, and all of these share the root as parent, which draws
+from all known words and one unknown. After a word that training text doesn't have, the root decides.
 
 Everything about a word (its customers and tables in all restaurants) lies in one bucket by the word's hash, so
-Gibbs sampling needs nothing from other buckets but each restaurant's totals. Those of the classes and the root are
-few and go to every bucket; those of the words before are summed in shards by the range of their hash, and each bucket
-gets back only those of the contexts it has. A sweep draws the tables of each (word, restaurant) given its customers
+Gibbs sampling needs nothing from other buckets but each restaurant's totals. The root's go to every bucket; those of the
+words before are summed in shards by the range of their hash, and each bucket gets back only those of the contexts it
+has. A word with more tokens than half a bucket is split into parts by the word before; the root has a dish for each
+part, and its probability is that of all its parts. A sweep draws the tables of each (word, restaurant) given its customers
 and the parent's probability of the word; a bucket's own part of the totals is up to date, that of other buckets is
 from the sweep before, as usual where Gibbs sampling is spread over machines. Predictive probabilities are averaged over the last sweeps.
 
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import batched
 
 import numpy as np
@@ -30,132 +29,150 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import _base
-from quern.llm._text import LOWER, SPACES, _spans, hash_words, mix
-
-CLASSES = 65
-START_CLASS = 64
-#: Restaurants: the classes from 0, then the root, then a bucket's contexts in the order of their numbers.
-FIRST_CLASS = 0
-ROOT = FIRST_CLASS + CLASSES
-FIRST_LEAF = ROOT + 1
+from quern.llm._text import LOWER, hash_words, mix
+
 BLOCK_BYTES = 16 << 20
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_250_000
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Up to so many customers the number of tables is drawn from its exact distribution.
 EXACT = 24
 _END, _START = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
+_NAMES = ["block", "bucket", "payload"]
+_KINDS = "block long, bucket int, payload binary"
 
 
-def _contexts(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Numbers of contexts, in 56 bits: 49 of the word's hash, then its class in 7."""
-    return words >> np.uint64(15) << np.uint64(7) | classes.astype(np.uint64)
+def _contexts(words: np.ndarray) -> np.ndarray:
+    """Numbers of contexts: 40 bits of the hash of the word before."""
+    return words >> np.uint64(24)
 
 
 def _pack(contexts: np.ndarray) -> bytes:
-    """Contexts in seven bytes each."""
-    return contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    """Contexts in five bytes each."""
+    return contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    cells = np.zeros((len(raw) // 7, 8), np.uint8)
-    cells[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+    cells = np.zeros((len(raw) // 5, 8), np.uint8)
+    cells[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
     return cells.view("<u8").ravel()
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and classes of all words, and the place of each text's first word (with the total last)."""
-    buf = b" ".join(texts).translate(LOWER)
-    starts, ends, hashes = hash_words(buf)
-    classes = np.frombuffer(buf, np.uint8)[ends - 1] & 63 if len(ends) else np.zeros(0, np.uint8)
-    past = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    return hashes, classes, np.concatenate([[0], np.searchsorted(starts, past)]).astype(np.int64)
-
-
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word and context of each token, the end of each text among them, and the place of each text's first token."""
-    words, classes, first = _words(texts)
-    n_docs = len(texts)
-    doc = np.repeat(np.arange(n_docs), np.diff(first))
-    at = np.arange(len(words)) + doc
-    del doc
-    ends = first[1:] + np.arange(n_docs)
-    token = np.empty(len(words) + n_docs, np.uint64)
+    """Word and context of each token, the end of each text among them, and the place of each text's first token (with the total last)."""
+    starts, _, words = hash_words(b" ".join(texts).translate(LOWER))
+    past = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    first = np.concatenate([[0], np.searchsorted(starts, past)]).astype(np.int64)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(texts)), np.diff(first))
+    places = first + np.arange(len(texts) + 1)
+    token = np.empty(places[-1], np.uint64)
+    token[at], token[places[1:] - 1] = words, _END
     before = np.empty(len(token), np.uint64)
-    token[at], token[ends] = words, _END
-    places = np.concatenate([[0], ends + 1])
-    before[places[:-1]] = _contexts(np.array([_START]), np.array([START_CLASS]))[0]
-    at += 1
-    before[at] = _contexts(words, classes)  # the token after each word
+    before[places[:-1]] = _contexts(_START)
+    before[at + 1] = _contexts(words)  # of the token after each word
     return token, before, places
 
 
-def _count(docs: DataFrame) -> int:
-    """The number of all tokens."""
+def _parts(word: int, parts: int) -> np.ndarray:
+    """The words that stand for the parts of a split word."""
+    return mix(np.uint64(word) ^ mix(np.arange(1, parts + 1, dtype=np.uint64)))
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = _base.texts_of(batch, "text")
-        starts, _ = _spans(np.frombuffer(b" ".join(texts), np.uint8), SPACES)
-        return pa.RecordBatch.from_arrays([pa.array([len(starts) + len(texts)], pa.int64())], ["tokens"])
 
-    return _base.map_rows(docs.select("text"), lambda: step, "tokens long").agg(F.sum("tokens")).first()[0] or 0
+def _split(token: np.ndarray, before: np.ndarray, hot: dict[int, int]) -> None:
+    """Put parts in the place of split words, by the word before."""
+    for word, n in hot.items():
+        at = np.flatnonzero(token == np.uint64(word))
+        token[at] = _parts(word, n)[(mix(before[at]) % np.uint64(n)).astype(np.int64)]
 
 
-def _ask(docs: DataFrame, buckets: int) -> DataFrame:
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (doc_id, held_out, text) in blocks of about ``BLOCK_BYTES`` of text; a text isn't cut."""
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, _base.STEP):
+            part = batch.slice(at, _base.STEP)
+            for i, h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _base.texts_of(part, "text"), strict=True):
+                held.append((i, h, t))
+                size += len(t)
+                if size >= BLOCK_BYTES:
+                    yield held
+                    held, size = [], 0
+                    _base.trim()
+    if held:
+        yield held
+
+
+def _survey(docs: DataFrame) -> tuple[int, dict[int, int]]:
+    """The number of all tokens, and how many parts each word has that is split.
+
+    Of each block only words with at least 1 / 4,096 of its tokens are reported, so what a word near the bound
+    does may follow the layout: that moves random draws, but no count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _base.release()
+        for held in _blocks_of(batches):
+            token = _tokens([x[2] for x in held])[0]
+            words, n = np.unique(token, return_counts=True)
+            often = n * 4096 >= len(token)
+            words, n = words[often].view(np.int64).tolist(), n[often].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.int64()), pa.array([len(token), *n], pa.int64())], ["word", "n"])
+
+    sums = docs.select("doc_id", "held_out", "text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    part = BUCKET_TOKENS // 2
+    found = {r["word"]: r["n"] for r in sums.where(F.col("word").isNull() | (F.col("n") > part)).collect()}  # at most two for each bucket
+    tokens = found.pop(None, 0)
+    return tokens, {int(np.int64(w).view(np.uint64)): -(-n // part) for w, n in sorted(found.items())}
+
+
+def _ask(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
     """(block, bucket, payload): requests to the buckets, and with bucket -1 the block's documents."""
 
     def block_rows(block: int, held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
         token, before, places = _tokens([x[2] for x in held])
-        train = np.repeat(~np.array([x[1] for x in held], bool), np.diff(places))
-        key = mix(token ^ mix(before + np.uint64(1)))
-        _, at, which = np.unique(key, return_index=True, return_inverse=True)
-        w, r = token[at], before[at]
-        del key, token, before
+        _split(token, before, hot)
+        words, pair = np.unique(token, return_inverse=True)
+        del token
+        contexts, c = np.unique(before, return_inverse=True)
+        del before
+        pair *= len(contexts)
+        pair += c
+        del c
+        pairs, which = np.unique(pair, return_inverse=True)
+        del pair
         which = which.astype(np.uint32)
-        n = np.bincount(which[train], minlength=len(at)).astype(np.uint32)
-        del at, train
-        home = (w % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((r, w, home))
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order))
-        w, r, n, home = w[order], r[order], n[order], home[order]
-        n_asked = len(order)
-        del order
-        cuts = np.searchsorted(home, np.arange(buckets + 1))
-        stream = rank[which].astype("<u4").view(np.uint8).reshape(-1, 4)
-        del which, rank, home
-        wide = 3 if n_asked < 1 << 24 else 4
-        yield block, -1, pickle.dumps(([x[0] for x in held], [x[1] for x in held], places, np.ascontiguousarray(stream[:, :wide]).tobytes(), wide, cuts), 5)
-        del stream
+        train = np.repeat(~np.array([x[1] for x in held], bool), np.diff(places))
+        n = np.bincount(which[train], minlength=len(pairs)).astype(np.uint32)
+        w, r = pairs // len(contexts), (pairs % len(contexts)).astype(np.int32)
+        del pairs, train
+        per = np.bincount(w, minlength=len(words))
+        of_words = np.searchsorted(_home(words, buckets), np.arange(buckets + 1))
+        cuts = np.concatenate([[0], np.cumsum(per)])[of_words]  # words ascend with their buckets
+        del w
+        wide = 3 if len(n) < 1 << 24 else 4
+        yield block, -1, pickle.dumps(([x[0] for x in held], [x[1] for x in held], places, np.ascontiguousarray(which.view(np.uint8).reshape(-1, 4)[:, :wide]).tobytes(), wide, cuts), 5)
+        del which
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            a, z = cuts[b], cuts[b + 1]
-            u, per = np.unique(w[a:z], return_counts=True)
-            yield block, b, pickle.dumps((u, _small(per), _pack(r[a:z]), _small(n[a:z])), 5)
+            a, z = of_words[b], of_words[b + 1]
+            yield block, b, pickle.dumps((words[a:z], _small(per[a:z]), _pack(contexts[r[cuts[b] : cuts[b + 1]]]), _small(n[cuts[b] : cuts[b + 1]])), 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
-        block = TaskContext.get().partitionId() << 24
-        held: list[tuple] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
+        for block, held in enumerate(_blocks_of(batches), TaskContext.get().partitionId() << 24):
             for part in batched(block_rows(block, held), 64):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.binary())], ["block", "bucket", "payload"])
+                yield _row(*zip(*part, strict=True))
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, _base.STEP):
-                part = batch.slice(at, _base.STEP)
-                for i, h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _base.texts_of(part, "text"), strict=True):
-                    held.append((i, h, t))
-                    size += len(t)
-                    if size >= BLOCK_BYTES:
-                        yield from out()
-                        held, size, block = [], 0, block + 1
-                        _base.trim()
-        if held:
-            yield from out()
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, _KINDS)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "block long, bucket int, payload binary")
+
+def _row(block, bucket, payload) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], _NAMES)
+
+
+def _home(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each word: that of the range in which its hash lies."""
+    return ((words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,137 +207,116 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield at, held
 
 
-def _open(number: int, rows: list[tuple[int, bytes]], shared: "Totals | None") -> tuple["Bucket", "Totals | None"]:
-    """A bucket and the totals of all other buckets in its restaurants; ``shared`` are those of the classes and the root over all buckets."""
-    bucket = Bucket(number, [x for x in rows if x[0] >= 0])
+def _open(number: int, rows: list[tuple[int, bytes]], shared: "Totals | None", hot: "Hot") -> tuple["Bucket", "Totals | None"]:
+    """A bucket and the totals of all other buckets in its restaurants; ``shared`` are the root's over all buckets."""
+    bucket = Bucket(number, [x for x in rows if x[0] >= 0], hot)
     if shared is None:
         return bucket, None
     own, *parts = [pickle.loads(raw) for place, raw in rows if place < 0]
-    customers, tables = (np.concatenate([total - own[i], *[_counts(p[i]) for p in parts]]) for i, total in ((0, shared.customers), (1, shared.tables)))
-    return bucket, Totals(customers, tables, shared.discount, shared.base)
+    customers, tables = (np.concatenate([shared.root[i : i + 1] - own[i], *[_counts(p[i]) for p in parts]]) for i in (0, 1))
+    return bucket, shared.of(customers, tables)
+
+
+@dataclass
+class Hot:
+    """Split words: of each part the customers, tables and training tokens of all parts of its word, its own at the root, and their number."""
+
+    at: dict[int, tuple[float, float, int, float, float, int]] = field(default_factory=dict)
 
 
 class Bucket:
     """The words of a bucket with their customers in training text; sampling is seeded by the bucket's number."""
 
-    def __init__(self, number: int, requests: list[tuple[int, bytes]], classes: np.ndarray | None = None):
-        """``classes`` are those of the contexts where requests name these by their places; else requests hold contexts' numbers."""
-        self.requests = [(block, *pickle.loads(raw)) for block, raw in requests]
-        if classes is None:
-            named = [_unpack(x[3]) for x in self.requests]
-            self.contexts = np.unique(np.concatenate(named))
-            classes = (self.contexts & np.uint64(127)).astype(np.int64)
-            self.requests = [(*x[:3], (FIRST_LEAF + np.searchsorted(self.contexts, c)).astype(np.int32), x[4]) for x, c in zip(self.requests, named, strict=True)]
-            del named
-        self.classes = np.concatenate([np.arange(FIRST_LEAF), classes])  # by restaurant
-        w = np.concatenate([np.repeat(u, _counts(per)) for _, u, per, _, _ in self.requests])
-        r = np.concatenate([x[3] for x in self.requests]).astype(np.int64)
-        n = np.concatenate([_counts(x[4]) for x in self.requests])
-        known = n > 0
-        w, r, n = w[known], r[known], n[known]
-        order = np.lexsort((r, w))
-        w, r, n = w[order], r[order], n[order]
-        new = np.ones(len(w), bool)
-        new[1:] = (w[1:] != w[:-1]) | (r[1:] != r[:-1])
-        at = np.flatnonzero(new)
-        self.words, self.word = np.unique(w[at], return_inverse=True)
+    def __init__(self, number: int, requests: list[tuple[int, bytes]], hot: Hot = Hot()):
+        loaded = [(block, *pickle.loads(raw)) for block, raw in requests]
+        self.words = np.unique(np.concatenate([x[1] for x in loaded]))
+        named = [_unpack(x[3]) for x in loaded]
+        self.contexts = np.unique(np.concatenate(named))
+        self.requests: list[tuple[int, tuple, np.ndarray]] = []  # block, numbers of requests by word, and word and context of each as one number
+        for (block, u, per, _, _), c in zip(loaded, named, strict=True):
+            self.requests.append((block, per, np.repeat(np.searchsorted(self.words, u), _counts(per)) * len(self.contexts) + np.searchsorted(self.contexts, c)))
+        del named
+        pair, n = np.concatenate([x[2] for x in self.requests]), np.concatenate([_counts(x[4]) for x in loaded])
+        del loaded
+        pair, n = pair[n > 0], n[n > 0]
+        order = np.argsort(pair)
+        pair, n = pair[order], n[order]
+        del order
+        at = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.pair = pair[at]  # the leaves
         self.n = np.add.reduceat(n, at) if len(at) else n
-        self.where = r[at]
-        self.leaf = self.where >= FIRST_LEAF
-        pair = self.word * CLASSES + self.classes[self.where]  # sorted by word, not by class
-        self.pairs, self.up = np.unique(pair, return_inverse=True)
-        self.pair_word, self.pair_class = self.pairs // CLASSES, self.pairs % CLASSES
+        self.word, self.context = (self.pair // len(self.contexts)).astype(np.int32), (self.pair % len(self.contexts)).astype(np.int32)
         self.total = np.bincount(self.word, self.n, len(self.words)).astype(np.int64)
         self.random = np.random.default_rng(number)
         self.t_leaf = np.ones(len(self.n), np.int64)
         self._fold()
-        self.t_class, self.t_root = np.ones(len(self.pairs), np.int64), np.ones(len(self.words), np.int64)
-        self._fold()
+        self.t_root = (self.n_root > 0).astype(np.int64)
+        self.of_hot = [(i, hot.at[w]) for i, w in enumerate(self.words.tolist()) if w in hot.at] if hot.at else []
+        self.more_n, self.more_t, self.share = np.zeros(len(self.words)), np.zeros(len(self.words)), np.ones(len(self.words))
+        for i, (n_all, t_all, _, n_own, t_own, parts) in self.of_hot:
+            self.more_n[i], self.more_t[i], self.share[i] = n_all - n_own, t_all - t_own, 1 / parts
 
     def _fold(self) -> None:
-        """Customers of the classes (tables of leaves and words without one) and of the root (tables of classes)."""
-        self.n_class = np.bincount(self.up, np.where(self.leaf, self.t_leaf, self.n), len(self.pairs)).astype(np.int64)
-        if hasattr(self, "t_class"):
-            self.n_root = np.bincount(self.pair_word, self.t_class, len(self.words)).astype(np.int64)
+        """Customers of the root: tables of the leaves."""
+        self.n_root = np.bincount(self.word, self.t_leaf, len(self.words)).astype(np.int64)
 
     def p_root(self, m: "Totals") -> np.ndarray:
-        return (self.n_root - m.discount[2] * self.t_root + (STRENGTH + m.discount[2] * m.tables[ROOT]) * m.base) / (STRENGTH + m.customers[ROOT])
-
-    def p_class(self, m: "Totals", root: np.ndarray) -> np.ndarray:
-        k = FIRST_CLASS + self.pair_class
-        return (self.n_class - m.discount[1] * self.t_class + (STRENGTH + m.discount[1] * m.tables[k]) * root[self.pair_word]) / (STRENGTH + m.customers[k])
+        """The root's probability of each word; a word that training text doesn't have gets that of the unknown one."""
+        own = self.n_root + self.more_n - m.discount[1] * (self.t_root + self.more_t)
+        return (own + (STRENGTH + m.discount[1] * m.tables[0]) * m.base) / (STRENGTH + m.customers[0])
 
     def sweep(self, m: "Totals") -> None:
         """One Gibbs sweep from the leaves up: the tables of each (word, restaurant) anew."""
-        root = self.p_root(m)
-        cls = self.p_class(m, root)
-        leaf = self.leaf
-        self.t_leaf[leaf] = _tables(self.n[leaf], (STRENGTH + m.discount[0] * m.tables[self.where[leaf]]) * cls[self.up[leaf]], m.discount[0], self.random)
-        self._fold()
-        self.t_class = _tables(self.n_class, (STRENGTH + m.discount[1] * m.tables[FIRST_CLASS + self.pair_class]) * root[self.pair_word], m.discount[1], self.random)
+        a = (STRENGTH + m.discount[0] * m.tables[1 + self.context]) * self.p_root(m)[self.word]
+        self.t_leaf = _tables(self.n, a, m.discount[0], self.random)
         self._fold()
-        self.t_root = _tables(self.n_root, np.full(len(self.words), (STRENGTH + m.discount[2] * m.tables[ROOT]) * m.base), m.discount[2], self.random)
+        self.t_root = _tables(self.n_root, (STRENGTH + m.discount[1] * m.tables[0]) * m.base * self.share, m.discount[1], self.random)
 
     def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables by restaurant."""
-        leaf = self.leaf
-        n = np.bincount(self.where[leaf], self.n[leaf], len(self.classes)).astype(float)
-        t = np.bincount(self.where[leaf], self.t_leaf[leaf], len(self.classes)).astype(float)
-        n[FIRST_CLASS:ROOT] = np.bincount(self.pair_class, self.n_class, CLASSES)
-        t[FIRST_CLASS:ROOT] = np.bincount(self.pair_class, self.t_class, CLASSES)
-        n[ROOT], t[ROOT] = self.n_root.sum(), self.t_root.sum()
-        return n, t
+        """Customers and tables: the root's, then those of each context."""
+        n, t = (np.bincount(self.context, x, len(self.contexts)) for x in (self.n, self.t_leaf))
+        return np.concatenate([[self.n_root.sum()], n]), np.concatenate([[self.t_root.sum()], t])
 
     def together(self, others: "Totals") -> "Totals":
         """The totals of all buckets from those of the others."""
         n, t = self.totals()
-        return Totals(others.customers + n, others.tables + t, others.discount, others.base)
+        return others.of(others.customers + n, others.tables + t)
 
-    def once_twice(self) -> np.ndarray:
-        """Words sitting alone and in twos at the leaves, the classes and the root."""
-        return np.array([[(n == 1).sum(), (n == 2).sum()] for n in (self.n[self.leaf], self.n_class, self.n_root)], float)
+    def once_twice(self) -> list[tuple[float, float]]:
+        """Words sitting alone and in twos at the leaves and the root."""
+        return [(float((n == 1).sum()), float((n == 2).sum())) for n in (self.n, self.n_root)]
 
-    def answers(self, others: "Totals", samples: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(block, log10 probability of each request, training count of each request's word)."""
-        sums: list[np.ndarray] = []
+    def answers(self, others: "Totals", samples: int) -> Iterator[tuple[int, np.ndarray, tuple, np.ndarray]]:
+        """(block, log10 probability of each request, numbers of requests by word, training count of each of these words)."""
         asked = []
-        for block, u, per, r, _ in self.requests:
-            at = np.searchsorted(self.words, u)
-            at[at == len(self.words)] = 0
-            hit = self.words[at] == u if len(self.words) else np.zeros(len(u), bool)
-            per = _counts(per)
-            r = r.astype(np.int64)
-            leaf = r >= FIRST_LEAF
-            kind = self.classes[r]
-            w, known = np.repeat(at, per), np.repeat(hit, per)
-            pair = _find(self.pairs, w * CLASSES + kind, known)
-            own = _find(self.word * len(self.classes) + self.where, w * len(self.classes) + r, known & leaf)
-            w, r, kind, pair, own = (x.astype(np.int32) for x in (w, r, kind, pair, own))
-            asked.append((block, w, known, r, leaf, kind, pair, own))
-            sums.append(np.zeros(len(r)))
+        for block, per, pair in self.requests:
+            own = _find(self.pair, pair).astype(np.int32)
+            asked.append((block, per, (pair // len(self.contexts)).astype(np.int32), (pair % len(self.contexts)).astype(np.int32), own, np.zeros(len(pair))))
+        self.requests.clear()
         for i in range(BURN_IN + samples):
             self.sweep(self.together(others))
             if i < BURN_IN:
                 continue
             m = self.together(others)
-            root, unknown = self.p_root(m), (STRENGTH + m.discount[2] * m.tables[ROOT]) * m.base / (STRENGTH + m.customers[ROOT])
-            for total, (_, w, known, r, leaf, kind, pair, own) in zip(sums, asked, strict=True):
-                p = np.where(known, root[w] if len(root) else 0.0, unknown)
-                k = FIRST_CLASS + kind
-                p = (_at(self.n_class - m.discount[1] * self.t_class, pair) + (STRENGTH + m.discount[1] * m.tables[k]) * p) / (STRENGTH + m.customers[k])
-                q = (_at(self.n - m.discount[0] * self.t_leaf, own) + (STRENGTH + m.discount[0] * m.tables[r]) * p) / (STRENGTH + m.customers[r])
-                total += np.where(leaf, q, p)
-        for total, (block, w, known, *_) in zip(sums, asked, strict=True):
-            yield block, np.log10(total / samples), np.where(known, self.total[w] if len(self.total) else 0, 0)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray, known: np.ndarray) -> np.ndarray:
+            root, leaf = self.p_root(m), self.n - m.discount[0] * self.t_leaf
+            room, size = STRENGTH + m.discount[0] * m.tables[1:], STRENGTH + m.customers[1:]
+            for _, _, w, c, own, total in asked:
+                total += (_at(leaf, own) + room[c] * root[w]) / size[c]
+        n = self.total.copy()
+        for i, x in self.of_hot:
+            n[i] = x[2]
+        for block, per, w, _, _, total in asked:
+            counts = _counts(per)
+            yield block, np.log10(total / samples), per, n[w[np.cumsum(counts) - counts]]
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The place of each wanted key in sorted ``keys``, or -1."""
     if not len(keys):
         return np.full(len(wanted), -1)
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where(known & (keys[at] == wanted), at, -1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -369,47 +365,63 @@ def _tables(n: np.ndarray, a: np.ndarray, d: float, random: np.random.Generator)
 
 @dataclass
 class Totals:
-    """What all buckets need of each other: customers and tables by restaurant, discounts, and the root's base."""
+    """What all buckets need of each other: customers and tables (the root's first, then by context), discounts of leaves and root, the root's base."""
 
     customers: np.ndarray
     tables: np.ndarray
     discount: np.ndarray
     base: float
 
+    @property
+    def root(self) -> np.ndarray:
+        return np.array([self.customers[0], self.tables[0]])
 
-def _sum_totals(asked: DataFrame, answers: DataFrame | None, buckets: int, before: Totals | None) -> tuple[Totals, DataFrame, int, int]:
-    """The totals over all buckets, after sweeps with the totals before if there are any; training tokens and their kinds.
+    def of(self, customers: np.ndarray, tables: np.ndarray) -> "Totals":
+        return Totals(customers, tables, self.discount, self.base)
 
-    Totals are those of the classes and the root, and a frame (block, bucket, payload): what each bucket had of
-    these, in its first row, and the totals of other buckets in its contexts.
+
+@dataclass
+class Round:
+    """What is known after all buckets were summed: the root's totals, split words, training tokens and their kinds, and each bucket's answers."""
+
+    shared: Totals
+    hot: Hot
+    tokens: int
+    kinds: int
+    answers: DataFrame
+    kept: DataFrame
+
+
+def _sum_totals(asked: DataFrame, last: Round | None, buckets: int, hot: dict[int, int]) -> Round:
+    """The totals over all buckets, after sweeps with the last round's if there was one.
+
+    ``answers`` has (block, bucket, payload): what each bucket had of the root, in its first row, and the
+    totals of other buckets in its contexts.
     """
+    shared, split = (last.shared, last.hot) if last else (None, Hot())
+    parts_of = {int(p): w for w, n in hot.items() for p in _parts(w, n).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for number, rows in _groups(batches):
-            b, others = _open(number, rows, before)
-            for _ in range(BURN_IN if before else 0):
+            b, others = _open(number, rows, shared, split)
+            del rows
+            b.requests.clear()
+            for _ in range(BURN_IN if others else 0):
                 b.sweep(b.together(others))
             n, t = b.totals()
-            few = b.once_twice()
-            keys = [*range(FIRST_LEAF), -1, -2, -3, -4]
-            none = [None] * len(keys)
-            yield _rows([-1] * len(keys), keys, none, [*n[:FIRST_LEAF], *few[:, 0], float(b.total.sum())], [*t[:FIRST_LEAF], *few[:, 1], float(len(b.words))])
-            yield _rows([-2], [number], [pickle.dumps((n[:FIRST_LEAF], t[:FIRST_LEAF]), 5)], [None], [None])
-            shard = (b.contexts >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(24)
+            mine = [(w, float(b.n_root[i]), float(b.t_root[i]), int(b.total[i])) for i, w in enumerate(b.words.tolist()) if w in parts_of] if parts_of else []
+            sums = [*b.once_twice(), (float(b.total.sum()), float((b.total > 0).sum() - sum(x[3] > 0 for x in mine)))]
+            yield _row([-1, -2], [number] * 2, [pickle.dumps(x, 5) for x in ((n[0], t[0], sums, mine), (n[0], t[0]))])
+            shard = (b.contexts >> np.uint64(8)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(shard, np.arange(buckets + 1, dtype=np.uint64))
-            n, t = n[FIRST_LEAF:].astype(np.int64), t[FIRST_LEAF:].astype(np.int64)
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            for at in range(0, len(full), 64):
-                part = [(s, pickle.dumps((_pack(b.contexts[cuts[s] : cuts[s + 1]]), _small(n[cuts[s] : cuts[s + 1]]), _small(t[cuts[s] : cuts[s + 1]])), 5)) for s in full[at : at + 64]]
-                none = [None] * len(part)
-                yield _rows([s for s, _ in part], [number] * len(part), [x for _, x in part], none, none)
-            del b, others, rows
+            n, t = n[1:].astype(np.int64), t[1:].astype(np.int64)
+            for part in batched(np.flatnonzero(np.diff(cuts)).tolist(), 64):
+                cells = [[x[cuts[s] : cuts[s + 1]] for x in (b.contexts, n, t)] for s in part]
+                yield _row(part, [number] * len(part), [pickle.dumps((_pack(c), _small(x), _small(y)), 5) for c, x, y in cells])
+            del b, others
             _base.trim()
 
-    def _rows(shard: list, bucket: list, payload: list, n: list, t: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), pa.array(n, pa.float64()), pa.array(t, pa.float64())], ["shard", "bucket", "payload", "n", "t"])
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for shard, rows in _groups(batches):
@@ -420,90 +432,85 @@ def _sum_totals(asked: DataFrame, answers: DataFrame | None, buckets: int, befor
             ends = np.cumsum([len(c) for c in contexts]).tolist()
             for (bucket, _), (_, own_n, own_t), a, z in zip(rows, parts, [0, *ends[:-1]], ends, strict=True):
                 others = [_small(total[which[a:z]] - _counts(own)) for total, own in ((n, own_n), (t, own_t))]
-                payload = pickle.dumps(others, 5)
-                yield pa.RecordBatch.from_arrays([pa.array([shard - buckets], pa.int64()), pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
-
-    found = _base.keep(_gather(asked, answers, buckets).mapInArrow(run, "shard int, bucket int, payload binary, n double, t double"), "totals")
-    sums = {r["bucket"]: (r["n"], r["t"]) for r in found.where("shard = -1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect()}
-    get = lambda k: sums.get(k, (0.0, 0.0))
-    discount = np.array([np.clip(get(k)[0] / max(1.0, get(k)[0] + 2 * get(k)[1]), 0.05, 0.95) for k in (-1, -2, -3)])
-    tokens, kinds = int(get(-4)[0]), int(get(-4)[1])
-    shared = Totals(np.array([get(k)[0] for k in range(FIRST_LEAF)]), np.array([get(k)[1] for k in range(FIRST_LEAF)]), discount, 1 / (kinds + 1))
-    parts = found.where("shard >= 0").select("bucket", "shard", "payload").repartition(buckets, "shard").sortWithinPartitions("shard", "bucket")
-    own = found.where("shard = -2").select(F.lit(-buckets - 1).cast("long").alias("block"), "bucket", "payload")
-    answered = own.unionByName(parts.mapInArrow(merge, "block long, bucket int, payload binary"))
-    answered._kept_at = found._kept_at  # what it reads
-    return shared, answered, tokens, kinds
-
-
-def _answer(asked: DataFrame, answers: DataFrame, buckets: int, shared: Totals) -> DataFrame:
+                yield _row([shard - buckets], [bucket], [pickle.dumps(others, 5)])
+
+    found = _base.keep(_gather(asked, last.answers if last else None, buckets).mapInArrow(run, _KINDS), "totals")
+    sums = [pickle.loads(r["payload"]) for r in found.where("block = -1").select("payload").collect()]  # a few numbers for each bucket
+    few = np.array([x[2] for x in sums]).reshape(-1, 3, 2).sum(0)
+    mine = {w: x for *_, m in sums for w, *x in m}
+    whole: dict[int, np.ndarray] = {}
+    for p, w in parts_of.items():
+        whole[w] = whole.get(w, np.zeros(3)) + mine.get(p, (0.0, 0.0, 0))
+    split = Hot({p: (whole[w][0], whole[w][1], int(whole[w][2]), *mine.get(p, (0.0, 0.0, 0))[:2], hot[w]) for p, w in parts_of.items()})
+    tokens, kinds = int(few[2, 0]), int(few[2, 1]) + sum(x[2] > 0 for x in whole.values())
+    discount = np.array([np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95) for one, two in few[:2]])
+    shared = Totals(np.array([sum(x[0] for x in sums)], float), np.array([sum(x[1] for x in sums)], float), discount, 1 / (kinds + 1))
+    parts = found.where("block >= 0").select(F.col("bucket").cast("long").alias("block"), F.col("block").cast("int").alias("bucket"), "payload")
+    answered = parts.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(merge, _KINDS)
+    own = found.where("block = -2").select(F.lit(-buckets - 1).cast("long").alias("block"), "bucket", "payload")
+    return Round(shared, split, tokens, kinds, own.unionByName(answered), found)
+
+
+def _answer(asked: DataFrame, last: Round, buckets: int) -> DataFrame:
     """(block, bucket, payload): the answers to each block's requests."""
+    shared, split = last.shared, last.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for number, rows in _groups(batches):
-            b, others = _open(number, rows, shared)
-            for block, log_p, n in b.answers(others, SAMPLES):
-                payload = pickle.dumps((log_p.astype(np.float32), _small(n)), 5)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["block", "bucket", "payload"])
-            del b, others, rows
+            b, others = _open(number, rows, shared, split)
+            del rows
+            for block, log_p, per, n in b.answers(others, SAMPLES):
+                yield _row([block], [number], [pickle.dumps((log_p.astype(np.float32), per, _small(n)), 5)])
+            del b, others
             _base.trim()
 
-    return _gather(asked, answers, buckets).mapInArrow(run, "block long, bucket int, payload binary")
+    return _gather(asked, last.answers, buckets).mapInArrow(run, _KINDS)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs`` (doc_id, text, held_out).
 
-    Rows with ``held_out`` aren't learned from. Null and empty texts have one token, their end. Without any
-    training row every token is unknown. Repeated rows get the same scores.
+    Rows with ``held_out`` aren't learned from. Null and empty texts have one token, their end. A text of any length is
+    scored whole, in a block of its own if it is longer than a block. Without any training row every token is unknown.
+    Repeated rows get the same scores. Other columns of ``docs`` aren't kept, whatever their names.
     """
-    buckets = max(1, -(-_count(docs) // BUCKET_TOKENS))
-    path = _base.new_folder(docs.sparkSession, "asked")
-    _ask(docs, buckets).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
-    rows = docs.sparkSession.read.schema("block long, bucket int, payload binary, kind int").parquet(path)
+    tokens, hot = _survey(docs)
+    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    spark = docs.sparkSession
+    path = _base.new_folder(spark, "asked")
+    _ask(docs, buckets, hot).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
+    rows = spark.read.schema(f"{_KINDS}, kind int").parquet(path)
     asked, own = (rows.where(f"kind = {k}").drop("kind") for k in (1, 0))
-    shared = answers = None
+    last = None
     for _ in range(2):
-        before = answers
-        shared, answers, train_tokens, kinds = _sum_totals(asked, before, buckets, shared)
-        _base.drop(*[before] if before is not None else [])
-    both = own.unionByName(_answer(asked, answers, buckets, shared))
+        before = last
+        last = _sum_totals(asked, before, buckets, hot)
+        _base.drop(*[before.kept] if before else [])
+    answered = _base.keep(_answer(asked, last, buckets), "answers")
+    _base.drop(last.kept)
+    _base.remove(spark, f"{path}/kind=1")
+    train_tokens, kinds = last.tokens, last.kinds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
-        at, own, parts = None, None, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, held, places, stream, wide, cuts = pickle.loads(own)
+        for _, rows in _groups(batch.select(["bucket", "block", "payload"]) for batch in batches):
+            ids, held, places, stream, wide, cuts = pickle.loads(rows[0][1])
             log_p, n = np.zeros(cuts[-1], np.float32), np.zeros(cuts[-1], np.int64)
-            for b, raw in parts:
-                x, y = pickle.loads(raw)
-                log_p[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]] = x, _counts(y)
+            for b, raw in rows[1:]:
+                x, per, y = pickle.loads(raw)
+                log_p[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]] = x, np.repeat(_counts(y), _counts(per))
+            del rows
             cells = np.zeros((len(stream) // wide, 4), np.uint8)
             cells[:, :wide] = np.frombuffer(stream, np.uint8).reshape(-1, wide)
-            tokens = cells.view("<u4").ravel()
+            token = cells.view("<u4").ravel()
             base = np.log10((n + 0.1) / (train_tokens + 0.1 * (kinds + 1)))
-            sums = lambda x: np.add.reduceat(x[tokens].astype(float), places[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(places)), pa.array(sums(n > 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(log_p))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-            )
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, bucket, payload = (batch.column(k)[i].as_py() for k in range(3))
-                if block != at:
-                    if own is not None:
-                        yield from out()
-                    at, own, parts = block, None, []
-                if bucket < 0:
-                    own = payload
-                else:
-                    parts.append((bucket, payload))
-        if own is not None:
-            yield from out()
-
-    placed = both.repartition("block").sortWithinPartitions("block", "bucket")
+            sums = lambda x: np.add.reduceat(x[token].astype(float), places[:-1])
+            columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(places)), pa.array(sums(n > 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(log_p))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            _base.trim()
+
+    placed = own.unionByName(answered).repartition("block").sortWithinPartitions("block", "bucket")
     scored = placed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -499,33 +499,6 @@ def test_language_model(spark):
     assert lm.score(rows.limit(0)).count() == 0
 
 
-def test_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(17)
-    words = np.sort(rng.integers(1, 2**62, 40).astype(np.uint64))
-    classes = np.array([0, 0, 1])
-    per, r, n = [], [], []
-    for _ in words:
-        at = np.sort(rng.choice(np.array([0, 1, 2, lm.FIRST_CLASS + 3]), rng.integers(1, 4), replace=False))
-        per.append(len(at))
-        r += at.tolist()
-        n += rng.integers(1, 60, len(at)).tolist()
-    import pickle
-
-    raw = pickle.dumps((words, lm._small(np.array(per)), np.array(r, np.uint16), lm._small(np.array(n, np.uint32))))
-    b = lm.Bucket(1, [(0, raw)], classes)
-    start = lm.Totals(*b.totals(), np.full(3, 0.5), 1 / 41)
-    b.sweep(start)
-    m = lm.Totals(*b.totals(), np.full(3, 0.5), 1 / 41)
-    root = b.p_root(m)
-    unknown = (lm.STRENGTH + 0.5 * m.tables[lm.ROOT]) * m.base / (lm.STRENGTH + m.customers[lm.ROOT])
-    assert abs(root.sum() + unknown - 1) < 1e-9
-    cls = b.p_class(m, root)
-    for k in (0, 1, 3):
-        seen = b.pair_class == k
-        room = (lm.STRENGTH + 0.5 * m.tables[lm.FIRST_CLASS + k]) / (lm.STRENGTH + m.customers[lm.FIRST_CLASS + k])
-        assert abs(cls[seen].sum() + room * (1 - root[b.pair_word[seen]].sum()) - 1) < 1e-9
-
-
 def test_tables_follow_their_distribution():
     random_ = np.random.default_rng(18)
     for n, a, d in ((3, 0.7, 0.4), (6, 2.0, 0.6)):
@@ -545,36 +518,111 @@ def test_rare_words_are_contexts_of_their_own(spark):
     assert got[0] / got[1] > -0.6 * math.log10(3000)
 
 
-def test_probabilities_after_each_context_sum_to_one():
+def request(words, contexts, n):
+    """A bucket's requests of one block: every word in every context."""
     import pickle
 
+    return [(0, pickle.dumps((words, lm._small(np.full(len(words), len(contexts))), lm._pack(np.tile(contexts, len(words))), lm._small(n))))]
+
+
+def test_probabilities_after_each_context_sum_to_one():
     rng = np.random.default_rng(32)
     words = np.sort(rng.integers(1, 2**62, 40).astype(np.uint64))
-    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 6).astype(np.uint64), np.array([0, 0, 1, 1, 3, 64])))
-    r = np.tile(contexts, len(words))
-    n = rng.integers(0, 60, len(r)) * (rng.random(len(r)) < 0.6)
-    raw = pickle.dumps((words, lm._small(np.full(len(words), 6)), lm._pack(r), lm._small(n)))
-    b = lm.Bucket(1, [(0, raw)])
-    m = lm.Totals(*b.totals(), np.full(3, 0.5), 1 / (len(b.words) + 1))
+    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 6).astype(np.uint64)))
+    n = rng.integers(0, 60, 240) * (rng.random(240) < 0.6)
+    n[::6] += 1
+    n[:6] = 0  # a word that training text doesn't have
+    b = lm.Bucket(1, request(words, contexts, n))
+    known = int((b.total > 0).sum())
+    m = lm.Totals(*b.totals(), np.full(2, 0.5), 1 / (known + 1))
     for _ in range(3):
         b.sweep(m)
-        m = lm.Totals(*b.totals(), m.discount, m.base)
+        m = m.of(*b.totals())
     root = b.p_root(m)
-    cls = b.p_class(m, root)
-    assert (b.contexts == contexts).all() and b.leaf.all()
-    assert (m.customers[lm.FIRST_LEAF :] == n.reshape(-1, 6).sum(0)).all()
+    assert known == 39 and abs(root.sum() - 1) < 1e-9  # its probability is that of the unknown word
+    assert (m.customers[1:] == n.reshape(-1, 6).sum(0)).all()
     for k in range(6):
-        at = b.where == lm.FIRST_LEAF + k
-        kind = int(contexts[k] & np.uint64(127))
-        seen = b.pair_class == kind
-        room = (lm.STRENGTH + 0.5 * m.tables[kind]) / (lm.STRENGTH + m.customers[kind])
-        everywhere = room * root
-        everywhere[b.pair_word[seen]] = cls[seen]
-        own = (lm.STRENGTH + 0.5 * m.tables[lm.FIRST_LEAF + k]) / (lm.STRENGTH + m.customers[lm.FIRST_LEAF + k])
-        p = own * everywhere
-        p[b.word[at]] += (b.n[at] - 0.5 * b.t_leaf[at]) / (lm.STRENGTH + m.customers[lm.FIRST_LEAF + k])
-        unknown = own * room * (1 - root.sum())
-        assert abs(p.sum() + unknown - 1) < 1e-9
+        own = (lm.STRENGTH + 0.5 * m.tables[1 + k]) / (lm.STRENGTH + m.customers[1 + k])
+        p = own * root
+        at = b.context == k
+        p[b.word[at]] += (b.n[at] - 0.5 * b.t_leaf[at]) / (lm.STRENGTH + m.customers[1 + k])
+        assert abs(p.sum() - 1) < 1e-9
+
+
+def test_parts_of_a_split_word_sum_to_its_probability():
+    rng = np.random.default_rng(36)
+    parts = lm._parts(77, 3)
+    words = np.sort(np.concatenate([rng.integers(1, 2**62, 20).astype(np.uint64), parts]))
+    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 30).astype(np.uint64)))
+    n = rng.integers(0, 9, len(words) * 30)
+    b = lm.Bucket(1, request(words, contexts, n))
+    own = {int(w): (float(b.n_root[i]), float(b.t_root[i])) for i, w in enumerate(b.words.tolist()) if np.uint64(w) in parts}
+    total = np.array(list(own.values())).sum(0)
+    b = lm.Bucket(1, request(words, contexts, n), lm.Hot({w: (*total.tolist(), 5, *x, 3) for w, x in own.items()}))
+    m = lm.Totals(*b.totals(), np.full(2, 0.5), 1 / 22)
+    root = b.p_root(m)
+    split = np.isin(b.words, parts)
+    assert np.ptp(root[split]) < 1e-12  # each part's tokens have the whole word's probability
+    assert abs(root[~split].sum() + root[split][0] + (lm.STRENGTH + 0.5 * m.tables[0]) * m.base / (lm.STRENGTH + m.customers[0]) - 1) < 1e-9
+
+
+def held_out_score(got):
+    return sum(r["score"] for r in got if r["held_out"])
+
+
+def model_docs(seed, n):
+    rng = random.Random(seed)
+    follow = {f"w{i}": [f"w{rng.randrange(400)}" for _ in range(4)] for i in range(400)}
+    out = []
+    for i in range(n):
+        w = ["w0"]
+        for _ in range(rng.randint(5, 120)):
+            w.append("the" if rng.random() < 0.35 else rng.choice(follow.get(w[-1], [f"w{rng.randrange(400)}"])))
+        out.append((i, " ".join(w), i % 10 == 0))
+    return out
+
+
+def test_buckets_and_split_words(spark, monkeypatch):
+    docs = model_docs(37, 300)
+    schema = "doc_id long, text string, held_out boolean"
+    whole = lm.score(frame(spark, docs, schema)).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 2500)
+    tokens_, hot = lm._survey(frame(spark, docs, schema))
+    assert tokens_ == sum(len(words_of(t)) + 1 for _, t, _ in docs) and set(hot) >= {int(hash_words(b"the")[2][0])} and max(hot.values()) > 2
+    parted = lm.score(frame(spark, docs, schema).repartition(3)).orderBy("doc_id").collect()
+    for a, b in zip(whole, parted, strict=True):
+        assert tuple(a)[:5] == tuple(b)[:5] and abs(a["base_score"] - b["base_score"]) < 1e-6 * abs(a["base_score"])
+    assert abs(held_out_score(parted) / held_out_score(whole) - 1) < 0.02
+
+
+def test_scores_under_several_partitions(spark):
+    docs = model_docs(38, 200)
+    rows = frame(spark, docs, "doc_id long, text string, held_out boolean")
+    one, *others = ({r["doc_id"]: r["score"] for r in lm.score(rows.repartition(n)).collect()} for n in (1, 4, 9))
+    assert all(max(abs(one[i] - x[i]) for i in one) < 1e-3 for x in others)
+
+
+def test_model_beats_bigram_counts(spark):
+    """The model against bigrams interpolated with the base, at the best of nine weights."""
+    docs = model_docs(39, 400)
+    got = lm.score(frame(spark, docs, "doc_id long, text string, held_out boolean")).collect()
+    one, two, before = Counter(), Counter(), Counter()
+    for _, t, held in docs:
+        w = ["\x01", *words_of(t), "\x00"]
+        if not held:
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+            before.update(w[:-1])
+    n, v = sum(one.values()), len(one)
+    best = -math.inf
+    for weight in range(1, 10):
+        total = 0.0
+        for _, t, held in docs:
+            w = ["\x01", *words_of(t), "\x00"]
+            if held:
+                total += sum(math.log10(weight / 10 * (two[x] / before[x[0]] if before[x[0]] else 0) + (1 - weight / 10) * (one[x[1]] + 0.1) / (n + 0.1 * (v + 1))) for x in zip(w, w[1:]))
+        best = max(best, total)
+    assert held_out_score(got) > best
 
 
 def test_model_scores_do_not_follow_the_layout(spark):
