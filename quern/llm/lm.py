@@ -12,7 +12,7 @@ and the parent's probability of the word; a bucket's own part of the totals is u
 from the sweep before, as usual where Gibbs sampling is spread over machines. Predictive probabilities are averaged over the last sweeps.
 
 Tokens are looked up by blocks: a block of documents asks each bucket once for each different (word, context)
-it has, and keeps its documents as numbers into that list.
+it has, and keeps its documents' texts for the answers.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zstd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ BLOCK_BYTES = 16 << 20
 BUCKET_TOKENS = 1_250_000
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
+#: Log probabilities come back from the buckets in steps of 1 / FINE.
+FINE = 2048
 #: Up to so many customers the number of tables is drawn from its exact distribution.
 EXACT = 24
 _END, _START = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165))
@@ -42,23 +45,27 @@ _NAMES = ["block", "bucket", "payload"]
 _KINDS = "block long, bucket int, payload binary"
 
 
-def _contexts(words: np.ndarray) -> np.ndarray:
-    """Numbers of contexts: 40 bits of the hash of the word before."""
-    return words >> np.uint64(24)
+def _wide(tokens: int) -> int:
+    """Bytes of a context's number, so that one of so many tokens shares it with another with odds of at most about 1 / 128."""
+    return min(7, max(4, -(-(max(1, tokens // 16).bit_length() + 7) // 8)))
 
 
-def _pack(contexts: np.ndarray) -> bytes:
-    """Contexts in five bytes each."""
-    return contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _contexts(words: np.ndarray, wide: int) -> np.ndarray:
+    """Numbers of contexts: the upper ``wide`` bytes of the hash of the word before."""
+    return words >> np.uint64(64 - 8 * wide)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    cells = np.zeros((len(raw) // 5, 8), np.uint8)
-    cells[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _pack(contexts: np.ndarray, wide: int) -> bytes:
+    return np.ascontiguousarray(contexts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def _unpack(raw: bytes, n: int) -> np.ndarray:
+    cells = np.zeros((n, 8), np.uint8)
+    cells[:, : len(raw) // max(1, n)] = np.frombuffer(raw, np.uint8).reshape(n, -1) if n else 0
     return cells.view("<u8").ravel()
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(texts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word and context of each token, the end of each text among them, and the place of each text's first token (with the total last)."""
     starts, _, words = hash_words(b" ".join(texts).translate(LOWER))
     past = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
@@ -68,8 +75,8 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     token = np.empty(places[-1], np.uint64)
     token[at], token[places[1:] - 1] = words, _END
     before = np.empty(len(token), np.uint64)
-    before[places[:-1]] = _contexts(_START)
-    before[at + 1] = _contexts(words)  # of the token after each word
+    before[places[:-1]] = _contexts(_START, wide)
+    before[at + 1] = _contexts(words, wide)  # of the token after each word
     return token, before, places
 
 
@@ -113,7 +120,7 @@ def _survey(docs: DataFrame) -> tuple[int, dict[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for held in _blocks_of(batches):
-            token = _tokens([x[2] for x in held])[0]
+            token = _tokens([x[2] for x in held], 4)[0]
             words, n = np.unique(token, return_counts=True)
             often = n * 4096 >= len(token)
             words, n = words[often].view(np.int64).tolist(), n[often].tolist()
@@ -126,36 +133,49 @@ def _survey(docs: DataFrame) -> tuple[int, dict[int, int]]:
     return tokens, {int(np.int64(w).view(np.uint64)): -(-n // part) for w, n in sorted(found.items())}
 
 
-def _ask(docs: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
+@dataclass
+class Pairs:
+    """The different (word, context) of a block in the order of their words, and which of them each token is."""
+
+    words: np.ndarray
+    per: np.ndarray  # pairs of each word
+    contexts: np.ndarray
+    context: np.ndarray  # of each pair, its place among the contexts
+    which: np.ndarray
+    places: np.ndarray  # of each text's first token, with the total last
+
+
+def _pairs(texts: list[bytes], wide: int, hot: dict[int, int]) -> Pairs:
+    token, before, places = _tokens(texts, wide)
+    _split(token, before, hot)
+    words, pair = np.unique(token, return_inverse=True)
+    del token
+    contexts, c = np.unique(before, return_inverse=True)
+    del before
+    pair *= len(contexts)
+    pair += c
+    del c
+    pairs, which = np.unique(pair, return_inverse=True)
+    del pair
+    per = np.bincount(pairs // len(contexts), minlength=len(words))
+    return Pairs(words, per, contexts, (pairs % len(contexts)).astype(np.int32), which.astype(np.uint32), places)
+
+
+def _ask(docs: DataFrame, buckets: int, wide: int, hot: dict[int, int]) -> DataFrame:
     """(block, bucket, payload): requests to the buckets, and with bucket -1 the block's documents."""
 
     def block_rows(block: int, held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
-        token, before, places = _tokens([x[2] for x in held])
-        _split(token, before, hot)
-        words, pair = np.unique(token, return_inverse=True)
-        del token
-        contexts, c = np.unique(before, return_inverse=True)
-        del before
-        pair *= len(contexts)
-        pair += c
-        del c
-        pairs, which = np.unique(pair, return_inverse=True)
-        del pair
-        which = which.astype(np.uint32)
-        train = np.repeat(~np.array([x[1] for x in held], bool), np.diff(places))
-        n = np.bincount(which[train], minlength=len(pairs)).astype(np.uint32)
-        w, r = pairs // len(contexts), (pairs % len(contexts)).astype(np.int32)
-        del pairs, train
-        per = np.bincount(w, minlength=len(words))
-        of_words = np.searchsorted(_home(words, buckets), np.arange(buckets + 1))
-        cuts = np.concatenate([[0], np.cumsum(per)])[of_words]  # words ascend with their buckets
-        del w
-        wide = 3 if len(n) < 1 << 24 else 4
-        yield block, -1, pickle.dumps(([x[0] for x in held], [x[1] for x in held], places, np.ascontiguousarray(which.view(np.uint8).reshape(-1, 4)[:, :wide]).tobytes(), wide, cuts), 5)
-        del which
+        texts = [x[2] for x in held]
+        p = _pairs(texts, wide, hot)
+        train = np.repeat(~np.array([x[1] for x in held], bool), np.diff(p.places))
+        n = np.bincount(p.which[train], minlength=len(p.context)).astype(np.uint32)
+        p.which = None
+        of_words = np.searchsorted(_home(p.words, buckets), np.arange(buckets + 1))
+        cuts = np.concatenate([[0], np.cumsum(p.per)])[of_words]  # words ascend with their buckets
+        yield block, -1, pickle.dumps(([x[0] for x in held], [x[1] for x in held], [len(t) for t in texts], zstd.compress(b"".join(texts)), cuts), 5)
         for b in np.flatnonzero(np.diff(cuts)).tolist():
-            a, z = of_words[b], of_words[b + 1]
-            yield block, b, pickle.dumps((words[a:z], _small(per[a:z]), _pack(contexts[r[cuts[b] : cuts[b + 1]]]), _small(n[cuts[b] : cuts[b + 1]])), 5)
+            words, own = slice(of_words[b], of_words[b + 1]), slice(cuts[b], cuts[b + 1])
+            yield block, b, pickle.dumps((p.words[words], _small(p.per[words]), _pack(p.contexts[p.context[own]], wide), _small(n[own])), 5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
@@ -230,7 +250,7 @@ class Bucket:
     def __init__(self, number: int, requests: list[tuple[int, bytes]], hot: Hot = Hot()):
         loaded = [(block, *pickle.loads(raw)) for block, raw in requests]
         self.words = np.unique(np.concatenate([x[1] for x in loaded]))
-        named = [_unpack(x[3]) for x in loaded]
+        named = [_unpack(x[3], len(x[4][0])) for x in loaded]
         self.contexts = np.unique(np.concatenate(named))
         self.requests: list[tuple[int, tuple, np.ndarray]] = []  # block, numbers of requests by word, and word and context of each as one number
         for (block, u, per, _, _), c in zip(loaded, named, strict=True):
@@ -392,7 +412,7 @@ class Round:
     kept: DataFrame
 
 
-def _sum_totals(asked: DataFrame, last: Round | None, buckets: int, hot: dict[int, int]) -> Round:
+def _sum_totals(asked: DataFrame, last: Round | None, buckets: int, wide: int, hot: dict[int, int]) -> Round:
     """The totals over all buckets, after sweeps with the last round's if there was one.
 
     ``answers`` has (block, bucket, payload): what each bucket had of the root, in its first row, and the
@@ -413,12 +433,12 @@ def _sum_totals(asked: DataFrame, last: Round | None, buckets: int, hot: dict[in
             mine = [(w, float(b.n_root[i]), float(b.t_root[i]), int(b.total[i])) for i, w in enumerate(b.words.tolist()) if w in parts_of] if parts_of else []
             sums = [*b.once_twice(), (float(b.total.sum()), float((b.total > 0).sum() - sum(x[3] > 0 for x in mine)))]
             yield _row([-1, -2], [number] * 2, [pickle.dumps(x, 5) for x in ((n[0], t[0], sums, mine), (n[0], t[0]))])
-            shard = (b.contexts >> np.uint64(8)) * np.uint64(buckets) >> np.uint64(32)
+            shard = (b.contexts >> np.uint64(8 * wide - 32)) * np.uint64(buckets) >> np.uint64(32)
             cuts = np.searchsorted(shard, np.arange(buckets + 1, dtype=np.uint64))
             n, t = n[1:].astype(np.int64), t[1:].astype(np.int64)
             for part in batched(np.flatnonzero(np.diff(cuts)).tolist(), 64):
                 cells = [[x[cuts[s] : cuts[s + 1]] for x in (b.contexts, n, t)] for s in part]
-                yield _row(part, [number] * len(part), [pickle.dumps((_pack(c), _small(x), _small(y)), 5) for c, x, y in cells])
+                yield _row(part, [number] * len(part), [pickle.dumps((_pack(c, wide), _small(x), _small(y)), 5) for c, x, y in cells])
             del b, others
             _base.trim()
 
@@ -426,7 +446,7 @@ def _sum_totals(asked: DataFrame, last: Round | None, buckets: int, hot: dict[in
         _base.release()
         for shard, rows in _groups(batches):
             parts = [pickle.loads(raw) for _, raw in rows]
-            contexts = [_unpack(p[0]) for p in parts]
+            contexts = [_unpack(p[0], len(p[1][0])) for p in parts]
             known, which = np.unique(np.concatenate(contexts), return_inverse=True)
             n, t = (np.bincount(which, np.concatenate([_counts(p[i]) for p in parts]), len(known)).astype(np.int64) for i in (1, 2))
             ends = np.cumsum([len(c) for c in contexts]).tolist()
@@ -461,7 +481,7 @@ def _answer(asked: DataFrame, last: Round, buckets: int) -> DataFrame:
             b, others = _open(number, rows, shared, split)
             del rows
             for block, log_p, per, n in b.answers(others, SAMPLES):
-                yield _row([block], [number], [pickle.dumps((log_p.astype(np.float32), per, _small(n)), 5)])
+                yield _row([block], [number], [pickle.dumps((np.minimum(np.rint(log_p * -FINE), 65535).astype(np.uint16), per, _small(n)), 5)])
             del b, others
             _base.trim()
 
@@ -476,16 +496,16 @@ def score(docs: DataFrame) -> DataFrame:
     Repeated rows get the same scores. Other columns of ``docs`` aren't kept, whatever their names.
     """
     tokens, hot = _survey(docs)
-    buckets = max(1, -(-tokens // BUCKET_TOKENS))
+    buckets, wide = max(1, -(-tokens // BUCKET_TOKENS)), _wide(tokens)
     spark = docs.sparkSession
     path = _base.new_folder(spark, "asked")
-    _ask(docs, buckets, hot).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
+    _ask(docs, buckets, wide, hot).withColumn("kind", (F.col("bucket") >= 0).cast("int")).write.partitionBy("kind").parquet(path)
     rows = spark.read.schema(f"{_KINDS}, kind int").parquet(path)
     asked, own = (rows.where(f"kind = {k}").drop("kind") for k in (1, 0))
     last = None
     for _ in range(2):
         before = last
-        last = _sum_totals(asked, before, buckets, hot)
+        last = _sum_totals(asked, before, buckets, wide, hot)
         _base.drop(*[before.kept] if before else [])
     answered = _base.keep(_answer(asked, last, buckets), "answers")
     _base.drop(last.kept)
@@ -495,15 +515,16 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for _, rows in _groups(batch.select(["bucket", "block", "payload"]) for batch in batches):
-            ids, held, places, stream, wide, cuts = pickle.loads(rows[0][1])
+            ids, held, sizes, raw, cuts = pickle.loads(rows[0][1])
             log_p, n = np.zeros(cuts[-1], np.float32), np.zeros(cuts[-1], np.int64)
-            for b, raw in rows[1:]:
-                x, per, y = pickle.loads(raw)
-                log_p[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]] = x, np.repeat(_counts(y), _counts(per))
+            for b, payload in rows[1:]:
+                x, per, y = pickle.loads(payload)
+                log_p[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]] = x / -FINE, np.repeat(_counts(y), _counts(per))
             del rows
-            cells = np.zeros((len(stream) // wide, 4), np.uint8)
-            cells[:, :wide] = np.frombuffer(stream, np.uint8).reshape(-1, wide)
-            token = cells.view("<u4").ravel()
+            raw, ends = zstd.decompress(raw), np.cumsum([0, *sizes]).tolist()
+            p = _pairs([raw[a:z] for a, z in zip(ends, ends[1:], strict=False)], wide, hot)
+            token, places = p.which, p.places
+            del p, raw
             base = np.log10((n + 0.1) / (train_tokens + 0.1 * (kinds + 1)))
             sums = lambda x: np.add.reduceat(x[token].astype(float), places[:-1])
             columns = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(np.diff(places)), pa.array(sums(n > 0).astype(np.int64)), pa.array(sums(base)), pa.array(sums(log_p))]

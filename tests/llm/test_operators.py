@@ -522,13 +522,13 @@ def request(words, contexts, n):
     """A bucket's requests of one block: every word in every context."""
     import pickle
 
-    return [(0, pickle.dumps((words, lm._small(np.full(len(words), len(contexts))), lm._pack(np.tile(contexts, len(words))), lm._small(n))))]
+    return [(0, pickle.dumps((words, lm._small(np.full(len(words), len(contexts))), lm._pack(np.tile(contexts, len(words)), 4), lm._small(n))))]
 
 
 def test_probabilities_after_each_context_sum_to_one():
     rng = np.random.default_rng(32)
     words = np.sort(rng.integers(1, 2**62, 40).astype(np.uint64))
-    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 6).astype(np.uint64)))
+    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 6).astype(np.uint64), 4))
     n = rng.integers(0, 60, 240) * (rng.random(240) < 0.6)
     n[::6] += 1
     n[:6] = 0  # a word that training text doesn't have
@@ -553,7 +553,7 @@ def test_parts_of_a_split_word_sum_to_its_probability():
     rng = np.random.default_rng(36)
     parts = lm._parts(77, 3)
     words = np.sort(np.concatenate([rng.integers(1, 2**62, 20).astype(np.uint64), parts]))
-    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 30).astype(np.uint64)))
+    contexts = np.sort(lm._contexts(rng.integers(1, 2**62, 30).astype(np.uint64), 4))
     n = rng.integers(0, 9, len(words) * 30)
     b = lm.Bucket(1, request(words, contexts, n))
     own = {int(w): (float(b.n_root[i]), float(b.t_root[i])) for i, w in enumerate(b.words.tolist()) if np.uint64(w) in parts}
