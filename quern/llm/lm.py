@@ -531,7 +531,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
             _base.trim()
 
-    placed = own.unionByName(answered).repartition("block").sortWithinPartitions("block", "bucket")
+    placed = own.unionByName(answered).repartition(max(1, buckets // 4), "block").sortWithinPartitions("block", "bucket")
     scored = placed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
