@@ -1,21 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: an ordinary one from the words most spread over
-ordinary documents, and a toxic one that holds the same words and, nearest to the input, those that are
-significantly more spread over toxic documents. A window of text (by default one word) is compressed with
-either; the ordinary length minus the toxic length is its evidence. The three largest evidences of the
-whole text go through a calibrated logistic threshold.
-
-zstandard counts whole bytes and a back reference costs about three of them, so a bare word is too short to
-compare. Each byte is therefore written as ``EXPAND`` code bytes before training and compressing, which makes
-literals dear and references cheap without changing what can match.
+Two zstandard dictionaries are trained on labelled text: an ordinary one on whole ordinary texts, and a toxic one on
+the pieces of toxic text whose byte n-grams many toxic texts and no ordinary one have. A window of several words is
+compressed with the ordinary dictionary alone and with the toxic one beside it; the difference in length is its evidence. In
+the toxic one's place the first compressor has noise of the same length, so that equal references cost the same. The
+three largest evidences of the whole text go through a calibrated logistic threshold. Windows overlap by half.
+
+zstandard counts whole bytes and a back reference costs about three of them, so each byte is written as ``EXPAND`` code
+bytes before compressing, which makes literals dear and references cheap without changing what can match. A window
+that shares no ``GRAM`` bytes with what only the toxic dictionary has can't gain by it and isn't compressed.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,18 +25,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import _base
-from quern.llm._text import LOWER, mix
+from quern.llm._text import LOWER, SPACES, _spans, mix, windows
 
-EXPAND = 5
+EXPAND = 3
 TOP = 3
-_TRIM = b".,;:!?\"'()[]"
-_LONGEST = 96
-_CACHED = 250_000
-_CODES = [mix(np.arange(b * EXPAND + 1, (b + 1) * EXPAND + 1, dtype=np.uint64)).astype(np.uint8).tobytes() for b in range(256)]
+WINDOW, STRIDE = 4, 2
+GRAM = 5
+#: Bytes of an n-gram by which pieces of toxic text are found.
+PIECE = 6
+ORDINARY_BYTES = 65536
+#: Sizes of the toxic dictionary, of which the calibration picks the best.
+TOXIC_BYTES = (1024, 2048, 4096)
+_GROUP = 4 << 20
+_SLICE = 1 << 20
+_FOLD = bytes(32 if SPACES[b] else LOWER[b] for b in range(256))
+_CODES = mix(np.arange(1, 256 * EXPAND + 1, dtype=np.uint64)).astype(np.uint8).reshape(256, EXPAND)
 
 
 def _expand(text: bytes) -> bytes:
-    return b"".join([_CODES[b] for b in text])
+    return _CODES[np.frombuffer(text, np.uint8)].tobytes()
+
+
+def _grams(text: bytes, size: int) -> np.ndarray:
+    """The numbers of all runs of ``size`` bytes."""
+    return windows(text)[: max(0, len(text) - size + 1)] & np.uint64((1 << 8 * size) - 1)
+
+
+def _in(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``found``."""
+    if not len(found):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(found, values)
+    at[at == len(found)] = 0
+    return found[at] == values
 
 
 @dataclass
@@ -48,84 +68,131 @@ class ToxicityModel:
     toxic: bytes = b""
     weights: list[float] = field(default_factory=lambda: [0.0] * (TOP + 1))
     prior: float = 0.0
-    window_words: int = 1
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
 
 
 class Scorer:
-    """Scores texts; keeps the evidence of recent windows, so a frequent word is compressed once."""
+    """Scores texts with a model's two compressors."""
 
     def __init__(self, model: ToxicityModel):
         self.model = model
-        self.seen: dict[bytes, int] = {}
-        self.pair = [self._compressor(d) for d in (model.ordinary, model.toxic)] if model.toxic else None
+        if not model.toxic:
+            return
+        noise = mix(np.arange(1, EXPAND * len(model.toxic) + 1, dtype=np.uint64)).astype(np.uint8).tobytes()
+        self.pair = [self._compressor(_expand(model.ordinary) + x) for x in (noise, _expand(model.toxic))]
+        own = np.unique(_grams(model.toxic, GRAM))
+        self.own = own[~_in(own, np.unique(_grams(model.ordinary, GRAM)))]
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[self._slot(self.own)] = True
+
+    @staticmethod
+    def _slot(grams: np.ndarray) -> np.ndarray:
+        return grams * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)
 
     @staticmethod
     def _compressor(content: bytes) -> zstd.ZstdCompressor:
         how = zstd.ZstdCompressionParameters(
-            window_log=18, chain_log=17, hash_log=17, search_log=7, min_match=3, target_length=32, strategy=zstd.STRATEGY_BTOPT,
+            window_log=19, chain_log=18, hash_log=18, search_log=8, min_match=3, target_length=999, strategy=zstd.STRATEGY_BTULTRA2,
             write_content_size=0, write_dict_id=0, write_checksum=0, format=zstd.FORMAT_ZSTD1_MAGICLESS,
         )
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)
         return zstd.ZstdCompressor(dict_data=d, compression_params=how)
 
-    def evidence(self, window: bytes) -> int:
-        got = self.seen.get(window)
-        if got is None:
-            if len(self.seen) >= _CACHED:
-                self.seen.clear()
-            core = window.strip(_TRIM)
-            got = 0
-            for at in range(0, max(1, len(core)), _LONGEST):  # a very long word counts piece by piece
-                e = _expand(b" " + core[at : at + _LONGEST] + b" ")
-                got = max(got, len(self.pair[0].compress(e)) - len(self.pair[1].compress(e)))
-            self.seen[window] = got
-        return got
-
-    def features(self, text: bytes) -> list[int]:
-        words = text.translate(LOWER).split()
-        k = self.model.window_words
-        windows = words if k == 1 else [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
-        known, look = self.seen.get, self.evidence
-        got = [known(w) if w in self.seen else look(w) for w in windows]
-        top = sorted(got, reverse=True)[:TOP] if len(got) < 64 else np.sort(np.partition(np.array(got), -TOP)[-TOP:])[::-1].tolist()
-        return [*top, *[0] * (TOP - len(top))]
-
-    def scores(self, texts: Iterable[bytes]) -> list[float]:
-        if self.pair is None:
-            return [self.model.prior for _ in texts]
-        w = self.model.weights
-        out = []
-        for t in texts:
-            x = w[0] + sum(a * b for a, b in zip(w[1:], self.features(t), strict=True))
-            out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, x)))))
+    def evidence(self, some: list[bytes]) -> np.ndarray:
+        """By how many bytes the toxic dictionary shortens each window."""
+        if not some:
+            return np.zeros(0, np.int64)
+        plain, toxic = (np.array([len(x) for x in c.multi_compress_to_buffer(some, threads=1)], np.int64) for c in self.pair)
+        return plain - toxic
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        """The ``TOP`` largest evidences of each text, at least 0."""
+        out = np.zeros((len(texts), TOP))
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= _GROUP):
+                size += len(texts[upto])
+                upto += 1
+            out[at:upto] = self._group(texts[at:upto])
+            at = upto
         return out
 
+    def _group(self, texts: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(texts), TOP))
+        buf = b" %b " % b" ".join(texts).translate(_FOLD)
+        hits = []
+        for a in range(0, len(buf), _SLICE):
+            grams = _grams(buf[a : a + _SLICE + GRAM - 1], GRAM)
+            near = np.flatnonzero(self.maybe[self._slot(grams)])
+            hits.append(a + near[_in(grams[near], self.own)])
+        hit = np.concatenate(hits)
+        if not len(hit):
+            return out
+        starts, ends = _spans(np.frombuffer(buf, np.uint8), SPACES)
+        first = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]) + 1)])
+        word = np.unique(np.searchsorted(starts, hit + 1, "right") - 1)  # a gram may start with the space before its word
+        word = word[word >= 0]
+        doc = np.searchsorted(first, word, "right") - 1
+        start = (word - first[doc]) // STRIDE * STRIDE
+        begins = np.unique(np.concatenate([(first[doc] + start - k * STRIDE)[start >= k * STRIDE] for k in range(WINDOW // STRIDE)]))
+        doc = np.searchsorted(first, begins, "right") - 1
+        last = np.minimum(begins + WINDOW, first[doc + 1]) - 1
+        codes = _CODES[np.frombuffer(buf, np.uint8)].ravel() if len(begins) * 64 > len(buf) else None
+        cut = (lambda a, b: codes[a * EXPAND : b * EXPAND].tobytes()) if codes is not None else (lambda a, b: _expand(buf[a:b]))
+        e = self.evidence([cut(a, b) for a, b in zip((starts[begins] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)])
+        order = np.lexsort((-e, doc))
+        doc, e = doc[order], e[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        top = (rank < TOP) & (e > 0)
+        out[doc[top], rank[top]] = e[top]
+        return out
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        if not self.model.toxic:
+            return [self.model.prior for _ in texts]
+        x = self.model.weights[0] + self.features(texts) @ np.array(self.model.weights[1:])
+        return (1 / (1 + np.exp(-np.clip(x, -60, 60)))).tolist()
+
+
+def _folded(text: bytes) -> bytes:
+    return b" %b " % text.translate(_FOLD)
+
+
+def _pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """The different pieces of toxic text whose n-grams at least a hundredth of the toxic texts (and three) and no ordinary one have."""
+
+    def union(parts: Iterator[np.ndarray]) -> np.ndarray:
+        out, held, size = np.zeros(0, np.uint64), [], 0
+        for p in parts:
+            held.append(p)
+            size += len(p)
+            if size > 1 << 20:
+                out, held, size = np.unique(np.concatenate([out, *held])), [], 0
+        return np.unique(np.concatenate([out, *held]))
 
-def _spread(texts: list[bytes]) -> Counter:
-    """In how many different contexts (the word before) each word stands; copies of a text count once."""
-    seen: set[int] = set()
-    spread: Counter = Counter()
-    for t in texts:
-        before = b""
-        for w in t.translate(LOWER).split():
-            w = w.strip(_TRIM)
-            if (pair := hash((before, w))) not in seen:
-                seen.add(pair)
-                spread[w] += 1
-            before = w
-    return spread
+    usual = union(np.unique(_grams(_folded(t), PIECE)) for t in ordinary)
+    per = [x[~_in(x, usual)] for x in (np.unique(_grams(_folded(t), PIECE)) for t in toxic)]
+    grams, n = np.unique(np.concatenate([*per, np.zeros(0, np.uint64)]), return_counts=True)
+    grams = grams[n >= max(3, -(-len(toxic) // 100))]
+    out: dict[bytes, None] = {}
+    for t in toxic:
+        t = _folded(t)
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], _in(_grams(t, PIECE), grams), [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            out[t[max(0, a - 1) : b + PIECE]] = None
+    return list(out)
 
 
-def _surprise(n: int, m: int, share: float) -> float:
-    """Minus the log of the (Chernoff) bound on ``n`` of ``n + m`` falling on a side that has ``share`` of all."""
-    f = n / (n + m)
-    if f <= share:
-        return 0.0
-    return n * math.log(f / share) + (m * math.log((1 - f) / (1 - share)) if m else 0.0)
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained on ``samples``; where these are too few for zstandard's trainer, their last bytes."""
+    try:
+        return zstd.train_dictionary(size, samples, k=16, d=6).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
@@ -142,34 +209,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], share: float, dictionary_words: int = 2000, chance: float = 0.05) -> ToxicityModel:
+def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> ToxicityModel:
     """A model from toxic and ordinary texts; ``share`` is the share of toxic documents among all.
 
-    A toxic word is one whose spread is so one-sided that among all words ``chance`` such words would be
-    expected if toxicity had no words of its own. Two thirds of either side train the dictionaries, the rest the calibration.
+    Two thirds of either side train the dictionaries, the rest the calibration, which also picks the size of the
+    toxic dictionary by its likelihood. Where no piece of text is toxic only, all texts get ``share`` as their score.
     """
     if not toxic or not ordinary:
         return ToxicityModel(prior=share)
     cut = [max(1, len(s) * 2 // 3) for s in (toxic, ordinary)]
-    a, b = _spread(toxic[: cut[0]]), _spread(ordinary[: cut[1]])
-    ratio = max(1, a.total()) / max(1, b.total())
-    usual, least = ratio / (1 + ratio), math.log(len(a) / chance) if a else 0.0
-    toxic_words = [w for w, n in a.items() if len(w) > 2 and n >= 10 * b[w] * ratio and _surprise(n, b[w], usual) >= least]
-    toxic_words = sorted(toxic_words, key=lambda w: (-a[w], w))[:dictionary_words]
-    held = set(toxic_words)
-    common = [w for w, _ in sorted(b.items(), key=lambda x: (-x[1], x[0])) if w not in held][:dictionary_words]
-    if not toxic_words:
+    pieces = _pieces(toxic[: cut[0]], ordinary[: cut[1]])
+    if not pieces:
         return ToxicityModel(prior=share)
-    base = _expand(b" ".join(reversed(common)) or b" ")
-    model = ToxicityModel(base, base + _expand(b" " + b" ".join(reversed(toxic_words)) + b" "), prior=share)
-    scorer = model.scorer()
+    base = _dictionary([_folded(t) for t in ordinary[: cut[1]]], ORDINARY_BYTES)
     sides = [toxic[cut[0] :] or toxic, ordinary[cut[1] :] or ordinary]
-    x = np.array([scorer.features(t) for s in sides for t in s], float)
     y = np.repeat([1.0, 0.0], [len(s) for s in sides])
-    share = min(max(share, 1e-6), 1 - 1e-6)
-    weight = np.where(y == 1, share / len(sides[0]), (1 - share) / len(sides[1])) * len(y)
-    model.weights = _logistic(x, y, weight)
-    return model
+    odds = min(max(share, 1e-6), 1 - 1e-6)
+    weight = np.where(y == 1, odds / len(sides[0]), (1 - odds) / len(sides[1])) * len(y)
+    best, least = None, math.inf
+    for size in TOXIC_BYTES:
+        model = ToxicityModel(base, _dictionary(pieces, size), prior=share)
+        x = model.scorer().features([t for s in sides for t in s])
+        model.weights = _logistic(x, y, weight)
+        z = np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -60, 60)
+        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+        if loss < least:
+            best, least = model, loss
+    return best
 
 
 def fit(
@@ -207,18 +273,18 @@ def fit(
     return train(*sides, share)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) added, from the whole text alone.
+def score(docs: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
+    """``docs`` with ``into`` (0 to 1) added, from the whole text alone.
 
-    Null and empty texts get the score of a text without evidence. Repeated rows get the same score. A column
-    that is already named ``toxicity`` is replaced.
+    Null and empty texts get the score of a text without evidence. Repeated rows get the same score. A text of any
+    length is scored whole, slice by slice. A column that is already named ``into``, whatever the case, is replaced.
     """
-    docs = docs.drop("toxicity")
-    schema = _base.with_fields(docs, toxicity=T.DoubleType())
+    docs = docs.drop(into)
+    schema = _base.with_fields(docs, **{into: T.DoubleType()})
 
     def make():
         scorer = model.scorer()
-        return lambda batch: batch.append_column("toxicity", pa.array(scorer.scores(_base.texts_of(batch, "text")), pa.float64()))
+        return lambda batch: batch.append_column(into, pa.array(scorer.scores(_base.texts_of(batch, "text")), pa.float64()))
 
     return _base.map_rows(docs, make, schema)
 

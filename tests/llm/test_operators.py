@@ -665,6 +665,40 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum((got[i] >= 0.5) == y for i, y in held) >= 0.97 * len(held)
 
 
+def test_toxicity_of_words_never_seen_whole(spark):
+    """Toxic stems in new words: no list of the training text's words holds them."""
+    rng = random.Random(40)
+    syllables = ["ab", "en", "or", "ti", "su", "mo", "la", "ek"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(rng.randint(60, 160))]
+        for _ in range(4 if i % 6 == 0 else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["grubvil", "scabnox", "wretzul"]) + word() + word())
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    docs, labels = frame(spark, [r[:2] for r in rows]), frame(spark, [(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    held = [(i, y, set(t.split())) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    seen = {w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 for w in t.split()}
+    new = [(got[i] >= 0.5) == y for i, y, w in held if not y or not any(x in seen for x in w if x[:7] in ("grubvil", "scabnox", "wretzul"))]
+    assert sum((got[i] >= 0.5) == y for i, y, _ in held) >= 0.95 * len(held) and sum(new) >= 0.95 * len(new)
+
+
+def test_windows_equal_every_window_compressed():
+    rows = labelled(random.Random(41), 300)
+    model = toxicity.train([t.encode() for _, t, y in rows if y], [t.encode() for _, t, y in rows if not y], 0.2)
+    scorer = model.scorer()
+    texts = [rows[0][1], "", " \t", "one", rows[5][1].upper() + "\n" + rows[1][1], "é " * 5 + "grubbish", "grubbish " * 9]
+    got = scorer.features([t.encode() for t in texts])
+    for x, t in zip(got, texts, strict=True):
+        words = t.encode().translate(toxicity._FOLD).split()
+        every = [b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" " for i in range(0, len(words), toxicity.STRIDE)]
+        every = [w for w in every if np.isin(toxicity._grams(w, toxicity.GRAM), scorer.own).any()]
+        best = sorted((e for e in scorer.evidence([toxicity._expand(w) for w in every]).tolist() if e > 0), reverse=True)
+        assert x.tolist() == [*best, 0, 0, 0][:3]
+    assert got[0].sum() > 0 and got[6].sum() > 0
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = labelled(random.Random(20), 200)
     model = toxicity.train([t.encode() for _, t, y in rows if y], [t.encode() for _, t, y in rows if not y], 0.2)
