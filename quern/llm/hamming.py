@@ -1,12 +1,13 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A block of codes is indexed once for each 16-bit segment. A query searches its segments in turn with growing
-radius: once radius r is done in the first j + 1 of m segments (and r - 1 in the rest), every code within
+A block of codes is indexed once for each segment; a segment has about as many bits as the logarithm of the block's
+codes, so that a lookup meets about one code whatever the block's size. A query searches its segments in turn with
+growing radius: once radius r is done in the first j + 1 of m segments (and r - 1 in the rest), every code within
 m * r + j has been seen, since a code further away in each segment is further away in all. The search
-ends when the kth distance verified so far lies within that. Where the next radius would need more
-lookups than the block has codes, the rest of the block is verified instead, which is exact as well.
+ends when the kth distance verified so far, or known from another block, lies within that.
 
-Blocks of codes meet blocks of queries; a block's k best go on to the k best of all.
+Blocks of codes meet blocks of queries in two rounds: in the first each block of queries meets one block of codes,
+whose kth distances bound the searches of the second. A block's k best go on to the k best of all.
 """
 
 from __future__ import annotations
@@ -23,15 +24,16 @@ from pyspark.sql import types as T
 
 from quern.llm import _base
 
-SEGMENT = 16
 CODES = 16384
-QUERIES = 1024
+QUERIES = 256
 #: Tasks that share the codes of one block of queries.
 SPREAD = 32
+#: Up to so many pairs of blocks have a task each; of more, a task has up to 64.
+TASKS = 1024
 
 
 def binarize(vectors: DataFrame, column: str, into: str = "code") -> DataFrame:
-    """``vectors`` with the signs of ``column`` (1 where positive) as bytes, padded with zeros to whole segments; null stays null."""
+    """``vectors`` with the signs of ``column`` (1 where positive) as bytes, padded with zeros; null stays null."""
     schema = _base.with_fields(vectors.drop(into), **{into: T.BinaryType()})
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -41,68 +43,72 @@ def binarize(vectors: DataFrame, column: str, into: str = "code") -> DataFrame:
                 codes.append(None)
             else:
                 bits = np.array([x is not None and x > 0 for x in v], np.uint8)
-                codes.append(np.packbits(np.pad(bits, (0, -len(bits) % SEGMENT))).tobytes())
+                codes.append(np.packbits(bits).tobytes())
         return batch.append_column(into, pa.array(codes, pa.binary()))
 
     return _base.map_rows(vectors.drop(into), lambda: step, schema)
 
 
-_MASKS: dict[int, np.ndarray] = {}
+_MASKS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def masks(radius: int) -> np.ndarray:
-    """All 16-bit words with ``radius`` bits set."""
-    if radius not in _MASKS:
-        _MASKS[radius] = np.array([sum(1 << b for b in bits) for bits in combinations(range(SEGMENT), radius)], np.int64)
-    return _MASKS[radius]
+def masks(bits: int, radius: int) -> np.ndarray:
+    """All words of ``bits`` bits with ``radius`` of them set."""
+    if (bits, radius) not in _MASKS:
+        _MASKS[bits, radius] = np.array([sum(1 << b for b in set_) for set_ in combinations(range(bits), radius)], np.int64)
+    return _MASKS[bits, radius]
 
 
 class Index:
-    """A multi-index over codes (n x m segments of 16 bits) with their ids."""
+    """A multi-index over codes (n rows of bytes) with their ids."""
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.codes = ids[order], codes[order]
-        self.segments = codes.shape[1]
-        self.orders = [np.argsort(self.codes[:, j], kind="stable") for j in range(self.segments)]
-        self.starts = [np.searchsorted(self.codes[o, j], np.arange((1 << SEGMENT) + 1)) for j, o in enumerate(self.orders)]
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the ``k`` nearest, by distance, then id."""
-        n = len(self.ids)
-        seen = np.zeros(n, bool)
+        bits = 8 * codes.shape[1]
+        self.segments = -(-bits // min(16, max(4, round(np.log2(max(2, len(ids)))))))
+        self.cuts = [bits * j // self.segments for j in range(self.segments + 1)]
+        self.widths = [b - a for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+        keys = self.keys(self.codes)
+        self.orders = [np.argsort(k, kind="stable") for k in keys]
+        self.starts = [np.searchsorted(k[o], np.arange((1 << w) + 1)) for k, o, w in zip(keys, self.orders, self.widths, strict=True)]
+
+    def keys(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Of each segment the codes' words."""
+        table = np.unpackbits(codes, axis=1)
+        return [table[:, a:b] @ (1 << np.arange(b - a - 1, -1, -1, dtype=np.int64)) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def search(self, query: np.ndarray, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the ``k`` nearest (of those within ``bound``, if there is one), by distance, then id."""
+        seen = np.zeros(len(self.ids), bool)
         found, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        by_distance = np.zeros(SEGMENT * self.segments + 1, np.int64)
-
-        def verify(at: np.ndarray) -> None:
-            at = np.unique(at[~seen[at]])
-            if len(at):
-                seen[at] = True
-                d = np.bitwise_count(self.codes[at] ^ query).sum(1).astype(np.int64)
-                found.append(at)
-                far.append(d)
-                by_distance[:] += np.bincount(d, minlength=len(by_distance))
-
-        for radius in range(SEGMENT + 1):
-            flips = masks(radius)
-            if len(flips) * self.segments > n:
-                verify(np.flatnonzero(~seen))
-                break
-            done = False
-            for j in range(self.segments):
-                keys = flips ^ int(query[j])
-                lo, hi = self.starts[j][keys], self.starts[j][keys + 1]
-                size = hi - lo
-                total = int(size.sum())
-                if total:
-                    verify(self.orders[j][np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(total)])
-                covered = self.segments * radius + j
-                if by_distance[: covered + 1].sum() >= k:
-                    done = True
+        by_distance = np.zeros(8 * self.codes.shape[1] + 1, np.int64)
+        words = [int(x[0]) for x in self.keys(query[None])]
+        covered = -1
+        for radius in range(max(self.widths) + 1):
+            for order, starts, width, word in zip(self.orders, self.starts, self.widths, words, strict=True):
+                covered += 1
+                if radius <= width:
+                    keys = masks(width, radius) ^ word
+                    lo = starts[keys]
+                    size = starts[keys + 1] - lo
+                    total = int(size.sum())
+                    at = order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(total)]
+                    at = at[~seen[at]]  # one segment has a code once
+                    if len(at):
+                        seen[at] = True
+                        d = np.bitwise_count(self.codes[at] ^ query).sum(1).astype(np.int64)
+                        found.append(at)
+                        far.append(d)
+                        by_distance += np.bincount(d, minlength=len(by_distance))
+                if by_distance[: covered + 1].sum() >= k or bound is not None and covered >= bound or len(self.ids) == sum(map(len, found)):
                     break
-            if done:
-                break
+            else:
+                continue
+            break
         at, d = np.concatenate(found), np.concatenate(far)
+        if bound is not None:
+            at, d = at[d <= bound], d[d <= bound]
         best = np.lexsort((at, d))[:k]  # places ascend with ids
         return self.ids[at[best]], d[best]
 
@@ -133,22 +139,29 @@ def _blocks(codes: DataFrame, size: int, names: tuple[str, str, str]) -> DataFra
 
 def _table(ids: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(ids, "<i8")
-    return rows, np.frombuffer(codes, "<u2").reshape(len(rows), -1)
+    return rows, np.frombuffer(codes, np.uint8).reshape(len(rows), -1)
 
 
 def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, neighbor_id, distance, rank) of the ``k`` nearest codes of each query; both inputs have id and code.
 
     Distance is Hamming's; ties go by id. Rows with null id or code take no part, and codes of another length
-    than the query's aren't its neighbours. Repeated rows are neighbours of their own, and a repeated query is one.
+    than the query's aren't its neighbours. Repeated rows are neighbours of their own, and a repeated query is one; queries of
+    one id with different codes are searched each and share the ``k`` rows of their id. Other columns aren't kept, whatever their names.
     """
     use = lambda df: df.select(F.col("id").cast("long"), "code").where(F.col("id").isNotNull() & F.col("code").isNotNull() & (F.length("code") > 0))
     data = _base.keep(_blocks(use(codes), CODES, ("block", "ids", "codes")), "codes")
     asked = _base.keep(_blocks(use(queries).distinct(), QUERIES, ("query_block", "query_ids", "query_codes")), "queries")
-    share = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    numbers = asked.select("query_block", F.explode(share).alias("share"))
-    wanted = numbers.join(data.select("block", F.pmod("block", F.lit(SPREAD)).cast("int").alias("share")), "share")
-    pairs = wanted.join(data, "block").join(asked, "query_block").repartition("block", "query_block").sortWithinPartitions("block")
+    sizes = data.select("block", (F.length("codes") / F.length("ids")).alias("size"))
+    rank = F.row_number().over(Window.partitionBy("size", "share").orderBy("block"))
+    firsts = sizes.withColumn("share", F.pmod("block", F.lit(SPREAD)).cast("int")).withColumn("place", rank).where("place = 1").select("size", "share", "block")
+    home = asked.select("query_block", (F.length("query_codes") / F.length("query_ids")).alias("size"))
+    # every block of queries begins with one block of its codes' length
+    begun = home.join(firsts.groupBy("size").agg(F.collect_list("block").alias("blocks")), "size").select("query_block", F.expr("blocks[pmod(xxhash64(query_block), size(blocks))]").alias("block"))
+    shares = asked.select("query_block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("share"))
+    wanted = shares.join(data.select("block", F.pmod("block", F.lit(SPREAD)).cast("int").alias("share")), "share").select("query_block", "block")
+    first = _base.keep(begun, "begun")
+    n, m = asked.count(), data.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, index = None, None
@@ -158,14 +171,25 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 if row["block"] != at:
                     at, index = row["block"], Index(*_table(row["ids"], row["codes"]))
                 names, asks = _table(row["query_ids"], row["query_codes"])
-                if asks.shape[1] != index.segments:
+                if asks.shape[1] != index.codes.shape[1]:
                     continue
-                got = [index.search(q, k) for q in asks]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, [len(g[0]) for g in got])), pa.array(np.concatenate([g[0] for g in got])), pa.array(np.concatenate([g[1] for g in got]))], ["query_id", "neighbor_id", "distance"])
-
-    near = pairs.mapInArrow(run, "query_id long, neighbor_id long, distance long")
+                bounds = row["bounds"] or [None] * len(asks)
+                got = [index.search(q, k, b) for q, b in zip(asks, bounds, strict=True)]
+                columns = [np.repeat(np.arange(len(names)), [len(g[0]) for g in got]), np.repeat(names, [len(g[0]) for g in got]), *(np.concatenate([g[j] for g in got]) for j in (0, 1))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), row["query_block"])), *map(pa.array, columns)], ["query_block", "place", "query_id", "neighbor_id", "distance"])
+
+    def searched(pairs: DataFrame, size: int) -> DataFrame:
+        tasks = max(min(2 * size, TASKS), size // 64, 1)
+        placed = pairs.join(data, "block").join(asked, "query_block").repartition(tasks, "block", "query_block").sortWithinPartitions("block")
+        return placed.mapInArrow(run, "query_block long, place long, query_id long, neighbor_id long, distance long")
+
+    start = _base.keep(searched(first.withColumn("bounds", F.lit(None).cast("array<long>")), n), "first")
+    kth = start.groupBy("query_block", "place").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bound"))
+    bounds = kth.groupBy("query_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "bound"))), lambda x: x["bound"]).alias("bounds"))
+    rest = wanted.join(first, ["query_block", "block"], "left_anti").join(bounds, "query_block", "left")
+    near = start.unionByName(searched(rest, n * (m - 1)))
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return near.select("query_id", "neighbor_id", "distance").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def op1_binary_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,10 +94,39 @@ def test_top_k_equals_a_full_scan(spark):
     assert hamming.top_k(rows.limit(0), rows, 3).count() == 0
 
 
+def test_blocks_share_bounds_and_no_code_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "CODES", 60)
+    monkeypatch.setattr(hamming, "QUERIES", 7)
+    rng = np.random.default_rng(42)
+    centres = rng.integers(0, 2, (12, 72)).astype(np.uint8)
+    codes = centres[rng.integers(0, 12, 900)] ^ (rng.random((900, 72)) < 0.12).astype(np.uint8)
+    rows = frame(spark, [*((i, np.packbits(c).tobytes()) for i, c in enumerate(codes)), *((2000 + i, bytes([i])) for i in range(30))], "id long, code binary")
+    got = defaultdict(list)
+    for r in hamming.top_k(rows, rows.where("id % 20 = 0"), 9).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["distance"], r["neighbor_id"]))
+    for q in range(0, 900, 20):
+        assert got[q] == sorted((int((codes[q] != c).sum()), i) for i, c in enumerate(codes))[:9]
+    assert got[2000] == sorted((i.bit_count(), 2000 + i) for i in range(30))[:9]
+
+
+@pytest.mark.parametrize("n", [1, 5, 300, 4000])
+def test_searches_look_at_a_part_of_the_codes(n):
+    rng = np.random.default_rng(n)
+    codes = rng.integers(0, 256, (n, 8)).astype(np.uint8)
+    index = hamming.Index(np.arange(n)[::-1].copy(), codes)
+    for i in range(0, n, 40):
+        ids, far = index.search(codes[i], 5)
+        d = np.unpackbits(codes ^ codes[i], axis=1).sum(1)
+        want = sorted(zip(d.tolist(), (n - 1 - np.arange(n)).tolist()))[:5]
+        assert list(zip(far.tolist(), ids.tolist())) == want
+        near = index.search(codes[i], 5, int(want[-1][0]))
+        assert (near[0] == ids).all() and len(index.search(codes[i], 5, 0)[0]) == 1
+
+
 def test_signs_become_bits(spark):
     rows = frame(spark, [(1, [0.5, -1.0, 0.0]), (2, None), (3, [])], "id long, v array<float>").withColumn("code", F.lit("clash"))
     got = {r["id"]: r["code"] for r in hamming.binarize(rows, "v").collect()}
-    assert bytes(got[1]) == b"\x80\x00" and got[2] is None and bytes(got[3]) == b""
+    assert bytes(got[1]) == b"\x80" and got[2] is None and bytes(got[3]) == b""
 
 
 # ----- 2
