@@ -254,21 +254,21 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_span: int = WINDOW, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contaminated documents; the others lose hit spans of ``min_span`` words or more.
 
-    Documents without a hit stay byte for byte; ``n_chars``, where there is one, follows the text. The last block's
-    scan, the decision and the cut are one pass.
+    Documents without a hit stay byte for byte, null texts null; ``n_chars``, where there is one, follows the text. All
+    columns stay, whatever their names. Repeated rows are treated alike. The last block's scan, the decision and the cut are one pass.
     """
-    names = docs.columns
+    names, into = docs.columns, _base.fresh(docs, "contamination")
     blocks = _blocks(docs.sparkSession, benchmark, window, block_words)
     out = docs
     for block in blocks[:-1]:
-        out = _base.map_rows(out, _adder(block, "_scan"), _base.with_fields(docs, _scan=SCAN))
+        out = _base.map_rows(out, _adder(block, into), _base.with_fields(docs, **{into: SCAN}))
 
     def make():
-        scan_batch = _adder(blocks[-1], "_scan")()
+        scan_batch = _adder(blocks[-1], into)()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             batch = scan_batch(batch)
-            found = batch.column(batch.schema.get_field_index("_scan")).to_pylist()
+            found = batch.column(batch.schema.get_field_index(into)).to_pylist()
             clean = [not (r["n_hit"] > 0 and 20 * r["n_hit"] >= r["n_words"]) for r in found]
             batch = batch.select(names).filter(pa.array(clean))
             spans = [[(s["first"], s["last"]) for s in r["spans"] if s["last"] - s["first"] >= min_span] for r, ok in zip(found, clean, strict=True) if ok]

@@ -1,15 +1,16 @@
 """Main-text extraction by equivalence-class template deduction.
 
-Tokens are the places that elements open at (the path of their tags with class and id), because a tag plays
-another part wherever it stands. A token's occurrence vector counts it on every page of a host. Vectors aren't
-gathered: each (page, count) gives a hash, and the hashes of a host's pages are combined by exclusive or,
-so tokens with equal vectors have equal sums and form an equivalence class. A class that covers at least half
-of the host's pages, and in which every token occurs as often as its pages do, is valid; classes nest by
-their paths, and all together are the host's template. The places between template tokens are its slots.
-
-Slots are told apart by the template: what stands below a place whose name marks a menu, header, footer, notice and
-so on is none; the main slots are those of articles. Where a template has none of these, the main slot is the
-smallest place that holds all text that differs between pages. From each page the text below main slots is
+Tokens are the places that block elements open at (the way to them through block elements, each with class, id and role),
+because a tag plays another part wherever it stands. A token's occurrence vector counts it on every page of a host. Vectors
+aren't gathered: each (page, count) gives a hash, and the hashes of a host's pages are combined by exclusive or,
+so tokens with equal vectors have equal sums and form an equivalence class. A class is valid if its tokens occur
+once on each of its pages, and on at least one page in ``SHARE`` of the host's; a valid class whose places lie
+within those of other valid classes nests in them, and all that do are the host's template. The places of template tokens are its
+slots. Rarer places are no part of it, so what is gathered of a host is bounded by ``SHARE`` times the places of a page.
+
+A slot is filled if text that differs between pages lies below it outside of places whose names mark a menu, header, footer,
+notice and so on. Names only rank filled slots: the outermost ones of articles come first. Where none is an article's, the main
+slot is the smallest one that holds all text that differs. From each page the text below main slots is
 extracted; a page that has none of its template's main slots is read as a host of its own.
 """
 
@@ -19,7 +20,7 @@ import hashlib
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from quern.llm._text import mix
 
 #: Template bytes that are broadcast at most; beyond, templates are joined by host.
 BROADCAST_BYTES = 4_000_000
+SHARE = 20
+_KNOWN = 100_000
 
 # Element names of HTML and the words by which places name their part.
 _RAW = ("script", "style", "template", "noscript", "textarea", "svg", "math", "iframe", "object", "canvas", "select", "head")
@@ -47,6 +50,7 @@ _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search fo
 _MAIN_ROLES = frozenset({"main", "article"})
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>|<!--|<[!?][^>]*+>")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -77,24 +81,38 @@ def _place(name: str, raw: str) -> tuple[str, int]:
     return f"{name}[{'|'.join(marks)}]" if marks else name, part
 
 
-def walk(text: str) -> Iterator[tuple[str, str, int, bool, str]]:
-    """Events of a page: ("open", path, part, is block, "") where an element opens, ("text", path, part, False, data), ("break", ...).
+_children: dict[tuple[int, str], int] = {}
 
-    A path's part is that of its outermost place that isn't for main text, else 1 within main text. Scripts,
-    styles, comments and the like give nothing. Unclosed and misnested elements are closed as browsers do in the
-    simple cases.
+
+def _child(path: int, name: str) -> int:
+    """The number of the place ``name`` within the place ``path``, the same everywhere; the page's is 0."""
+    got = _children.get((path, name))
+    if got is None:
+        if len(_children) >= _KNOWN:
+            _children.clear()
+        got = int.from_bytes(hashlib.blake2b(path.to_bytes(8, "little") + name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        _children[path, name] = got
+    return got
+
+
+def walk(text: str) -> Iterator[tuple[str, int, int, int, str]]:
+    """Events of a page: ("open", path, path around it, part, "") where a block element opens, ("text", path, 0, part, data), ("break", path, 0, part, "").
+
+    A path is that of block elements; text in other elements belongs to the block element around these. A place's part
+    is that of its outermost place that isn't for main text, else 1 within main text. Scripts, styles, comments and the like
+    give nothing. Unclosed and misnested elements are closed as browsers do in the simple cases.
     """
-    stack: list[tuple[str, str, int]] = [("", "", 0)]  # (name, path, part)
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # (name, path, part)
     names: Counter = Counter()  # of open elements
     at, n = 0, len(text)
     known: dict[tuple[str, str], tuple[str, int]] = {}
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
-            yield "text", stack[-1][1], stack[-1][2], False, text[at:]
+            yield "text", stack[-1][1], 0, stack[-1][2], text[at:]
             return
         if m.start() > at:
-            yield "text", stack[-1][1], stack[-1][2], False, text[at : m.start()]
+            yield "text", stack[-1][1], 0, stack[-1][2], text[at : m.start()]
         at = m.end()
         if m.group(2) is None:
             if m.group() == "<!--":
@@ -111,10 +129,10 @@ def walk(text: str) -> Iterator[tuple[str, str, int, bool, str]]:
                     if gone == name:
                         break
             if block:
-                yield "break", stack[-1][1], stack[-1][2], True, ""
+                yield "break", stack[-1][1], 0, stack[-1][2], ""
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(text, at)
+            end = _END[name].search(text, at)
             at = at if end is None and name == "head" else n if end is None else end.end()
             continue
         if name in _NO_PARAGRAPH and names["p"]:
@@ -130,100 +148,92 @@ def walk(text: str) -> Iterator[tuple[str, str, int, bool, str]]:
         if (name, raw) not in known:
             known[name, raw] = _place(name, raw)
         own, part = known[name, raw]
-        above = stack[-1]
-        path = f"{above[1]}/{own}"
-        state = -1 if above[2] < 0 or part < 0 else max(above[2], part)
+        _, above, state = stack[-1]
+        if block:
+            yield "break", above, 0, state, ""
+        path = _child(above, own) if block else above
+        state = -1 if state < 0 or part < 0 else max(state, part)
         if block:
-            yield "break", above[1], above[2], True, ""
-        yield "open", path, state, block, ""
+            yield "open", path, above, state, ""
         if name not in _VOID:
             stack.append((name, path, state))
             names[name] += 1
 
 
-def _main(path: str, slots: tuple[str, ...]) -> bool:
-    return any(path == s or path.startswith(f"{s}/") for s in slots)
-
-
-def main_text(text: str, slots: tuple[str, ...]) -> str:
+def main_text(text: str, slots: Iterable[int]) -> str:
     """The text below ``slots`` without places for other things; white space as single spaces."""
     out: list[str] = []
-    inside: dict[str, bool] = {}
-    for kind, path, part, block, data in walk(text):
-        if part < 0:
-            continue
-        if path not in inside:
-            inside[path] = _main(path, slots)
-        if not inside[path]:
-            continue
-        if kind == "text":
-            out.append(html.unescape(data))
-        elif block:
-            out.append(" ")
+    slots = frozenset(slots)
+    inside: dict[int, bool] = {0: 0 in slots}
+    for kind, path, above, part, data in walk(text):
+        if kind == "open":
+            inside[path] = path in slots or inside[above]
+        if part >= 0 and inside[path]:
+            out.append(html.unescape(data) if kind == "text" else " ")
     return " ".join("".join(out).split())
 
 
-def tokens_of(text: str) -> dict[str, list[int]]:
-    """Of each place of a page: how often it opens, its part, and the length and a hash of the text below it that no block place is nearer to."""
-    found: dict[str, list] = {"": [1, 0, 0, 0]}
-    own: dict[str, str] = {"": ""}
-    for kind, path, part, block, data in walk(text):
+#: Of a place: the one around it, its depth and part, how often it opens, the length of its own text and a hash of that.
+Place = tuple[int, int, int, int, int, int]
+
+
+def tokens_of(text: str) -> dict[int, Place]:
+    """The places of a page."""
+    found: dict[int, list[int]] = {0: [0, 0, 0, 1, 0, 0]}
+    for kind, path, above, part, data in walk(text):
         if kind == "open":
-            if path not in own:
-                own[path] = path if block else own.get(path.rpartition("/")[0], "")
-            if block:
-                x = found.setdefault(path, [0, part, 0, 0])
-                x[0] += 1
+            x = found.get(path)
+            if x is None:
+                found[path] = [above, found[above][1] + 1, part, 1, 0, 0]
+            else:
+                x[3] += 1
         elif kind == "text" and (data := " ".join(data.split())):
-            x = found.setdefault(own.get(path, ""), [0, part, 0, 0])
-            x[2] += len(data)
-            x[3] = (x[3] * 1000003 + int.from_bytes(hashlib.blake2b(data.encode(), digest_size=8).digest(), "little")) & ((1 << 63) - 1)
-    return found
+            x = found[path]
+            if part >= 0 or x[2] < 0:
+                x[4] += len(data)
+                x[5] = (x[5] * 1000003 + int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")) & ((1 << 63) - 1)
+    return {k: tuple(x) for k, x in found.items()}
 
 
-def deduce(places: list[dict]) -> list[str]:
-    """A host's main slots from its places: path, part, pages, opens, vector, chars, least, most.
+def deduce(places: list[dict]) -> list[int]:
+    """A host's main slots from its places: path, above, depth, part, pages, opens, vector, chars, least, most.
 
     ``least`` and ``most`` are those of the places' text hashes: equal where all pages have the same text.
     """
-    total = max((p["pages"] for p in places if p["path"] == ""), default=0)
-    classes: dict[tuple[int, bool], list[dict]] = {}
+    by = {p["path"]: p for p in places}
+    total = by[0]["pages"] if 0 in by else 0
+    classes: dict[int, list[dict]] = {}
     for p in places:
+        classes.setdefault(p["vector"], []).append(p)
+    good = [c for c in classes.values() if all(p["opens"] == p["pages"] and SHARE * p["pages"] >= total for p in c)]
+    valid = {p["path"] for c in good for p in c}
+    template = {0}
+    for p in sorted(places, key=lambda p: p["depth"]):
+        if p["path"] in valid and p["above"] in template:
+            template.add(p["path"])
+    below: Counter = Counter()  # differing text below each place
+    for p in sorted(places, key=lambda p: -p["depth"]):
+        if p["part"] >= 0 and (p["least"] != p["most"] or total == 1):
+            below[p["path"]] += p["chars"]
         if p["path"]:
-            classes.setdefault((p["vector"], p["opens"] == p["pages"]), []).append(p)
-    once = [c for (_, single), c in classes.items() if single and 2 * c[0]["pages"] >= total]
-    template = {p["path"]: p for c in once for p in c}
-    # classes nest: a token is kept where the places around it are template tokens, too
-    nested = {path for path in template if all(a in template for a in _above(path))}
-    main = [p for p in places if p["part"] > 0 and p["path"] and not any(q["part"] > 0 for q in places if q["path"] in set(_above(p["path"])))]
-    if main:
-        return sorted(p["path"] for p in main)
-    below: Counter = Counter()
-    for p in places:
-        if p["part"] == 0 and p["path"] and p["least"] != p["most"]:
-            for a in ["", *_above(p["path"]), p["path"]]:
-                if not a or a in nested:
-                    below[a] += p["chars"]
-    if not below:
-        free = [p for p in places if p["part"] == 0 and p["path"]]
-        return [min((p["path"] for p in free), key=len, default="")]
-    most = max(below.values())
-    return [max((a for a, n in below.items() if n == most), key=lambda a: (a.count("/"), a))]
-
-
-def _above(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[:i]) for i in range(2, len(parts))]
-
-
-def _alone(text: str) -> tuple[str, ...]:
+            below[p["above"]] += below[p["path"]]
+    filled = {path: n for path, n in below.items() if n and path in template}
+    named = [s for s in filled if by[s]["part"] > 0 and by[by[s]["above"]]["part"] <= 0]
+    if named:
+        return sorted(named)
+    if not filled:
+        return [0]
+    most = max(filled.values())
+    return [max((s for s, n in filled.items() if n == most), key=lambda s: (by[s]["depth"], s))]
+
+
+def _alone(text: str) -> list[int]:
     """The main slots of a page that stands for itself."""
-    places = tokens_of(text)
-    return tuple(deduce([{"path": k, "part": p, "pages": 1, "opens": n, "vector": n, "chars": chars, "least": 0, "most": 1} for k, (n, p, chars, _) in places.items()]))
+    return deduce([{"path": k, "above": a, "depth": d, "part": p, "pages": 1, "opens": n, "vector": n, "chars": chars, "least": h, "most": h} for k, (a, d, p, n, chars, h) in tokens_of(text).items()])
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-_PLACES = "host string, path string, part int, pages long, opens long, vector long, chars long, least long, most long"
+_PLACES = "host string, path long, above long, depth int, part int, pages long, opens long, vector long, chars long, least long, most long"
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -234,8 +244,8 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, slots): the main slots of each host's template."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], list[int]] = {}
-        kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 6]
+        held: dict[tuple[str, int], list[int]] = {}
+        kinds = [pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.int64()] * 6]
         names = [c.split()[0] for c in _PLACES.split(", ")]
 
         def out() -> pa.RecordBatch:
@@ -245,43 +255,46 @@ def templates(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             at = [batch.schema.get_field_index(c) for c in ("row", "host", "html")]
-            for row, host, text in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
-                places = tokens_of(text or "")
-                hashes = mix(np.array([row + 1], np.uint64)) ^ mix(np.array([p[0] for p in places.values()], np.uint64))
+            for row, host, text in zip(*[batch.column(i) for i in at], strict=True):
+                row, host = row.as_py(), host.as_py()
+                places = tokens_of(text.as_py() or "")
+                hashes = mix(np.array([row + 1], np.uint64)) ^ mix(np.array([p[3] for p in places.values()], np.uint64))
                 hashes = mix(hashes).view(np.int64).tolist()
-                for (path, (n, part, chars, text_hash)), h in zip(places.items(), hashes, strict=True):
+                for (path, (above, depth, part, n, chars, text_hash)), h in zip(places.items(), hashes, strict=True):
                     x = held.get((host, path))
                     if x is None:
-                        held[host, path] = [part, 1, n, h, chars, text_hash, text_hash]
+                        held[host, path] = [above, depth, part, 1, n, h, chars, text_hash, text_hash]
                     else:
-                        x[1:] = x[1] + 1, x[2] + n, x[3] ^ h, x[4] + chars, min(x[5], text_hash), max(x[6], text_hash)
-            if len(held) > 50_000:
-                yield out()
+                        x[3:] = x[3] + 1, x[4] + n, x[5] ^ h, x[6] + chars, min(x[7], text_hash), max(x[8], text_hash)
+                if len(held) > 50_000:
+                    yield out()
         if held:
             yield out()
 
     summed = _with_host(pages).mapInArrow(run, _PLACES).groupBy("host", "path").agg(
-        F.max("part").alias("part"), F.sum("pages").alias("pages"), F.sum("opens").alias("opens"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most")
+        F.max("above").alias("above"), F.max("depth").alias("depth"), F.max("part").alias("part"), F.sum("pages").alias("pages"), F.sum("opens").alias("opens"),
+        F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"),
     )
-    # of a host's places only those matter that are on its main paths or on half of its pages
-    total = summed.where("path = ''").select("host", F.col("pages").alias("total"))
-    large = summed.join(total, "host").where((2 * F.col("pages") >= F.col("total")) | (F.col("part") > 0)).drop("total")
-    gathered = large.groupBy("host").agg(F.collect_list(F.struct("path", "part", "pages", "opens", "vector", "chars", "least", "most")).alias("places"))
+    summed = _base.keep(summed, "places")  # read twice, so that pages aren't
+    total = summed.where("path = 0").select("host", F.col("pages").alias("total"))
+    common = summed.join(total, "host").where(F.lit(SHARE) * F.col("pages") >= F.col("total")).drop("total")
+    gathered = common.groupBy("host").agg(F.collect_list(F.struct("path", "above", "depth", "part", "pages", "opens", "vector", "chars", "least", "most")).alias("places"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([deduce(p) for p in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["host", "slots"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([deduce(p) for p in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["host", "slots"])
 
-    return _base.map_rows(gathered, lambda: step, "host string, slots array<string>")
+    return _base.map_rows(gathered, lambda: step, "host string, slots array<long>")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of each row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text; a null url has a host of its own with all others like it. Repeated
-    rows are pages of their own. No length is too long, and nothing is cut.
+    rows are pages of their own, and other columns aren't kept, whatever their names. Nothing is cut, whatever a page's length;
+    memory grows with a page's places, not with their depth.
     """
     found = _base.keep(templates(pages), "templates")
-    size = found.agg(F.sum(F.length("host") + F.length(F.array_join("slots", "/")))).first()[0] or 0
+    size = found.agg(F.sum(F.length("host") + 8 * F.size("slots"))).first()[0] or 0
     rows = _with_host(pages).drop("row")
     placed = rows.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
@@ -290,7 +303,7 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = []
         for page, slots in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
             page = page or ""
-            texts.append(main_text(page, tuple(slots or ())) or main_text(page, _alone(page)))
+            texts.append(main_text(page, slots or ()) or main_text(page, _alone(page)))
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), batch.column(batch.schema.get_field_index("url")), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return _base.map_rows(placed, lambda: step, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")

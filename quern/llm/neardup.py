@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm import _base
 from quern.llm._text import mix, shingle_sets
@@ -37,7 +38,8 @@ THRESHOLD = 75
 #: Up to so many rows of ids are broadcast, so that texts need no shuffle; more are joined by shuffling.
 BROADCAST_ROWS = 300_000
 _FACTORS = mix(np.arange(11, 11 + COORDINATES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_ROW = "doc_id long, n_shingles long, fp_a long, fp_b long, sig binary"
+#: Shingles that a block holds on average, so that few long texts fill one.
+BLOCK_SHINGLES = 4_000_000
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -53,16 +55,17 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, keys: list[str]) -> DataFrame:
+    rows = docs.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in ("n_shingles", "fp_a", "fp_b")], T.StructField("sig", T.BinaryType())])
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(_base.texts_of(batch, "text"))
         prints = [_fingerprint(s) if len(s) else (0, 0) for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-            ["doc_id", "n_shingles", "fp_a", "fp_b", "sig"],
-        )
+        more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema.names)
 
-    return _base.map_rows(docs.select(F.col("doc_id").cast("long"), "text"), lambda: step, _ROW)
+    return _base.map_rows(rows, lambda: step, schema)
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -222,8 +225,10 @@ def _set_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, int]]
 
 def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
     """(cluster, c, rep, shingles) of every document in ``clusters``, from the whole texts."""
-    size = clusters.groupBy("cluster").agg(F.count("*").alias("c"))
-    wanted = clusters.join(size, "cluster").join(reps.select("rep", "fp_a", "fp_b"), "rep")
+    named = clusters.join(reps.select("rep", "name", "n_shingles", "fp_a", "fp_b"), "rep")
+    # a cluster of few long texts counts as one of more texts, as blocks follow the count
+    size = named.groupBy("cluster").agg(F.greatest(F.count("*"), F.ceil(F.sum("n_shingles") * F.lit(SMALL) / F.lit(BLOCK_SHINGLES))).alias("c"))
+    wanted = named.drop("n_shingles").join(size, "cluster")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(_base.texts_of(batch, "text"))
@@ -233,7 +238,7 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
 
     wanted = _base.keep(wanted, "wanted")
     small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("name"), "text").join(F.broadcast(wanted) if small else wanted, "name")
     sets = _base.keep(_base.map_rows(texts.select("cluster", "c", "rep", "fp_a", "fp_b", "text"), lambda: step, "cluster long, c long, rep long, shingles binary"), "sets")
     _base.drop(wanted)
     return sets
@@ -269,16 +274,21 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return clusters
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
+    With ``keys``, these come first, and a number of the component follows, which tells components of rows that share an id apart.
+
     Null and empty texts have no shingle and are alone. Rows with the same set are one class, whatever their
-    ids. A row without id belongs to its class, but makes no links of its own; alone, its component is null
-    and it is kept. Repeated rows get the same result.
+    ids; rows of one id with different sets are in different classes. A row without id belongs to its class, but makes
+    no links of its own; alone, its component is null and it is kept. Repeated rows get the same result. A text of any length is taken whole;
+    blocks hold fewer of longer texts. Columns that aren't keys aren't kept, whatever their names.
     """
-    signed = _base.keep(_signed(docs), "signed")
+    keys = keys or []
+    signed = _base.keep(_signed(docs, keys), "signed")
     named = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = _base.keep(named.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "reps")
+    classes = named.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("name"), F.first("sig").alias("sig"))
+    reps = _base.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "reps")
     clusters = _candidates(reps)
     sets = _cluster_sets(docs, reps, clusters)
     blocks = _base.keep(_blocks(sets.withColumn("label", F.lit(None).cast("long")), "cluster", ["shingles", "label"]), "blocks")
@@ -294,10 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         roots = components(links)
     _base.drop(clusters, sets, blocks, links)
-    classes = reps.join(roots.select(F.col("member").alias("rep"), "root"), "rep", "left").select("n_shingles", "fp_a", "fp_b", F.coalesce("root", "rep").alias("class"))
-    out = signed.join(classes, ["n_shingles", "fp_a", "fp_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    members = reps.join(roots.select(F.col("member").alias("rep"), "root"), "rep", "left").withColumn("class", F.coalesce("root", "rep"))
+    members = members.join(members.groupBy("class").agg(F.min("name").alias("component_id")), "class")
+    full = signed.where("n_shingles > 0").join(members.select("n_shingles", "fp_a", "fp_b", "component_id", F.col("class").alias("class_id")), ["n_shingles", "fp_a", "fp_b"], "left")
+    empty = signed.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("class_id", F.lit(None).cast("long"))
+    out = full.unionByName(empty)
+    return out.select(*[F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)], "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), *(["class_id"] if keys else []))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,6 +245,52 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, a + " z"), (5, a), (5, b), (9, b + " z"), (9, b + " z"), (7, "alone")]
+    got = sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == [(3, 37, 3), (5, 36, 3), (5, 36, 5), (7, 1, 7), (9, 37, 5), (9, 37, 5)]
+
+
+def stage_rows():
+    """Rows of every odd kind, with columns named as inner ones are."""
+    near = " ".join(f"n{i}" for i in range(50))
+    other = " ".join(f"o{i}" for i in range(50))
+    item = " ".join(f"b{i}" for i in range(20))
+    rows = [*odd_rows(), (20, near), (21, near + " x"), (22, near), (20, other), (30, "key wJalrXUtnFEMI9K7MDENGbPxRfiCY4zQ8 end"), (31, item), (32, f"{'w ' * 900}{item} end"), (33, "you grubbish vilefoot scabnose grubbish")]
+    return item, rows
+
+
+@pytest.mark.parametrize("extra", [["toxicity", "_id", "_secrets", "_scan", "row", "key", "secrets", "contamination"], ["Row", "KEY", "Secrets", "block", "rep", "n_shingles", "Toxicity"]])
+def test_stages_of_odd_and_clashing_rows(spark, tmp_path, extra):
+    import corpus_pipeline as pipeline
+
+    item, rows = stage_rows()
+    frame(spark, [(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, [(i, 0, int(i == 33)) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, rows)
+    for c in extra:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for at in range(2):  # then an empty table
+        docs = docs if at == 0 else docs.limit(0)
+        out = {}
+        for name, stage in pipeline.STAGES[:-1]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == docs.columns
+            out[name] = got.collect()
+            assert all(r[c] == f"own {c}" for r in out[name] for c in extra)
+        assert pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0 or at == 0
+        if at:
+            assert not any(out.values())
+            continue
+        texts = {n: Counter((r["doc_id"], r["text"]) for r in rs) for n, rs in out.items()}
+        assert texts["toxicity"] == Counter(rows)  # too few labels to learn from: all stay
+        gone = Counter(rows) - texts["near-duplicates"]
+        assert gone == Counter([(21, rows[10][1]), (22, rows[11][1]), (6, rows[6][1])]) and not texts["near-duplicates"] - Counter(rows)
+        assert Counter(rows) - texts["decontamination"] == Counter([(31, item), (32, rows[15][1])]) and texts["decontamination"][32, f"{'w ' * 900} end"] == 1
+        assert Counter(rows) - texts["secrets"] == Counter([(30, rows[13][1])]) and texts["secrets"][30, "key [ENTROPY_MIXED] end"] == 1
+
+
 def test_components_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(components, "EDGES", 20)
     rng = random.Random(9)
@@ -437,9 +483,67 @@ def test_pages_by_template(spark):
 
 
 def test_pages_in_long_and_broken_markup():
-    assert html.main_text("<article>" + "<div>" * 3000 + "deep" + "<p>" * 2000, ("/article",)) == "deep"
-    assert html.main_text("<article>a<!-- open", ("/article",)) == "a"
-    assert html.main_text('<article title="a>b" x=\'<p>\'>q</article>', ("/article",)) == "q"
+    article = [html._child(0, "article")]
+    assert html.main_text("<article>" + "<div>" * 3000 + "deep" + "<p>" * 2000, article) == "deep"
+    assert html.main_text("<article>a<!-- open", article) == "a"
+    assert html.main_text('<article title="a>b" x=\'<p>\'>q</article>', article) == "q"
+
+
+@pytest.mark.parametrize("tag", ["span", "div", "p", "b class='x'"])
+def test_unclosed_tags_take_memory_in_proportion(tag):
+    import tracemalloc
+
+    page_ = f"<article>{f'<{tag}>x' * 100_000}"
+    assert html.main_text(page_, html._alone(page_)).replace(" ", "") == "x" * 100_000
+    tracemalloc.start()
+    html.tokens_of(page_)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def brute_slots(pages_):
+    """The main slots of a host by whole occurrence vectors."""
+    places = [html.tokens_of(t) for t in pages_]
+    about = {path: x for p in places for path, x in p.items()}
+    vectors = {path: tuple(p[path][3] if path in p else 0 for p in places) for path in about}
+    valid = lambda v: max(v) <= 1 and html.SHARE * sum(v) >= len(pages_)
+    up = lambda path: [path, *(up(about[path][0]) if path else [])]
+    slots = [path for path in about if all(valid(vectors[x]) for x in up(path))]
+    differs = lambda path: len({p[path][5] for p in places if path in p}) > 1 or len(pages_) == 1
+    size = lambda path: sum(p[path][4] for p in places if path in p)
+    common = lambda path: html.SHARE * sum(path in p for p in places) >= len(pages_)
+    below = {s: sum(size(x) for x in about if s in up(x) and common(x) and about[x][2] >= 0 and differs(x)) for s in slots}
+    named = [s for s in slots if below[s] and about[s][2] > 0 and about[about[s][0]][2] <= 0]
+    if named:
+        return sorted(named)
+    most = max(below.values())
+    return [max((s for s in slots if below[s] == most), key=lambda s: (about[s][1], s))] if most else [0]
+
+
+def test_slots_equal_direct_deduction(spark):
+    rng = random.Random(43)
+    rows, hosts = [], {}
+    for h in range(40):
+        names = [f"div class='a{i}'" for i in range(6)] + rng.sample(["article", "main", "nav", "div class='menu'", "section"], 2)
+        layouts = [[(rng.choice(names), rng.choice(["same", "vary", "many", "none"])) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 3))]
+        for i in range(rng.choice([1, 2, 7, 45])):
+            parts = []
+            for n, (name, kind) in enumerate(rng.choices(layouts, [40, 4, 1][: len(layouts)])[0]):
+                inner = {"same": f"text {n}", "vary": f"<p>v {rng.random()}</p><div class='b{n}'>w {rng.randint(0, 2)}</div>", "many": "<p>m</p>" * rng.randint(1, 3), "none": ""}[kind]
+                parts.append(f"<{name}>{inner}</{name.split()[0]}>")
+            text = f"<html><body>{''.join(parts)}</body></html>"
+            rows.append((len(rows), f"https://h{h}.net/{i}", text))
+            hosts.setdefault(f"h{h}.net", []).append(text)
+    got = {r["host"]: sorted(r["slots"]) for r in html.templates(frame(spark, rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {h: brute_slots(p) for h, p in hosts.items()}
+
+
+def test_names_that_say_nothing_and_rare_layouts(spark):
+    usual = lambda i: f"<body><div class=a1>all pages say this</div><div class=a2><h1>t{i}</h1><div class=a3><p>one {i}<p>two {i * i}</div></div><div class=a4>and this</div></body>"
+    rare = lambda i: f"<body><div class=z><table><tr><td>cell {i}</table></div></body>"
+    rows = [(i, f"http://n.org/{i}", rare(i) if i % 30 == 7 else usual(i)) for i in range(90)]
+    got = {r["page_id"]: r["text"] for r in html.extract(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"cell {i}" if i % 30 == 7 else f"t{i} one {i} two {i * i}" for i in range(90)}
 
 
 def test_hosts_without_article_or_main(spark):
