@@ -3,6 +3,10 @@
 Toxic documents go, one document of each group of near-duplicates stays, benchmark passages go (with the whole document
 where they make up a twentieth of it), secrets are replaced by marks, and what is left is packed into sequences of
 token ids. All stages but the last return the columns of ``documents``.
+
+In every stage null texts count as empty and stay null, texts of any length are read whole, repeated rows are treated alike
+(of those in a group of near-duplicates one stays), rows without doc_id are treated like others, an empty table gives an
+empty table, and further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,21 +21,29 @@ from quern.llm import _base, decontaminate, neardup, packing, secrets, tokens, t
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose toxicity is under one half; the held-out fold of labels stays unused here as well."""
     model = toxicity.fit(docs, _base.read(spark, sf_dir, "labels"))
-    names = docs.columns
-    return toxicity.score(docs, model).where(F.col("toxicity") < 0.5).select(*names)
+    names, score = docs.columns, _base.fresh(docs, "toxicity")
+    return toxicity.score(docs, model, into=score).where(F.col(score) < 0.5).select(*names)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near-duplicates; rows without id come after all others."""
-    names = docs.columns
-    place = F.lit(1 << 62) + F.monotonically_increasing_id()
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), place))
-    found = _base.keep(neardup.near_duplicates(rows.select(F.col("_id").alias("doc_id"), "text")), "duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    few = gone.count() <= neardup.BROADCAST_ROWS
-    kept = rows.join(F.broadcast(gone) if few else gone, "_id", "left_anti")
-    n, ids = found.where("kept").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    return (kept if n == ids else kept.dropDuplicates(["_id"])).select(*names)  # an id that several rows have
+    """Keep the row with the least id of each group of near-duplicates; rows without id come after all others.
+
+    A row is known by its id and text, so different texts under one id are decided on their own. Rows without words stay.
+    """
+    names, row, key = docs.columns, _base.fresh(docs, "row"), _base.fresh(docs, "key")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))).withColumn(key, F.md5(text.cast("binary")))
+    found = _base.keep(neardup.near_duplicates(rows.select(F.col(row).alias("doc_id"), F.col(key).alias("key"), "text"), keys=["key"]), "duplicates").where("n_shingles > 0")
+    each = found.groupBy("doc_id", "key").agg(F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    first = each.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    gone = each.join(first, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias(row), F.col("key").alias(key))
+    again = each.where("n > 1").join(first, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias(row), F.col("key").alias(key))
+    hint = lambda d: F.broadcast(d) if d.count() <= neardup.BROADCAST_ROWS else d
+    kept = rows.join(hint(gone), [row, key], "left_anti")
+    if not again.isEmpty():  # equal rows: one stays
+        again = hint(again)
+        kept = kept.join(again, [row, key], "left_anti").unionByName(kept.join(again, [row, key], "left_semi").dropDuplicates([row, key]))
+    return kept.select(*names)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +53,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark of its kind."""
-    return secrets.scan(docs, into="_secrets", redacted=True).select(*docs.columns)
+    return secrets.scan(docs, into=_base.fresh(docs, "secrets"), redacted=True).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
