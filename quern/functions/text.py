@@ -5,7 +5,7 @@ All are built from Spark's own expressions. Patterns name ASCII classes, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that don't count as content.
@@ -56,6 +56,16 @@ def stems(text: Column) -> Column:
     return F.array_distinct(F.transform(content_words(text), stem))
 
 
+def covered(targets: DataFrame, sources: DataFrame, least: float) -> DataFrame:
+    """(doc_id, item_id, coverage) where a target (doc_id, stems) has a share of ``least`` or more, above 0, of a source's (item_id, stems) stems.
+
+    Counted over shared stems, so no pair without one is looked at; a source without stems has no row.
+    """
+    wanted = sources.select("item_id", F.size("stems").alias("n"), F.explode("stems").alias("stem"))
+    shared = targets.select("doc_id", F.explode("stems").alias("stem")).join(wanted, "stem").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("shared"))
+    return shared.select("doc_id", "item_id", (F.col("shared").cast("double") / F.col("n")).alias("coverage")).where(F.col("coverage") >= least)
+
+
 def coverage(source: Column, target: Column) -> Column:
     """The share of the source's stems that the target has; 1 for a source without any."""
     wanted = stems(source)
@@ -200,3 +210,14 @@ def length_bounds(span: Column) -> Column:
     """Of ``"120-220"``: lo, hi, and the bounds beyond which a length is an error."""
     lo, hi = (F.split_part(span, F.lit("-"), F.lit(i)).cast("int") for i in (1, 2))
     return F.struct(lo.alias("lo"), hi.alias("hi"), F.least(F.floor(lo * 0.5), F.lit(90)).cast("int").alias("error_lo"), F.ceil(hi * 1.3).cast("int").alias("error_hi"))
+
+
+def without_cut_line(text: Column, cut: Column) -> Column:
+    """``text`` without its last line where ``cut`` says that it ended early."""
+    lines = F.split(text, "\n")
+    return F.when(cut, F.array_join(F.slice(lines, F.lit(1), F.size(lines) - 1), "\n")).otherwise(text)
+
+
+def percent(share: Column, digits: int = 2) -> Column:
+    """``share`` as per cent with fixed digits; null stays null."""
+    return F.when(share.isNotNull(), F.format_string(f"%.{digits}f%%", share * 100))

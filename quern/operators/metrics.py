@@ -137,3 +137,24 @@ def retrieval_summary(judged: DataFrame, expect_empty: Column, by: list[str], k:
         F.count_if(expect_empty).alias("out_of_scope"),
         F.count_if(expect_empty & (F.col("returned") == 0)).alias("correct_empty"),
     )
+
+
+def macro_f1(cells: DataFrame) -> DataFrame:
+    """One row: the mean F1 of all classes and the accuracy, from a confusion matrix (truth, predicted, n)."""
+    hits = cells.agg(safe_ratio(F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+    return per_class(cells).agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1")).crossJoin(hits)  # one row by one row
+
+
+def accuracy_by(rows: DataFrame, group: Column, correct: Column) -> DataFrame:
+    """(group, n, accuracy) of each group."""
+    return rows.groupBy(group.alias("group")).agg(F.count("*").alias("n"), F.avg(correct.cast("double")).alias("accuracy"))
+
+
+def refusal_score(expected: Column, refused: Column, score: Column, right: float = 1.0, wrong: float = 0.5) -> Column:
+    """``right`` where a refusal was expected and given, ``wrong`` where it was expected only, else ``score``."""
+    return F.when(expected, F.when(refused, F.lit(right)).otherwise(F.lit(wrong))).otherwise(score)
+
+
+def least_similarity(pairs: DataFrame, similarity: Column, floor: float) -> DataFrame:
+    """One row: the least similarity of a sample of pairs, and whether it reaches ``floor``; without pairs it doesn't."""
+    return pairs.agg(F.count("*").alias("n"), F.min(similarity).alias("least")).withColumn("passed", F.coalesce(F.col("least") >= floor, F.lit(False)))

@@ -126,3 +126,9 @@ def sources_first(rows: DataFrame, source: str, key: str) -> DataFrame:
 def violations(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that should be unique and aren't, with their counts."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def first_distinct(rows: DataFrame, group: str, value: Column, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order`` of each group that differ in ``value``, with their place from 1."""
+    one = rows.withColumn("_copy", F.row_number().over(Window.partitionBy(group, value).orderBy(order))).where("_copy = 1").drop("_copy")
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("place") <= n)

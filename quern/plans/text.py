@@ -68,14 +68,21 @@ def number_extract(spark, sf_dir):
     return x.select("doc_id", F.size("x").cast("long").alias("n_numbers"), F.array_join("x", " ").alias("numbers"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_stems('text')} AS s FROM documents), b AS (SELECT item_id, {_stems('text')} AS s FROM benchmark)
-SELECT d.doc_id, b.item_id, CASE WHEN len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(b.s, d.s))::DOUBLE / len(b.s) END AS coverage
-FROM d JOIN b ON d.doc_id % 20 = b.item_id % 20""")
+@query(f"""WITH d AS (SELECT doc_id, unnest({_stems('text')}) AS stem FROM documents), i AS (SELECT item_id, {_stems('text')} AS s FROM benchmark),
+b AS (SELECT item_id, len(s) AS n, unnest(s) AS stem FROM i)
+SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n) AS coverage FROM d JOIN b USING (stem) GROUP BY 1, 2 HAVING 2 * count(*) >= any_value(n)""")
 def stem_coverage(spark, sf_dir):
-    """How much of an item's stems the documents of its slice of twenty have."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 20).alias("part"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), (F.col("item_id") % 20).alias("part"))
-    return docs.join(items, "part").select("doc_id", "item_id", T.coverage(F.col("item"), F.col("text")).alias("coverage"))
+    """All documents that have half of an item's stems or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.stems(F.col("text")).alias("stems"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.stems(F.col("text")).alias("stems"))
+    return T.covered(docs, items, 0.5)
+
+
+@query(f"""SELECT doc_id, CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_intersect(b, s))::DOUBLE / len(b) END AS coverage
+FROM (SELECT doc_id, {_stems('text')} AS s, {_stems("string_split(text, chr(10))[1]")} AS b FROM documents)""")
+def first_line_coverage(spark, sf_dir):
+    """The share of the first line's stems that the whole text has."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.coverage(F.element_at(F.split("text", "\n"), 1), F.col("text")).alias("coverage"))
 
 
 def _word_sets(spark, sf_dir) -> DataFrame:
