@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quern.plans import corpus, evaluation, features, learning, search, text
+from quern.plans import corpus, evaluation, features, learning, rules, search, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (corpus, text, search, features, evaluation, learning):
+for _plan in (corpus, text, search, features, evaluation, learning, rules):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

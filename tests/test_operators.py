@@ -261,3 +261,13 @@ def test_text_classifier_knows_rare_terms(spark):
     predict = models.text_classifier(docs.where("id < 3000"), "text", "label")
     got = predict(docs.where("id >= 3000")).agg(F.avg((F.col("label") == F.col("predicted")).cast("int"))).first()[0]
     assert got > 0.9
+
+
+def test_label_lists_and_passages(spark):
+    from quern.operators import search
+
+    asked = rows(spark, [(1, 1), (1, 2), (2, 1), (3, 1)], "batch int, place int")
+    replies = rows(spark, [(1, 'so: ["a", "b"]'), (2, '["a", "b"]'), (3, None)], "batch int, content string")
+    assert sorted(map(tuple, search.listed_labels(asked, replies).collect())) == [(1, 1, "a"), (1, 2, "b"), (2, 1, None), (3, 1, None)]
+    listed = search.numbered_passages(rows(spark, [("q", 2, "y"), ("q", 10, "z"), ("q", 1, "x")], "q string, place int, text string"), "q", "place", F.col("text"))
+    assert listed.first()["passages"] == "[1] x\n[2] y\n[10] z"
