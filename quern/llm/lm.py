@@ -33,6 +33,8 @@ from quern.llm import _base
 from quern.llm._text import LOWER, hash_words, mix
 
 BLOCK_BYTES = 16 << 20
+#: Text whose words are hashed together; what that needs is many times the text.
+PIECE_BYTES = 1 << 20
 BUCKET_TOKENS = 1_250_000
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
@@ -65,8 +67,28 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return cells.view("<u8").ravel()
 
 
+def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """``texts`` in groups of about ``PIECE_BYTES``, one group at least."""
+    held: list[bytes] = []
+    size = 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= PIECE_BYTES:
+            yield held
+            held, size = [], 0
+    if held or not texts:
+        yield held
+
+
 def _tokens(texts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word and context of each token, the end of each text among them, and the place of each text's first token (with the total last)."""
+    token, before, sizes = (np.concatenate(x) for x in zip(*[_tokens_of(part, wide) for part in _pieces(texts)], strict=True))
+    return token, before, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _tokens_of(texts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word and context of each token, and the number of tokens of each text."""
     starts, _, words = hash_words(b" ".join(texts).translate(LOWER))
     past = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
     first = np.concatenate([[0], np.searchsorted(starts, past)]).astype(np.int64)
@@ -77,7 +99,7 @@ def _tokens(texts: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.n
     before = np.empty(len(token), np.uint64)
     before[places[:-1]] = _contexts(_START, wide)
     before[at + 1] = _contexts(words, wide)  # of the token after each word
-    return token, before, places
+    return token, before, np.diff(places)
 
 
 def _parts(word: int, parts: int) -> np.ndarray:
@@ -145,17 +167,31 @@ class Pairs:
     places: np.ndarray  # of each text's first token, with the total last
 
 
+def _ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in order, and which of them each one is; ``numpy.unique`` needs twice the memory for it."""
+    order = np.argsort(x)
+    values = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    values = values[new]
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return values, which
+
+
 def _pairs(texts: list[bytes], wide: int, hot: dict[int, int]) -> Pairs:
     token, before, places = _tokens(texts, wide)
     _split(token, before, hot)
-    words, pair = np.unique(token, return_inverse=True)
+    words, word = _ranked(token)
     del token
-    contexts, c = np.unique(before, return_inverse=True)
+    contexts, context = _ranked(before)
     del before
+    pair = word.astype(np.int64)
+    del word
     pair *= len(contexts)
-    pair += c
-    del c
-    pairs, which = np.unique(pair, return_inverse=True)
+    pair += context
+    del context
+    pairs, which = _ranked(pair)
     del pair
     per = np.bincount(pairs // len(contexts), minlength=len(words))
     return Pairs(words, per, contexts, (pairs % len(contexts)).astype(np.int32), which.astype(np.uint32), places)

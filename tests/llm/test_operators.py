@@ -842,3 +842,18 @@ def test_toxicity_of_odd_rows(spark):
     none = toxicity.fit(odd, frame(spark, [], "doc_id long, toxic int"))
     assert toxicity.score(odd.limit(0), none).count() == 0
     assert toxicity.score(odd, none).where("toxicity = 0").count() == 9
+
+
+def test_tokens_of_pieces_equal_those_of_whole_texts(monkeypatch):
+    from quern.llm import lm
+
+    texts = [b"one Two  three", b"", b" ", b"x" * 400, b"two ONE two", b"\t\n"]
+    whole, pairs = lm._tokens(texts, 4), lm._pairs(texts, 4, {})
+    assert whole[2].tolist() == [0, 4, 5, 6, 8, 12, 13]
+    for size in (1, 5, 300):
+        monkeypatch.setattr(lm, "PIECE_BYTES", size)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, lm._tokens(texts, 4), strict=True))
+    for key, values in ((whole[0], pairs.words), (whole[1], pairs.contexts)):
+        assert np.array_equal(np.unique(key), values)
+    word, context = np.repeat(pairs.words, pairs.per)[pairs.which], pairs.contexts[pairs.context[pairs.which]]
+    assert np.array_equal(word, whole[0]) and np.array_equal(context, whole[1])
