@@ -79,6 +79,18 @@ def drop(*frames: DataFrame) -> None:
             remove(f.sparkSession, path)
 
 
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, hot: int = 1024) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``weight`` how many of ``rows`` have it.
+
+    Keys that more than 1 / ``hot`` of the rows have are fewer than ``hot``: these are broadcast, so their rows don't meet in a task.
+    The other rows are joined by shuffling.
+    """
+    line = (table.agg(F.sum(weight)).first()[0] or 0) // hot
+    often, seldom = table.where(F.col(weight) > line).drop(weight), table.where(F.col(weight) <= line).drop(weight)
+    rest = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on)
+    return rows.join(F.broadcast(often), on).unionByName(rest)
+
+
 _cached: dict = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, hamming
+from quern.llm import chat, hamming, quantize
 from quern.llm.chat import op4_chat_format
 from quern.llm.decontaminate import op7_decontamination
 from quern.llm.hamming import op1_binary_top_k
@@ -10,6 +10,8 @@ from quern.llm.html import op6_html_extraction
 from quern.llm.lm import op8_language_model
 from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
+from quern.llm.periods import op12_periodic_runs
+from quern.llm.quantize import op13_vector_codes
 from quern.llm.secrets import op2_secret_scan
 from quern.llm.tokens import op9_token_ids
 from quern.llm.toxicity import op10_toxicity
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {"op1_binary_top_k": hamming.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_binary_top_k": hamming.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL, "op13_vector_codes": quantize.ORACLE_SQL}

@@ -16,6 +16,8 @@ COLUMNS = {
     "op8_language_model": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_token_ids": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op13_vector_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
 }
 
 
@@ -29,7 +31,7 @@ def test_query_equals_its_sql(spark, name):
 def test_query_has_its_columns(spark, name):
     got = QUERIES[name](spark, FOLDER)
     assert COLUMNS[name] <= set(got.columns)
-    if name not in ("op1_binary_top_k", "op4_chat_format", "op5_packing", "op6_html_extraction"):
+    if name not in ("op1_binary_top_k", "op4_chat_format", "op5_packing", "op6_html_extraction", "op13_vector_codes"):
         assert got.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
