@@ -17,8 +17,8 @@ is lost, and no task holds more than two blocks.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,12 +55,12 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _signed(docs: DataFrame, keys: list[str]) -> DataFrame:
+def _signed(docs: DataFrame, keys: list[str], width: int) -> DataFrame:
     rows = docs.select(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)], F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(n, T.LongType()) for n in ("n_shingles", "fp_a", "fp_b")], T.StructField("sig", T.BinaryType())])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(_base.texts_of(batch, "text"))
+        sets = shingle_sets(_base.texts_of(batch, "text"), width)
         prints = [_fingerprint(s) if len(s) else (0, 0) for s in sets]
         more = [pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], schema.names)
@@ -115,10 +115,9 @@ def _blocks(rows: DataFrame, key: str, payload: list[str], count: str = "c", siz
     return rows.withColumn("block", block).groupBy(key, "block").agg(F.collect_list(F.struct("rep", *payload)).alias("members"))
 
 
-def _sketch_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, int]]:
+def _sketch_links(a: list[dict], b: list[dict] | None, threshold: int = THRESHOLD, least: int = COORDINATES // 2) -> Iterator[tuple[int, int]]:
     """A forest over the pairs that may be similar: within ``a``, or between ``a`` and ``b`` where labels differ."""
     forest = Forest()
-    least = COORDINATES // 2
     other = a if b is None else b
     left = np.frombuffer(b"".join([x["sig"] for x in a]), "<u4").reshape(-1, COORDINATES).astype(np.uint8)
     right = left if b is None else np.frombuffer(b"".join([x["sig"] for x in other]), "<u4").reshape(-1, COORDINATES).astype(np.uint8)
@@ -127,7 +126,7 @@ def _sketch_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, in
     for i, x in enumerate(a):
         from_ = i + 1 if b is None else 0
         near = (right[from_:] == left[i]).sum(1) >= least
-        near &= 100 * np.minimum(n_right[from_:], n_left[i]) >= THRESHOLD * np.maximum(n_right[from_:], n_left[i])
+        near &= 100 * np.minimum(n_right[from_:], n_left[i]) >= threshold * np.maximum(n_right[from_:], n_left[i])
         if labels is not None:
             near &= labels[1][from_:] != labels[0][i]
         for j in np.flatnonzero(near).tolist():
@@ -179,7 +178,7 @@ def _outsiders(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
     return small.join(every, key).select("members", "others")
 
 
-def _set_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, int]]:
+def _set_links(a: list[dict], b: list[dict] | None, threshold: int = THRESHOLD) -> Iterator[tuple[int, int]]:
     """A forest of exact links. Without labels: over all members of both; with labels: between different ones of either.
 
     A breadth-first walk: each document reached is counted against all that aren't, by an inverted index.
@@ -201,7 +200,7 @@ def _set_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, int]]
         total = int(span.sum())
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(total)
         both = np.bincount(owner[where], minlength=len(sets))
-        return 100 * both >= THRESHOLD * (sizes + sizes[i] - both)
+        return 100 * both >= threshold * (sizes + sizes[i] - both)
 
     if labelled:
         forest = Forest()
@@ -223,7 +222,7 @@ def _set_links(a: list[dict], b: list[dict] | None) -> Iterator[tuple[int, int]]
                 yield reps[i], reps[j]
 
 
-def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
+def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame, width: int) -> DataFrame:
     """(cluster, c, rep, shingles) of every document in ``clusters``, from the whole texts."""
     named = clusters.join(reps.select("rep", "name", "n_shingles", "fp_a", "fp_b"), "rep")
     # a cluster of few long texts counts as one of more texts, as blocks follow the count
@@ -231,7 +230,7 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> Data
     wanted = named.drop("n_shingles").join(size, "cluster")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(_base.texts_of(batch, "text"))
+        sets = shingle_sets(_base.texts_of(batch, "text"), width)
         fits = pa.array([_fingerprint(s) == p if len(s) else False for s, p in zip(sets, zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True), strict=True)])
         out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["cluster", "c", "rep", "shingles"])
         return out.filter(fits)
@@ -268,12 +267,17 @@ def _candidates(reps: DataFrame) -> DataFrame:
         more = components(edges.unionByName(_pairs_map(_outsiders(rows, "node", ["n", "sig", "label"]), _sketch_links)))
         _base.drop(rows, roots)
         roots = more
-    clusters = roots.select(F.col("member").alias("rep"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
-    clusters = _base.keep(clusters, "clusters")
+    clusters = _clusters(roots)
     _base.drop(edges, roots, *kept)
     return clusters
 
 
+def _clusters(roots: DataFrame) -> DataFrame:
+    """(rep, cluster) of every vertex, from what ``components`` returns."""
+    every = roots.select(F.col("member").alias("rep"), F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("rep"), F.col("root").alias("cluster")).distinct())
+    return _base.keep(every, "clusters")
+
+
 def near_duplicates(docs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
@@ -284,21 +288,29 @@ def near_duplicates(docs: DataFrame, keys: list[str] | None = None) -> DataFrame
     no links of its own; alone, its component is null and it is kept. Repeated rows get the same result. A text of any length is taken whole;
     blocks hold fewer of longer texts. Columns that aren't keys aren't kept, whatever their names.
     """
-    keys = keys or []
-    signed = _base.keep(_signed(docs, keys), "signed")
+    return linked(docs, keys or [], _candidates, 5, THRESHOLD)
+
+
+def linked(docs: DataFrame, keys: list[str], candidates: Callable[[DataFrame], DataFrame], width: int, threshold: int) -> DataFrame:
+    """The rows of ``near_duplicates`` for shingles of ``width`` words linked at ``threshold`` percent.
+
+    ``candidates`` gives, of the documents that differ (rep, name, n_shingles, fp_a, fp_b, sig), the clusters (rep, cluster) outside which there is no link.
+    """
+    signed = _base.keep(_signed(docs, keys, width), "signed")
     named = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = named.groupBy("n_shingles", "fp_a", "fp_b").agg(F.min("doc_id").alias("name"), F.first("sig").alias("sig"))
     reps = _base.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "reps")
-    clusters = _candidates(reps)
-    sets = _cluster_sets(docs, reps, clusters)
+    clusters = candidates(reps)
+    sets = _cluster_sets(docs, reps, clusters, width)
+    links_of = partial(_set_links, threshold=threshold)
     blocks = _base.keep(_blocks(sets.withColumn("label", F.lit(None).cast("long")), "cluster", ["shingles", "label"]), "blocks")
     first = blocks.where(F.col("block") == 0).select("cluster", F.col("members").alias("others"))
-    links = _base.keep(_pairs_map(blocks.join(first, "cluster", "left").select("members", F.when(F.col("block") > 0, F.col("others")).alias("others")), _set_links), "links")
+    links = _base.keep(_pairs_map(blocks.join(first, "cluster", "left").select("members", F.when(F.col("block") > 0, F.col("others")).alias("others")), links_of), "links")
     wide = sets.where(F.col("c") > SMALL)
     if not wide.isEmpty():
         known = components(links)
         labelled = _base.keep(_labelled(wide, known), "wide")
-        more = _pairs_map(_outsiders(labelled, "cluster", ["shingles", "label"]), _set_links)
+        more = _pairs_map(_outsiders(labelled, "cluster", ["shingles", "label"]), links_of)
         roots = components(links.unionByName(more))
         _base.drop(known, labelled)
     else:

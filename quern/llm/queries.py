@@ -10,6 +10,7 @@ from quern.llm.html import op6_html_extraction
 from quern.llm.lm import op8_language_model
 from quern.llm.neardup import op3_near_duplicates
 from quern.llm.packing import op5_packing
+from quern.llm.partenum import op11_jaccard_join
 from quern.llm.periods import op12_periodic_runs
 from quern.llm.quantize import op13_vector_codes
 from quern.llm.secrets import op2_secret_scan
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_vector_codes": op13_vector_codes,
 }

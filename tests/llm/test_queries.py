@@ -16,6 +16,7 @@ COLUMNS = {
     "op8_language_model": {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
     "op9_token_ids": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op11_jaccard_join": {"doc_id", "n_shingles", "component_id"},
     "op12_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
     "op13_vector_codes": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
 }
