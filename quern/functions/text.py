@@ -151,9 +151,24 @@ def is_refusal(text: Column) -> Column:
     return F.rlike(F.coalesce(text, F.lit("")), F.lit(REFUSAL))
 
 
+#: Words that join or compare, and what an answer says that gives up.
+COMPLEX = r"(?i)\b(and|also|plus|both|compare|versus|vs\.?|difference|as well as|then|after that|before that|in addition|along with|what about|how (?:does|do|is|are).+\b(?:and|versus|vs)\b)\b"
+GIVES_UP = r"(?i)do not know|could not find"
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, f"^{WHITE}|{WHITE}$", "")
+
+
 def is_complex(question: Column) -> Column:
-    """Long, several questions, or words that join or compare."""
-    return (F.length(question) > 120) | (F.regexp_count(question, F.lit(r"\?")) >= 2) | F.rlike(question, F.lit(r"(?i)\b(and also|compare|versus|difference between|both)\b"))
+    """Longer than 120 characters, several questions, or words that join or compare."""
+    asked = trimmed(question)
+    return (F.length(asked) > 120) | (F.regexp_count(asked, F.lit(r"\?")) >= 2) | F.rlike(asked, F.lit(COMPLEX))
+
+
+def gives_up(answer: Column) -> Column:
+    return F.rlike(answer, F.lit(GIVES_UP))
 
 
 def routing_label(text: Column, labels: list[str]) -> Column:

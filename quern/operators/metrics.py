@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numeric import safe_ratio
+from quern.operators.shared import keep
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, by: list[str] | None = None) -> DataFrame:
@@ -43,32 +44,33 @@ def per_class(cells: DataFrame) -> DataFrame:
     return sums.select("class", "support", precision.alias("precision"), recall.alias("recall"), safe_ratio(2 * F.col("hit"), F.col("named") + F.col("support")).alias("f1"))
 
 
-def by_score(rows: DataFrame, score: Column, truth: Column) -> DataFrame:
-    """(score, n, positives) by distinct score; rows without score or truth take no part."""
+def by_score(rows: DataFrame, score: Column, truth: Column, by: list[str] | None = None) -> DataFrame:
+    """(by, score, n, positives) by distinct score; rows without score or truth take no part."""
     kept = rows.where(score.isNotNull() & truth.isNotNull())
-    return kept.groupBy(score.alias("score")).agg(F.count("*").alias("n"), F.count_if(truth).alias("positives"))
+    return kept.groupBy(*(by or []), score.alias("score")).agg(F.count("*").alias("n"), F.count_if(truth).alias("positives"))
 
 
-def running(counts: DataFrame) -> DataFrame:
-    """``counts`` with above and positives_above: what has this score or a higher one.
+def running(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``counts`` with above and positives_above: what has this score or a higher one, within each ``by``.
 
     Scores are ranged over the partitions; each sums up its own, and the partitions' totals are added in order.
-    The ranged rows are kept while they are used, because the bounds of ranges are sampled anew by every evaluation.
+    The ranged rows are written to the shared folder, because the bounds of ranges are sampled anew by every evaluation.
     """
-    ranged = counts.repartitionByRange(F.desc("score")).withColumn("_range", F.spark_partition_id()).persist()
-    own = Window.partitionBy("_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    by = by or []
+    ranged = keep(counts.repartitionByRange(*by, F.desc("score")).withColumn("_range", F.spark_partition_id()), "scores")
+    own = Window.partitionBy("_range", *by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     ranged = ranged.withColumn("_n", F.sum("n").over(own)).withColumn("_p", F.sum("positives").over(own))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    totals = ranged.groupBy("_range").agg(F.sum("n").alias("n"), F.sum("positives").alias("p"))
-    starts = totals.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("_p0"))
-    joined = ranged.join(starts, "_range")
-    return joined.select("score", "n", "positives", (F.col("_n") + F.col("_n0")).alias("above"), (F.col("_p") + F.col("_p0")).alias("positives_above"))
+    before = (Window.partitionBy(*by) if by else Window).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = ranged.groupBy("_range", *by).agg(F.sum("n").alias("n"), F.sum("positives").alias("p"))
+    starts = totals.select("_range", *by, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("_p0"))
+    joined = ranged.join(starts, ["_range", *by])
+    return joined.select(*by, "score", "n", "positives", (F.col("_n") + F.col("_n0")).alias("above"), (F.col("_p") + F.col("_p0")).alias("positives_above"))
 
 
-def average_precision(counts: DataFrame) -> DataFrame:
-    """The step-wise area under the precision-recall curve; null without positives."""
+def average_precision(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The step-wise area under the precision-recall curve of each ``by``; null without positives."""
     step = F.col("positives") * F.try_divide(F.col("positives_above").cast("double"), F.col("above"))
-    return running(counts).agg(F.try_divide(F.sum(step), F.sum("positives")).alias("average_precision"))
+    return running(counts, by).groupBy(*(by or [])).agg(F.try_divide(F.sum(step), F.sum("positives")).alias("average_precision"))
 
 
 def roc_auc(counts: DataFrame) -> DataFrame:

@@ -13,15 +13,13 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import metrics
-
-
-def fold(group: Column, folds: int = 5) -> Column:
-    """A fold by the group's hash, so that no group is in two; classes are balanced only on average."""
-    return F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+from quern.operators.boosting import Boosted
+from quern.operators.records import numbered
+from quern.operators.shared import keep
 
 
 def balanced(rows: DataFrame, label: str) -> DataFrame:
@@ -86,6 +84,8 @@ def boosted_trees(rows: DataFrame, features: list[str], label: str, rounds: int
 
 def scored(model, rows: DataFrame) -> DataFrame:
     """``rows`` with the probability of the positive class."""
+    if isinstance(model, Boosted):
+        return model.score(rows)
     return model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
 
 
@@ -98,28 +98,35 @@ def tune(fit, train: DataFrame, validation: DataFrame, test: DataFrame, label: s
     return metrics.binary_metrics(metrics.binary_counts(final, F.col(label) == 1, flagged)).withColumn("threshold", F.lit(threshold).cast("double"))
 
 
-def permutation_importance(model, rows: DataFrame, features: list[str], label: str, repeats: int = 5) -> DataFrame:
-    """(feature, drop): the mean loss of average precision when a feature's values are dealt out anew.
+def dealt_out(rows: DataFrame, features: list[str], repeats: int, seed: int = 7) -> DataFrame:
+    """``rows`` once for each (feature, repeat), with the feature's values dealt out anew among all rows, and once as they are (feature "").
 
-    Values move between rows by two numberings that are joined: of all rows by hash, in ranges, and shifted by ``repeat``.
+    All rows have a place; each key numbers the rows by a hash of its own, and the row that comes nth gives its value to the one at place n.
+    A key has all rows, so one numbering over all keys serves each of them.
+    """
+    placed = numbered(keep(rows.withColumn("_id", F.monotonically_increasing_id()), "rows"), ["_id"], "_at")
+    placed = keep(placed, "placed")
+    n = max(1, placed.count())
+    keys = lambda named: F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *more) for f, more in named for r in range(repeats if f else 1)]))
+    given = placed.select("_id", keys([(f, [F.col(f).cast("double").alias("_new")]) for f in features]).alias("k")).select("_id", "k.*")
+    given = numbered(given.withColumn("_h", F.xxhash64(F.lit(seed), "feature", "repeat", "_id")), ["feature", "repeat", "_h", "_id"], "_at")
+    given = given.select("feature", "repeat", (F.col("_at") % n).alias("_at"), "_new")
+    every = placed.select("*", keys([(f, []) for f in ["", *features]]).alias("k")).select(*rows.columns, "_at", "k.*")
+    joined = every.join(given, ["feature", "repeat", "_at"], "left")
+    return joined.select("feature", "repeat", *[F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in rows.columns])
+
+
+def permutation_importance(model, rows: DataFrame, features: list[str], label: str, repeats: int = 5, seed: int = 7) -> DataFrame:
+    """(feature, drop, deviation): the loss of average precision when a feature's values are dealt out anew, its mean and deviation over ``repeats``.
+
+    All permutations are rows of one table, which is scored once; the number of jobs doesn't depend on features or repeats.
     """
-    from quern.operators.records import numbered
-
-    truth = F.col(label) == 1
-    quality = lambda df: metrics.average_precision(metrics.by_score(scored(model, df), F.col("score"), truth)).first()[0] or 0.0
-    base = rows.select(*features, label).withColumn("_id", F.monotonically_increasing_id()).cache()
-    n, before = base.count(), quality(base)
-    out = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            dealt = numbered(base.select(F.xxhash64(F.lit(r), "_id").alias("_h"), "_id", f), ["_h", "_id"], "_at")
-            given = dealt.select((F.col("_at") + 1 + r) % n, F.col(f).alias("_new")).toDF("_at", "_new")
-            swapped = dealt.select("_id", "_at").join(given, "_at").select("_id", "_new")
-            drops.append(before - quality(base.drop(f).join(swapped, "_id").withColumnRenamed("_new", f)))
-        out.append((f, sum(drops) / len(drops)))
-    base.unpersist()
-    return rows.sparkSession.createDataFrame(out, "feature string, drop double").orderBy(F.desc("drop"), "feature")
+    dealt = scored(model, dealt_out(rows.select(*features, label), features, repeats, seed))
+    quality = keep(metrics.average_precision(metrics.by_score(dealt, F.col("score"), F.col(label) == 1, ["feature", "repeat"]), ["feature", "repeat"]), "quality")
+    whole = quality.where("feature = ''").select(F.col("average_precision").alias("_before"))
+    drop = F.coalesce(F.col("_before"), F.lit(0.0)) - F.coalesce(F.col("average_precision"), F.lit(0.0))
+    each = quality.where("feature <> ''").crossJoin(F.broadcast(whole))  # one row
+    return each.groupBy("feature").agg(F.avg(drop).alias("drop"), F.stddev_pop(drop).alias("deviation")).orderBy(F.desc("drop"), "feature")
 
 
 def first_sentences_noisy(rows: DataFrame, text: str, seed: int, rate: float = 0.3) -> DataFrame:
@@ -129,5 +136,3 @@ def first_sentences_noisy(rows: DataFrame, text: str, seed: int, rate: float = 0
 
     own = F.xxhash64(F.lit(seed), F.col(text))
     return rows.withColumn(text, prng.add_typos(T.first_sentence(F.col(text)), own, rate))
-
-

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.shared import keep
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Of each key the row that comes last by ``order``, with ``copies``, the number of its rows."""
@@ -79,9 +81,9 @@ def numbered(rows: DataFrame, order: list[str], into: str = "position") -> DataF
     """``rows`` with their place from 0 by unique ``order``, without bringing all rows together.
 
     Rows are ranged by ``order``; each range counts itself, and only the counts are summed up in order. The ranged
-    rows are kept while they are used, because the bounds of ranges are sampled anew by every evaluation.
+    rows are written to the shared folder, because the bounds of ranges are sampled anew by every evaluation.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    ranged = keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -319,7 +319,7 @@ def symptom_texts(spark, sf_dir):
 
 
 @query(rf"""SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '{T.REFUSAL.replace("'", "''")}') AS refuses,
-    len(text) > 120 OR len(regexp_extract_all(text, '\?')) >= 2 OR regexp_matches(text, '(?i)\b(and also|compare|versus|difference between|both)\b') AS complex,
+    len(trim(text)) > 120 OR len(regexp_extract_all(text, '\?')) >= 2 OR regexp_matches(text, '{T.COMPLEX}') AS complex,
     CASE WHEN len(x) = 1 THEN x[1] END AS label, len(list_filter(regexp_extract_all(text, '\b[A-Z][A-Za-z]*'), lambda w: w NOT IN ('I', 'A'))) AS n_names
 FROM (SELECT *, list_filter(['the', 'that', 'with'], lambda m: {_mentions('text', 'm')}) AS x FROM conversations)""")
 def turn_labels(spark, sf_dir):

@@ -214,11 +214,6 @@ def test_vitals_render_every_kind(spark):
     assert value(spark, clinical.vital(F.lit("none"), F.lit(9), F.lit(1), F.lit(3))) is None
 
 
-def test_folds_keep_groups_together(spark):
-    got = spark.range(400).select((F.col("id") % 40).alias("g"), models.fold(F.col("id") % 40).alias("f")).groupBy("g").agg(F.countDistinct("f").alias("n"))
-    assert got.where("n > 1").count() == 0
-
-
 def test_symptoms_without_names(spark):
     note = "Visit note | d | Dr. A, ENT | Patient: Rina Das, 40, female. Mrs. Das has a cough. Rina sleeps badly. On examination all is well."
     assert value(spark, T.symptom_text(F.lit(note), F.lit("Rina Das"))) == "The patient has a cough. the patient sleeps badly."
