@@ -1,4 +1,4 @@
-"""Models on text and features: TF-IDF with logistic regression, boosted trees, importances and tuning.
+"""Models on features: logistic regression, Spark's boosted trees, importances and tuning.
 
 scikit-learn's defaults differ from Spark's in places; where a formula can be matched it is, and where it can't the
 docstring says so.
@@ -6,13 +6,10 @@ docstring says so.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,52 +19,6 @@ from quern.operators.records import numbered
 from quern.operators.shared import keep
 
 
-def balanced(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` with a weight that makes every class count alike."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-    weights = counts.crossJoin(F.broadcast(totals)).select(label, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one row of totals
-    return rows.join(weights, label)
-
-
-@F.pandas_udf(VectorUDT())
-def _sublinear(counts: pd.DataFrame) -> pd.DataFrame:
-    """1 + log of each count that isn't 0; Spark has no expression that keeps a vector sparse. Vectors come as their fields."""
-    return counts.assign(values=[1 + np.log(v) for v in counts["values"]])
-
-
-def text_classifier(rows: DataFrame, text: str, label: str, *, c: float = 10.0, min_df: float = 2.0):
-    """A fitted pipeline: words and word pairs, sublinear counts, smooth inverse document frequency plus one, unit length, balanced logistic regression.
-
-    Every term of at least ``min_df`` documents counts. Rows stay sparse; the driver holds the terms, and a weight for each term and label.
-    """
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        StopWordsRemover(inputCol="_words", outputCol="_kept"),
-        NGram(inputCol="_kept", outputCol="_pairs", n=2),
-        SQLTransformer(statement="SELECT *, concat(_kept, _pairs) AS _terms FROM __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=min_df, vocabSize=(1 << 31) - 1),
-    ]
-    counter = Pipeline(stages=stages).fit(rows)
-    counted = counter.transform(rows)
-    n = rows.count()
-    scale = ElementwiseProduct(inputCol="_x", outputCol="_v", scalingVec=Vectors.dense(IDF(inputCol="_counts").fit(counted).idf.toArray() + 1))
-
-    def vectors(df: DataFrame) -> DataFrame:
-        got = counter.transform(df).withColumn("_x", _sublinear("_counts"))
-        return Normalizer(inputCol="_v", outputCol="features", p=2.0).transform(scale.transform(got)).drop("_x", "_v")
-
-    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-    train = balanced(index.transform(vectors(rows)), label)
-    model = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="weight", regParam=1 / (c * max(1, n)), maxIter=50).fit(train)
-
-    def predict(df: DataFrame) -> DataFrame:
-        names = F.array(*[F.lit(x) for x in index.labels])
-        return model.transform(vectors(df)).select(*df.columns, F.get(names, F.col("prediction").cast("int")).alias("predicted"))
-
-    return predict
-
-
 def logistic(rows: DataFrame, features: list[str], label: str, c: float = 1.0):
     """Standardised logistic regression; Spark scales by the sample's deviation, which differs a little from the population's."""
     assemble = VectorAssembler(inputCols=features, outputCol="_raw")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 #: Text tables of up to so many bytes are dealt over all cores, as they may lie in one row group that one task would read.
@@ -59,3 +60,15 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt over all cores if its files have up to ``SPREAD_BYTES``; larger ones have parts of their own."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
+def look_up(rows: DataFrame, table: DataFrame, on: list[str], weight: str, hot: int = 1024) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``weight`` about how many of ``rows`` have it.
+
+    Keys with more than 1 / ``hot`` of all weight are fewer than ``hot``: these are broadcast, so their rows don't meet in a task. The others
+    are joined by shuffling.
+    """
+    line = (table.agg(F.sum(weight)).first()[0] or 0) // hot
+    often, seldom = table.where(F.col(weight) > line), table.where(F.col(weight) <= line)
+    rest = rows.join(F.broadcast(often.select(*on)), on, "left_anti").join(seldom, on)
+    return rows.join(F.broadcast(often), on).unionByName(rest)

@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import boosting, folds, metrics, models, search
+from quern.operators import boosting, folds, metrics, models, search, textmodel
 from tests.test_operators import rows
 
 
@@ -169,3 +170,64 @@ def test_pruned_search_finds_the_same_and_scores_less(spark):
     found, n, mean = search.postings(docs, terms, asked)
     left = search.survivors(*search.term_weights(found, n, mean), asked, 3)
     assert left.count() < every.count() / 4
+
+
+def test_text_classifier_equals_a_dense_fit(spark):
+    rng = random.Random(9)
+    words = {"x": [f"red{i}" for i in range(12)], "y": [f"blue{i}" for i in range(12)], "z": [f"green{i}" for i in range(12)]}
+    every = [w for ws in words.values() for w in ws]
+    text = lambda c: " ".join(rng.choice(words[c] if rng.random() < 0.4 else every) for _ in range(rng.randint(3, 25)))
+    data = [(i, text(c), c) for i, c in enumerate(rng.choices("xyz", [6, 3, 1], k=240))]
+    test = [(i, text(c), c) for i, c in enumerate(rng.choices("xyz", k=120))] + [(900, None, "x"), (901, "the unheard of", "x")]
+    schema = "id long, text string, label string"
+
+    terms = lambda t: (w := (t or "").split()) + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    df = Counter(t for _, s, _ in data for t in set(terms(s)))
+    names = sorted(t for t in df if df[t] >= 2)
+    idf = np.array([math.log((1 + len(data)) / (1 + df[t])) + 1 for t in names])
+
+    def dense(rows_):
+        x = np.zeros((len(rows_), len(names)))
+        for i, (_, s, _) in enumerate(rows_):
+            for t, n in Counter(terms(s)).items():
+                if df[t] >= 2:
+                    x[i, names.index(t)] = 1 + math.log(n)
+        x *= idf
+        return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+    x, y = dense(data), np.array(["xyz".index(c) for _, _, c in data])
+    weight = np.array([len(y) / (3 * (y == k).sum()) for k in range(3)])[y]
+    w, b = np.zeros((len(names), 3)), np.zeros(3)
+    for _ in range(6000):  # plain gradient descent on the same loss
+        m = x @ w + b
+        p = np.exp(m - m.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True) - np.eye(3)[y]) * weight[:, None] / weight.sum()
+        w, b = w - 1.5 * (x.T @ p + w / (10 * len(y))), b - 1.5 * p.sum(0)
+    margin = dense(test) @ w + b
+    predict = textmodel.text_classifier(rows(spark, data, schema), "text", "label", tolerance=1e-7)
+    got = {r["id"]: r["predicted"] for r in predict(rows(spark, test, schema)).collect()}
+    clear = np.sort(margin, 1)[:, -1] - np.sort(margin, 1)[:, -2] > 0.03
+    assert clear.sum() > 90 and all(got[i] == "xyz"[m.argmax()] for (i, _, _), m, sure in zip(test, margin, clear) if sure)
+
+
+def test_text_classifier_of_odd_tables(spark):
+    schema = "text string, label string"
+    one = textmodel.text_classifier(rows(spark, [("a b c", "x"), ("d e f", "x"), (None, "x"), ("g", None)], schema), "text", "label")
+    assert [r["predicted"] for r in one(rows(spark, [("zz", None), (None, None)], schema)).collect()] == ["x", "x"]
+    with pytest.raises(ValueError):
+        textmodel.text_classifier(rows(spark, [], schema), "text", "label")
+
+
+def test_direction_is_that_of_the_two_loops():
+    rng = np.random.default_rng(2)
+    g, steps = rng.normal(size=30), [rng.normal(size=30) for _ in range(3)]
+    changes = [s * rng.uniform(0.5, 2, 30) for s in steps]
+    d, alphas = -g.copy(), []
+    for s, c in zip(reversed(steps), reversed(changes)):
+        alphas.append(d @ s / (s @ c))
+        d -= alphas[-1] * c
+    d *= steps[-1] @ changes[-1] / (changes[-1] @ changes[-1])
+    for s, c, a in zip(steps, changes, reversed(alphas)):
+        d += (a - d @ c / (s @ c)) * s
+    table = np.array([g, *steps, *changes])
+    assert np.allclose(textmodel.direction(table @ table.T) @ table, d)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import clinical, numeric, prng
 from quern.functions import text as T
-from quern.operators import history, metrics, models, noise, records, search, similarity, validate
+from quern.operators import history, metrics, models, noise, records, search, similarity, validate, textmodel
 
 
 def rows(spark, data, schema):
@@ -253,7 +253,7 @@ def test_text_classifier_knows_rare_terms(spark):
         words = [f"filler{rng.randrange(5000)}" for _ in range(17)] + [f"mark{2 * rng.randrange(900) + i % 2}" for _ in range(3)]
         rows.append((i, " ".join(rng.sample(words, 20)), "ab"[i % 2]))
     docs = spark.createDataFrame(rows, "id int, text string, label string")
-    predict = models.text_classifier(docs.where("id < 3000"), "text", "label")
+    predict = textmodel.text_classifier(docs.where("id < 3000"), "text", "label")
     got = predict(docs.where("id >= 3000")).agg(F.avg((F.col("label") == F.col("predicted")).cast("int"))).first()[0]
     assert got > 0.9
 
