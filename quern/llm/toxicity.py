@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: an ordinary one on whole ordinary texts, and a toxic one on
-the pieces of toxic text whose byte n-grams many toxic texts and no ordinary one have. A window of several words is
-compressed with the ordinary dictionary alone and with the toxic one beside it; the difference in length is its evidence. In
-the toxic one's place the first compressor has noise of the same length, so that equal references cost the same. The
-three largest evidences of the whole text go through a calibrated logistic threshold. Windows overlap by half.
+Two zstandard dictionaries are trained on labelled text. Byte n-grams are weighted by both classes: the log-likelihood ratio of how many toxic and
+how many ordinary texts have one decides whether it speaks for toxicity, so no single text can rule it out. The toxic
+dictionary is trained on the pieces of toxic text that such n-grams cover, as often as they occur, the ordinary one on ordinary text without
+them. A window of several words is compressed with the ordinary dictionary alone and with the toxic one beside it; the difference
+in length is its evidence. In the toxic one's place the first compressor has noise of the same length, so that equal references cost the
+same. The largest evidences of the whole text, and how many of its windows have some, go through a calibrated logistic threshold.
+Windows overlap by half.
 
 zstandard counts whole bytes and a back reference costs about three of them, so each byte is written as ``EXPAND`` code
 bytes before compressing, which makes literals dear and references cheap without changing what can match. A window
-that shares no ``GRAM`` bytes with what only the toxic dictionary has can't gain by it and isn't compressed.
+that shares no ``GRAM`` bytes with what only the toxic dictionary has can't gain by it: its evidence is 0, and it isn't compressed.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ from quern.llm import _base
 from quern.llm._text import LOWER, SPACES, _spans, mix, windows
 
 EXPAND = 3
-TOP = 3
+TOP = 5
+#: Evidences from which on windows are counted.
+COUNTED = (3, 6)
+FEATURES = TOP - 1 + 2 * len(COUNTED)
 WINDOW, STRIDE = 4, 2
-GRAM = 5
-#: Bytes of an n-gram by which pieces of toxic text are found.
-PIECE = 6
+GRAM = 6
+#: Bytes of an n-gram by which pieces of toxic text are found, its least log-likelihood ratio, by how much it is more frequent in toxic texts, and
+#: how many n-grams (those of the largest ratios) the fit uses.
+PIECE, LEAST_RATIO, TIMES, TELLING = 8, 15.0, 3.0, 500
 ORDINARY_BYTES = 65536
 #: Sizes of the toxic dictionary, of which the calibration picks the best.
 TOXIC_BYTES = (1024, 2048, 4096)
@@ -66,7 +72,7 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    weights: list[float] = field(default_factory=lambda: [0.0] * (TOP + 1))
+    weights: list[float] = field(default_factory=lambda: [0.0] * (FEATURES + 1))
     prior: float = 0.0
 
     def scorer(self) -> "Scorer":
@@ -109,8 +115,8 @@ class Scorer:
         return plain - toxic
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """The ``TOP`` largest evidences of each text, at least 0."""
-        out = np.zeros((len(texts), TOP))
+        """Of each text the three largest evidences, the sum of the next two, and by ``COUNTED`` how many windows have more, absolutely and as a share."""
+        out = np.zeros((len(texts), FEATURES))
         at = 0
         while at < len(texts):
             upto, size = at, 0
@@ -122,7 +128,6 @@ class Scorer:
         return out
 
     def _group(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(texts), TOP))
         buf = b" %b " % b" ".join(texts).translate(_FOLD)
         hits = []
         for a in range(0, len(buf), _SLICE):
@@ -130,10 +135,11 @@ class Scorer:
             near = np.flatnonzero(self.maybe[self._slot(grams)])
             hits.append(a + near[_in(grams[near], self.own)])
         hit = np.concatenate(hits)
-        if not len(hit):
-            return out
         starts, ends = _spans(np.frombuffer(buf, np.uint8), SPACES)
         first = np.concatenate([[0], np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]) + 1)])
+        n_windows = np.maximum(1, -(-np.diff(first) // STRIDE))
+        if not len(hit):
+            return self._summary(np.zeros(0, np.int64), np.zeros(0), n_windows)
         word = np.unique(np.searchsorted(starts, hit + 1, "right") - 1)  # a gram may start with the space before its word
         word = word[word >= 0]
         doc = np.searchsorted(first, word, "right") - 1
@@ -144,12 +150,18 @@ class Scorer:
         codes = _CODES[np.frombuffer(buf, np.uint8)].ravel() if len(begins) * 64 > len(buf) else None
         cut = (lambda a, b: codes[a * EXPAND : b * EXPAND].tobytes()) if codes is not None else (lambda a, b: _expand(buf[a:b]))
         e = self.evidence([cut(a, b) for a, b in zip((starts[begins] - 1).tolist(), (ends[last] + 1).tolist(), strict=True)])
+        return self._summary(doc, e, n_windows)
+
+    @staticmethod
+    def _summary(doc: np.ndarray, e: np.ndarray, n_windows: np.ndarray) -> np.ndarray:
         order = np.lexsort((-e, doc))
         doc, e = doc[order], e[order]
+        top = np.zeros((len(n_windows), TOP))
         rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        top = (rank < TOP) & (e > 0)
-        out[doc[top], rank[top]] = e[top]
-        return out
+        used = (rank < TOP) & (e > 0)
+        top[doc[used], rank[used]] = e[used]
+        counts = [np.bincount(doc[e >= c], minlength=len(n_windows)) for c in COUNTED]
+        return np.column_stack([top[:, :3], top[:, 3:].sum(1), *[np.log1p(c) for c in counts], *[np.log((c + 0.5) / (n_windows + 5)) for c in counts]])
 
     def scores(self, texts: list[bytes]) -> list[float]:
         if not self.model.toxic:
@@ -162,29 +174,44 @@ def _folded(text: bytes) -> bytes:
     return b" %b " % text.translate(_FOLD)
 
 
-def _pieces(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """The different pieces of toxic text whose n-grams at least a hundredth of the toxic texts (and three) and no ordinary one have."""
-
-    def union(parts: Iterator[np.ndarray]) -> np.ndarray:
-        out, held, size = np.zeros(0, np.uint64), [], 0
-        for p in parts:
-            held.append(p)
-            size += len(p)
-            if size > 1 << 20:
-                out, held, size = np.unique(np.concatenate([out, *held])), [], 0
-        return np.unique(np.concatenate([out, *held]))
-
-    usual = union(np.unique(_grams(_folded(t), PIECE)) for t in ordinary)
-    per = [x[~_in(x, usual)] for x in (np.unique(_grams(_folded(t), PIECE)) for t in toxic)]
-    grams, n = np.unique(np.concatenate([*per, np.zeros(0, np.uint64)]), return_counts=True)
-    grams = grams[n >= max(3, -(-len(toxic) // 100))]
-    out: dict[bytes, None] = {}
-    for t in toxic:
-        t = _folded(t)
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], _in(_grams(t, PIECE), grams), [False]]).astype(np.int8)))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            out[t[max(0, a - 1) : b + PIECE]] = None
-    return list(out)
+def _telling(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """The n-grams that speak for toxicity: ``TIMES`` as frequent among toxic texts, with a log-likelihood ratio of ``LEAST_RATIO``, the best ``TELLING``."""
+
+    def counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        grams, n, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for i, t in enumerate(texts):
+            held.append(np.unique(_grams(_folded(t), PIECE)))
+            size += len(held[-1])
+            if size > 1 << 21 or i == len(texts) - 1:
+                every = np.concatenate([grams, *held])
+                ones = np.concatenate([n, np.ones(size, np.int64)])
+                grams, at = np.unique(every, return_inverse=True)
+                n, held, size = np.bincount(at, ones, len(grams)).astype(np.int64), [], 0
+        return grams, n
+
+    (g1, a), (g0, c) = counted(toxic), counted(ordinary)
+    if not len(g1):
+        return g1
+    at = np.minimum(np.searchsorted(g0, g1), max(0, len(g0) - 1))
+    b = np.where(g0[at] == g1, c[at], 0) if len(g0) else np.zeros(len(g1), np.int64)
+    n1, n0 = len(toxic), len(ordinary)
+    part = lambda x, expected: np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(expected, 1e-300)), 0.0)
+    share = n1 / (n1 + n0)
+    ratio = 2 * (part(a, (a + b) * share) + part(b, (a + b) * (1 - share)) + part(n1 - a, (n1 + n0 - a - b) * share) + part(n0 - b, (n1 + n0 - a - b) * (1 - share)))
+    ratio = np.where(a / n1 >= TIMES * (b + 0.5) / n0, ratio, 0.0)
+    best = np.argsort(-ratio, kind="stable")[:TELLING]
+    return np.sort(g1[best[ratio[best] >= LEAST_RATIO]])
+
+
+def _parted(text: bytes, grams: np.ndarray) -> tuple[list[bytes], bytes]:
+    """(the pieces of a folded text that ``grams`` cover, each with the byte before, and the text without what they cover)."""
+    inside = _in(_grams(text, PIECE), grams)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    pieces = [text[max(0, a - 1) : b + PIECE - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    kept = np.ones(len(text), bool)
+    for i in range(PIECE):
+        kept[np.flatnonzero(inside) + i] = False
+    return pieces, np.frombuffer(text, np.uint8)[kept].tobytes()
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -196,16 +223,20 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
-    """Newton's method with a small ridge."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+    """Newton's method with a ridge on standardised features; the weights are those of the features as they are."""
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    x = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
     w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w)) * 1e-2
+    ridge = np.eye(len(w))
+    ridge[0, 0] = 1e-3
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
+    w[1:] /= scale
+    w[0] -= w[1:] @ mean
     return w.tolist()
 
 
@@ -213,15 +244,16 @@ def train(toxic: list[bytes], ordinary: list[bytes], share: float) -> ToxicityMo
     """A model from toxic and ordinary texts; ``share`` is the share of toxic documents among all.
 
     Two thirds of either side train the dictionaries, the rest the calibration, which also picks the size of the
-    toxic dictionary by its likelihood. Where no piece of text is toxic only, all texts get ``share`` as their score.
+    toxic dictionary by its likelihood. Where no n-gram speaks for toxicity, all texts get ``share`` as their score.
     """
     if not toxic or not ordinary:
         return ToxicityModel(prior=share)
     cut = [max(1, len(s) * 2 // 3) for s in (toxic, ordinary)]
-    pieces = _pieces(toxic[: cut[0]], ordinary[: cut[1]])
+    grams = _telling(toxic[: cut[0]], ordinary[: cut[1]])
+    pieces = [p for t in toxic[: cut[0]] for p in _parted(_folded(t), grams)[0]]
     if not pieces:
         return ToxicityModel(prior=share)
-    base = _dictionary([_folded(t) for t in ordinary[: cut[1]]], ORDINARY_BYTES)
+    base = _dictionary([_parted(_folded(t), grams)[1] for t in ordinary[: cut[1]]], ORDINARY_BYTES)
     sides = [toxic[cut[0] :] or toxic, ordinary[cut[1] :] or ordinary]
     y = np.repeat([1.0, 0.0], [len(s) for s in sides])
     odds = min(max(share, 1e-6), 1 - 1e-6)

@@ -828,8 +828,36 @@ def test_windows_equal_every_window_compressed():
         every = [b" " + b" ".join(words[i : i + toxicity.WINDOW]) + b" " for i in range(0, len(words), toxicity.STRIDE)]
         every = [w for w in every if np.isin(toxicity._grams(w, toxicity.GRAM), scorer.own).any()]
         best = sorted((e for e in scorer.evidence([toxicity._expand(w) for w in every]).tolist() if e > 0), reverse=True)
-        assert x.tolist() == [*best, 0, 0, 0][:3]
-    assert got[0].sum() > 0 and got[6].sum() > 0
+        n, counts = max(1, -(-len(words) // 2)), [sum(e >= c for e in best) for c in toxicity.COUNTED]
+        top = [*best, 0, 0, 0, 0, 0][:5]
+        assert np.allclose(x, [*top[:3], sum(top[3:]), *[math.log1p(c) for c in counts], *[math.log((c + 0.5) / (n + 5)) for c in counts]])
+    assert got[0, 0] > 0 and got[6, 0] > 0
+
+
+def test_one_ordinary_text_rules_nothing_out():
+    rows = labelled(random.Random(42), 400)
+    toxic, ordinary = ([t.encode() for _, t, y in rows if y == k] for k in (1, 0))
+    ordinary += [b"they said grubbish once", b"and wretchling and scabnose"]
+    found = toxicity._telling(toxic, ordinary)
+    assert all(np.isin(toxicity._grams(b" %b " % w, toxicity.PIECE), found).any() for w in (b"grubbish", b"wretchling", b"vilefoot", b"scabnose"))
+    scorer = toxicity.train(toxic, ordinary, 0.2).scorer()
+    scores = np.array(scorer.scores(toxic + ordinary))
+    assert (scores[: len(toxic)] >= 0.5).mean() > 0.97 and (scores[len(toxic) :] < 0.5).mean() > 0.97
+
+
+def test_toxicity_of_given_labels():
+    """The given tables' held-out fold, where some labels are wrong by chance: above a list of words that ordinary text lacks (recall 0.75, AUC 0.875)."""
+    import pyarrow.parquet as pq
+
+    docs, marks = (pq.read_table(f"/root/testdata/sf0.1/{n}.parquet").to_pydict() for n in ("documents", "labels"))
+    text = dict(zip(docs["doc_id"], [(t or "").encode() for t in docs["text"]]))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    fit = sorted(((i * 2654435761) % (1 << 32), i, y) for i, y in zip(marks["doc_id"], marks["toxic"]) if not fold(i))
+    scorer = toxicity.train([text[i] for _, i, y in fit if y], [text[i] for _, i, y in fit if not y][:2000], sum(y for *_, y in fit) / len(fit)).scorer()
+    held = [(i, y) for i, y in zip(marks["doc_id"], marks["toxic"]) if fold(i)]
+    scores, truth = np.array(scorer.scores([text[i] for i, _ in held])), np.array([y for _, y in held])
+    above = (scores[truth == 1][:, None] > scores[truth == 0]).mean() + (scores[truth == 1][:, None] == scores[truth == 0]).mean() / 2
+    assert above > 0.93 and (scores[truth == 1] >= 0.5).mean() > 0.78 and (scores[truth == 0] >= 0.5).mean() < 0.01
 
 
 def test_toxicity_of_odd_rows(spark):
