@@ -8,10 +8,12 @@ once on each of its pages, and on at least one page in ``SHARE`` of the host's;
 within those of other valid classes nests in them, and all that do are the host's template. The places of template tokens are its
 slots. Rarer places are no part of it, so what is gathered of a host is bounded by ``SHARE`` times the places of a page.
 
-A slot is filled if text that differs between pages lies below it outside of places whose names mark a menu, header, footer,
-notice and so on. Names only rank filled slots: the outermost ones of articles come first. Where none is an article's, the main
-slot is the smallest one that holds all text that differs. From each page the text below main slots is
-extracted; a page that has none of its template's main slots is read as a host of its own.
+Slots are told apart by what pages put into them: text that differs between pages and isn't a link's fills a slot, text that is the same on all
+doesn't. The main slot is the smallest one that holds the pages' main heading and at least half of what fills them; without headings that stand on most pages,
+the smallest one that holds all of it.
+Within it, slots of links and slots of the same text on all pages go. Names of elements and classes come second: places named as menus,
+notices and so on are left out, and where places named as articles hold half of what fills the main slot, they stand for it. From each
+page the text below main slots is extracted; a page that has none of its template's main slots is read as a host of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from quern.llm._text import mix
 #: Template bytes that are broadcast at most; beyond, templates are joined by host.
 BROADCAST_BYTES = 4_000_000
 SHARE = 20
+#: Pages of a host from which on a slot with the same text on all of them goes.
+SAME = 10
 _KNOWN = 100_000
 
 # Element names of HTML and the words by which places name their part.
@@ -52,7 +56,7 @@ _MAIN_ROLES = frozenset({"main", "article"})
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>|<!--|<[!?][^>]*+>")
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"(?<![0-9a-z])[a-z]+")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -96,7 +100,7 @@ def _child(path: int, name: str) -> int:
 
 
 def walk(text: str) -> Iterator[tuple[str, int, int, int, str]]:
-    """Events of a page: ("open", path, path around it, part, "") where a block element opens, ("text", path, 0, part, data), ("break", path, 0, part, "").
+    """Events of a page: ("open", path, path around it, part, name) where a block element opens, ("text", path, whether in a link, part, data), ("break", path, 0, part, "").
 
     A path is that of block elements; text in other elements belongs to the block element around these. A place's part
     is that of its outermost place that isn't for main text, else 1 within main text. Scripts, styles, comments and the like
@@ -109,10 +113,10 @@ def walk(text: str) -> Iterator[tuple[str, int, int, int, str]]:
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
-            yield "text", stack[-1][1], 0, stack[-1][2], text[at:]
+            yield "text", stack[-1][1], int(names["a"] > 0), stack[-1][2], text[at:]
             return
         if m.start() > at:
-            yield "text", stack[-1][1], 0, stack[-1][2], text[at : m.start()]
+            yield "text", stack[-1][1], int(names["a"] > 0), stack[-1][2], text[at : m.start()]
         at = m.end()
         if m.group(2) is None:
             if m.group() == "<!--":
@@ -154,51 +158,53 @@ def walk(text: str) -> Iterator[tuple[str, int, int, int, str]]:
         path = _child(above, own) if block else above
         state = -1 if state < 0 or part < 0 else max(state, part)
         if block:
-            yield "open", path, above, state, ""
+            yield "open", path, above, state, name
         if name not in _VOID:
             stack.append((name, path, state))
             names[name] += 1
 
 
 def main_text(text: str, slots: Iterable[int]) -> str:
-    """The text below ``slots`` without places for other things; white space as single spaces."""
+    """The text below ``slots`` (those below zero are left out: the place ``-1 - slot``) without places for other things; white space as single spaces."""
     out: list[str] = []
     slots = frozenset(slots)
     inside: dict[int, bool] = {0: 0 in slots}
     for kind, path, above, part, data in walk(text):
         if kind == "open":
-            inside[path] = path in slots or inside[above]
+            inside[path] = path in slots or inside[above] and -1 - path not in slots
         if part >= 0 and inside[path]:
             out.append(html.unescape(data) if kind == "text" else " ")
     return " ".join("".join(out).split())
 
 
-#: Of a place: the one around it, its depth and part, how often it opens, the length of its own text and a hash of that.
-Place = tuple[int, int, int, int, int, int]
+#: Of a place: the one around it, its depth, part and heading level, how often it opens, the lengths of its own text outside and within links, and a hash of both.
+Place = tuple[int, int, int, int, int, int, int, int]
 
 
 def tokens_of(text: str) -> dict[int, Place]:
     """The places of a page."""
-    found: dict[int, list[int]] = {0: [0, 0, 0, 1, 0, 0]}
+    found: dict[int, list[int]] = {0: [0, 0, 0, 0, 1, 0, 0, 0]}
     for kind, path, above, part, data in walk(text):
         if kind == "open":
             x = found.get(path)
             if x is None:
-                found[path] = [above, found[above][1] + 1, part, 1, 0, 0]
+                level = int(data[1]) if len(data) == 2 and data[0] == "h" and data[1].isdigit() else 0
+                found[path] = [above, found[above][1] + 1, part, level, 1, 0, 0, 0]
             else:
-                x[3] += 1
+                x[4] += 1
         elif kind == "text" and (data := " ".join(data.split())):
             x = found[path]
             if part >= 0 or x[2] < 0:
-                x[4] += len(data)
-                x[5] = (x[5] * 1000003 + int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")) & ((1 << 63) - 1)
+                x[6 if above else 5] += len(data)
+                x[7] = (x[7] * 1000003 + int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")) & ((1 << 63) - 1)
     return {k: tuple(x) for k, x in found.items()}
 
 
 def deduce(places: list[dict]) -> list[int]:
-    """A host's main slots from its places: path, above, depth, part, pages, opens, vector, chars, least, most.
+    """A host's main slots from its places: path, above, depth, part, level, pages, opens, vector, chars, linked, least, most.
 
-    ``least`` and ``most`` are those of the places' text hashes: equal where all pages have the same text.
+    ``least`` and ``most`` are those of the places' text hashes: equal where all pages have the same text. Slots that go within main ones
+    are returned as ``-1 - path``.
     """
     by = {p["path"]: p for p in places}
     total = by[0]["pages"] if 0 in by else 0
@@ -211,29 +217,48 @@ def deduce(places: list[dict]) -> list[int]:
     for p in sorted(places, key=lambda p: p["depth"]):
         if p["path"] in valid and p["above"] in template:
             template.add(p["path"])
-    below: Counter = Counter()  # differing text below each place
+    below, linked, same, heads = Counter(), Counter(), Counter(), Counter()  # what fills each place: text that differs, text of links, text that doesn't differ, main headings
+    alike = lambda p: p["least"] == p["most"] and total > 1
+    level = min((p["level"] for p in places if p["level"] and p["path"] in template and p["part"] >= 0 and 2 * p["pages"] > total), default=0)
     for p in sorted(places, key=lambda p: -p["depth"]):
-        if p["part"] >= 0 and (p["least"] != p["most"] or total == 1):
-            below[p["path"]] += p["chars"]
-        if p["path"]:
-            below[p["above"]] += below[p["path"]]
+        path, above = p["path"], p["above"]
+        if p["part"] >= 0:
+            (same if alike(p) else below)[path] += p["chars"]
+            linked[path] += p["linked"]
+            if level and p["level"] == level and path in template:
+                heads[path] += 1
+        if path:
+            for count in (below, linked, same, heads):
+                count[above] += count[path]
     filled = {path: n for path, n in below.items() if n and path in template}
-    named = [s for s in filled if by[s]["part"] > 0 and by[by[s]["above"]]["part"] <= 0]
-    if named:
-        return sorted(named)
     if not filled:
         return [0]
-    most = max(filled.values())
-    return [max((s for s, n in filled.items() if n == most), key=lambda s: (by[s]["depth"], s))]
+    needed = below[0] / 2 if heads[0] else max(filled.values())
+    held = [s for s, n in filled.items() if n >= needed and by[s]["part"] >= 0 and bool(heads[s]) == bool(heads[0])]
+    main = max(held, key=lambda s: (by[s]["depth"], filled[s], s), default=0)
+    named = [s for s in filled if by[s]["part"] > 0 and by[by[s]["above"]]["part"] <= 0]
+    slots = sorted(named) if named and 2 * sum(filled[s] for s in named) >= filled.get(main, 0) else [main]
+    gone = []
+    if total > 1:
+        for p in places:
+            path = p["path"]
+            around, n = path, below[path] + linked[path] + same[path]
+            while around and around not in slots:
+                around = by[around]["above"]
+            if path in slots or around not in slots or path not in template or p["level"] or heads[path] or not n:
+                continue
+            if 2 * linked[path] > n or total >= SAME and 2 * p["pages"] > total and same[path] == n:
+                gone.append(-1 - path)
+    return [*slots, *sorted(gone)]
 
 
 def _alone(text: str) -> list[int]:
     """The main slots of a page that stands for itself."""
-    return deduce([{"path": k, "above": a, "depth": d, "part": p, "pages": 1, "opens": n, "vector": n, "chars": chars, "least": h, "most": h} for k, (a, d, p, n, chars, h) in tokens_of(text).items()])
+    return deduce([{"path": k, "above": a, "depth": d, "part": p, "level": level, "pages": 1, "opens": n, "vector": n, "chars": chars, "linked": links, "least": h, "most": h} for k, (a, d, p, level, n, chars, links, h) in tokens_of(text).items()])
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-_PLACES = "host string, path long, above long, depth int, part int, pages long, opens long, vector long, chars long, least long, most long"
+_PLACES = "host string, path long, above long, depth int, part int, level int, pages long, opens long, vector long, chars long, linked long, least long, most long"
 
 
 def _with_host(pages: DataFrame) -> DataFrame:
@@ -245,7 +270,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
-        kinds = [pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.int64()] * 6]
+        kinds = [pa.string(), *[pa.int64()] * 2, *[pa.int32()] * 3, *[pa.int64()] * 7]
         names = [c.split()[0] for c in _PLACES.split(", ")]
 
         def out() -> pa.RecordBatch:
@@ -258,27 +283,27 @@ def templates(pages: DataFrame) -> DataFrame:
             for row, host, text in zip(*[batch.column(i) for i in at], strict=True):
                 row, host = row.as_py(), host.as_py()
                 places = tokens_of(text.as_py() or "")
-                hashes = mix(np.array([row + 1], np.uint64)) ^ mix(np.array([p[3] for p in places.values()], np.uint64))
+                hashes = mix(np.array([row + 1], np.uint64)) ^ mix(np.array([p[4] for p in places.values()], np.uint64))
                 hashes = mix(hashes).view(np.int64).tolist()
-                for (path, (above, depth, part, n, chars, text_hash)), h in zip(places.items(), hashes, strict=True):
+                for (path, (above, depth, part, level, n, chars, links, text_hash)), h in zip(places.items(), hashes, strict=True):
                     x = held.get((host, path))
                     if x is None:
-                        held[host, path] = [above, depth, part, 1, n, h, chars, text_hash, text_hash]
+                        held[host, path] = [above, depth, part, level, 1, n, h, chars, links, text_hash, text_hash]
                     else:
-                        x[3:] = x[3] + 1, x[4] + n, x[5] ^ h, x[6] + chars, min(x[7], text_hash), max(x[8], text_hash)
+                        x[4:] = x[4] + 1, x[5] + n, x[6] ^ h, x[7] + chars, x[8] + links, min(x[9], text_hash), max(x[10], text_hash)
                 if len(held) > 50_000:
                     yield out()
         if held:
             yield out()
 
     summed = _with_host(pages).mapInArrow(run, _PLACES).groupBy("host", "path").agg(
-        F.max("above").alias("above"), F.max("depth").alias("depth"), F.max("part").alias("part"), F.sum("pages").alias("pages"), F.sum("opens").alias("opens"),
-        F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"),
+        F.max("above").alias("above"), F.max("depth").alias("depth"), F.max("part").alias("part"), F.max("level").alias("level"), F.sum("pages").alias("pages"), F.sum("opens").alias("opens"),
+        F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most"),
     )
     summed = _base.keep(summed, "places")  # read twice, so that pages aren't
     total = summed.where("path = 0").select("host", F.col("pages").alias("total"))
     common = summed.join(total, "host").where(F.lit(SHARE) * F.col("pages") >= F.col("total")).drop("total")
-    gathered = common.groupBy("host").agg(F.collect_list(F.struct("path", "above", "depth", "part", "pages", "opens", "vector", "chars", "least", "most")).alias("places"))
+    gathered = common.groupBy("host").agg(F.collect_list(F.struct("path", "above", "depth", "part", "level", "pages", "opens", "vector", "chars", "linked", "least", "most")).alias("places"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([deduce(p) for p in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["host", "slots"])
