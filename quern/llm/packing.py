@@ -107,22 +107,21 @@ class Packer:
         for window in windows:
             at = 0
             for d, start, n in window:
-                key, ids = self.docs[d]
-                yield key, start, n, len(ids) // 4, self.sequence, at, ids[4 * start : 4 * (start + n)]
+                key, tail, before, total = self.docs[d]
+                yield key, start, n, total, self.sequence, at, tail[4 * (start - before) : 4 * (start - before + n)]
                 at += n
             self.sequence += 1
 
     def add(self, key, ids: bytes) -> Iterator[tuple]:
-        self.docs.append((key, ids))
-        d, n, start = len(self.docs) - 1, len(ids) // 4, 0
+        n, start = len(ids) // 4, 0
         while n - start >= self.capacity:
-            yield from self._emit([[(d, start, self.capacity)]])
-            start += self.capacity
+            yield key, start, self.capacity, n, self.sequence, 0, ids[4 * start : 4 * (start + self.capacity)]
+            self.sequence, start = self.sequence + 1, start + self.capacity
         if start < n:
             if self.size + n - start > self.room:
-                yield from self._emit(pack_group(self.pieces, self.capacity))
-                self.docs, self.pieces, self.size, d = [(key, ids)], [], 0, 0
-            self.pieces.append((d, start, n - start))
+                yield from self.close()
+            self.docs.append((key, ids[4 * start :], start, n))  # a group holds tails only, however long their documents are
+            self.pieces.append((len(self.docs) - 1, start, n - start))
             self.size += n - start
 
     def close(self) -> Iterator[tuple]:
