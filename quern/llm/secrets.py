@@ -3,7 +3,8 @@
 Beside the fixed patterns, every long run of key characters is a candidate. A window slides over it; counts
 of its characters are kept up step by step, and so is the window's Shannon entropy. A window is judged by its
 character class (hexadecimal or mixed, of letters of both cases or with digits), each class with a threshold of its
-own; windows of letters of one case never count, as words of prose would. A hit is extended to its whole candidate.
+own; windows of letters of one case never count, as words of prose would, nor do windows made of common pairs of letters, as identifiers are. A
+hit is extended to its whole candidate.
 Where base spans cover a part of a candidate, what they leave is scanned part by part. Candidates on the allow-list
 are passed over.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,15 @@ ALLOWED = (
     r"[0-9+/_=-]+",
     r"(?=.*/)[a-z0-9_-]*(/[a-z0-9_-]*)+",
 )
-_GAIN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
+#: Pairs of letters that are frequent in words; a window of random characters has about two of them, and is taken for words from ``WORDLIKE`` on.
+PAIRS = frozenset(
+    "th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ri ro ic io ne me co ce li la el ma ch us om ec ss ct ee ll il ut ac na ns em di lo nc ta tr ho un pr po am cl ad ab bl".split()
+)
+WORDLIKE = 7
+#: With so many pairs, a window is taken for words as well if kinds of characters (digit, lower, upper, other) change in it no more often than this.
+FEWER, CHANGES = 4, 7
+_GAIN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 2)]  # a character is counted in before another one is counted out
+_KIND_OF = str.maketrans({c: "d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "o" for c in map(chr, range(128))})
 _HEXITS = frozenset("0123456789abcdefABCDEF")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -55,27 +65,28 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def entropy_windows(s: str, window: int = WINDOW) -> list[tuple[int, str, float]]:
-    """(start, class, bits) of each window of ``s``; counts and entropy change by one character in, one out."""
+def entropy_windows(s: str, window: int = WINDOW) -> Iterator[tuple[int, str, float]]:
+    """(start, class, bits) of each window of ``s``; counts and entropy change by one character in, one out, and nothing else is kept."""
     counts: dict[str, int] = {}
     total = 0.0  # of count * log2(count)
-    digits = lower = upper = hexits = 0
-    out = []
+    digits = lower = upper = hexits = pairs = changes = 0
+    low, kinds = s.lower(), s.translate(_KIND_OF)
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += _GAIN[n + 1] - _GAIN[n]
-        digits, lower, upper, hexits = digits + c.isdigit(), lower + c.islower(), upper + c.isupper(), hexits + (c in _HEXITS)
+        digits, lower, upper, hexits, pairs = digits + c.isdigit(), lower + c.islower(), upper + c.isupper(), hexits + (c in _HEXITS), pairs + (i > 0 and low[i - 1 : i + 1] in PAIRS)
+        changes += i > 0 and kinds[i - 1] != kinds[i]
         if i >= window:
             d = s[i - window]
             n = counts[d]
             counts[d] = n - 1
             total += _GAIN[n - 1] - _GAIN[n]
-            digits, lower, upper, hexits = digits - d.isdigit(), lower - d.islower(), upper - d.isupper(), hexits - (d in _HEXITS)
+            digits, lower, upper, hexits, pairs = digits - d.isdigit(), lower - d.islower(), upper - d.isupper(), hexits - (d in _HEXITS), pairs - (low[i - window : i - window + 2] in PAIRS)
+            changes -= kinds[i - window] != kinds[i - window + 1]
         if i >= window - 1:
-            kind = "hex" if hexits == window and digits and (lower or upper) else "mixed" if lower + upper >= 4 and (digits or lower and upper) else "plain"
-            out.append((i - window + 1, kind, math.log2(window) - total / window))
-    return out
+            kind = "hex" if hexits == window and digits and (lower or upper) else "mixed" if pairs < WORDLIKE and (pairs < FEWER or changes > CHANGES) and lower + upper >= 4 and (digits or lower and upper) else "plain"
+            yield i - window + 1, kind, math.log2(window) - total / window
 
 
 class Scanner:
@@ -107,9 +118,14 @@ class Scanner:
                 part = text[x:y]
                 if y - x < WINDOW or any(p.fullmatch(part) for p in self.allowed):
                     continue
-                hits = [kind for _, kind, bits in entropy_windows(part) if bits >= self.thresholds[kind]]
-                if hits:
-                    more.append((x, 3 if all(k == "hex" for k in hits) else 4, y))
+                kind = 0
+                for _, name, bits in entropy_windows(part):
+                    if bits >= self.thresholds[name]:
+                        kind = 3 if name == "hex" else 4
+                        if kind == 4:  # no further window changes it
+                            break
+                if kind:
+                    more.append((x, kind, y))
         return base, sorted(base + more)
 
 
@@ -134,7 +150,8 @@ FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def scan(docs: DataFrame, *, allowed: tuple[str, ...] = ALLOWED, into: str = "secrets", redacted: bool = False) -> DataFrame:
     """``docs`` with an array ``into`` of (kind, start, end, base); with ``redacted``, secrets in ``text`` are replaced.
 
-    Null texts are scanned as empty and stay null. Repeated rows are scanned alike. A column already named
+    Null texts are scanned as empty and stay null. A text of any length is scanned whole, and memory doesn't grow with a candidate's length beyond the
+    text itself; an empty table gives an empty one. Repeated rows are scanned alike. A column already named
     ``into`` is replaced. ``n_chars``, where there is one, follows a redacted text.
     """
     docs = docs.drop(into)
