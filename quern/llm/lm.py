@@ -135,16 +135,19 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def _survey(docs: DataFrame) -> tuple[int, dict[int, int]]:
     """The number of all tokens, and how many parts each word has that is split.
 
-    Of each block only words with at least 1 / 4,096 of its tokens are reported, so what a word near the bound
-    does may follow the layout: that moves random draws, but no count.
+    Of each block only words with at least 1 / 4,096 of its tokens are reported, or with fewer where there are so many blocks that a word
+    could be missed: what all blocks together leave out of a word is less than half a part. What a word near the bound does may follow
+    the layout: that moves random draws, but no count.
     """
+    blocks = 1 + 4 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // BLOCK_BYTES  # texts are packed in their files
+    least = BUCKET_TOKENS / (4 * blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _base.release()
         for held in _blocks_of(batches):
             token = _tokens([x[2] for x in held], 4)[0]
             words, n = np.unique(token, return_counts=True)
-            often = n * 4096 >= len(token)
+            often = n >= min(len(token) / 4096, least)
             words, n = words[often].view(np.int64).tolist(), n[often].tolist()
             yield pa.RecordBatch.from_arrays([pa.array([None, *words], pa.int64()), pa.array([len(token), *n], pa.int64())], ["word", "n"])
 
