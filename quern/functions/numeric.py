@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -87,7 +87,7 @@ def lead_bin(days: Column) -> Column:
     return out
 
 
-def calendar(spark, first: str, last: str):
-    """A row for each day with its weekday."""
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
+def calendar(bounds: DataFrame) -> DataFrame:
+    """A row for each day from ``first`` to ``last`` of the one row of ``bounds``, with its weekday."""
+    days = bounds.where("first IS NOT NULL").select(F.explode(F.sequence("first", "last")).alias("day"))
     return days.withColumn("weekday", F.date_format("day", "EEE"))

@@ -61,6 +61,21 @@ def pick(seed: Column | int, n: Column, items: Column) -> Column:
     return F.get(items, F.floor(draw(seed, n) * F.size(items)).cast("int"))
 
 
+def shuffle(seed: Column | int, items: Column) -> Column:
+    """``items`` in the order that swapping each place, from the last on, with a drawn one up to it gives: the nth swap takes the nth draw."""
+
+    def whole(x: Column) -> Column:
+        size = F.size(x)
+
+        def swapped(a: Column, n: Column) -> Column:
+            i = size - n
+            return _let(F.floor(draw(seed, n) * (i + 1)), lambda j: F.transform(a, lambda v, k: F.when(k == i, F.get(a, j.cast("int"))).when(k == j, F.get(a, i)).otherwise(v)))
+
+        return F.when(size > 1, F.aggregate(F.sequence(F.lit(1), size - 1), x, swapped)).otherwise(x)
+
+    return _let(items, whole)
+
+
 def typo_word(word: Column, seed: Column, n: Column) -> Column:
     """``word`` with one slip: two letters swapped, one lost, one doubled or a neighbouring key; uses draws n to n + 2.
 

@@ -107,6 +107,19 @@ def jaccard(a: Column, b: Column, *, both_empty: float | None = None) -> Column:
     return F.when(every == 0, F.lit(both_empty).cast("double")).otherwise(F.try_divide(shared.cast("double"), every))
 
 
+def four_proxies(question: Column, answer: Column, context: Column, truth: Column, expect_refuse: Column) -> dict[str, Column]:
+    """Lexical stand-ins for judged scores. Where a refusal is expected, the answer counts whole if it refuses and half if not, and there are no context scores."""
+    q, a, c, g = (tokens(x) for x in (question, answer, context, truth))
+    overlap = lambda x, y: jaccard(x, y, both_empty=1.0)
+    said = F.when(is_refusal(answer), 1.0).otherwise(0.5)
+    return {
+        "faithfulness": F.when(expect_refuse, said).otherwise(overlap(a, c)),
+        "answer_relevance": F.when(expect_refuse, said).otherwise(0.5 * overlap(a, q) + 0.5 * overlap(a, c)),
+        "context_precision": F.when(~expect_refuse, overlap(c, a)),
+        "context_recall": F.when(~expect_refuse, overlap(c, g)),
+    }
+
+
 def first_sentence(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)^(.*?[.!?])(?:\s.*)?$", 1)
 

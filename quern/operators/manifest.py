@@ -15,6 +15,7 @@ from quern.functions import prng
 from quern.functions.numeric import age_on, calendar
 from quern.functions.text import padded_id
 from quern.operators import records
+from quern.operators.shared import keep
 
 
 def patients(spark: SparkSession, n: int, seed: int, middle: str) -> DataFrame:
@@ -45,7 +46,7 @@ def places(doctors: DataFrame, first: str, last: str) -> DataFrame:
 
     ``doctors`` has doctor, specialization, days and slots.
     """
-    days = calendar(doctors.sparkSession, first, last)
+    days = calendar(doctors.sparkSession.range(1).select(F.to_date(F.lit(first)).alias("first"), F.to_date(F.lit(last)).alias("last")))
     grid = doctors.select("doctor", "specialization", F.explode("days").alias("weekday"), "slots").join(F.broadcast(days), "weekday").select("doctor", "specialization", "day", "weekday", F.explode("slots").alias("slot"))
     mixed = Window.partitionBy("doctor").orderBy(F.xxhash64("doctor", "day", "slot"), "day", "slot")
     return grid.withColumn("place", F.row_number().over(mixed))
@@ -62,23 +63,25 @@ def schedule(visits: DataFrame, doctors: DataFrame, open_places: DataFrame, seed
     own = F.xxhash64(F.lit(seed), "patient", "diagnosis_id", "visit")
     crews = doctors.groupBy("specialization").agg(F.array_sort(F.collect_list("doctor")).alias("crew"))
     asked = visits.join(crews, "specialization").withColumn("doctor", prng.pick(own, F.lit(1), F.col("crew"))).drop("crew")
-    left = numbered(asked, ["patient", "diagnosis_id", "visit"], "_id").cache()
-    free, placed = open_places.select("doctor", "place", "day", "weekday", "slot"), None
+    left = keep(numbered(asked, ["patient", "diagnosis_id", "visit"], "_id"), "visits")
+    free, placed = keep(open_places.select("doctor", "place", "day", "weekday", "slot"), "places"), None
     for turn in range(rounds):
         if left.isEmpty():
             break
         queue = left.withColumn("_turn", F.row_number().over(Window.partitionBy("doctor").orderBy(F.xxhash64(F.lit(turn), "_id"), "_id")))
         stock = free.withColumn("_turn", F.row_number().over(Window.partitionBy("doctor").orderBy("place")))
-        dealt = queue.join(stock, ["doctor", "_turn"]).drop("_turn")
+        dealt = keep(queue.join(stock, ["doctor", "_turn"]).drop("_turn"), "dealt")
+        used = dealt.select("doctor", "place")
         same_day = Window.partitionBy("patient", "day").orderBy("_id")
         dealt = dealt.withColumn("_n", F.row_number().over(same_day))
         good = dealt.where("_n = 1").drop("_n")
         if placed is not None:
             good = good.join(placed.select("patient", "day"), ["patient", "day"], "left_anti")
-        good = good.select(*visits.columns, "doctor", "place", "day", "weekday", "slot", "_id").cache()
-        left = left.join(good.select("_id"), "_id", "left_anti").select(*left.columns).cache()
+        good = good.select(*visits.columns, "doctor", "place", "day", "weekday", "slot", "_id")
+        good = keep(good, "placed")
+        left = keep(left.join(good.select("_id"), "_id", "left_anti").select(*left.columns), "visits")
         # what was dealt is used up in this round, taken or not, so the next round's places are other ones
-        free = free.join(dealt.select("doctor", "place"), ["doctor", "place"], "left_anti")
+        free = free.join(used, ["doctor", "place"], "left_anti")
         placed = good if placed is None else placed.unionByName(good)
     if placed is None or not left.isEmpty():
         raise ValueError("no free places are left for some visits")

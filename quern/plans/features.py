@@ -143,9 +143,13 @@ def repeat_tags(spark, sf_dir):
     return rows.groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.bool_or("repeated").alias("repeat_diagnosis"))
 
 
-@query("SELECT range::DATE AS day, dayname(range)[1:3] AS weekday FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY)")
+@query("""WITH o AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT min(day) AS first, max(day) AS last FROM o)
+SELECT d.day, dayname(d.day)[1:3] AS weekday, coalesce(n, 0) AS n_orders FROM (SELECT unnest(range(first::TIMESTAMP, last::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY))::DATE AS day FROM b) d LEFT JOIN o USING (day)""")
 def calendar_spine(spark, sf_dir):
-    return numeric.calendar(spark, "2024-01-01", "2024-12-31")
+    """Every day from the first order to the last, with its orders, none too."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    days = numeric.calendar(orders.agg(F.min("day").alias("first"), F.max("day").alias("last")))
+    return days.join(orders, "day", "left").select("day", "weekday", F.coalesce("n", F.lit(0)).alias("n_orders"))
 
 
 # ----- classification metrics: the score of an event is its value, and an error is a positive

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import prng
 from quern.functions import text as T
 from quern.operators import similarity, validate
+from quern.operators.shared import keep
 from quern.plans._tables import table
 
 QUERIES: dict = {}
@@ -86,9 +86,9 @@ def first_line_coverage(spark, sf_dir):
 
 
 def _word_sets(spark, sf_dir) -> DataFrame:
-    """Each document's word set, kept while the query uses it: several joins read it, and texts are scanned once."""
+    """Each document's word set, written once: several joins read it, and texts are scanned once."""
     sets = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(T.content_words(F.col("text"))).alias("words"))
-    return sets.persist(StorageLevel.MEMORY_AND_DISK)
+    return keep(sets, "words")
 
 
 def _pairs_sql(also: str, by: str) -> str:
@@ -173,9 +173,24 @@ def _draw_sql(seed: str, n: str, into: str, source: str) -> str:
     SELECT *, ((({seed})::HUGEINT + ({n})::HUGEINT * 1831565813) & {_MASK}::HUGEINT)::BIGINT AS a_ FROM ({source}))))"""
 
 
-@query(f"SELECT n, floor(u * 1e9) AS u9 FROM ({_draw_sql('20250', 'n', 'u', 'SELECT range AS n FROM range(1, 5001)')})")
+@query(f"SELECT n, floor(u * 1e9) AS u9 FROM ({_draw_sql('20250', 'n', 'u', 'SELECT event_id AS n FROM events')})")
 def prng_draws(spark, sf_dir):
-    return spark.range(1, 5001).select(F.col("id").alias("n"), F.floor(prng.draw(20250, F.col("id")) * 1e9).cast("double").alias("u9"))
+    """Each event's draw: that of its number, wherever the row lies."""
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.floor(prng.draw(20250, F.col("event_id")) * 1e9).cast("double").alias("u9"))
+
+
+_WORDS50 = "string_split(text, ' ')[1:(1 + doc_id % 50)::BIGINT]"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT doc_id, {_WORDS50} AS x FROM documents WHERE text IS NOT NULL),
+d AS MATERIALIZED (SELECT doc_id, i, floor(r * (size - i + 1))::BIGINT AS j FROM ({_draw_sql('doc_id', 'i', 'r', 'SELECT doc_id, len(x) AS size, unnest(range(1, len(x))) AS i FROM b')})),
+r AS (SELECT doc_id, x, 1::BIGINT AS i FROM b
+    UNION ALL SELECT r.doc_id, list_transform(x, lambda v, k: CASE WHEN k = len(x) - r.i + 1 THEN x[j + 1] WHEN k = j + 1 THEN x[len(x) - r.i + 1] ELSE v END), r.i + 1 FROM r JOIN d ON d.doc_id = r.doc_id AND d.i = r.i)
+SELECT doc_id, array_to_string(x, ' ') AS words FROM r WHERE i >= len(x) OR len(x) = 0""")
+def shuffled_words(spark, sf_dir):
+    """The first 1 to 50 words of each document, shuffled by its id; the SQL swaps them one after another."""
+    words = F.slice(F.split("text", " ", -1), F.lit(1), (1 + F.col("doc_id") % 50).cast("int"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(prng.shuffle(F.col("doc_id"), words), " ").alias("words"))
 
 
 _TYPO = _draw_sql("doc_id", "4 * i + 4", "r4", _draw_sql("doc_id", "4 * i + 3", "r3", _draw_sql("doc_id", "4 * i + 2", "r2", _draw_sql("doc_id", "4 * i + 1", "r1", "SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)"))))
@@ -217,6 +232,35 @@ def ragas_proxy(spark, sf_dir):
     return s.select("conv_id", "turn", round_to(F.col("faithfulness"), 4).alias("faithfulness"), round_to(0.5 * F.col("aq") + 0.5 * F.col("faithfulness"), 4).alias("answer_relevance"))
 
 
+_FOUR = f"""WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS answer, lead(role) OVER w AS next_role, list(coalesce(text, '')) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS contexts,
+    last_value(text) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS truth FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+i AS (SELECT conv_id, turn, turn % 5 = 0 AS expect_refuse, regexp_matches(coalesce(answer, ''), '{T.REFUSAL.replace("'", "''")}') AS refuses, len(coalesce(contexts, [])) AS n_contexts,
+    {_proxy_tokens('text')} AS q, {_proxy_tokens('answer')} AS a, {_proxy_tokens("coalesce(array_to_string(contexts, chr(10)), '')")} AS c, {_proxy_tokens('truth')} AS g FROM t WHERE role = 'user' AND next_role = 'assistant'),
+s AS (SELECT *, {_jaccard('a', 'c', '1.0')} AS ac, {_jaccard('a', 'q', '1.0')} AS aq, {_jaccard('c', 'a', '1.0')} AS ca, {_jaccard('c', 'g', '1.0')} AS cg, CASE WHEN refuses THEN 1.0 ELSE 0.5 END AS said FROM i)
+SELECT conv_id, turn, expect_refuse AS refused, n_contexts, floor(CASE WHEN expect_refuse THEN said ELSE ac END * 10000 + 0.5) / 10000 AS faithfulness,
+    floor(CASE WHEN expect_refuse THEN said ELSE 0.5 * aq + 0.5 * ac END * 10000 + 0.5) / 10000 AS answer_relevance,
+    CASE WHEN NOT expect_refuse THEN floor(ca * 10000 + 0.5) / 10000 END AS context_precision, CASE WHEN NOT expect_refuse THEN floor(cg * 10000 + 0.5) / 10000 END AS context_recall FROM s"""
+
+
+@query(_FOUR)
+def context_metrics(spark, sf_dir):
+    """The four lexical proxies of each question: up to three turns before it are its contexts, the conversation's last text is the ground truth, and
+    every fifth turn expects a refusal, which has no context metrics."""
+    from pyspark.sql import Window
+
+    from quern.functions.numeric import round_to
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.lead("text").over(w).alias("answer"), F.lead("role").over(w).alias("next_role"),
+        F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(-3, -1)).alias("contexts"), F.last("text").over(whole).alias("truth"),
+    )
+    i = t.where("role = 'user' AND next_role = 'assistant'").withColumn("context", F.array_join("contexts", "\n"))
+    scores = T.four_proxies(F.col("text"), F.col("answer"), F.col("context"), F.col("truth"), F.col("turn") % 5 == 0)
+    return i.select("conv_id", "turn", (F.col("turn") % 5 == 0).alias("refused"), F.size("contexts").cast("long").alias("n_contexts"), *[round_to(v, 4).alias(k) for k, v in scores.items()])
+
+
 @query("""SELECT d.doc_id, array_to_string(list_filter([
     CASE WHEN l.doc_id IS NULL THEN 'not in manifest' END,
     CASE WHEN regexp_matches(text, '[\\r\\n]') THEN 'line break' END,

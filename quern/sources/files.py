@@ -39,9 +39,10 @@ def read_layers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     A byte-order mark, code fences, continuation marks, repeated headers and blank lines are passed over. Lines of other
     than four fields are problems. Rows carry slice, layer (0 for the base file, then by number, so 10 follows 9)
-    and line. Each file is one row until it is cut into lines, as slices are small by contract.
+    and line. Each file is one row until it is cut into lines, as slices are small by contract. A file may be a folder of that name, or one named
+    ``file=slice.csv``, with what Spark has written in it.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"))
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/=]+\.csv)(?:/[^/]+)?$", 1).alias("file"))
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
     # a line ends where the quotes before it are even, so a quoted field may hold line breaks
     lines = F.split(text, r"\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")

@@ -51,14 +51,40 @@ def test_slices_on_disk(spark, tmp_path):
 
 
 def test_stream_keeps_the_latest(spark, tmp_path):
-    schema = "k string, layer int, x int"
-    for n, rows in enumerate([[("a", 0, 1), ("b", 0, 2)], [("a", 2, 3)], [("a", 1, 4), ("c", 0, 5)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        layers.latest_wins(layers.read(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "c"), ["k"], ["layer"]).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "out/version=2"))
+    schema, out = "k string, layer int, x int", str(tmp_path / "out")
+    for rows in [[("a", 0, 1), ("b", 0, 2)], [("a", 2, 3)], [("a", 1, 4), ("c", 0, 5)]]:
+        frame = spark.createDataFrame(rows, schema)
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        layers.latest_wins(layers.read(spark, str(tmp_path / "in"), schema), out, str(tmp_path / "c"), ["k"], ["layer"]).awaitTermination()
+    last = layers.current(spark, out, frame.schema).drop("bucket")
     assert sorted(map(tuple, last.collect())) == [("a", 2, 3), ("b", 0, 2), ("c", 0, 5)]
 
 
+def test_stream_rewrites_touched_buckets_and_repeats_a_batch(spark, tmp_path):
+    import shutil
+
+    schema, folder = "k long, layer int, x long", str(tmp_path / "out")
+    size = lambda n: sum(f.stat().st_size for f in (tmp_path / f"out/batch={n}").rglob("*.parquet"))
+
+    def run(checkpoint="c"):
+        layers.latest_wins(layers.read(spark, str(tmp_path / "in"), schema, files_per_batch=1), folder, str(tmp_path / checkpoint), ["k"], ["layer"], buckets=32).awaitTermination()
+
+    spark.range(20000).selectExpr("id AS k", "0 AS layer", "id * 7 AS x").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    frame = spark.createDataFrame([(5, 1, -1), (20001, 0, -2)], schema)
+    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    table = lambda: {r["k"]: r["x"] for r in layers.current(spark, folder, frame.schema).collect()}
+    want = {k: 7 * k for k in range(20000)} | {5: -1, 20001: -2}
+    assert table() == want and size(1) < size(0) / 8
+    commits = sorted((tmp_path / "c/commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    commits[-1].with_name(f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    commits[-1].unlink()  # the batch has written, but the run ended before it was recorded
+    shutil.rmtree(next((tmp_path / "out/batch=1").glob("bucket=*")))
+    run()
+    assert table() == want
+
+
 def test_stream_appends_once(spark, tmp_path):
     for _ in range(2):
         spark.range(4).withColumnRenamed("id", "k").write.mode("append").parquet(str(tmp_path / "in"))
