@@ -22,7 +22,8 @@ def query(sql: str):
     return add
 
 
-_SHA = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+def _digest():
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
 
 
 @query("SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents WHERE text <> ''")
@@ -30,7 +31,7 @@ def csv_round_trip(spark, sf_dir):
     """Texts with commas, quotes and line breaks, written as CSV and read by an explicit schema."""
     path = fresh_folder(spark, "csv")
     files.write_csv(table(spark, sf_dir, "documents").where("text <> ''"), path, ["doc_id", "lang", "source", "text"])
-    return files.read_csv(spark, path, "doc_id long, lang string, source string, text string").select("doc_id", "lang", "source", _SHA)
+    return files.read_csv(spark, path, "doc_id long, lang string, source string, text string").select("doc_id", "lang", "source", _digest())
 
 
 @query("SELECT doc_id, lang, NULL::VARCHAR AS absent, sha256(coalesce(text, '')) AS text_sha256 FROM documents")
@@ -38,7 +39,7 @@ def jsonl_round_trip(spark, sf_dir):
     """One object to a line; a field that no object has reads as null."""
     path = fresh_folder(spark, "jsonl")
     table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.json(path)
-    return files.read_jsonl(spark, path, "doc_id long, text string, lang string, absent string").select("doc_id", "lang", "absent", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    return files.read_jsonl(spark, path, "doc_id long, text string, lang string, absent string").select("doc_id", "lang", "absent", _digest())
 
 
 _SLICE = "concat('B', lpad(CAST(1 + conv_id DIV 100 AS STRING), 4, '0'))"
@@ -85,7 +86,7 @@ def resumed_append(spark, sf_dir):
     files.append_new(docs.where("doc_id % 3 = 0"), path, "doc_id", None)
     for _ in range(2):
         files.append_new(docs, path, "doc_id", spark.read.parquet(path))
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("copies"), F.first(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("text_sha256"))
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("copies"), F.first(_digest()).alias("text_sha256"))
 
 
 @query("""SELECT 'B' || lpad((1 + p // 500)::VARCHAR, 2, '0') || '-M' || lpad((1 + p // 50 % 10)::VARCHAR, 2, '0') AS batch_id, count(*) AS n, min(item_id) AS first_id, max(item_id) AS last_id, sha256(string_agg(text, chr(10) ORDER BY item_id)) AS texts_sha256
