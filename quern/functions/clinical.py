@@ -44,6 +44,7 @@ VITALS = {
     "isi": "Insomnia Severity Index score {i}",
     "attacks": "about {i} panic attacks in the last month",
 }
+# Lines of an eye chart, and what triggers at work and of study need.
 CHART = ["6", "9", "12", "18"]
 WORK = r"(?i)shift|work|office|job|colleague|factory|call centre|employment|deadline|company|hospital|business"
 STUDY = r"(?i)exam|university|college|hostel"
@@ -72,8 +73,9 @@ def vital(kind: Column, seed: Column, low: Column, high: Column, low2: Column |
     return text
 
 
-def companion_vitals(kind: Column, febrile: Column, hypertensive: Column, chest: Column, weight: Column, seed: Column) -> Column:
-    """The vitals that stand beside the main one: what it is itself is left out. Uses draws 11 to 17 of ``seed``."""
+def companion_vitals(kind: Column, febrile: Column, hypertensive: Column, chest: Column, weight: Column, seed: Column, short_of_oxygen: Column | None = None) -> Column:
+    """The vitals that stand beside the main one: what it is itself is left out; one diagnosis of the chest is ``short_of_oxygen``. Uses draws 11 to 17 of ``seed``."""
+    low = F.lit(False) if short_of_oxygen is None else short_of_oxygen
     between = lambda n, a, b: prng.integer(seed, F.lit(n), a, b).cast("string")
     return F.array_join(
         F.array_compact(
@@ -81,7 +83,7 @@ def companion_vitals(kind: Column, febrile: Column, hypertensive: Column, chest:
                 F.when(febrile & (kind != "temp"), F.format_string("temperature %.1f°F", round_to(prng.draw(seed, F.lit(11)) * 2.4 + 101.0, 1))),
                 F.when(kind != "bp", F.when(hypertensive, F.concat(F.lit("BP "), between(12, 136, 152), F.lit("/"), between(13, 86, 96), F.lit(" mmHg"))).otherwise(F.concat(F.lit("BP "), between(12, 110, 136), F.lit("/"), between(13, 70, 86), F.lit(" mmHg")))),
                 F.when(~F.startswith(kind, F.lit("pulse")), F.concat(F.lit("pulse "), F.when(febrile, between(14, 92, 110)).otherwise(between(14, 68, 92)), F.lit(" bpm"))),
-                F.when(chest & (kind != "spo2"), F.concat(F.lit("SpO2 "), between(15, 94, 98), F.lit("%"))),
+                F.when(chest & (kind != "spo2"), F.concat(F.lit("SpO2 "), F.when(low, between(15, 91, 95)).otherwise(between(15, 94, 98)), F.lit("%"))),
                 F.concat(F.lit("weight "), (weight + prng.integer(seed, F.lit(16), -2, 2)).cast("string"), F.lit(" kg")),
             )
         ),
@@ -94,6 +96,30 @@ def trigger_fits(trigger: Column, occupation: Column) -> Column:
     return ~(F.rlike(trigger, F.lit(WORK)) & occupation.isin(NOT_WORKING)) & ~(F.rlike(trigger, F.lit(STUDY)) & (occupation != "university student"))
 
 
+#: What a plan without prescription notes; {0} is the diagnosis' tests or the specialization referred to.
+PLAN_NOTES = {
+    "continue": "chronic follow-up: continue current medicines, no new prescription issued",
+    "tests": "tests ordered before starting treatment: {0}",
+    "lifestyle": "lifestyle and self-care advice only, no medicine needed at this stage",
+    "referral": "referral to {0} in this clinic for further assessment",
+}
+
+
+def plan_note(plan: Column, tests: Column, refer_to: Column) -> Column:
+    """The note of a plan; null for a prescription."""
+    out = F.lit(None).cast("string")
+    for name, text in PLAN_NOTES.items():
+        before, _, after = text.partition("{0}")
+        out = F.when(plan == name, F.concat(F.lit(before), tests if name == "tests" else refer_to, F.lit(after)) if "{0}" in text else F.lit(text)).otherwise(out)
+    return out
+
+
+def regimen(plan: Column, regimens: Column, seed: Column, n: Column) -> Column:
+    """The regimen of a prescription: the first one, or by a draw under 0.3 the second, if there is one; null for other plans."""
+    second = (F.size(regimens) > 1) & (prng.draw(seed, n) < 0.3)
+    return F.when(plan == "prescription", F.get(regimens, F.when(second, 1).otherwise(0)))
+
+
 def follow_up(plan: Column, refer_to: Column, usual: Column) -> Column:
     return F.when(plan == "tests", "after the test results are ready").when(plan == "referral", F.concat(F.lit("after the "), refer_to, F.lit(" review"))).otherwise(usual)
 

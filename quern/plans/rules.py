@@ -15,6 +15,7 @@ from quern.operators import corpus as building
 from quern.operators import manifest, records, search, validate
 from quern.plans import learning
 from quern.plans._tables import table
+from quern.plans.text import draw_sql
 from quern.plans.text import _content, _stems
 
 QUERIES: dict = {}
@@ -358,6 +359,25 @@ def vectors_as_text(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", back.eqNullSafe(F.col("embedding").cast("array<float>")).alias("same"), F.size(back).cast("long").alias("size"))
 
 
+_PLANS = _one_of("p_partkey", "'tests'", "'referral'", "'continue'", "'lifestyle'", "'prescription'")
+_REGIMENS = "CASE WHEN p_size % 4 = 0 THEN array('only ' || p_brand) ELSE array('first ' || p_brand, 'second ' || p_type) END"
+
+
+@query(f"""SELECT p_partkey, CASE plan WHEN 'continue' THEN 'chronic follow-up: continue current medicines, no new prescription issued' WHEN 'tests' THEN 'tests ordered before starting treatment: ' || p_type
+    WHEN 'lifestyle' THEN 'lifestyle and self-care advice only, no medicine needed at this stage' WHEN 'referral' THEN 'referral to ' || p_brand || ' in this clinic for further assessment' END AS note,
+    CASE WHEN plan = 'prescription' THEN regimens[CASE WHEN len(regimens) > 1 AND u < 0.3 THEN 2 ELSE 1 END] END AS regimen,
+    CASE plan WHEN 'tests' THEN 'after the test results are ready' WHEN 'referral' THEN 'after the ' || p_brand || ' review' ELSE 'usual' END AS follow_up
+FROM ({draw_sql('p_partkey', '21', 'u', f"SELECT *, {_PLANS} AS plan, {_REGIMENS.replace('array(', '(').replace("('only ' || p_brand)", "['only ' || p_brand]").replace("('first ' || p_brand, 'second ' || p_type)", "['first ' || p_brand, 'second ' || p_type]")} AS regimens FROM part")})""")
+def plan_choices(spark, sf_dir):
+    """What each plan notes, prescribes and has as its follow-up, over parts."""
+    rows = table(spark, sf_dir, "part").withColumn("plan", F.expr(_PLANS)).withColumn("regimens", F.expr(_REGIMENS))
+    plan = F.col("plan")
+    return rows.select(
+        "p_partkey", clinical.plan_note(plan, F.col("p_type"), F.col("p_brand")).alias("note"), clinical.regimen(plan, F.col("regimens"), F.col("p_partkey"), F.lit(21)).alias("regimen"),
+        clinical.follow_up(plan, F.col("p_brand"), F.lit("usual")).alias("follow_up"),
+    )
+
+
 _JOB = _one_of("p_partkey", "'homemaker'", "'welder'", "'university student'", "'retired civil servant'", "'school teacher'")
 _TRIGGER = _one_of("p_size", "'long shift at work'", "'exam week'", "'cold weather'", "'Office air'")
 _PLAN = _one_of("p_partkey", "'tests'", "'referral'", "'continue'")

@@ -165,7 +165,7 @@ def json_in_text(spark, sf_dir):
 _MASK = "4294967295"
 
 
-def _draw_sql(seed: str, n: str, into: str, source: str) -> str:
+def draw_sql(seed: str, n: str, into: str, source: str) -> str:
     """SQL that adds the draw ``into`` to the rows of ``source``, in one step for each line of the generator."""
     return f"""SELECT * EXCLUDE (a_, t1_, t2_), xor(t2_, t2_ >> 14)::DOUBLE / 4294967296 AS {into} FROM (
     SELECT *, xor(t1_, (t1_ + ((xor(t1_, t1_ >> 7)::HUGEINT * (t1_ | 61)::HUGEINT) & {_MASK}::HUGEINT)::BIGINT) & {_MASK}) AS t2_ FROM (
@@ -173,7 +173,7 @@ def _draw_sql(seed: str, n: str, into: str, source: str) -> str:
     SELECT *, ((({seed})::HUGEINT + ({n})::HUGEINT * 1831565813) & {_MASK}::HUGEINT)::BIGINT AS a_ FROM ({source}))))"""
 
 
-@query(f"SELECT n, floor(u * 1e9) AS u9 FROM ({_draw_sql('20250', 'n', 'u', 'SELECT event_id AS n FROM events')})")
+@query(f"SELECT n, floor(u * 1e9) AS u9 FROM ({draw_sql('20250', 'n', 'u', 'SELECT event_id AS n FROM events')})")
 def prng_draws(spark, sf_dir):
     """Each event's draw: that of its number, wherever the row lies."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.floor(prng.draw(20250, F.col("event_id")) * 1e9).cast("double").alias("u9"))
@@ -183,7 +183,7 @@ _WORDS50 = "string_split(text, ' ')[1:(1 + doc_id % 50)::BIGINT]"
 
 
 @query(f"""WITH RECURSIVE b AS (SELECT doc_id, {_WORDS50} AS x FROM documents WHERE text IS NOT NULL),
-d AS MATERIALIZED (SELECT doc_id, i, floor(r * (size - i + 1))::BIGINT AS j FROM ({_draw_sql('doc_id', 'i', 'r', 'SELECT doc_id, len(x) AS size, unnest(range(1, len(x))) AS i FROM b')})),
+d AS MATERIALIZED (SELECT doc_id, i, floor(r * (size - i + 1))::BIGINT AS j FROM ({draw_sql('doc_id', 'i', 'r', 'SELECT doc_id, len(x) AS size, unnest(range(1, len(x))) AS i FROM b')})),
 r AS (SELECT doc_id, x, 1::BIGINT AS i FROM b
     UNION ALL SELECT r.doc_id, list_transform(x, lambda v, k: CASE WHEN k = len(x) - r.i + 1 THEN x[j + 1] WHEN k = j + 1 THEN x[len(x) - r.i + 1] ELSE v END), r.i + 1 FROM r JOIN d ON d.doc_id = r.doc_id AND d.i = r.i)
 SELECT doc_id, array_to_string(x, ' ') AS words FROM r WHERE i >= len(x) OR len(x) = 0""")
@@ -193,7 +193,7 @@ def shuffled_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(prng.shuffle(F.col("doc_id"), words), " ").alias("words"))
 
 
-_TYPO = _draw_sql("doc_id", "4 * i + 4", "r4", _draw_sql("doc_id", "4 * i + 3", "r3", _draw_sql("doc_id", "4 * i + 2", "r2", _draw_sql("doc_id", "4 * i + 1", "r1", "SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)"))))
+_TYPO = draw_sql("doc_id", "4 * i + 4", "r4", draw_sql("doc_id", "4 * i + 3", "r3", draw_sql("doc_id", "4 * i + 2", "r2", draw_sql("doc_id", "4 * i + 1", "r1", "SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)"))))
 _KEYS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in prng.NEIGHBOURS.items()) + "}"
 
 

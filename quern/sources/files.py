@@ -119,3 +119,8 @@ def report_text(title: str, rows: DataFrame) -> str:
     cells = [[("" if x is None else str(x)) for x in r] for r in rows.collect()]
     head = f"| {' | '.join(rows.columns)} |\n|{'---|' * len(rows.columns)}"
     return "\n".join([f"# {title}", "", head, *[f"| {' | '.join(r)} |" for r in cells], ""])
+
+
+def write_reports(reports: DataFrame, path: str, key: str = "slice") -> None:
+    """One JSON object for each report, in a folder named by its key; ``read_jsonl`` reads them back with the key."""
+    reports.write.partitionBy(key).json(path)

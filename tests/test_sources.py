@@ -36,6 +36,16 @@ def test_settings_and_requests(spark, tmp_path):
     assert got["s"].startswith("Write the missing") and "- 2: length; id" in got["t"]
 
 
+def test_reports_of_slices(spark, tmp_path):
+    schema = "slice string, rows_found int, results array<struct<doc_id string, errors array<string>>>"
+    data = [("B01-M01", 2, [("VN-1", ["length"]), ("VN-2", [])]), ("B01-M02", 0, [])]
+    files.write_reports(spark.createDataFrame(data, schema), str(tmp_path / "r"))
+    assert (tmp_path / "r/slice=B01-M02").is_dir()
+    back = files.read_jsonl(spark, str(tmp_path / "r"), "rows_found int, results array<struct<doc_id string, errors array<string>>>, slice string")
+    got = {r["slice"]: (r["rows_found"], [(x["doc_id"], x["errors"]) for x in r["results"]]) for r in back.collect()}
+    assert got == {s: (n, list(x)) for s, n, x in data}
+
+
 def test_append_twice_adds_nothing(spark, tmp_path):
     rows, path = spark.range(5).withColumnRenamed("id", "k"), str(tmp_path / "t")
     files.append_new(rows, path, "k", None)
