@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import prng
 from quern.functions import text as T
 from quern.operators import similarity, validate
-from quern.operators.shared import keep
+from quern.operators.shared import keep, spread
 from quern.plans._tables import table
 
 QUERIES: dict = {}
@@ -38,6 +38,11 @@ def _stems(text: str) -> str:
     return f"list_distinct(list_transform({_content(text)}, lambda w: substr(regexp_replace(w, '(ing|ed|es|s)$', ''), 1, 6)))"
 
 
+def _texts(spark, sf_dir, *more: str) -> DataFrame:
+    """Documents whose texts are much work, over all cores where the table is small."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *more, "text"))
+
+
 def _proxy_tokens(text: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower(coalesce({text}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: len(w) > 2)"
 
@@ -49,7 +54,7 @@ def _jaccard(a: str, b: str, empty: str) -> str:
 
 @query(f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_distinct, list_sort(list_distinct(w))[1] AS first_word FROM (SELECT doc_id, {_content('text')} AS w FROM documents)")
 def content_words(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", T.content_words(F.col("text")).alias("w"))
+    w = _texts(spark, sf_dir).select("doc_id", T.content_words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.get(F.array_sort(F.array_distinct("w")), F.lit(0)).alias("first_word"))
 
 
@@ -73,7 +78,7 @@ b AS (SELECT item_id, len(s) AS n, unnest(s) AS stem FROM i)
 SELECT doc_id, item_id, count(*)::DOUBLE / any_value(n) AS coverage FROM d JOIN b USING (stem) GROUP BY 1, 2 HAVING 2 * count(*) >= any_value(n)""")
 def stem_coverage(spark, sf_dir):
     """All documents that have half of an item's stems or more."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.stems(F.col("text")).alias("stems"))
+    docs = _texts(spark, sf_dir).select("doc_id", T.stems(F.col("text")).alias("stems"))
     items = table(spark, sf_dir, "benchmark").select("item_id", T.stems(F.col("text")).alias("stems"))
     return T.covered(docs, items, 0.5)
 
@@ -87,7 +92,7 @@ def first_line_coverage(spark, sf_dir):
 
 def _word_sets(spark, sf_dir) -> DataFrame:
     """Each document's word set, written once: several joins read it, and texts are scanned once."""
-    sets = table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(T.content_words(F.col("text"))).alias("words"))
+    sets = _texts(spark, sf_dir, "source").select("doc_id", "source", F.array_distinct(T.content_words(F.col("text"))).alias("words"))
     return keep(sets, "words")
 
 
@@ -136,7 +141,7 @@ def contamination_jaccard(spark, sf_dir):
     Counted over shared words: an item's words are few, so the join carries a row for each word met.
     """
     sets = lambda df, key: df.select(key, F.array_distinct(T.content_words(F.col("text"))).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("token"))
-    d, b = sets(table(spark, sf_dir, "documents"), "doc_id"), sets(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m")
+    d, b = sets(_texts(spark, sf_dir), "doc_id"), sets(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m")
     met = d.join(b, "token").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("shared"))
     total = F.col("n") + F.col("m") - F.col("shared")
     return met.where(10 * F.col("shared") >= total).select("doc_id", "item_id", "shared", (F.col("shared").cast("double") / total).alias("jaccard"))
@@ -207,7 +212,7 @@ GROUP BY doc_id""")
 def typo_noise(spark, sf_dir):
     """Typos at a rate of 0.35 in every whole text, by seeds of the documents' own."""
     noisy = prng.add_typos(F.col("text"), F.col("doc_id"), 0.35)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(noisy, 256).alias("noisy_sha256"))
+    return _texts(spark, sf_dir).select("doc_id", F.sha2(noisy, 256).alias("noisy_sha256"))
 
 
 @query(r"SELECT doc_id, regexp_extract(text, '^((?s:.*?)[.!?])(?:\s(?s:.*))?$', 1) AS first FROM documents")
