@@ -168,7 +168,7 @@ def test_pruned_search_finds_the_same_and_scores_less(spark):
     for k in (3, 50):
         assert plain(search.bm25_top(docs, terms, asked, k), k) == plain(every, k)
     found, n, mean = search.postings(docs, terms, asked)
-    left = search.survivors(*search.term_weights(found, n, mean), asked, 3)
+    left, _ = search.survivors(*search.term_weights(found, n, mean), asked, 3)
     assert left.count() < every.count() / 4
 
 
