@@ -108,8 +108,8 @@ SELECT "left", "right", shared, total FROM p WHERE 10 * shared >= 9 * total"""
 
 def _near_pairs(spark, sf_dir, by: list[str], also: Column | None) -> DataFrame:
     sets = _word_sets(spark, sf_dir)
-    reps = similarity.classes(sets, "doc_id", "words", by).where("doc_id = rep").select("doc_id")
-    found = similarity.similar_pairs(sets.join(reps, "doc_id", "left_semi"), "doc_id", "words", 9, 10, also, by)
+    reps = similarity.representatives(sets, "doc_id", "words", by)[0]
+    found = similarity.similar_pairs(reps, "doc_id", "words", 9, 10, also, by)
     return found.select("left", "right", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
 
 

@@ -266,3 +266,23 @@ def test_label_lists_and_passages(spark):
     assert sorted(map(tuple, search.listed_labels(asked, replies).collect())) == [(1, 1, "a"), (1, 2, "b"), (2, 1, None), (3, 1, None)]
     listed = search.numbered_passages(rows(spark, [("q", 2, "y"), ("q", 10, "z"), ("q", 1, "x")], "q string, place int, text string"), "q", "place", F.col("text"))
     assert listed.first()["passages"] == "[1] x\n[2] y\n[10] z"
+
+
+def test_similar_pairs_at_high_thresholds_join_by_parts(spark):
+    import random
+
+    from quern.operators import similarity
+
+    draw = random.Random(5)
+    sets = []
+    for i in range(0, 400, 2):  # common words in all sets, and a near copy of each
+        own = draw.sample(range(150), draw.randint(1, 90))
+        sets += [(i, own), (i + 1, sorted({*own[draw.randint(0, 3) :], *draw.sample(range(150), draw.randint(0, 3))}))]
+    df = spark.createDataFrame([(k, [f"w{x}" for x in s]) for k, s in sets if s], "k int, w array<string>")
+    kept = {k: set(s) for k, s in sets if s}
+    want = {(a, b) for a in kept for b in kept if a < b and 10 * len(kept[a] & kept[b]) >= 9 * len(kept[a] | kept[b])}
+    got = [(r["left"], r["right"]) for r in similarity.similar_pairs(df, "k", "w", 9, 10).collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+    found = similarity.parts(df, "k", "w", 9, 10)
+    met = found.join(found.withColumnRenamed("k", "j"), "part").where("k < j").select("k", "j").distinct().count()
+    assert met < 4 * len(want)  # single words in common would join nearly all pairs
