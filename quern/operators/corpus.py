@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import records, similarity, validate
+from quern.operators.shared import keep
 
 # Topics about doctors that don't exist, which a search must not return; and the corpus's columns.
 HIDDEN_TOPICS = ["Doctor schedule", "Doctor fees", "Doctor profile", "Specialization doctors"]
@@ -44,9 +45,9 @@ def twins(rows: DataFrame) -> DataFrame:
     its class's; within a class every row but the first has the first as its twin, patients permitting.
     """
     sets = rows.where(F.col("record_type").isin(COMPARED)).select("doc_id", "slice", "position", "record_type", T.patient_of(F.col("content")).alias("patient"), F.array_distinct(T.content_words(F.col("content"))).alias("words"))
-    sets = sets.where(F.size("words") > 0)
-    groups = similarity.classes(sets, "doc_id", "words", ["record_type", "patient"]).select("doc_id", "rep")
-    reps = sets.join(groups.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    sets = keep(sets.where(F.size("words") > 0), "words")
+    reps, groups = similarity.representatives(sets, "doc_id", "words", ["record_type", "patient"])
+    groups = groups.select("doc_id", "rep")
     other = (F.col("a_record_type") == F.col("b_record_type")) & F.coalesce(F.col("a_patient") != F.col("b_patient"), F.lit(True))
     pairs = similarity.similar_pairs(reps, "doc_id", "words", 9, 10, other, ["record_type", "patient"]).select("left", "right")
     member = groups.select(F.col("doc_id").alias("own"), F.col("rep").alias("left"))
