@@ -286,3 +286,23 @@ def test_similar_pairs_at_high_thresholds_join_by_parts(spark):
     found = similarity.parts(df, "k", "w", 9, 10)
     met = found.join(found.withColumnRenamed("k", "j"), "part").where("k < j").select("k", "j").distinct().count()
     assert met < 4 * len(want)  # single words in common would join nearly all pairs
+
+
+def test_dense_search_by_blocks_equals_all_pairs(spark, monkeypatch):
+    from quern.functions import numeric
+    from quern.operators import search
+
+    monkeypatch.setattr(search, "DENSE_BLOCK", 16)  # several blocks of both
+    random.seed(9)
+    vectors = [(i, [random.uniform(-1, 1) for _ in range(5)]) for i in range(150)]
+    vectors += [(i, vectors[7][1]) for i in range(150, 200)] + [(200, None), (201, [])]  # ties, and nothing in common
+    v = rows(spark, vectors, "doc_id long, embedding array<float>")
+    asked = v.where("doc_id % 4 = 0").selectExpr("doc_id query_id", "embedding query_vector")
+    plain = lambda df, k: sorted((r["query_id"], r["rank"], r["doc_id"], r["similarity"] or 9) for r in search.top(df, "similarity", k).collect())
+    every = search.dense(asked, v).where("query_id <> doc_id").withColumn("similarity", numeric.round_to(F.col("similarity"), 6))
+    some = lambda df: df.where("query_id < 200 and doc_id < 200")
+    for k in (1, 7):
+        assert plain(search.dense_top(asked.where("query_id < 200"), v.where("doc_id < 200"), k), k) == plain(some(every), k)
+    whole = search.top(search.dense_top(asked, v, 250), "similarity", 250)
+    assert whole.count() == asked.count() * (len(vectors) - 1)
+    assert {r["doc_id"] for r in whole.where("query_id = 0 and similarity is null").collect()} == {200, 201}
