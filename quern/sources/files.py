@@ -34,6 +34,16 @@ def write_csv(rows: DataFrame, path: str, header: list[str]) -> None:
     rows.select(*header).write.option("header", True).option("quote", '"').option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def split_outside_quotes(text: Column, by: str) -> Column:
+    """``text`` split at each ``by`` that has an even number of quotes after it, in one pass.
+
+    Pieces between quotes are taken in turn, and those outside get a mark of two characters in place of ``by``; the text's own marks are escaped first.
+    """
+    pieces = F.split(F.replace(text, F.lit("\u0001"), F.lit("\u0001\u0002")), '"', -1)
+    marked = F.transform(F.reverse(pieces), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(by), F.lit("\u0001\u0003"))).otherwise(p))
+    return F.transform(F.split(F.array_join(F.reverse(marked), '"'), "\u0001\u0003", -1), lambda p: F.replace(p, F.lit("\u0001\u0002"), F.lit("\u0001")))
+
+
 def read_layers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, problems) of written CSV files ``slice.csv``, ``slice.fix1.csv``, ``slice.fix2.csv`` and so on.
 
@@ -44,11 +54,11 @@ def read_layers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/=]+\.csv)(?:/[^/]+)?$", 1).alias("file"))
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    # a line ends where the quotes before it are even, so a quoted field may hold line breaks
-    lines = F.split(text, r"\n(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
+    # a line ends where the quotes after it are even, so a quoted field may hold line breaks
+    lines = split_outside_quotes(text, "\n")
     cut = whole.select("file", F.posexplode(lines).alias("line", "raw"))
     kept = cut.where(~F.rlike(F.btrim("raw"), F.lit(r"^(```.*|CONTINUE|doc_id,.*|)$")))
-    fields = F.transform(F.split("raw", r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda x: F.when(F.rlike(x, F.lit('(?s)^".*"$')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
+    fields = F.transform(split_outside_quotes(F.col("raw"), ","), lambda x: F.when(F.rlike(x, F.lit('(?s)^".*"$')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
     parsed = kept.select(
         F.regexp_extract("file", r"^(.+?)(?:\.fix\d+)?\.csv$", 1).alias("slice"), F.coalesce(F.regexp_extract("file", r"\.fix(\d+)\.csv$", 1).try_cast("int"), F.lit(0)).alias("layer"), "line", "raw", fields.alias("f")
     )

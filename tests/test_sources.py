@@ -100,3 +100,20 @@ def test_stream_appends_once(spark, tmp_path):
         spark.range(4).withColumnRenamed("id", "k").write.mode("append").parquet(str(tmp_path / "in"))
         layers.append_pending(layers.read(spark, str(tmp_path / "in"), "k long"), str(tmp_path / "out"), str(tmp_path / "c"), "k", lambda d: d.withColumn("v", F.col("k") * 2)).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+
+
+def test_splitting_outside_quotes_takes_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quern.sources import files
+
+    texts = ['a,"b,""c"",",d', 'x\u0001,"\u0001\u0003,"', ',,', '', 'odd,"quote,s', '"a"","b,c"']
+    pattern = r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", files.split_outside_quotes(F.col("t"), ",").alias("x"), F.split("t", pattern, -1).alias("y")).collect()
+    assert len(got) == len(texts) and all(r["x"] == r["y"] for r in got)
+    began = time.time()
+    long = spark.range(1).select(F.repeat(F.lit('"a, b ""c""",\n'), 100_000).alias("t"))
+    assert long.select(F.size(files.split_outside_quotes(F.col("t"), ","))).first()[0] == 100_001
+    assert time.time() - began < 60
