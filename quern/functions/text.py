@@ -16,6 +16,8 @@ STOP_WORDS = (
 ).split()
 #: White space as browsers and JavaScript see it; Java's ``\s`` is ASCII only.
 WHITE = r"[\s ﻿  -     　]+"
+#: A word between white space. Most characters are told by the first range, before all kinds of white space are tried.
+WORD = f"[!-~{WHITE.replace('[', '[^', 1)[:-1]}]++"
 # Identifiers that must not leak into a text, and how answers refuse.
 ID_LEAK = r"\b(PAT|DOC|VN|RX|VISIT|FAQI?|DX)-\d"
 REFUSAL = r"(?i)cannot|don't know|do not know|out of scope|unsupported|not able|unable|refuse"
@@ -23,11 +25,11 @@ REFUSAL = r"(?i)cannot|don't know|do not know|out of scope|unsupported|not able|
 
 def words(text: Column) -> Column:
     """The words between white space."""
-    return F.regexp_extract_all(text, F.lit(WHITE.replace("[", "[^", 1)), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WHITE.replace("[", "[^", 1)))
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def normalize(text: Column) -> Column:

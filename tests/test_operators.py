@@ -306,3 +306,11 @@ def test_dense_search_by_blocks_equals_all_pairs(spark, monkeypatch):
     whole = search.top(search.dense_top(asked, v, 250), "similarity", 250)
     assert whole.count() == asked.count() * (len(vectors) - 1)
     assert {r["doc_id"] for r in whole.where("query_id = 0 and similarity is null").collect()} == {200, 201}
+
+
+def test_words_are_told_by_printable_ascii_first(spark):
+    texts = ["", " ", "a b", "naïve\u00a0café\u2003x\ufeffy", "~!\t\n\x0b\x0c\r\x7f z", "\u3000é ü~", "".join(map(chr, range(0xD7FF)))]
+    plain = T.WHITE.replace("[", "[^", 1)
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.words(F.col("t")).alias("x"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("y"), T.word_count(F.col("t")).alias("n")).collect()
+    assert all(r["x"] == r["y"] and r["n"] == len(r["y"]) for r in got) and len(got) == len(texts)
+    assert T.WORD.startswith("[!-~")
