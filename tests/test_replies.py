@@ -67,3 +67,13 @@ def test_two_hops_take_every_branch(spark):
         "broken": (False, "heuristic", 1, 0, 1, "fallback", True, no), "gives up": (False, "heuristic", 1, 0, 1, "model", True, no), "no answer": (False, "heuristic", 1, 0, 1, "model", True, no),
     }
     assert sorted((r["rank"], r["doc_id"], r["hop"], r["similarity"]) for r in merged.where("item_id = 'model'").collect()) == [(1, "d7", 2, 0.95), (2, "d2", 1, 0.8), (3, "d3", 1, 0.4)]
+
+
+def test_plan_trims_as_it_is_told(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import replies
+
+    items = spark.createDataFrame([(1, "x" * 119 + "\n\n ")], "item_id long, question string")
+    said = spark.createDataFrame([], "step string, item_id long, ok boolean, content string")
+    assert [replies.plan(items, said, *t).first()["complex"] for t in ([], [F.btrim])] == [False, True]
