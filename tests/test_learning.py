@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import boosting, folds, metrics, models, search, textmodel
+from quern.operators import boosting, folds, metrics, models, search, shared, textmodel
 from tests.test_operators import rows
 
 
@@ -231,3 +231,24 @@ def test_direction_is_that_of_the_two_loops():
         d += (a - d @ c / (s @ c)) * s
     table = np.array([g, *steps, *changes])
     assert np.allclose(textmodel.direction(table @ table.T) @ table, d)
+
+
+def test_products_over_the_terms_equal_dense_ones_and_leave_the_chunks_where_they_are(spark):
+    rng = np.random.default_rng(6)
+    x = np.where(rng.random((40, 23)) < 0.3, rng.uniform(0.5, 2, (40, 23)), 0)
+    x[5] = 0
+    data = [(i, i % 3, int(t), float(x[i, t]), 1.0) for i in range(40) for t in np.nonzero(x[i])[0]] + [(5, 2, -1, 0.0, 1.0)]
+    entries = rows(spark, data, "_row long, _label int, id long, x double, _weight double").withColumn("chunk", F.col("_row") % 7)
+    chunks = shared.keep_buckets(textmodel._sparse_chunks(entries, 3), "chunks", 3, "chunk")
+    r = rng.normal(size=(40, 2))
+    given = rows(spark, [(c, r[c::7].tobytes()) for c in range(7)], "chunk long, r binary")
+    unit = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+    products = textmodel._products(chunks, given, 2, 5)
+    got = {g["chunk"]: np.frombuffer(g["kr"]).reshape(-1, 2) for g in products.collect()}
+    assert all(np.allclose(got[c], (unit @ (unit.T @ r))[c::7]) for c in range(7))
+    w = np.array([g["w"] for g in textmodel._term_weights(chunks, given, 2, 5).orderBy("id").collect()])
+    assert np.allclose(w, unit.T @ r)
+    plan = chunks.groupBy("chunk").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    shared.drop(chunks)
+    assert not spark.catalog.tableExists(chunks._table)
