@@ -252,3 +252,16 @@ def test_products_over_the_terms_equal_dense_ones_and_leave_the_chunks_where_the
     assert "Exchange" not in plan
     shared.drop(chunks)
     assert not spark.catalog.tableExists(chunks._table)
+
+
+def test_full_text_search_counts_shared_ids_together_and_shuffles_no_pairs(spark):
+    data = [(i, " ".join(f"w{j}" for j in range(i % 7 + 1))) for i in range(300)] + [(5, "w0 w0"), (5, "w3 w4 w5"), (None, "w0 w6"), (None, "w6 w6"), (7, "w0 w0")]
+    docs = rows(spark, data, "doc_id long, text string")
+    asked = rows(spark, [(q, f"w{j}") for q in range(9) for j in range(q)], "query_id long, term string")
+    terms = F.split("text", " ")
+    n, mean = docs.agg(F.count("*"), F.avg(F.size(terms))).first()
+    every = search.bm25(search.term_counts(docs, terms), asked, n, mean)
+    found = search.bm25_top(docs, terms, asked, 3)
+    plain = lambda df: sorted(((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in search.top(df.withColumn("score", F.round("score", 6)), "score", 3).collect()), key=str)
+    assert plain(found) == plain(every)
+    assert found.count() < every.count() / 10
