@@ -80,7 +80,7 @@ def stem_coverage(spark, sf_dir):
     """All documents that have half of an item's stems or more."""
     docs = _texts(spark, sf_dir).select("doc_id", T.stems(F.col("text")).alias("stems"))
     items = table(spark, sf_dir, "benchmark").select("item_id", T.stems(F.col("text")).alias("stems"))
-    return T.covered(docs, items, 0.5)
+    return similarity.met(docs, items, "stems", lambda shared, n, m: shared / m >= 0.5, by_size=False).select("doc_id", "item_id", (F.col("shared").cast("double") / F.col("m")).alias("coverage"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(b) = 0 THEN 1.0 ELSE len(list_intersect(b, s))::DOUBLE / len(b) END AS coverage
@@ -138,13 +138,12 @@ FROM t JOIN u USING (token) GROUP BY 1, 2 HAVING 10 * count(*) >= any_value(t.n)
 def contamination_jaccard(spark, sf_dir):
     """Documents and benchmark items that share a tenth of their content words or more.
 
-    Counted over shared words: an item's words are few, so the join carries a row for each word met.
+    An item's words are few; each task counts its documents' words against all items.
     """
-    sets = lambda df, key: df.select(key, F.array_distinct(T.content_words(F.col("text"))).alias("w")).select(key, F.size("w").alias("n"), F.explode("w").alias("token"))
-    d, b = sets(_texts(spark, sf_dir), "doc_id"), sets(table(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("n", "m")
-    met = d.join(b, "token").groupBy("doc_id", "item_id", "n", "m").agg(F.count("*").alias("shared"))
+    sets = lambda df, key: df.select(key, F.array_distinct(T.content_words(F.col("text"))).alias("words"))
+    found = similarity.met(sets(_texts(spark, sf_dir), "doc_id"), sets(table(spark, sf_dir, "benchmark"), "item_id"), "words", lambda shared, n, m: 10 * shared >= n + m - shared)
     total = F.col("n") + F.col("m") - F.col("shared")
-    return met.where(10 * F.col("shared") >= total).select("doc_id", "item_id", "shared", (F.col("shared").cast("double") / total).alias("jaccard"))
+    return found.select("doc_id", "item_id", "shared", (F.col("shared").cast("double") / total).alias("jaccard"))
 
 
 _TRI = """list_distinct(flatten(list_transform(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> ''),

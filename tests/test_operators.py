@@ -314,3 +314,20 @@ def test_words_are_told_by_printable_ascii_first(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.words(F.col("t")).alias("x"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("y"), T.word_count(F.col("t")).alias("n")).collect()
     assert all(r["x"] == r["y"] and r["n"] == len(r["y"]) for r in got) and len(got) == len(texts)
     assert T.WORD.startswith("[!-~")
+
+
+def test_met_sets_equal_brute_force_and_only_enough_leaves_a_task(spark):
+    from quern.operators import similarity
+
+    sets = [(i, [f"w{j}" for j in range(i % 9, 12)]) for i in range(60)] + [(3, ["w1", "w2"]), (4, []), (None, ["w9"]), (70, None), (71, ["v"])]
+    items = [(i, [f"w{j}" for j in range(i, i + 3)]) for i in range(8)] + [(90, []), (91, ["v", "u"])]
+    docs, asked = rows(spark, sets, "doc_id long, words array<string>"), rows(spark, items, "item_id long, words array<string>")
+    for by_size, enough in ((True, lambda s, n, m: 4 * s >= n + m - s), (False, lambda s, n, m: s / m >= 0.5)):
+        wanted = {}
+        for d, x in sets:
+            for i, y in items:
+                if s := len(set(x or []) & set(y)):
+                    key = (d, i, len(x) if by_size else 0, len(y))
+                    wanted[key] = wanted.get(key, 0) + s
+        got = {(r["doc_id"], r["item_id"], r["n"] if by_size else 0, r["m"]): r["shared"] for r in similarity.met(docs, asked, "words", enough, by_size).collect()}
+        assert got == {k: s for k, s in wanted.items() if enough(s, k[2], k[3])}
