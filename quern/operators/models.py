@@ -52,19 +52,20 @@ def tune(fit, train: DataFrame, validation: DataFrame, test: DataFrame, label: s
 def dealt_out(rows: DataFrame, features: list[str], repeats: int, seed: int = 7) -> DataFrame:
     """``rows`` once for each (feature, repeat), with the feature's values dealt out anew among all rows, and once as they are (feature "").
 
-    All rows have a place; each key numbers the rows by a hash of its own, and the row that comes nth gives its value to the one at place n.
-    A key has all rows, so one numbering over all keys serves each of them.
+    Each repeat numbers all rows by a hash of its own, and the row that comes nth gives its values to the one at place n. A repeat's features are
+    dealt out by one order, each alone, so rows are shuffled once for each repeat and not for each feature.
     """
-    placed = numbered(keep(rows.withColumn("_id", F.monotonically_increasing_id()), "rows"), ["_id"], "_at")
-    placed = keep(placed, "placed")
+    placed = keep(numbered(keep(rows.withColumn("_id", F.monotonically_increasing_id()), "rows"), ["_id"], "_at"), "placed")
     n = max(1, placed.count())
-    keys = lambda named: F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), *more) for f, more in named for r in range(repeats if f else 1)]))
-    given = placed.select("_id", keys([(f, [F.col(f).cast("double").alias("_new")]) for f in features]).alias("k")).select("_id", "k.*")
-    given = numbered(given.withColumn("_h", F.xxhash64(F.lit(seed), "feature", "repeat", "_id")), ["feature", "repeat", "_h", "_id"], "_at")
-    given = given.select("feature", "repeat", (F.col("_at") % n).alias("_at"), "_new")
-    every = placed.select("*", keys([(f, []) for f in ["", *features]]).alias("k")).select(*rows.columns, "_at", "k.*")
-    joined = every.join(given, ["feature", "repeat", "_at"], "left")
-    return joined.select("feature", "repeat", *[F.when(F.col("feature") == c, F.col("_new")).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in rows.columns])
+    repeated = F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat")
+    given = placed.select("_id", repeated, F.struct(*[F.col(f).cast("double").alias(f) for f in features]).alias("_new"))
+    given = numbered(given.withColumn("_h", F.xxhash64(F.lit(seed), "repeat", "_id")), ["repeat", "_h", "_id"], "_at")
+    given = given.select("repeat", (F.col("_at") % n).alias("_at"), "_new")
+    joined = placed.select("*", repeated).join(given, ["repeat", "_at"])
+    dealt = joined.select("*", F.explode(F.array(*[F.lit(f) for f in features])).alias("feature"))
+    new = lambda c: F.when(F.col("feature") == c, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in features else F.col(c)
+    whole = placed.select(F.lit("").alias("feature"), F.lit(0).alias("repeat"), *rows.columns)
+    return whole.unionByName(dealt.select("feature", "repeat", *[new(c) for c in rows.columns]))
 
 
 def permutation_importance(model, rows: DataFrame, features: list[str], label: str, repeats: int = 5, seed: int = 7) -> DataFrame:

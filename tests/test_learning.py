@@ -265,3 +265,15 @@ def test_full_text_search_counts_shared_ids_together_and_shuffles_no_pairs(spark
     plain = lambda df: sorted(((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in search.top(df.withColumn("score", F.round("score", 6)), "score", 3).collect()), key=str)
     assert plain(found) == plain(every)
     assert found.count() < every.count() / 10
+
+
+def test_dealing_out_joins_a_row_for_each_repeat_and_not_for_each_feature(spark):
+    df = rows(spark, [(float(i), float(2 * i), i % 2) for i in range(50)], "a double, b double, y int")
+    dealt = models.dealt_out(df, ["a", "b"], 4)
+    by = {}
+    for r in dealt.where("feature <> ''").collect():
+        by.setdefault((r["feature"], r["repeat"]), []).append(r["b"] / 2 if r["feature"] == "a" else r["a"])
+    assert all(sorted(x) == [float(i) for i in range(50)] for x in by.values()) and len(by) == 8
+    orders = {r: sorted((x["b"] / 2, x["a"]) for x in dealt.where(f"feature = 'a' AND repeat = {r}").collect()) for r in range(2)}
+    same = sorted((x["a"], x["b"] / 2) for x in dealt.where("feature = 'b' AND repeat = 0").collect())
+    assert orders[0] == same and orders[0] != orders[1]  # features of a repeat share an order
