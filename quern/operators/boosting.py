@@ -4,9 +4,11 @@ Features are cut into bins by quantiles once. Sums of gradients and curvatures b
 the rows for each level of a tree, so the driver sees no more than leaves x features x bins numbers. Growth is best first: the
 leaf with the largest gain is split, until a tree has its leaves. Levels of several leaves share a job: what best-first growth would split
 with the gains known so far is split, and their children's sums are taken together; gains that come later only move
-others back, so nothing is missing and what isn't used goes.
+others back, so nothing is missing and what isn't used goes. Of two children only the one with fewer rows is summed up; the other is the
+rest of its parent.
 
-Sums are integers (multiples of 2^-30), so trees don't depend on how rows are partitioned.
+Sums are integers (multiples of 2^-30), so trees don't depend on how rows are partitioned. Rows lie in blocks, whose columns are read as
+arrays, in a file for each core.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ from quern.operators.shared import drop, keep
 
 _UNIT = float(1 << 30)
 #: Rounds whose trees are added up anew by every pass before the rows' sums are written.
-KEEP_EVERY = 10
+KEEP_EVERY = 3
+#: Rows of a block, which is a row of the table that passes read, and rows that a task sums up at once (of which sums are exact as doubles).
+BLOCK, AT_ONCE = 512, 1 << 16
 
 
 @dataclass
@@ -45,17 +49,32 @@ class Tree:
             self.feature.append(-1), self.at.append(0), self.left.append(0), self.right.append(0), self.value.append(0.0)
         return a, a + 1
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row of ``bins``."""
-        feature, at, left, right = (np.array(x) for x in (self.feature, self.at, self.left, self.right))
-        node = np.zeros(len(bins), np.int64)
-        while True:
-            moving = np.flatnonzero(feature[node] >= 0)
-            if not len(moving):
-                return node
-            here = node[moving]
-            low = bins[moving, feature[here]] <= at[here]
-            node[moving] = np.where(low, left[here], right[here])
+    def rows_of(self, bins: np.ndarray, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, its rows) of ``bins``, which has an array for each feature; of ``wanted`` leaves and those above them only, if given."""
+        waiting = [(0, np.arange(bins.shape[1]))]
+        while waiting:
+            node, rows = waiting.pop()
+            if self.feature[node] < 0:
+                yield node, rows
+                continue
+            low = bins[self.feature[node]].take(rows) <= self.at[node]
+            for child, mine in ((self.left[node], low), (self.right[node], ~low)):
+                if wanted is None or child in wanted:
+                    waiting.append((child, rows[mine]))
+
+    def above(self, leaves: list[int]) -> set[int]:
+        """``leaves`` and the nodes above them."""
+        out = set(leaves)
+        for node in reversed(range(len(self.feature))):  # children come after their parent
+            if self.feature[node] >= 0 and (self.left[node] in out or self.right[node] in out):
+                out.add(node)
+        return out
+
+    def add(self, bins: np.ndarray, raw: np.ndarray) -> None:
+        """Add each row's value to ``raw``."""
+        for leaf, rows in self.rows_of(bins):
+            raw[rows] += self.value[leaf]
+
 
 
 @dataclass
@@ -78,18 +97,18 @@ class Boosted:
                 bins = _bins([batch.column(i) for i in at], self.edges)
                 raw = np.full(batch.num_rows, self.base)
                 for tree in self.trees:
-                    raw += np.array(tree.value)[tree.leaf_of(bins)]
+                    tree.add(bins, raw)
                 yield batch.append_column(into, pa.array(1 / (1 + np.exp(-raw)), pa.float64()))
 
         return rows.mapInArrow(run, schema)
 
 
 def _bins(columns: list[pa.Array], edges: list[np.ndarray]) -> np.ndarray:
-    """The bin of each value: how many bounds lie below it. Null and NaN come below all."""
-    out = np.zeros((len(columns[0]), len(columns)), np.uint8)
+    """Of each column the bins of its values: how many bounds lie below them. Null and NaN come below all."""
+    out = np.zeros((len(columns), len(columns[0]) if columns else 0), np.uint8)
     for i, (c, e) in enumerate(zip(columns, edges, strict=True)):
         x = np.nan_to_num(np.array(c.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
-        out[:, i] = np.searchsorted(e, x, "left")
+        out[i] = np.searchsorted(e, x, "left")
     return out
 
 
@@ -106,39 +125,48 @@ def _edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
 
 
 def _sums(table: DataFrame, added: list[Tree], tree: Tree, wanted: list[int], features: int) -> dict[int, np.ndarray]:
-    """(3, feature, bin) sums of gradient, curvature and rows for each of the leaves ``wanted`` of ``tree``."""
-    place = np.full(len(tree.feature), -1)
-    place[wanted] = np.arange(len(wanted))
+    """(3, feature, bin) sums of gradient, curvature (as integers) and rows for each of the leaves ``wanted`` of ``tree``."""
+    place, path = {node: i for i, node in enumerate(wanted)}, tree.above(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, features, len(wanted) * 256), np.int64)
-        for batch in batches:
-            bins, y, raw = _rows(batch, features, added)
-            p = 1 / (1 + np.exp(-raw))
-            at = place[tree.leaf_of(bins)]
-            mine = at >= 0
-            cell = at[mine] * 256
-            weights = (np.rint((p - y)[mine] * _UNIT), np.rint((p * (1 - p))[mine] * _UNIT), None)
-            for f in range(features):
-                key = cell + bins[mine, f]
-                for i, w in enumerate(weights):
-                    total[i, f] += np.bincount(key, w, total.shape[2]).astype(np.int64)
-        f, cell = np.nonzero(total[2])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (cell // 256, f, cell % 256)] + [pa.array(total[i, f, cell]) for i in range(3)], ["leaf", "feature", "bin", "g", "h", "n"])
-
-    out = {w: np.zeros((3, features, 256)) for w in wanted}
+        total = np.zeros((3, len(wanted), features, 256), np.int64)
+        for bins, y, raw in (x for batch in batches for x in _rows(batch, features, added)):
+            for leaf, rows in tree.rows_of(bins, path):
+                p = 1 / (1 + np.exp(-raw[rows]))
+                weights = (np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None)
+                for f in range(features):
+                    key = bins[f].take(rows).astype(np.intp)
+                    for i, w in enumerate(weights):
+                        total[i, place[leaf], f] += np.bincount(key, w, 256).astype(np.int64)
+        cells = np.nonzero(total[2])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in cells] + [pa.array(total[i][cells]) for i in range(3)], ["leaf", "feature", "bin", "g", "h", "n"])
+
+    out = np.zeros((len(wanted), 3, features, 256), np.int64)
     found = table.mapInArrow(run, "leaf int, feature int, bin int, g long, h long, n long")
-    for r in found.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).collect():
-        out[wanted[r["leaf"]]][:, r["feature"], r["bin"]] = (r["g"] / _UNIT, r["h"] / _UNIT, r["n"])
-    return out
+    cells = found.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
+    leaf, feature, bin_, *sums = (c.to_numpy() for c in cells.columns)
+    for i, x in enumerate(sums):
+        out[leaf, i, feature, bin_] = x
+    return dict(zip(wanted, out, strict=True))
+
+
+def _blocks(bins: np.ndarray, y: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    """Rows as blocks: their bins by feature, labels and sums as bytes."""
+    cuts = range(0, len(y), BLOCK)
+    parts = [[np.ascontiguousarray(x[..., a : a + BLOCK]).tobytes() for a in cuts] for x in (bins, y, raw)]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in parts], ["bins", "y", "raw"])
 
 
-def _rows(batch: pa.RecordBatch, features: int, added: list[Tree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, features)
-    raw = np.array(batch.column(2).to_numpy(), np.float64)
-    for t in added:
-        raw += np.array(t.value)[t.leaf_of(bins)]
-    return bins, batch.column(1).to_numpy(), raw
+def _rows(batch: pa.RecordBatch, features: int, added: list[Tree]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins by feature, labels, sums with ``added``) of up to ``AT_ONCE`` rows of blocks at a time."""
+    for a in range(0, batch.num_rows, AT_ONCE // BLOCK):
+        some = batch.slice(a, AT_ONCE // BLOCK)
+        y, raw = (np.frombuffer(b"".join(some.column(i).to_pylist()), np.float64) for i in (1, 2))
+        bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(features, len(x) // 8) for b, x in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)], 1)
+        raw = raw.copy()
+        for t in added:
+            t.add(bins, raw)
+        yield bins, y, raw
 
 
 def best_split(sums: np.ndarray, l2: float, least: int) -> tuple[float, int, int] | None:
@@ -157,8 +185,9 @@ def best_split(sums: np.ndarray, l2: float, least: int) -> tuple[float, int, int
 
 def _grown(table: DataFrame, added: list[Tree], features: int, leaves: int, l2: float, least: int, rate: float) -> Tree:
     """One tree, grown best first; the gains that a wave of splits needs are one job."""
-    trial = Tree()
-    sums = _sums(table, added, trial, [0], features)
+    trial, unit = Tree(), np.array([_UNIT, _UNIT, 1.0])[:, None, None]
+    exact = _sums(table, added, trial, [0], features)
+    sums = {0: exact[0] / unit}
     best = {0: best_split(sums[0], l2, least)}
     while True:
         order, waiting, count = [], [(-best[0][0], 0)] if best[0] else [], 1
@@ -172,9 +201,19 @@ def _grown(table: DataFrame, added: list[Tree], features: int, leaves: int, l2:
         fresh = [n for n in (order if count < leaves else order[:-1]) if trial.feature[n] < 0]
         if not fresh:
             break
-        children = [c for n in fresh for c in trial.split(n, *best[n][1:])]
-        for c, s in _sums(table, added, trial, children, features).items():
-            sums[c], best[c] = s, best_split(s, l2, least)
+        fewer = {}
+        for n in fresh:
+            _, feature, bin_ = best[n]
+            low, high = trial.split(n, feature, bin_)
+            rows = exact[n][2, feature]
+            mine, rest = (low, high) if 2 * rows[: bin_ + 1].sum() <= rows.sum() else (high, low)
+            fewer[mine] = (n, rest)
+        for c, s in _sums(table, added, trial, list(fewer), features).items():
+            n, rest = fewer[c]
+            exact[c], exact[rest] = s, exact[n] - s
+            for child in (c, rest):
+                sums[child] = exact[child] / unit
+                best[child] = best_split(sums[child], l2, least)
     tree, held = Tree(), {0: (0, sums[0][:, 0].sum(1) if features else np.zeros(3))}
     for node in order:  # the same splits, without what best-first growth left out
         own, _ = held[node]
@@ -201,24 +240,26 @@ def boost(rows: DataFrame, features: list[str], label: str, *, rounds: int = 300
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = _bins(batch.columns[1:], edges)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in cells], pa.binary()), batch.column(0), pa.array(np.zeros(batch.num_rows))], ["bins", "y", "raw"])
+            yield _blocks(_bins(batch.columns[1:], edges), batch.column(0).to_numpy(), np.zeros(batch.num_rows))
 
-    schema = "bins binary, y double, raw double"
-    table = keep(use.select(F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features]).mapInArrow(binned, schema), "bins")
-    share = table.agg(F.avg("y")).first()[0]
+    schema = "bins binary, y binary, raw binary"
+    values = use.select(F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f) for f in features])
+    blocks = values.mapInArrow(binned, schema).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    table = keep(blocks, "bins")
+    share = values.agg(F.avg("y")).first()[0]
     share = min(max(0.5 if share is None else share, 1e-9), 1 - 1e-9)
     base = Tree(value=[float(np.log(share / (1 - share)))])
     trees, added = [], [base]
     for _ in range(rounds):
         trees.append(_grown(table, added, len(features), leaves, l2, least, rate))
         added.append(trees[-1])
-        if len(added) > KEEP_EVERY:
+        if len(added) > KEEP_EVERY and len(trees) < rounds:
             done, n = list(added), len(features)
 
             def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_rows(batch, n, done)[2])], ["bins", "y", "raw"])
+                    for some in _rows(batch, n, done):
+                        yield _blocks(*some)
 
             before, table, added = table, keep(table.mapInArrow(summed, schema), "bins"), []
             drop(before)

@@ -277,3 +277,19 @@ def test_dealing_out_joins_a_row_for_each_repeat_and_not_for_each_feature(spark)
     orders = {r: sorted((x["b"] / 2, x["a"]) for x in dealt.where(f"feature = 'a' AND repeat = {r}").collect()) for r in range(2)}
     same = sorted((x["a"], x["b"] / 2) for x in dealt.where("feature = 'b' AND repeat = 0").collect())
     assert orders[0] == same and orders[0] != orders[1]  # features of a repeat share an order
+
+
+def test_boosting_passes_sum_half_of_the_rows_at_most_and_read_blocks_on_all_cores(spark, monkeypatch):
+    df = labelled(spark, 6000).coalesce(1)
+    seen, plain = [], boosting._sums
+
+    def sums(table, added, tree, wanted, features):
+        out = plain(table, added, tree, wanted, features)
+        seen.append((len(table.inputFiles()), table.count(), len(wanted), sum(int(out[w][2, 0].sum()) for w in wanted)))
+        return out
+
+    monkeypatch.setattr(boosting, "_sums", sums)
+    model = boosting.boost(df, ["a", "b", "c"], "y", rounds=1, leaves=8)
+    assert model.trees[0].feature.count(-1) == 8
+    assert all(files == spark.sparkContext.defaultParallelism and blocks < 20 for files, blocks, _, _ in seen)
+    assert seen[0][2:] == (1, 6000) and len(seen) > 2 and all(n <= 3000 for _, _, _, n in seen[1:])
