@@ -77,3 +77,44 @@ def test_plan_trims_as_it_is_told(spark):
     items = spark.createDataFrame([(1, "x" * 119 + "\n\n ")], "item_id long, question string")
     said = spark.createDataFrame([], "step string, item_id long, ok boolean, content string")
     assert [replies.plan(items, said, *t).first()["complex"] for t in ([], [F.btrim])] == [False, True]
+
+
+def test_two_hops_equal_their_sql_on_odd_texts_and_numbers(spark, tmp_path):
+    """Letters whose capitals are two, Greek ends, other spaces and word edges, null turns, and items below 0 or without a number."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quern.plans import replies as plans
+    from tests.oracle import compare
+
+    filler = "Das große Maß und die Straße, alpha beta gamma delta, Ende naht; epsilon zeta eta theta iota kappa lambda my ny xi omikron pi rho sigma"
+    texts = [
+        "beß geä beß große maß des, " + filler, "ΟΔΟΣ οδος alpha and beta ΣΑΣ. " + filler, "ΟΔΟς alpha and beta, " + filler, "İstanbul ist groß, also alpha. " + filler, "ŉ ǰ ΐ ᾀ ᾈ ᾳ ﬁ ﬀ ᾲ ſ K ƛ alpha and beta " + filler, "äand alpha ßalso beta",
+        "alpha aſ well aſ beta", "pluſ gamma", " 　" + "x" * 119 + " ", "\t" + "y" * 118 + "\n", "alpha and　beta gamma﻿ delta " + filler, "do not Know alpha", "　" * 60 + "alpha and beta" + "　" * 60, "", 'quote " and \\ back {brace} } alpha', "alpha? beta?",
+    ]
+    ids = [0, 6, 12, 18, 24, -1, -2, -3, -6, -12, 30, 36, None, 42, 48, 1 << 62, 54, 60, 66, 72]
+    turns = [(c, 1, "user", texts[(i + j) % len(texts)]) for j in range(4) for i, c in enumerate([None if x is None else x + 6 * 1000 * j for x in ids] if j else ids)]
+    turns = list({t[0]: t for t in turns}.values()) + [(0, None, "user", "never first"), (7, None, "user", "only one, and null"), (8, 0, "user", None)]
+    names = ["conv_id", "turn", "role", "text"]
+    docs = [(i, t) for i, t in enumerate(texts + [filler, "GROẞE maß", "GROSSE MASS", "alpha beta gamma", "istanbul", "stanbul"])] + [(None, "alpha beta gamma"), (3, "alpha"), (None, None)]
+    empty = pa.table({"x": pa.array([], pa.int64())})
+    for name in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels".split():
+        pq.write_table(empty, f"{tmp_path}/{name}.parquet")
+    pq.write_table(pa.table(dict(zip(names, map(list, zip(*turns)))), pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])), f"{tmp_path}/conversations.parquet")
+    pq.write_table(pa.table(dict(zip(["doc_id", "text"], map(list, zip(*docs)))), pa.schema([("doc_id", pa.int64()), ("text", pa.string())])), f"{tmp_path}/documents.parquet")
+    for name in ("two_hop_contexts", "two_hop_outcomes"):
+        ours, theirs = compare(spark, plans.QUERIES[name], plans.ORACLES[name], str(tmp_path))
+        assert ours == theirs and ours
+
+
+def test_letters_change_case_as_in_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from quern.plans import replies as plans
+
+    letters = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
+    table = pa.table({"c": letters})
+    theirs = duckdb.from_arrow(table).query("t", "SELECT c, upper(c), trim(c) FROM t").fetchall()
+    ours = spark.createDataFrame(table).select("c", F.expr(plans._UPPER["spark"].format("c")), T.without_spaces(F.col("c"))).collect()
+    assert sorted(map(tuple, ours)) == sorted(theirs)
