@@ -8,7 +8,7 @@ others back, so nothing is missing and what isn't used goes. Of two children onl
 rest of its parent.
 
 Sums are integers (multiples of 2^-30), so trees don't depend on how rows are partitioned. Rows lie in blocks, whose columns are read as
-arrays, in a file for each core.
+arrays, in a file for each core, and executors hold them between passes. A pass is one stage: each core's sums come to the driver, which adds them up.
 """
 
 from __future__ import annotations
@@ -19,15 +19,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.shared import drop, keep
 
 _UNIT = float(1 << 30)
-#: Rounds whose trees are added up anew by every pass before the rows' sums are written.
-KEEP_EVERY = 3
+#: Rounds after which the rows' sums are written, so that no lineage is longer.
+KEEP_EVERY = 20
 #: Rows of a block, which is a row of the table that passes read, and rows that a task sums up at once (of which sums are exact as doubles).
 BLOCK, AT_ONCE = 512, 1 << 16
 
@@ -127,27 +128,63 @@ def _edges(rows: DataFrame, features: list[str], bins: int) -> list[np.ndarray]:
 def _sums(table: DataFrame, added: list[Tree], tree: Tree, wanted: list[int], features: int) -> dict[int, np.ndarray]:
     """(3, feature, bin) sums of gradient, curvature (as integers) and rows for each of the leaves ``wanted`` of ``tree``."""
     place, path = {node: i for i, node in enumerate(wanted)}, tree.above(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, len(wanted), features, 256), np.int64)
-        for bins, y, raw in (x for batch in batches for x in _rows(batch, features, added)):
-            for leaf, rows in tree.rows_of(bins, path):
-                p = 1 / (1 + np.exp(-raw[rows]))
-                weights = (np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None)
-                for f in range(features):
-                    key = bins[f].take(rows).astype(np.intp)
-                    for i, w in enumerate(weights):
-                        total[i, place[leaf], f] += np.bincount(key, w, 256).astype(np.int64)
-        cells = np.nonzero(total[2])
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in cells] + [pa.array(total[i][cells]) for i in range(3)], ["leaf", "feature", "bin", "g", "h", "n"])
-
-    out = np.zeros((len(wanted), 3, features, 256), np.int64)
-    found = table.mapInArrow(run, "leaf int, feature int, bin int, g long, h long, n long")
-    cells = found.groupBy("leaf", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()
-    leaf, feature, bin_, *sums = (c.to_numpy() for c in cells.columns)
-    for i, x in enumerate(sums):
-        out[leaf, i, feature, bin_] = x
-    return dict(zip(wanted, out, strict=True))
+    shape = (3, features, len(wanted), 256)
+
+    def run(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        total = np.zeros(shape, np.int64)
+        for bins, y, raw in blocks:
+            raw = _added(bins, raw, added)
+            found = list(tree.rows_of(bins, path))
+            rows = np.concatenate([r for _, r in found])
+            leaf = np.repeat([256 * place[node] for node, _ in found], [len(r) for _, r in found])
+            p = 1 / (1 + np.exp(-raw[rows]))
+            weights = (np.rint((p - y[rows]) * _UNIT), np.rint(p * (1 - p) * _UNIT), None)
+            for f in range(features):
+                key = leaf + bins[f].take(rows)
+                for i, w in enumerate(weights):
+                    total[i, f] += np.bincount(key, w, shape[2] * 256).astype(np.int64).reshape(shape[2:])
+        cells = np.flatnonzero(total[2])
+        yield cells, total.reshape(3, -1)[:, cells]
+
+    total = np.zeros(shape, np.int64)
+    for cells, sums in _held(table, features).mapPartitions(run).collect():  # a part for each core
+        total.reshape(3, -1)[:, cells] += sums
+    return dict(zip(wanted, total.transpose(2, 0, 1, 3), strict=True))
+
+
+def _held(table: DataFrame, features: int) -> RDD:
+    """The rows of ``table`` held by executors, ``AT_ONCE`` at a time: (bins by feature, labels, sums); what is lost is read again."""
+
+    def gathered(rows: Iterator[Row]) -> Iterator[tuple]:
+        waiting, n = [], 0
+        for r in rows:
+            y = np.frombuffer(r["y"], np.float64)
+            waiting.append((np.frombuffer(r["bins"], np.uint8).reshape(features, len(y)), y, np.frombuffer(r["raw"], np.float64)))
+            n += len(y)
+            if n + BLOCK > AT_ONCE:
+                yield _joined(waiting)
+                waiting, n = [], 0
+        if waiting:
+            yield _joined(waiting)
+
+    if getattr(table, "_rows_held", None) is None:
+        table._rows_held = table.rdd.mapPartitions(gathered).persist(StorageLevel.MEMORY_AND_DISK)
+    return table._rows_held
+
+
+def _joined(blocks: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One block of several; labels take a byte if they are 0 and 1."""
+    bins, y, raw = (np.concatenate(x, -1) for x in zip(*blocks, strict=True))
+    return bins, y.astype(np.uint8) if ((y == 0) | (y == 1)).all() else y, raw
+
+
+def _added(bins: np.ndarray, raw: np.ndarray, trees: list[Tree]) -> np.ndarray:
+    """The rows' sums with those of ``trees``."""
+    if trees:
+        raw = raw.copy()
+    for t in trees:
+        t.add(bins, raw)
+    return raw
 
 
 def _blocks(bins: np.ndarray, y: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
@@ -157,18 +194,6 @@ def _blocks(bins: np.ndarray, y: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in parts], ["bins", "y", "raw"])
 
 
-def _rows(batch: pa.RecordBatch, features: int, added: list[Tree]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bins by feature, labels, sums with ``added``) of up to ``AT_ONCE`` rows of blocks at a time."""
-    for a in range(0, batch.num_rows, AT_ONCE // BLOCK):
-        some = batch.slice(a, AT_ONCE // BLOCK)
-        y, raw = (np.frombuffer(b"".join(some.column(i).to_pylist()), np.float64) for i in (1, 2))
-        bins = np.concatenate([np.frombuffer(b, np.uint8).reshape(features, len(x) // 8) for b, x in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)], 1)
-        raw = raw.copy()
-        for t in added:
-            t.add(bins, raw)
-        yield bins, y, raw
-
-
 def best_split(sums: np.ndarray, l2: float, least: int) -> tuple[float, int, int] | None:
     """(gain, feature, bin) of the best split of a leaf, the first of equal ones; none without gain or with fewer than ``least`` rows on a side."""
     left = sums.cumsum(2)
@@ -251,17 +276,18 @@ def boost(rows: DataFrame, features: list[str], label: str, *, rounds: int = 300
     base = Tree(value=[float(np.log(share / (1 - share)))])
     trees, added = [], [base]
     for _ in range(rounds):
-        trees.append(_grown(table, added, len(features), leaves, l2, least, rate))
-        added.append(trees[-1])
-        if len(added) > KEEP_EVERY and len(trees) < rounds:
-            done, n = list(added), len(features)
-
-            def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for some in _rows(batch, n, done):
-                        yield _blocks(*some)
-
-            before, table, added = table, keep(table.mapInArrow(summed, schema), "bins"), []
-            drop(before)
+        done, before = list(added), _held(table, len(features))
+        table._rows_held = before.map(lambda b, done=done: (b[0], b[1], _added(b[0], b[2], done))).persist(StorageLevel.MEMORY_AND_DISK)
+        trees.append(_grown(table, [], len(features), leaves, l2, least, rate))  # its first pass adds the tree before to the rows' sums
+        before.unpersist()
+        added = [trees[-1]]
+        if len(trees) % KEEP_EVERY == 0 and len(trees) < rounds:
+            held = table._rows_held
+            flat = held.flatMap(lambda b: zip(*_blocks(b[0], b[1].astype(np.float64), b[2]).to_pydict().values(), strict=True))
+            old, table = table, keep(rows.sparkSession.createDataFrame(flat, schema), "bins")
+            held.unpersist()
+            drop(old)
+    if getattr(table, "_rows_held", None) is not None:
+        table._rows_held.unpersist()
     drop(table)
     return Boosted(features, edges, trees, base.value[0])

@@ -6,6 +6,9 @@ docstring says so.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -42,9 +45,10 @@ def scored(model, rows: DataFrame) -> DataFrame:
 
 def tune(fit, train: DataFrame, validation: DataFrame, test: DataFrame, label: str) -> DataFrame:
     """Metrics on the test part at the threshold that is best on validation, with a model refitted on both others."""
-    first = scored(fit(train), validation)
+    with ThreadPoolExecutor(2) as both:  # neither fit needs the other, and many small jobs leave cores idle
+        fits = [both.submit(inheritable_thread_target(train.sparkSession)(fit), rows) for rows in (train, train.unionByName(validation))]
+    first, final = (scored(f.result(), rows) for f, rows in zip(fits, (validation, test), strict=True))
     threshold = metrics.best_f1(metrics.by_score(first, F.col("score"), F.col(label) == 1)).first()["threshold"]
-    final = scored(fit(train.unionByName(validation)), test)
     flagged = F.col("score") >= threshold if threshold is not None else F.lit(False)
     return metrics.binary_metrics(metrics.binary_counts(final, F.col(label) == 1, flagged)).withColumn("threshold", F.lit(threshold).cast("double"))
 

@@ -293,3 +293,25 @@ def test_boosting_passes_sum_half_of_the_rows_at_most_and_read_blocks_on_all_cor
     assert model.trees[0].feature.count(-1) == 8
     assert all(files == spark.sparkContext.defaultParallelism and blocks < 20 for files, blocks, _, _ in seen)
     assert seen[0][2:] == (1, 6000) and len(seen) > 2 and all(n <= 3000 for _, _, _, n in seen[1:])
+
+
+def test_tuned_models_fit_all_rounds(spark, monkeypatch):
+    from quern.plans import learning
+
+    seen, boost, trees = [], boosting.boost, models.boosted_trees
+    monkeypatch.setattr(boosting, "boost", lambda df, f, y, rounds=300, **more: seen.append(("boost", rounds)) or boost(df, f, y, rounds=2, **more))
+    monkeypatch.setattr(models, "boosted_trees", lambda df, f, y, rounds=60, depth=4: seen.append(("trees", rounds, depth)) or trees(df, f, y, 2, 2))
+    assert learning.tuned_models(spark, "/root/testdata/sf0.001").count() == 3
+    assert sorted(seen) == [("boost", 300)] * 2 + [("trees", 60, 4)] * 2
+
+
+def test_a_boosting_pass_is_one_stage_over_rows_that_stay_held(spark):
+    table = shared.keep(labelled(spark, 3000).select("y", "a", "b", "c").mapInArrow(lambda batches: (boosting._blocks(boosting._bins(b.columns[1:], [np.array([0.0])] * 3), b.column(0).cast("double").to_numpy(), np.zeros(b.num_rows)) for b in batches), "bins binary, y binary, raw binary"), "bins")
+    spark.sparkContext.setJobGroup("pass", "a pass")
+    one = boosting._sums(table, [], boosting.Tree(), [0], 3)[0]
+    shared.drop(table)  # held rows need no file
+    again = boosting._sums(table, [], boosting.Tree(), [0], 3)[0]
+    spark.sparkContext.setJobGroup("other", "others")
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("pass")]
+    assert stages == [1, 1] and np.array_equal(one, again) and one[2, 0].sum() == 3000
