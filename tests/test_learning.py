@@ -315,3 +315,26 @@ def test_a_boosting_pass_is_one_stage_over_rows_that_stay_held(spark):
     tracker = spark.sparkContext.statusTracker()
     stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("pass")]
     assert stages == [1, 1] and np.array_equal(one, again) and one[2, 0].sum() == 3000
+
+
+def test_products_by_buckets_of_terms_equal_dense_ones_and_shuffle_no_terms(spark):
+    rng = np.random.default_rng(4)
+    words = [[f"w{j}" for j in rng.integers(0, 400, rng.integers(0, 60))] for _ in range(90)]
+    df = Counter(t for w in words for t in set(w))
+    names = sorted(t for t in df if df[t] >= 2)
+    x = np.zeros((90, len(names)))
+    for i, w in enumerate(words):
+        for t, n in Counter(w).items():
+            if df[t] >= 2:
+                x[i, names.index(t)] = (1 + math.log(n)) * (math.log(91 / (1 + df[t])) + 1)
+    listed = spark.createDataFrame(list(enumerate(words)), "row long, _terms array<string>").repartition(5)
+    keys = textmodel._bucket_keys(spark, 3)
+    blocks = shared.keep_buckets(textmodel._term_blocks(textmodel._shares(listed, 7), 90, 2, keys), "blocks", 3, "bucket")
+    r = rng.normal(size=(90, 2))
+    sent = spark.createDataFrame([(c, bytearray(r[30 * c : 30 * c + 30].tobytes())) for c in range(3)], "chunk long, s binary")
+    read = lambda d: np.concatenate([np.frombuffer(g["y"]).reshape(-1, 2) for g in d.orderBy("chunk").collect()])
+    crossed = textmodel._crossed(blocks, sent, keys, 2)
+    assert np.allclose(read(crossed), x @ (x.T @ r)) and np.allclose(read(textmodel._crossed(blocks, sent, keys, 2, squares=True))[:, 0], (x * x).sum(1))
+    assert blocks.count() == 7 and textmodel._to_buckets(sent, keys).count() == 9 and crossed.count() == 3
+    weights = {t: w for g in textmodel._block_weights(blocks, sent, keys, 2).collect() for t, w in zip(g["terms"], np.frombuffer(g["w"]).reshape(-1, 2), strict=True)}
+    assert sorted(weights) == names and np.allclose([weights[t] for t in names], x.T @ r)
