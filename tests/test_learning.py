@@ -338,3 +338,36 @@ def test_products_by_buckets_of_terms_equal_dense_ones_and_shuffle_no_terms(spar
     assert blocks.count() == 7 and textmodel._to_buckets(sent, keys).count() == 9 and crossed.count() == 3
     weights = {t: w for g in textmodel._block_weights(blocks, sent, keys, 2).collect() for t, w in zip(g["terms"], np.frombuffer(g["w"]).reshape(-1, 2), strict=True)}
     assert sorted(weights) == names and np.allclose([weights[t] for t in names], x.T @ r)
+
+
+def test_full_text_search_passes_hold_many_queries_and_read_terms_once(spark, monkeypatch):
+    docs = rows(spark, [(i, f"w{i % 50} w{i % 7} both") for i in range(400)], "doc_id long, text string").select("doc_id", F.split("text", " ").alias("_terms"))
+    asked = rows(spark, [(q, t) for q in range(5000) for t in (f"w{q % 60}", "both")], "query_id long, term string").distinct()
+    passes, plain, kept = [], search._scorer, []
+    monkeypatch.setattr(search, "_scorer", lambda *a: passes.append(1) or plain(*a))
+    monkeypatch.setattr(search, "keep", lambda df, label: kept.append(label) or shared.keep(df, label))
+    found = search.bm25_top(shared.keep(docs, "docs"), F.col("_terms"), asked, 3)
+    assert len(passes) == 1 and "terms" not in kept and found.select("query_id").distinct().count() == 5000
+    monkeypatch.setattr(search, "PASS_TERMS", 3000)
+    again = search.bm25_top(docs, F.col("_terms"), asked, 3)
+    assert len(passes) == 1 + 4 and sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_postings_search_leaves_out_no_document_of_the_first(monkeypatch):
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(search, "WIDE", 8)
+    asks = [rng.choice(60, rng.integers(1, 30), replace=False) for _ in range(40)]
+    for k in (1, 5, 40):
+        best, every = [None] * len(asks), []
+        for part in range(3):
+            weight = rng.integers(0, 4, (60, 300)) * (rng.random((60, 1)) * rng.random((60, 300)) + 0.2) * (rng.random((60, 300)) < rng.random((60, 1)) ** 3)
+            weight[:, 150:180] = weight[:, :30]  # equal documents
+            doc = rng.permutation(300) + 300 * part
+            term, row = np.nonzero(weight)
+            search._search(asks, [term.astype(np.int32), row.astype(np.int32), weight[term, row]], doc, 60, k, best)
+            every.append((doc, weight))
+        doc, weight = np.concatenate([d for d, _ in every]), np.concatenate([w for _, w in every], 1)
+        for mine, got in zip(asks, best, strict=True):
+            score = np.floor(weight[mine].sum(0) * 1e6 + 0.5) / 1e6
+            order = [i for i in np.lexsort((doc, -score)) if weight[mine][:, i].any()][:k]
+            assert (got[1].tolist() if got is not None else []) == doc[order].tolist()
